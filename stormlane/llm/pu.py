@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,8 @@ def quality_features(text: str | None, known: Callable[[str], tuple[int, ...]])
         out.add(_bin(name, share))
         out.add(_bin(f"{name} fine", min(1.0, share * 10)))
     n = max(1, len(words))
-    out |= {_bin("word variety", len(set(words)) / n), _bin("line variety", len(set(lines)) / len(lines)), _bin("words", min(1.0, len(words).bit_length() / 20)), _bin("word length", min(1.0, len(text) / n / 20)), _bin("upper words", sum(map(str.isupper, words)) / n)}
+    again = sum(map(eq, words, words[1:])) / n
+    out |= {_bin("repeat", again), _bin("repeat fine", min(1.0, again * 10)), _bin("word variety", len(set(words)) / n), _bin("line variety", len(set(lines)) / len(lines)), _bin("words", min(1.0, len(words).bit_length() / 20)), _bin("word length", min(1.0, len(text) / n / 20)), _bin("upper words", sum(map(str.isupper, words)) / n)}
     return out
 
 
