@@ -106,8 +106,11 @@ def linked(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     known = checkpointed(prints.join(first.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root")))
 
     filed = _rooted(known, False)
-    crowd = filed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    asking = _rooted(known, True).join(crowd, "key").where("least <> root or most <> root").select("key", F.col("fingerprint").alias("asking"), F.col("root").alias("own"))
+    crowd = filed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.bit_and("fingerprint").alias("every"), F.bit_or("fingerprint").alias("some"))
+    # Bits that all fingerprints of a key share and the asking one lacks, or the reverse, count for each of them.
+    apart = F.bit_count(F.expr("fingerprint & ~some")) + F.bit_count(F.expr("~fingerprint & every"))
+    worth = (F.col("asking.key") == F.col("crowd.key")) & F.expr("least <> root or most <> root") & (apart <= max_distance)
+    asking = _rooted(known, True).alias("asking").join(crowd.alias("crowd"), worth).select(F.col("asking.key").alias("key"), F.col("fingerprint").alias("asking"), F.col("root").alias("own"))
     met = asking.join(filed, "key").where((F.col("own") != F.col("root")) & _near("asking", "fingerprint", max_distance))
     more = met.select(F.col("own").alias("u"), F.col("root").alias("v"))
     return connected_components(more.unionAll(first.select(F.col("node").alias("u"), F.col("root").alias("v"))))
