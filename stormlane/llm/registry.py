@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stormlane.llm import bpe, decontamination, language_id, pu, secret_scan, simhash
+from stormlane.llm import ann, bpe, decontamination, language_id, pu, secret_scan, simhash
 
-_MODULES = (decontamination, language_id, simhash, secret_scan, pu, bpe)
+_MODULES = (decontamination, language_id, simhash, secret_scan, pu, ann, bpe)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
