@@ -27,7 +27,7 @@ from stormlane.llm.common import sql_type, table
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Runs between these are encoded apart: every supported pre-tokenizer splits at them.
 _FEED = 4096
-_MEMO_ENTRIES, _MEMO_LENGTH = 150_000, 48
+_MEMO_ENTRIES, _MEMO_LENGTH = 300_000, 48
 _ROWS = 128
 _SHIFT, _NONE = 32, 1 << 62
 
