@@ -1,8 +1,493 @@
-"""One function per registered query; each takes (spark, sf_dir)."""
+"""One function per registered query; each takes the views of one folder of tables and has SQL beside it."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from stormlane.operators import align, catalog, cleaning, days, intervals, study
+from stormlane.plans.views import Views, with_views
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+#: Queries with a column date.
+_DATED = {"latest_wins", "calendar_join", "prev_week_ratio", "coverage_daily", "event_days", "excluded_days", "select_days", "parse_calendar", "read_daily_rain", "pending_partitions", "redate_midnight"}
+
+
+def query(name: str, views: str = "", sql: str | None = None):
+    """Registers a function of Views under a name, with its SQL over the named views. Dates are returned as text."""
+
+    def put(function):
+        def run(spark, sf_dir):
+            out = function(Views(spark, sf_dir))
+            return out.withColumns({c: F.col(c).cast("string") for c, kind in out.dtypes if kind == "date"})
+
+        QUERIES[name] = run
+        if sql:
+            whole = with_views(views, sql)
+            dated = name in _DATED
+            ORACLE_SQL[name] = f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({whole})" if dated else whole
+        return function
+
+    return put
+
+
+def _r(column: str, digits: int = 6):
+    return F.round(F.col(column).cast("double"), digits).alias(column)
+
+
+# Cleaning
+
+_ROW = "event_id, time, detector_id, lane_id, speed, occupancy, volume"
+
+
+@query("valid_drop_lane", "readings", f"SELECT {_ROW} FROM readings WHERE valid = 'Y'")
+def valid_drop_lane(v: Views) -> DataFrame:
+    return cleaning.filter_valid(v.readings).drop("valid")
+
+
+@query("valid_drop_period", "readings", "SELECT event_id, hour AS time, detector_id FROM (SELECT *, date_trunc('hour', time) AS hour FROM readings) WHERE (hour, detector_id) NOT IN (SELECT (date_trunc('hour', time), detector_id) FROM readings WHERE valid <> 'Y')")
+def valid_drop_period(v: Views) -> DataFrame:
+    hourly = v.readings.withColumn("time", F.date_trunc("hour", "time").cast("timestamp_ntz"))
+    return cleaning.filter_valid(hourly, "drop_period").select("event_id", "time", "detector_id")
+
+
+@query("bounds_filter", "readings", f"SELECT event_id, CASE WHEN speed BETWEEN 0 AND 130 THEN speed END AS speed, CASE WHEN occupancy BETWEEN 0 AND 100 THEN occupancy END AS occupancy FROM readings")
+def bounds_filter(v: Views) -> DataFrame:
+    return cleaning.filter_bounds(v.readings).select("event_id", "speed", "occupancy")
+
+
+@query("placeholder_null", "readings", "SELECT event_id, CASE WHEN volume <> 0 THEN speed END AS speed FROM readings")
+def placeholder_null(v: Views) -> DataFrame:
+    return cleaning.null_placeholder(v.readings).select("event_id", "speed")
+
+
+_STUCK = """SELECT event_id, run, max(time) OVER w - min(time) OVER w > INTERVAL 6 hours AS stuck FROM (SELECT *, sum(changed) OVER (PARTITION BY detector_id ORDER BY time, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN band = lag(band) OVER (PARTITION BY detector_id ORDER BY time, event_id) THEN 0 ELSE 1 END AS changed FROM (SELECT *, floor(speed / 40) AS band FROM readings))) WINDOW w AS (PARTITION BY detector_id, run)"""
+
+
+def _banded(v: Views) -> DataFrame:
+    return v.readings.withColumn("band", F.floor(F.col("speed") / 40))
+
+
+@query("stuck_runs", "readings", f"SELECT event_id, CAST(run AS BIGINT) AS run, stuck FROM ({_STUCK})")
+def stuck_runs(v: Views) -> DataFrame:
+    return cleaning.stuck_runs(_banded(v), ["detector_id"], "band", "6 hours").select("event_id", F.col("run").cast("long").alias("run"), "stuck")
+
+
+@query("stuck_drop_day", "readings", f"SELECT event_id FROM readings WHERE (detector_id, CAST(time AS DATE)) NOT IN (SELECT (detector_id, CAST(time AS DATE)) FROM readings WHERE event_id IN (SELECT event_id FROM ({_STUCK}) WHERE stuck))")
+def stuck_drop_day(v: Views) -> DataFrame:
+    return cleaning.drop_stuck_days(_banded(v), ["detector_id"], "band", "6 hours").select("event_id")
+
+
+@query("robust_z", "readings", "SELECT event_id, coalesce(0.6745 * off / nullif(mad, 0) > 3.5, false) AS outlier FROM (SELECT *, median(off) OVER (PARTITION BY detector_id) AS mad FROM (SELECT *, abs(speed - median(speed) OVER (PARTITION BY detector_id)) AS off FROM readings))")
+def robust_z(v: Views) -> DataFrame:
+    return cleaning.robust_z(v.readings).select("event_id", "outlier")
+
+
+@query("iqr_filter", "readings", "SELECT event_id FROM readings JOIN (SELECT detector_id, quantile_cont(speed, 0.25) AS a, quantile_cont(speed, 0.75) AS b FROM readings GROUP BY detector_id) USING (detector_id) WHERE speed BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)")
+def iqr_filter(v: Views) -> DataFrame:
+    return cleaning.iqr_filter(v.readings).select("event_id")
+
+
+def _snapshots(v: Views) -> DataFrame:
+    """Each reading in the hourly snapshots of its own and of the next hour."""
+    return v.readings.withColumn("archived", F.explode(F.array(*[(F.date_trunc("hour", "time").cast("timestamp_ntz") + F.expr(f"interval {k} hours")) for k in (1, 2)])))
+
+
+@query("dedup_overlap", "readings", f"SELECT {_ROW}, date_trunc('hour', time) + INTERVAL 2 hours AS archived FROM readings")
+def dedup_overlap(v: Views) -> DataFrame:
+    return cleaning.dedup_overlap(_snapshots(v)).select(*_ROW.split(", "), "archived")
+
+
+@query("latest_wins", "holidays", "SELECT date, CASE WHEN n % 2 = 0 THEN name || ' (moved)' ELSE name END AS name FROM holidays")
+def latest_wins(v: Views) -> DataFrame:
+    old = v.holidays.select("date", "name", F.lit(1).alias("version"))
+    new = v.holidays.where("n % 2 = 0").select("date", F.concat("name", F.lit(" (moved)")).alias("name"), F.lit(2).alias("version"))
+    return cleaning.latest_wins(old.unionByName(new), "date", "version").select("date", "name")
+
+
+_MEMBERS = "SELECT l_orderkey AS name, l_suppkey % 3 AS checksum, min(l_linenumber) AS position FROM lineitem GROUP BY ALL"
+
+
+@query("version_suffix", "", f"SELECT CAST(name AS VARCHAR) AS name, CAST(copy AS INTEGER) AS copy, CAST(checksum AS BIGINT) AS checksum, CASE WHEN copy = 1 THEN CAST(name AS VARCHAR) ELSE name || '_' || copy END AS stored_as FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY position, checksum) AS copy FROM ({_MEMBERS}))")
+def version_suffix(v: Views) -> DataFrame:
+    members = v.table("lineitem").select(F.col("l_orderkey").cast("string").alias("name"), (F.col("l_suppkey") % 3).alias("checksum"), F.struct(F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 3).alias("checksum")).alias("position"))
+    return cleaning.version_suffix(members).select("name", "copy", "checksum", "stored_as")
+
+
+@query("quality_report", "readings", "SELECT count(*) AS n_rows, count(*) FILTER (valid <> 'Y') AS n_invalid, count(*) FILTER (NOT speed BETWEEN 0 AND 130) AS n_speed_out, count(*) FILTER (NOT occupancy BETWEEN 0 AND 100) AS n_occupancy_out, count(*) FILTER (volume = 0) AS n_placeholder, count(*) FILTER (speed = 0 AND volume > 0) AS n_still_with_volume, count(*) FILTER (occupancy = -1) AS n_no_occupancy FROM readings")
+def quality_report(v: Views) -> DataFrame:
+    return cleaning.quality_report(v.readings)
+
+
+_KEPT = "r WHERE CAST(time AS DATE) NOT IN (SELECT date FROM holidays) AND NOT EXISTS (SELECT 1 FROM storms s WHERE time >= s.\"start\" AND time < s.\"end\")"
+
+
+def _storms(v: Views) -> DataFrame:
+    return v.cyclones.where("end - start > interval '300' minute")
+
+
+@query("exclude_confounders", "readings holidays storms", f"SELECT event_id FROM readings {_KEPT}")
+def exclude_confounders(v: Views) -> DataFrame:
+    return align.exclude_days(v.readings, v.days, _storms(v)).select("event_id")
+
+
+@query("exclude_incidents", "readings", """SELECT event_id FROM readings r WHERE NOT EXISTS (SELECT 1 FROM (SELECT detector_id, min(time) AS "start", coalesce(min(time) FILTER (lane_id = 'purchase'), min(time) + INTERVAL 1 day) AS "end" FROM readings WHERE lane_id IN ('error', 'purchase') GROUP BY detector_id, CAST(time AS DATE)) i WHERE time >= i."start" AND time < i."end" AND i.detector_id = r.detector_id)""")
+def exclude_incidents(v: Views) -> DataFrame:
+    some = v.readings.where("lane_id in ('error', 'purchase')")
+    news = some.groupBy("detector_id", F.to_date("time").alias("day")).agg(F.min("time").alias("start"), F.min(F.when(F.col("lane_id") == "purchase", F.col("time"))).alias("closed"))
+    active = news.select(F.col("detector_id").alias("where"), "start", F.coalesce("closed", F.col("start") + F.expr("interval 1 day")).alias("end"))
+    hit = intervals.interval_join(v.readings.select("event_id", "detector_id", "time"), active, "time").where(F.col("detector_id") == F.col("where")).select("event_id")
+    return v.readings.join(hit, "event_id", "left_anti").select("event_id")
+
+
+# Joins
+
+
+@query("join_detector", "readings detectors", "SELECT event_id, detector_id, road, district FROM readings JOIN detectors USING (detector_id)")
+def join_detector(v: Views) -> DataFrame:
+    return align.join_detector(v.readings, v.detectors).select("event_id", "detector_id", "road", "district")
+
+
+@query("unmatched_ids", "readings detectors", "SELECT DISTINCT detector_id, 'readings' AS side FROM readings WHERE detector_id NOT IN (SELECT detector_id FROM detectors) UNION ALL SELECT detector_id, 'dimension' FROM detectors WHERE detector_id NOT IN (SELECT detector_id FROM readings)")
+def unmatched_ids(v: Views) -> DataFrame:
+    return align.unmatched_ids(v.readings, v.detectors)
+
+
+@query("asof_version", "versions probes", 'SELECT order_no, line_no, p."key" AS "key", p.time AS time, valid_from, version FROM probes p ASOF LEFT JOIN versions v ON p."key" = v."key" AND p.time >= v.valid_from')
+def asof_version(v: Views) -> DataFrame:
+    return align.asof_version(v.probes, v.versions, "key", "time", "valid_from", "version")
+
+
+@query("interval_join", "readings signals", 'SELECT event_id, signal_id, level FROM readings JOIN signals s ON time >= s."start" AND time < s."end"')
+def interval_join(v: Views) -> DataFrame:
+    return intervals.interval_join(v.readings.select("event_id", "time"), v.signals.drop("detector_id")).select("event_id", "signal_id", "level")
+
+
+def _with_hours(v: Views) -> DataFrame:
+    return align.join_detector(v.readings, v.detectors).withColumn("hour", F.date_trunc("hour", "time").cast("timestamp_ntz"))
+
+
+@query("rain_join", "readings detectors rain", "SELECT event_id, CASE WHEN b.hour IS NOT NULL THEN coalesce((min_mm + max_mm) / 2.0, 0) END AS rain FROM readings JOIN detectors d USING (detector_id) LEFT JOIN rain r ON r.hour = date_trunc('hour', time) AND r.district = d.district LEFT JOIN (SELECT DISTINCT hour FROM rain) b ON b.hour = date_trunc('hour', time)")
+def rain_join(v: Views) -> DataFrame:
+    return align.rain_join(_with_hours(v), v.rain).select("event_id", "rain")
+
+
+for _how, _sql in (("mid", "(min_mm + max_mm) / 2.0"), ("max", "max_mm")):
+    query(f"rain_{_how}", "rain", f"SELECT hour, district, CAST({_sql} AS DOUBLE) AS rain FROM rain")(lambda v, how=_how: v.rain.select("hour", "district", align.rain_value(how).cast("double").alias("rain")))
+
+
+@query("territory_rain", "rain", "SELECT hour, max(max_mm) AS rain FROM rain GROUP BY hour")
+def territory_rain(v: Views) -> DataFrame:
+    return align.territory_rain(v.rain)
+
+
+@query("calendar_join", "readings holidays", "SELECT event_id, CAST(time AS DATE) AS date, h.name AS holiday, CASE WHEN h.name IS NOT NULL THEN 'holiday' WHEN isodow(time) >= 6 THEN 'weekend' ELSE 'working' END AS day_type FROM readings LEFT JOIN holidays h ON h.date = CAST(time AS DATE)")
+def calendar_join(v: Views) -> DataFrame:
+    return align.calendar_join(v.readings, v.days).select("event_id", "date", "holiday", "day_type")
+
+
+def _daily(v: Views) -> DataFrame:
+    return v.readings.groupBy("detector_id", F.to_date("time").alias("date")).agg(F.avg("speed").alias("speed"))
+
+
+@query("prev_week_ratio", "readings", "WITH d AS (SELECT detector_id, CAST(time AS DATE) AS date, avg(speed) AS speed FROM readings GROUP BY ALL) SELECT a.detector_id, a.date, round(a.speed / nullif(b.speed, 0), 6) AS ratio FROM d a LEFT JOIN d b ON a.detector_id = b.detector_id AND b.date = a.date - 7".replace("WITH d AS", ", d AS"))
+def prev_week_ratio(v: Views) -> DataFrame:
+    lagged = align.lag_weeks(_daily(v), ["detector_id"], "speed")
+    return lagged.select("detector_id", "date", F.round(F.col("speed") / F.nullif(F.col("speed_before"), F.lit(0.0)), 6).alias("ratio"))
+
+
+@query("nearest_district", "detectors", ", c AS (SELECT district, avg(x) AS x, avg(y) AS y FROM detectors GROUP BY district) SELECT district, nearest FROM (SELECT a.district, b.district AS nearest, row_number() OVER (PARTITION BY a.district ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.district) AS k FROM c a JOIN c b ON a.district <> b.district) WHERE k = 1")
+def nearest_district(v: Views) -> DataFrame:
+    return align.nearest_district(v.detectors)
+
+
+@query("nearest_cell", "detectors", ", g AS (SELECT s_suppkey AS cell_id, round(s_acctbal / 500) * 500 AS cx, CAST(s_suppkey % 100 AS DOUBLE) AS cy FROM supplier) SELECT id, cell_id FROM (SELECT d.detector_id AS id, g.cell_id, row_number() OVER (PARTITION BY d.detector_id ORDER BY (x - cx) ** 2 + (y - cy) ** 2, g.cell_id) AS k FROM detectors d JOIN g ON abs(round(x / 500) - round(cx / 500)) <= 1 AND abs(round(y / 500) - round(cy / 500)) <= 1) WHERE k = 1")
+def nearest_cell(v: Views) -> DataFrame:
+    cells = v.table("supplier").select(F.col("s_suppkey").alias("cell_id"), (F.round(F.col("s_acctbal") / 500) * 500).alias("cx"), (F.col("s_suppkey") % 100).cast("double").alias("cy"))
+    return align.nearest_cell(v.detectors.select(F.col("detector_id").alias("id"), "x", "y"), cells, 500)
+
+
+@query("segment_route", "", "SELECT p_brand AS route, count(*) AS n, count(s_suppkey) AS n_matched FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 GROUP BY p_brand")
+def segment_route(v: Views) -> DataFrame:
+    routes = v.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("route"))
+    centre = v.table("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(1).alias("known"))
+    joined = v.table("lineitem").select("l_partkey", "l_suppkey").join(align.sized(routes), "l_partkey").join(align.sized(centre), "l_suppkey", "left")
+    return joined.groupBy("route").agg(F.count("*").alias("n"), F.count("known").alias("n_matched"))
+
+
+# Aggregates and bins
+
+_LANE_KEYS = "detector_id, date_trunc('day', time) AS time"
+for _how, _sql in (("weighted", "sum(speed * volume) / nullif(sum(CASE WHEN speed IS NOT NULL THEN volume END), 0)"), ("mean", "avg(speed)"), ("slowest", "min(speed)")):
+    query(f"lane_{_how}", "readings", f"SELECT {_LANE_KEYS}, round({_sql}, 6) AS speed, CAST(sum(volume) AS BIGINT) AS volume, round(avg(occupancy), 6) AS occupancy FROM readings GROUP BY ALL")(
+        lambda v, how=_how: align.lanes_to_detector(v.readings.withColumn("time", F.date_trunc("day", "time").cast("timestamp_ntz")), how).select("detector_id", "time", _r("speed"), "volume", _r("occupancy"))
+    )
+for _m in (5, 15, 60):
+    query(f"bin_{_m}", "readings", f"SELECT detector_id, time_bucket(INTERVAL {_m} minutes, time) AS bin, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume, round(avg(speed), 6) AS speed, round(avg(occupancy), 6) AS occupancy FROM readings GROUP BY ALL")(
+        lambda v, m=_m: align.bin_time(v.readings, m).select("detector_id", "bin", "n", "volume", _r("speed"), _r("occupancy"))
+    )
+
+
+@query("coverage_daily", "readings", "SELECT detector_id, CAST(time AS DATE) AS date, count(DISTINCT date_trunc('minute', time)) AS present, round(count(DISTINCT date_trunc('minute', time)) / 1440.0, 6) AS share FROM readings GROUP BY ALL")
+def coverage_daily(v: Views) -> DataFrame:
+    present = v.readings.groupBy("detector_id", F.to_date("time").alias("date")).agg(F.count_distinct(F.date_trunc("minute", "time")).alias("present"))
+    return present.withColumn("share", F.round(F.col("present") / 1440, 6))
+
+
+@query("baseline_median", "readings holidays", "SELECT detector_id, CASE WHEN h.date IS NOT NULL THEN 'holiday' WHEN isodow(time) >= 6 THEN 'weekend' ELSE 'working' END AS day_type, CAST(hour(time) // 6 AS INTEGER) AS slot, round(median(speed), 6) AS baseline FROM readings LEFT JOIN holidays h ON h.date = CAST(time AS DATE) GROUP BY ALL")
+def baseline_median(v: Views) -> DataFrame:
+    from stormlane.functions.scalar import slot
+
+    slots = align.calendar_join(v.readings, v.days).withColumn("slot", slot(F.col("time"), 360))
+    return study.dry_baseline(slots, ["detector_id", "day_type", "slot"]).withColumn("baseline", F.round("baseline", 6))
+
+
+@query("grid_district", "detectors", "SELECT district, date_trunc('hour', ts) AS ending, round(avg(value), 6) AS mean_rain, max(value) AS max_rain FROM events JOIN detectors ON user_id = detector_id GROUP BY ALL")
+def grid_district(v: Views) -> DataFrame:
+    cells = align.join_detector(v.readings, v.detectors)
+    return cells.groupBy("district", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("ending")).agg(F.round(F.avg("speed"), 6).alias("mean_rain"), F.max("speed").alias("max_rain"))
+
+
+# Intervals and days
+
+_EPISODE = 'episode_id, "start", "end", max_level, n_signals, provisional'
+_EPISODE_COLUMNS = ["episode_id", "start", "end", "max_level", "n_signals", "provisional"]
+
+
+def _merged_sql(keys: str, gap: str, source: str = "signals") -> str:
+    by = f"PARTITION BY {keys} " if keys else ""
+    named = f"{keys}, " if keys else ""
+    return f"""SELECT {named}CAST(row_number() OVER ({by}ORDER BY "start") AS INTEGER) AS episode_id, * EXCLUDE ({named}island) FROM (SELECT {named}island, min("start") AS "start", max("end") AS "end", max(level) AS max_level, count(*) AS n_signals, bool_or(provisional) AS provisional FROM (SELECT *, sum(opens) OVER ({by}ORDER BY "start", signal_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN "start" <= max("end") OVER ({by}ORDER BY "start", signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL {gap} THEN 0 ELSE 1 END AS opens FROM {source})) GROUP BY {named}island)"""
+
+
+@query("merge_intervals", "signals", _merged_sql("", "0 minutes"))
+def merge_intervals(v: Views) -> DataFrame:
+    return intervals.merge_intervals(v.signals).select(*_EPISODE_COLUMNS)
+
+
+@query("merge_intervals_gap", "signals", _merged_sql("", "30 minutes"))
+def merge_intervals_gap(v: Views) -> DataFrame:
+    return intervals.merge_intervals(v.signals, max_gap="30 minutes").select(*_EPISODE_COLUMNS)
+
+
+@query("merge_intervals_keyed", "signals", _merged_sql("detector_id", "0 minutes"))
+def merge_intervals_keyed(v: Views) -> DataFrame:
+    return intervals.merge_intervals(v.signals, ["detector_id"]).select("detector_id", *_EPISODE_COLUMNS)
+
+
+@query("merge_session", "signals", f"""SELECT detector_id, "start", "end", max_level, n_signals FROM ({_merged_sql("detector_id", "0 minutes", '(SELECT * FROM signals WHERE "end" > "start")')})""")
+def merge_session(v: Views) -> DataFrame:
+    return intervals.merge_sessions(v.signals, ["detector_id"])
+
+
+def _collapse_sql(unit: str, rows: str) -> str:
+    day, number, form = ("date_trunc('month', date)", "year(date) * 12 + month(date)", "%Y-%m") if unit == "month" else ("date", "date - DATE '1970-01-01'", "%Y-%m-%d")
+    return f"""SELECT k, string_agg(CASE WHEN a = b THEN strftime(a, '{form}') ELSE strftime(a, '{form}') || '..' || strftime(b, '{form}') END, ', ' ORDER BY a) AS ranges FROM (SELECT k, min(day) AS a, max(day) AS b FROM (SELECT *, n - row_number() OVER (PARTITION BY k ORDER BY n) AS run FROM (SELECT DISTINCT k, CAST({day} AS DATE) AS day, {number} AS n FROM (SELECT {rows}))) GROUP BY k, run) GROUP BY k"""
+
+
+@query("collapse_months", "", _collapse_sql("month", "o_custkey AS k, CAST(o_orderdate AS DATE) AS date FROM orders"))
+def collapse_months(v: Views) -> DataFrame:
+    return intervals.collapse_runs(v.table("orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("date")), ["k"], "date", "month")
+
+
+@query("collapse_days", "", _collapse_sql("day", "user_id AS k, CAST(ts AS DATE) AS date FROM events"))
+def collapse_days(v: Views) -> DataFrame:
+    return intervals.collapse_runs(v.events.select(F.col("user_id").alias("k"), F.to_date("ts").alias("date")), ["k"], "date", "day")
+
+
+def _thin(v: Views) -> DataFrame:
+    return v.signals.where("level = 3 and end - start > interval '150' minute")
+
+
+_TOUCHED = """SELECT *, CAST(unnest(generate_series(CAST("start" - INTERVAL {pad} hours AS DATE), CAST("end" + INTERVAL {pad} hours AS DATE), INTERVAL 1 day)) AS DATE) AS date FROM {source}"""
+_EVENTS = f"SELECT date, list_sort(list(DISTINCT episode_id)) AS ids, max(max_level) AS max_level FROM ({_TOUCHED.format(pad=3, source='thin_episodes')}) GROUP BY date"
+_EXCLUDED = f"SELECT date FROM ({_TOUCHED.format(pad=0, source='thin_episodes')}) UNION SELECT date FROM ({_TOUCHED.format(pad=0, source='storms')})"
+
+
+@query("event_days", "thin_episodes", f"SELECT date, array_to_string(ids, ' ') AS episode_ids, max_level FROM ({_EVENTS})")
+def event_days(v: Views) -> DataFrame:
+    return days.event_days(intervals.merge_intervals(_thin(v))).withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), " "))
+
+
+@query("excluded_days", "thin_episodes storms", _EXCLUDED)
+def excluded_days(v: Views) -> DataFrame:
+    return days.excluded_days(intervals.merge_intervals(_thin(v)), _storms(v))
+
+
+_SELECTED = f"""(SELECT date, 'event' AS role, array_to_string(ids, ' ') AS episode_ids, max_level FROM ev UNION ALL SELECT date, 'control', '', 0 FROM (SELECT DISTINCT CAST(date - CAST(7 * k AS INTEGER) AS DATE) AS date FROM ev, range(1, 3) t(k)) WHERE date NOT IN (SELECT date FROM ev) AND date NOT IN ({_EXCLUDED}))"""
+
+
+def _selected(v: Views) -> DataFrame:
+    return days.select_days(intervals.merge_intervals(_thin(v)), _storms(v), (2023, 2025), since="2023-12-01")
+
+
+@query("select_days", "thin_episodes storms", f", ev AS ({_EVENTS}) SELECT date, role, episode_ids, max_level, CASE max_level WHEN 1 THEN 'Amber' WHEN 2 THEN 'Red' WHEN 3 THEN 'Black' ELSE '' END AS max_level_name FROM {_SELECTED} WHERE date >= DATE '2023-12-01'")
+def select_days(v: Views) -> DataFrame:
+    return _selected(v).withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), " "))
+
+
+@query("role_counts", "thin_episodes storms", f", ev AS ({_EVENTS}) SELECT count(*) FILTER (role = 'event') AS n_event, count(*) FILTER (role = 'control') AS n_control FROM {_SELECTED} WHERE date >= DATE '2023-12-01'")
+def role_counts(v: Views) -> DataFrame:
+    return days.role_counts(_selected(v))
+
+
+@query("episodes_pivot", "episodes", "SELECT CAST(year(\"start\") AS INTEGER) AS year, count(*) FILTER (max_level = 1) AS amber, count(*) FILTER (max_level = 2) AS red, count(*) FILTER (max_level = 3) AS black FROM episodes GROUP BY ALL")
+def episodes_pivot(v: Views) -> DataFrame:
+    return days.episodes_by_year(intervals.merge_intervals(v.signals))
+
+
+@query("warning_ordinal", "levels", "SELECT event_id, level, CAST(CASE WHEN level > 0 THEN minutes_since END AS BIGINT) AS minutes_since FROM levels")
+def warning_ordinal(v: Views) -> DataFrame:
+    return _levels(v).select("event_id", "level", "minutes_since")
+
+
+@query("warning_onehot", "levels", "SELECT event_id, CAST(level = 1 AS INTEGER) AS is_amber, CAST(level = 2 AS INTEGER) AS is_red, CAST(level = 3 AS INTEGER) AS is_black, CAST(level > 0 AS INTEGER) AS warned FROM levels")
+def warning_onehot(v: Views) -> DataFrame:
+    return _levels(v).select("event_id", "is_amber", "is_red", "is_black", "warned")
+
+
+@query("news_latest", "readings", """SELECT detector_id AS id, CASE arg_max(lane_id, (time, event_id)) WHEN 'purchase' THEN 'CLOSED' ELSE 'UPDATED' END AS status, min(time) AS "start", min(time) FILTER (lane_id = 'purchase') AS "end", count(*) AS n_messages FROM readings GROUP BY detector_id""")
+def news_latest(v: Views) -> DataFrame:
+    news = v.readings.select(F.col("detector_id").alias("id"), "time", F.when(F.col("lane_id") == "purchase", "CLOSED").otherwise("UPDATED").alias("status"))
+    return intervals.news_intervals(news)
+
+
+# Filling and lags
+
+
+def _six(v: Views) -> DataFrame:
+    clean = cleaning.null_placeholder(cleaning.filter_bounds(cleaning.filter_valid(v.readings), "drop"))
+    return align.bin_time(clean, 360)
+
+
+_SPINE = "f AS (SELECT detector_id, bin, speed, row_number() OVER (PARTITION BY detector_id ORDER BY bin) AS k FROM (SELECT detector_id, unnest(generate_series(min(bin), max(bin), INTERVAL 6 hours)) AS bin FROM six GROUP BY detector_id) LEFT JOIN six USING (detector_id, bin))"
+_BACK, _AHEAD = "OVER (PARTITION BY detector_id ORDER BY bin ROWS UNBOUNDED PRECEDING)", "OVER (PARTITION BY detector_id ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@query("interp_short", "six", f", {_SPINE} SELECT detector_id, bin, round(coalesce(speed, CASE WHEN nk - pk - 1 <= 2 THEN pv + (nv - pv) * (k - pk) / (nk - pk) END), 6) AS filled FROM (SELECT *, last_value(CASE WHEN speed IS NOT NULL THEN k END IGNORE NULLS) {_BACK} AS pk, first_value(CASE WHEN speed IS NOT NULL THEN k END IGNORE NULLS) {_AHEAD} AS nk, last_value(speed IGNORE NULLS) {_BACK} AS pv, first_value(speed IGNORE NULLS) {_AHEAD} AS nv FROM f)")
+def interp_short(v: Views) -> DataFrame:
+    return align.fill_linear(_six(v), ["detector_id"], "bin", "speed", "6 hours").select("detector_id", "bin", _r("filled"))
+
+
+@query("ffill", "six", f", {_SPINE} SELECT detector_id, bin, round(last_value(speed IGNORE NULLS) {_BACK}, 6) AS filled FROM f")
+def ffill(v: Views) -> DataFrame:
+    return align.fill(_six(v), ["detector_id"], "bin", "speed", "6 hours").select("detector_id", "bin", _r("filled"))
+
+
+@query("fill_seasonal", "six", f", {_SPINE} SELECT detector_id, bin, round(coalesce(speed, avg(speed) OVER (PARTITION BY detector_id, hour(bin))), 6) AS filled FROM f")
+def fill_seasonal(v: Views) -> DataFrame:
+    return align.fill(_six(v), ["detector_id"], "bin", "speed", "6 hours", "seasonal").select("detector_id", "bin", _r("filled"))
+
+
+@query("rain_slots", "rain", "SELECT district, hour + to_minutes(CAST(15 * k AS BIGINT)) AS slot, (min_mm + max_mm) / 2.0 AS rain FROM rain, range(-1, 3) t(k)")
+def rain_slots(v: Views) -> DataFrame:
+    return align.rain_slots(v.rain)
+
+
+@query("rain_lags", "rain", ", m AS (SELECT district, hour, (min_mm + max_mm) / 2.0 AS rain FROM rain) SELECT a.district, a.hour, a.rain, b.rain AS rain_1, c.rain AS rain_2 FROM m a LEFT JOIN m b ON b.district = a.district AND b.hour = a.hour - INTERVAL 1 hour LEFT JOIN m c ON c.district = a.district AND c.hour = a.hour - INTERVAL 2 hours")
+def rain_lags(v: Views) -> DataFrame:
+    return align.rain_lags(v.rain)
+
+
+@query("zscore_norm", "six", "SELECT detector_id, bin, round((speed - avg(speed) OVER w) / nullif(stddev_samp(speed) OVER w, 0), 5) AS z FROM six WINDOW w AS (PARTITION BY detector_id)")
+def zscore_norm(v: Views) -> DataFrame:
+    return study.normalise(_six(v)).select("detector_id", "bin", _r("z", 5))
+
+
+# The study
+
+
+def _levels(v: Views) -> DataFrame:
+    return intervals.encode_warning(v.readings, v.signals, ["event_id"])
+
+
+def _usable(v: Views, bounded: bool = True) -> DataFrame:
+    rows = cleaning.null_placeholder(cleaning.filter_valid(_levels(v))).where("speed is not null")
+    return cleaning.filter_bounds(rows, "drop") if bounded else rows
+
+
+def _sensitivity(rows: DataFrame) -> DataFrame:
+    return study.sensitivity(rows, study.dry_baseline(rows.where("level = 0"), ["detector_id"]), ["detector_id"])
+
+
+def _ranking(v: Views, bounded: bool = True) -> DataFrame:
+    return study.overall(_sensitivity(_usable(v, bounded)))
+
+
+@query("sensitivity", "sensitive", "SELECT detector_id, level, n, round(sensitivity, 6) AS sensitivity FROM sensitive")
+def sensitivity(v: Views) -> DataFrame:
+    return _sensitivity(_usable(v)).select("detector_id", "level", "n", _r("sensitivity"))
+
+
+@query("sensitivity_rank", "ranking", "SELECT detector_id, CAST(rank() OVER (ORDER BY round(sensitivity, 9)) AS BIGINT) AS place FROM ranking WHERE sensitivity IS NOT NULL")
+def sensitivity_rank(v: Views) -> DataFrame:
+    ranking = _ranking(v).where("sensitivity is not null").select("detector_id", F.round("sensitivity", 9).alias("sensitivity"))
+    counts = ranking.groupBy("sensitivity").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("sensitivity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranking.join(counts.select("sensitivity", (before + 1).alias("place")), "sensitivity").select("detector_id", "place")
+
+
+@query("topk", "ranking", "SELECT detector_id, round(sensitivity, 6) AS sensitivity FROM ranking WHERE sensitivity IS NOT NULL ORDER BY ranking.sensitivity, detector_id LIMIT 20")
+def topk(v: Views) -> DataFrame:
+    return study.top(_ranking(v)).select("detector_id", _r("sensitivity"))
+
+
+@query("topk_per_district", "ranking detectors", "SELECT district, detector_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY district ORDER BY sensitivity, detector_id) AS place FROM ranking JOIN detectors USING (detector_id) WHERE sensitivity IS NOT NULL) WHERE place <= 3")
+def topk_per_district(v: Views) -> DataFrame:
+    return study.top_per(align.join_detector(_ranking(v), v.detectors), "district").select("district", "detector_id", "place")
+
+
+_LOOSE = ", lr AS (SELECT l.*, speed / nullif(b, 0) AS ratio FROM levels l JOIN (SELECT detector_id, median(speed) AS b FROM levels WHERE level = 0 AND valid = 'Y' AND volume <> 0 GROUP BY detector_id) USING (detector_id) WHERE valid = 'Y' AND volume <> 0), ls AS (SELECT detector_id, avg(s) AS sensitivity FROM (SELECT detector_id, level, median(ratio) - 1 AS s FROM lr WHERE level > 0 GROUP BY ALL) GROUP BY detector_id)"
+_TOP = "(SELECT detector_id FROM {0} WHERE sensitivity IS NOT NULL ORDER BY sensitivity, detector_id LIMIT 20)"
+for _name in ("top_overlap", "ablation_overlap"):
+    query(_name, "ranking", f"{_LOOSE} SELECT count(*) AS n_common FROM (SELECT * FROM {_TOP.format('ranking')} INTERSECT SELECT * FROM {_TOP.format('ls')})")(lambda v: study.overlap(_ranking(v), _ranking(v, False)))
+
+
+@query("ablation_spearman", "ranking", f"{_LOOSE}, r AS (SELECT detector_id, rank() OVER (ORDER BY a.sensitivity) + (count(*) OVER (PARTITION BY a.sensitivity) - 1) / 2.0 AS x, rank() OVER (ORDER BY b.sensitivity) + (count(*) OVER (PARTITION BY b.sensitivity) - 1) / 2.0 AS y FROM ranking a JOIN ls b USING (detector_id) WHERE a.sensitivity IS NOT NULL AND b.sensitivity IS NOT NULL) SELECT count(*) AS n, round(corr(x, y), 4) AS spearman FROM r")
+def ablation_spearman(v: Views) -> DataFrame:
+    return study.spearman(_ranking(v), _ranking(v, False)).select("n", _r("spearman", 4))
+
+
+@query("within_regression", "ratios rain detectors", ", j AS (SELECT r.detector_id, r.ratio AS y, r.level AS x FROM ratios r WHERE ratio IS NOT NULL), c AS (SELECT *, x - avg(x) OVER (PARTITION BY detector_id) AS dx, y - avg(y) OVER (PARTITION BY detector_id) AS dy FROM j) SELECT CAST(count(*) AS BIGINT) AS n, round(sum(dx * dy) / nullif(sum(dx * dx), 0), 5) AS slope FROM c")
+def within_regression(v: Views) -> DataFrame:
+    return study.within_regression(_ratio(v), "ratio", "level", "detector_id").select("n", _r("slope", 5))
+
+
+def _ratio(v: Views) -> DataFrame:
+    rows = _usable(v)
+    return rows.join(study.dry_baseline(rows.where("level = 0"), ["detector_id"]), "detector_id").withColumn("ratio", F.col("speed") / F.nullif(F.col("baseline"), F.lit(0.0)))
+
+
+@query("f1_mae", "ratios", ", m AS (SELECT *, avg(ratio) OVER (PARTITION BY level, hour(time)) AS guess FROM ratios WHERE ratio IS NOT NULL) SELECT count(*) AS n, round(avg(abs(ratio - guess)), 5) AS mae, round(2.0 * count(*) FILTER (ratio < 0.7 AND guess < 0.7) / nullif(2 * count(*) FILTER (ratio < 0.7 AND guess < 0.7) + count(*) FILTER (ratio >= 0.7 AND guess < 0.7) + count(*) FILTER (ratio < 0.7 AND guess >= 0.7), 0), 5) AS f1 FROM m")
+def f1_mae(v: Views) -> DataFrame:
+    rows = _ratio(v).where("ratio is not null").withColumn("hour", F.hour("time"))
+    guess = rows.groupBy("level", "hour").agg(F.avg("ratio").alias("guess"))
+    return study.f1_mae(rows.join(align.sized(guess), ["level", "hour"]), "ratio", "guess").select("n", _r("mae", 5), _r("f1", 5))
+
+
+def _model_table(v: Views) -> DataFrame:
+    """Readings with district, rain, warning and calendar."""
+    warned = _ratio(v)
+    located = align.join_detector(warned, v.detectors).withColumn("hour", F.date_trunc("hour", "time").cast("timestamp_ntz"))
+    return align.calendar_join(align.rain_join(located, v.rain), v.days)
+
+
+@query("model_table", "ratios detectors rain holidays", "SELECT event_id, q.detector_id, d.district, round(q.ratio, 6) AS ratio, q.level, CASE WHEN b.hour IS NOT NULL THEN coalesce((min_mm + max_mm) / 2.0, 0) END AS rain, CASE WHEN h.date IS NOT NULL THEN 'holiday' WHEN isodow(time) >= 6 THEN 'weekend' ELSE 'working' END AS day_type FROM ratios q JOIN detectors d ON q.detector_id = d.detector_id LEFT JOIN rain r ON r.hour = date_trunc('hour', time) AND r.district = d.district LEFT JOIN (SELECT DISTINCT hour FROM rain) b ON b.hour = date_trunc('hour', time) LEFT JOIN holidays h ON h.date = CAST(time AS DATE)")
+def model_table(v: Views) -> DataFrame:
+    return _model_table(v).select("event_id", "detector_id", "district", _r("ratio"), "level", "rain", "day_type")
+
+
+@query("model_eval")
+def model_eval(v: Views) -> DataFrame:
+    """Gradient-boosted trees on level, rain and hour of day; whole weeks are held out, so no episode is in both parts."""
+    rows = _model_table(v).where("ratio is not null").select("ratio", F.col("level").cast("double").alias("level"), F.coalesce("rain", F.lit(0.0)).alias("rain"), F.hour("time").cast("double").alias("hour"), (F.weekofyear("time") % 3).alias("fold"))
+    guessed = study.fit_and_score(rows.where("fold <> 0"), rows.where("fold = 0"), ["level", "rain", "hour"], "ratio")
+    return study.f1_mae(guessed, "ratio", "prediction")
+
+
+def flagship(spark, sf_dir: str) -> DataFrame:
+    return QUERIES["sensitivity"](spark, sf_dir)
+
+
+from stormlane.plans import text_queries  # noqa: E402, F401  registers the readers' queries
