@@ -11,7 +11,7 @@ from stormlane.plans.views import Views, with_views
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Queries with a column date.
-_DATED = {"latest_wins", "calendar_join", "prev_week_ratio", "coverage_daily", "event_days", "excluded_days", "select_days", "parse_calendar", "read_daily_rain", "pending_partitions", "redate_midnight"}
+_DATED = {"latest_wins", "calendar_join", "prev_week_ratio", "coverage_daily", "event_days", "excluded_days", "select_days", "event_days_all", "excluded_days_all", "select_days_all", "select_days_black", "parse_calendar", "read_daily_rain", "pending_partitions", "redate_midnight"}
 
 
 def query(name: str, views: str = "", sql: str | None = None):
@@ -332,6 +332,45 @@ def role_counts(v: Views) -> DataFrame:
     return days.role_counts(_selected(v))
 
 
+# The four queries above know a few long Black signals and long cyclones only; these take every signal and every cyclone.
+def _whole_sql(sql: str) -> str:
+    return sql.replace("thin_episodes", "episodes").replace("storms", "cyclones")
+
+
+_EVERY = {"years": (1, 9999), "since": "0001-01-01"}
+_BLACK = _EVENTS.replace("thin_episodes", "(SELECT * FROM episodes WHERE max_level >= 3)")
+_MANIFEST = f"SELECT date, role, episode_ids, max_level, CASE max_level WHEN 1 THEN 'Amber' WHEN 2 THEN 'Red' WHEN 3 THEN 'Black' ELSE '' END AS max_level_name FROM {_whole_sql(_SELECTED)}"
+
+
+def _selected_all(v: Views, min_level: int = 1) -> DataFrame:
+    return days.select_days(intervals.merge_intervals(v.signals), v.cyclones, min_level=min_level, **_EVERY)
+
+
+@query("event_days_all", "episodes", f"SELECT date, array_to_string(ids, ' ') AS episode_ids, max_level FROM ({_whole_sql(_EVENTS)})")
+def event_days_all(v: Views) -> DataFrame:
+    return days.event_days(intervals.merge_intervals(v.signals)).withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), " "))
+
+
+@query("excluded_days_all", "episodes cyclones", _whole_sql(_EXCLUDED))
+def excluded_days_all(v: Views) -> DataFrame:
+    return days.excluded_days(intervals.merge_intervals(v.signals), v.cyclones)
+
+
+@query("select_days_all", "episodes cyclones", f", ev AS ({_whole_sql(_EVENTS)}) {_MANIFEST}")
+def select_days_all(v: Views) -> DataFrame:
+    return _selected_all(v).withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), " "))
+
+
+@query("select_days_black", "episodes cyclones", f", ev AS ({_BLACK}) {_MANIFEST}")
+def select_days_black(v: Views) -> DataFrame:
+    return _selected_all(v, min_level=3).withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), " "))
+
+
+@query("role_counts_all", "episodes cyclones", f", ev AS ({_whole_sql(_EVENTS)}) SELECT count(*) FILTER (role = 'event') AS n_event, count(*) FILTER (role = 'control') AS n_control FROM {_whole_sql(_SELECTED)}")
+def role_counts_all(v: Views) -> DataFrame:
+    return days.role_counts(_selected_all(v))
+
+
 @query("episodes_pivot", "episodes", "SELECT CAST(year(\"start\") AS INTEGER) AS year, count(*) FILTER (max_level = 1) AS amber, count(*) FILTER (max_level = 2) AS red, count(*) FILTER (max_level = 3) AS black FROM episodes GROUP BY ALL")
 def episodes_pivot(v: Views) -> DataFrame:
     return days.episodes_by_year(intervals.merge_intervals(v.signals))
