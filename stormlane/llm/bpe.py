@@ -3,7 +3,8 @@
 Merges are applied in rank order, so what stands far to the right can only reach a token through a chain of merges of rising
 rank, each of which moves the first doubtful boundary left by the length of its left part. ``lookahead`` computes the longest
 such chain of a merge list once. A token is stable as soon as that many symbols follow it: it is emitted and forgotten, so an
-endless run of letters is encoded in constant memory.
+endless run of letters is encoded in constant memory (the ids of a text are one list). Words within the lookahead end before
+anything in them is stable; those that are new to a worker are merged together, each taking its next merge in every step.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ import codecs
 import heapq
 import json
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +28,13 @@ from stormlane.llm.common import sql_type, table
 
 #: The split pattern that the byte-level pre-tokenizer uses unless told otherwise.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Runs between these are encoded apart: every supported pre-tokenizer splits at them.
 _FEED = 4096
-_MEMO_ENTRIES, _MEMO_LENGTH = 300_000, 48
-_ROWS = 128
-_SHIFT, _NONE = 32, 1 << 62
+_MEMO_ENTRIES, _MEMO_LENGTH = 500_000, 48
+#: Texts are encoded together up to so many rows and characters; words of up to so many bytes are merged together.
+_ROWS, _CHARS, _TOGETHER, _FEW = 2000, 4_000_000, 48, 8
+#: Ids that the numbered runs of a worker take up at most before they are forgotten.
+_POOL = 8_000_000
+_SHIFT, _NONE, _NO_RANK = 32, 1 << 62, np.iinfo(np.int32).max
 
 
 def _glyphs() -> list[str]:
@@ -60,6 +65,46 @@ class Memo(dict):
         return value
 
 
+class Met:
+    """Strings that a worker has met and their ids, in one array; it starts anew when full, so its size is bounded."""
+
+    def __init__(self, entries: int = _MEMO_ENTRIES):
+        self.entries = entries
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict = {}
+        self.signs = 0
+        self.starts, self.lengths, self.ids = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
+
+    def new_among(self, keys: list) -> list:
+        """The distinct keys that have no number yet; all of them where what has been met is forgotten."""
+        distinct = set(keys)
+        new = distinct.difference(self.numbers)
+        if len(self.numbers) + len(new) > self.entries or max(len(self.ids), self.signs) > _POOL:
+            self._forget()
+            new = distinct
+        return list(new)
+
+    def add(self, keys: list, ids: list) -> None:
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.add_flat(keys, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum())), lengths)
+
+    def add_flat(self, keys: list, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.numbers.update(zip(keys, range(len(self.numbers), len(self.numbers) + len(keys))))
+        self.signs += sum(map(len, keys))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, flat])
+
+    def ids_of(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all keys in a row, and how many each has."""
+        numbers = np.fromiter(map(self.numbers.__getitem__, keys), dtype=np.int64, count=len(keys))
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(lengths.sum())], lengths
+
+
 class Merges:
     """A vocabulary with ranked merges. Symbols are token ids throughout."""
 
@@ -72,6 +117,11 @@ class Merges:
         self.single = {g: vocab.get(g) for g in _GLYPHS}
         self.final = {g: vocab.get(g + suffix) for g in _GLYPHS}
         self.lookahead = self._longest_chain(pairs) + 1
+        codes = np.fromiter(self.ranks, dtype=np.int64, count=len(self.ranks))
+        order = np.argsort(codes)
+        self._codes, self._rank = codes[order], np.fromiter(self.ranks.values(), dtype=np.int32, count=len(codes))[order]
+        self._made = np.array(self.made, dtype=np.int32)
+        self._single, self._final = (np.array([-1 if t[g] is None else t[g] for g in _GLYPHS], dtype=np.int32) for t in (self.single, self.final))
 
     def _longest_chain(self, pairs: list[tuple[str, str]]) -> int:
         """Symbols by which text to the right can move a boundary.
@@ -126,6 +176,55 @@ class Merges:
                     heapq.heappush(heap, (found, left, (symbols[left], symbols[right])))
         return [s for s in symbols if s >= 0]
 
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        codes = left.astype(np.int64) << _SHIFT | right
+        if not len(self._codes):
+            return np.full(codes.shape, _NO_RANK, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self._codes, codes), len(self._codes) - 1)
+        return np.where(self._codes[at] == codes, self._rank[at], _NO_RANK)
+
+    def _apply_rows(self, symbols: np.ndarray) -> list[list[int]]:
+        """All merges of each row. Every row that isn't finished takes one merge a step, so the unfinished ones stay of one width."""
+        out: list[list[int]] = [[]] * len(symbols)
+        rows, ranks = np.arange(len(symbols)), self._ranks_of(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            best = ranks.min(axis=1, initial=_NO_RANK)
+            if (ended := best == _NO_RANK).any():
+                for row, ids in zip(rows[ended].tolist(), symbols[ended].tolist()):
+                    out[row] = ids
+                rows, symbols, ranks, best = rows[~ended], symbols[~ended], ranks[~ended], best[~ended]
+                if not len(rows):
+                    break
+            at, width, each = ranks.argmin(axis=1), symbols.shape[1] - 1, np.arange(len(rows))
+            column = np.arange(width)
+            symbols = np.take_along_axis(symbols, column + (column > at[:, None]), axis=1)
+            symbols[each, at] = self._made[best]
+            column = column[:-1]
+            ranks = np.take_along_axis(ranks, column + (column >= at[:, None]), axis=1)
+            for some, shift in ((at > 0, -1), (at < width - 1, 0)):  # the pairs on either side of what was made
+                i, j = each[some], at[some] + shift
+                ranks[i, j] = self._ranks_of(symbols[i, j], symbols[i, j + 1])
+        return out
+
+    def apply_words(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of whole words that are within the lookahead, those of one length together."""
+        out: list[list[int]] = [[]] * len(words)
+        by_length = defaultdict(list)
+        for place, word in enumerate(words):
+            by_length[len(word)].append(place)
+        for length, places in by_length.items():
+            for at in range(0, len(places), 1 << 14):
+                part = places[at : at + (1 << 14)]
+                raw = np.frombuffer(b"".join([words[i] for i in part]), dtype=np.uint8).reshape(-1, length)
+                symbols = np.concatenate([self._single[raw[:, :-1]], self._final[raw[:, -1:]]], axis=1)
+                if length > _TOGETHER or len(part) < _FEW or (symbols < 0).any():
+                    found = [self.apply([s for s in row if s >= 0]) for row in symbols.tolist()]
+                else:
+                    found = self._apply_rows(symbols)
+                for i, ids in zip(part, found):
+                    out[i] = ids
+        return out
+
     def apply_word(self, glyphs: str) -> list[int]:
         """The ids of a whole word that is within the lookahead."""
         symbols = [self.single[g] for g in glyphs[:-1]]
@@ -194,6 +293,7 @@ class Tokenizer:
         if d["decoder"] and not self.byte_level_text:
             raise ValueError("only byte-level decoders, or none, are supported")
         self.memo, self.word_memo = Memo(self._encode_run), Memo(self._encode_word)
+        self.met_runs, self.met_words = Met(), Met()
 
     @staticmethod
     def _normalizer(step: dict):
@@ -238,6 +338,60 @@ class Tokenizer:
             return list(self._encode_run(text))
         return list(chain.from_iterable(map(self.memo.__getitem__, self._runs(text))))
 
+    def _number_words(self, words: list[str]) -> None:
+        """Encodes words that have no number yet."""
+        new = self.met_words.new_among(words)
+        raw = [w.encode("utf-8", "replace") for w in new]
+        short = [i for i, w in enumerate(raw) if len(w) <= self.merges.lookahead]
+        found = dict(zip(short, self.merges.apply_words([raw[i] for i in short])))
+        self.met_words.add(new, [found[i] if i in found else self._encode_word(w) for i, w in enumerate(new)])
+
+    def _number_runs(self, runs: list[bytes]) -> None:
+        """Encodes runs between ASCII white space that have no number yet."""
+        text = b" ".join(runs).decode("utf-8")
+        for normalize in self.normalizers:
+            text = normalize(text)
+        parts = text.split(" ")
+        if len(parts) != len(runs):  # white space beyond ASCII became spaces
+            parts = [run.decode("utf-8") for run in runs]
+            for normalize in self.normalizers:
+                parts = list(map(normalize, parts))
+        split = [[part] if part.isalpha() else self.words.findall(part) for part in parts]
+        words = list(chain.from_iterable(split))
+        self._number_words(words)
+        flat, lengths = self.met_words.ids_of(words)
+        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        total = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
+        self.met_runs.add_flat(runs, flat, np.diff(total))
+
+    def encode_many(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The ids of each UTF-8 text, as ``encode`` gives them; what a worker has met is not encoded again."""
+        pieces: list[list] = []
+        alone: dict[int, list[int]] = {}
+        special = [s.encode() for s in self.special]
+        for place, text in enumerate(texts):
+            if text and ((self.normalizers and not self.spaceless) or any(s in text for s in special)):
+                alone[place] = self.encode(text.decode("utf-8"))
+                pieces.append([])
+            elif self.spaceless:
+                pieces.append((text or b"").split())
+            else:
+                pieces.append(self.words.findall((text or b"").decode("utf-8")))
+        met, every = self.met_runs if self.spaceless else self.met_words, list(chain.from_iterable(pieces))
+        if self.spaceless:
+            self._number_runs(self.met_runs.new_among(every))
+        else:
+            self._number_words(every)
+        flat, lengths = met.ids_of(every)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, pieces)])]
+        return [np.array(alone[k], dtype=np.int32) if k in alone else flat[a:b] for k, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
+
+    def forget(self) -> None:
+        """Gives back what is remembered between texts; a worker keeps the vocabulary only when its task ends."""
+        self.memo.clear()
+        self.word_memo.clear()
+        self.met_runs, self.met_words = Met(), Met()
+
     def decoder(self) -> Decoder:
         return Decoder(self)
 
@@ -297,6 +451,19 @@ def shared_description(spark, path: str):
     return spark.sparkContext.broadcast(description)
 
 
+def in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``_ROWS`` rows and about ``_CHARS`` bytes of the text column."""
+    sizes = np.array([0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
+    first = size = 0
+    for at, n in enumerate(sizes.tolist()):
+        if at > first and (size + n > _CHARS or at - first >= _ROWS):
+            yield batch.slice(first, at - first)
+            first, size = at, 0
+        size += n
+    if batch.num_rows:
+        yield batch.slice(first)
+
+
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
     """(id, ids array<int>, decoded string) per row of ``docs``, by the tokenizer file at ``path`` on the driver.
 
@@ -308,13 +475,13 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         tokenizer = loaded(shared)
         for whole in batches:
-            for at in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(at, _ROWS)
-                ids = [tokenizer.encode(t.as_py()) for t in batch.column(1)]
+            for batch in in_parts(whole, 1):
+                ids = tokenizer.encode_many(batch.column(1).cast(pa.binary()).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=offsets[-1]))
-                texts = pa.array([tokenizer.decode(x) for x in ids] if decode else [None] * len(ids), pa.string())
+                flat = pa.array(np.concatenate([np.empty(0, dtype=np.int32), *ids]))
+                texts = pa.array([tokenizer.decode(x.tolist()) for x in ids] if decode else [None] * len(ids), pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), texts], ["id", "ids", "decoded"])
+        tokenizer.forget()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {sql_type(docs, id_col)}, ids array<int>, decoded string")
 
@@ -326,8 +493,8 @@ def decode_ids(rows: DataFrame, path: str, id_col: str = "id", ids_col: str = "i
     def run(batches):
         tokenizer = loaded(shared)
         for whole in batches:
-            for at in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(at, _ROWS)
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
                 texts = [None if x is None else tokenizer.decode(i for i in x if i is not None) for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
