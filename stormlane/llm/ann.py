@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by cosine with a forest of hash prefixes.
 
-Each tree gives every vector a long string of bits, the sides of random hyperplanes, and keeps the strings as a sorted array.
-A query descends by binary search to its longest prefix match in each array; rows that share a prefix lie next to each other,
-so all rows with a match of some length are one slice per tree. All trees ascend together, one bit at a time, until the match
-length that the fit found to be enough, and further while there are fewer candidates than neighbours asked for. Candidates
-are then ranked by their exact cosine in double precision.
+Each tree gives every vector a long string of bits, the sides of random hyperplanes. A tree's strings are dealt out by their
+first ``route`` bits, so that a cell holds about ``block_rows`` rows, and each cell keeps its strings as a sorted array. A query
+goes, in every tree, to the one cell that its own string begins like, descends there by binary search to the rows that share a
+prefix, and ascends, one slice of the array at a time, to the match length that the fit found to be enough and on until the
+slice has ``least`` rows; that slice are its candidates. Queries with fewer candidates than neighbours asked for ascend further, in all trees together, by a search at a
+shorter length for them alone, down to none. Candidates are ranked by their exact cosine in double precision.
 
-The index is dealt into blocks of about ``block_rows`` rows by a hash of the vector, each with its own sorted arrays over its
-own rows; every block of queries meets every block of rows, and a pair of blocks returns a handful of rows per query. The fit
-uses a bounded sample (``sample_rows`` rows, ``sample_queries`` of them as queries): the match length at which ``recall`` of
-the sample's true neighbours are candidates. Nearer neighbours in the whole table only match longer.
+No query meets a row of another cell: a row is sent to as many cells as there are trees, and only to those that a query goes
+to, whatever the size of the table. Cells of more than ``block_rows`` rows or ``query_rows`` queries, such as those of a dense
+cluster, are split into blocks of about that size, within the cell.
+
+The fit uses a bounded sample (``sample_rows`` rows, ``sample_queries`` of them as queries): the match length at which
+``recall`` of the sample's true neighbours are candidates. Nearer neighbours in the whole table only match longer.
 
 Equal vectors are collapsed first: no more of them than a result can hold, and one, matter. That is exact.
 """
@@ -28,28 +31,39 @@ from stormlane.llm.common import checkpointed, table
 
 @dataclass(frozen=True)
 class Settings:
-    trees: int = 64
+    trees: int = 16
     bits: int = 32
     block_rows: int = 8192
     query_rows: int = 4096
+    least: int = 256
     sample_rows: int = 8192
     sample_queries: int = 256
     recall: float = 0.97
     seed: int = 7
 
 
+_TOGETHER = 512
+#: Slack by which scores from a matrix product may differ from those that are returned.
+_SLACK = 1e-9
+
+
 def planes(dimension: int, settings: Settings) -> np.ndarray:
     return np.random.default_rng(settings.seed).standard_normal((dimension, settings.trees * settings.bits))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, its largest component between 1/2 and 1: the same cosines without overflow."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1][:, None])
+
+
 def strings(vectors: np.ndarray, sides: np.ndarray, centre: np.ndarray, settings: Settings) -> np.ndarray:
-    """The bit string of each vector in each tree, the first bit highest: (rows, trees)."""
+    """The bit string of each (scaled) vector in each tree, the first bit highest: (rows, trees)."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) - centre
-    weights = np.uint64(1) << np.arange(settings.bits - 1, -1, -1, dtype=np.uint64)
-    out = np.empty((len(vectors), settings.trees), dtype=np.uint64)
+    weights = np.int64(1) << np.arange(settings.bits - 1, -1, -1, dtype=np.int64)
+    out = np.empty((len(vectors), settings.trees), dtype=np.int64)
     for at in range(0, len(vectors), 1024):
         part = unit[at : at + 1024] @ sides > 0
-        out[at : at + 1024] = (part.reshape(-1, settings.trees, settings.bits) * weights).sum(axis=2, dtype=np.uint64)
+        out[at : at + 1024] = (part.reshape(-1, settings.trees, settings.bits) * weights).sum(axis=2)
     return out
 
 
@@ -58,35 +72,8 @@ def match_lengths(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return bits - np.frexp((a ^ b).astype(np.float64))[1]
 
 
-class Forest:
-    """The sorted arrays of one block."""
-
-    def __init__(self, found: np.ndarray, settings: Settings):
-        self.bits, self.order = settings.bits, np.argsort(found, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(found, self.order, axis=0)
-
-    def candidates(self, query: np.ndarray, depth: int, least: int) -> np.ndarray:
-        """Numbers of the rows that match the query's strings in ``depth`` bits in any tree, or in fewer bits until there are ``least``."""
-        n, trees = self.sorted.shape
-        longest = 0
-        for t in range(trees):  # descend: the longest match lies beside the place where the query would stand
-            at = int(np.searchsorted(self.sorted[:, t], query[t]))
-            near = self.sorted[max(0, at - 1) : at + 1, t]
-            longest = max(longest, int(match_lengths(near, query[t], self.bits).max(initial=0)))
-        level = min(depth, longest)
-        while True:  # ascend in all trees together
-            mask = np.zeros(n, dtype=bool)
-            shift = np.uint64(self.bits - level)
-            for t in range(trees):
-                low = query[t] >> shift << shift
-                first, behind = np.searchsorted(self.sorted[:, t], [low, low + (np.uint64(1) << shift)])
-                mask[self.order[first:behind, t]] = True
-            if level <= 0 or mask.sum() >= min(least, n):
-                return np.flatnonzero(mask)
-            level -= 1
-
-
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Of scaled vectors with a scaled one."""
     return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
@@ -103,8 +90,37 @@ def enough_depth(sample: np.ndarray, sides: np.ndarray, centre: np.ndarray, k: i
     return max(0, int(np.quantile(np.concatenate(lengths), 1 - settings.recall, method="lower")))
 
 
-def _arrays(data: pa.Table, column: str, dimension: int) -> np.ndarray:
-    return data.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension) if data.num_rows else np.empty((0, dimension))
+class Cell:
+    """A sorted array of a tree's strings and the vectors behind them."""
+
+    def __init__(self, found: np.ndarray, vectors: np.ndarray, first: np.ndarray):
+        self.order = np.lexsort((first, found))
+        self.sorted, self.first = found[self.order], first[self.order]
+        self.vectors = vectors[self.order]
+        self.unit = self.vectors / np.linalg.norm(self.vectors, axis=1, keepdims=True)
+
+    def nearest(self, queries: np.ndarray, wanted: np.ndarray, shift: int, last: int, least: int, most: int):
+        """Per query its number, the places of its ``most`` nearest among the rows that match it in all but the last ``shift``
+        bits (more, up to ``last``, while there are fewer than ``least``), and their scores. Queries with one prefix have one
+        slice of the array and are held against it together."""
+        prefixes = queries >> shift
+        order = np.argsort(prefixes, kind="stable")
+        groups = np.flatnonzero(np.diff(prefixes[order], prepend=-1))
+        for members in np.split(order, groups[1:]) if len(order) else []:
+            for level in range(shift, max(shift, last) + 1):
+                low = queries[members[0]] >> level << level
+                start, end = np.searchsorted(self.sorted, [low, low + (1 << level)])
+                if end - start >= least:
+                    break
+            for at in range(0, len(members) if end > start else 0, _TOGETHER):
+                some = members[at : at + _TOGETHER]
+                about = (wanted[some] / np.linalg.norm(wanted[some], axis=1, keepdims=True)) @ self.unit[start:end].T
+                bounds = np.partition(about, -most, axis=1)[:, -most] if about.shape[1] > most else np.full(len(some), -2.0)
+                for q, row, bound in zip(some.tolist(), about, bounds):
+                    places = start + np.flatnonzero(row >= bound - _SLACK)
+                    score = cosines(self.vectors[places], wanted[q])
+                    best = np.lexsort((self.first[places], -score))[:most]
+                    yield q, places[best], score[best]
 
 
 def usable(rows: DataFrame, vector: str) -> DataFrame:
@@ -116,57 +132,107 @@ def usable(rows: DataFrame, vector: str) -> DataFrame:
     return rows.where(F.size(vector) == (size.n if size else 0))
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: str, dimension: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dimension).astype(np.float64)
+
+
+class _Forest:
+    """The rows of an index, (key, first, vector as bytes, strings), and searches in it."""
+
+    def __init__(self, index: DataFrame, rows: int, kind: str, dimension: int, settings: Settings):
+        self.index, self.rows, self.kind, self.dimension, self.settings = index, rows, kind, dimension, settings
+
+    def _in_cells(self, df: DataFrame, trees: int, route: int) -> DataFrame:
+        whole = df.select("key", F.posexplode(F.slice("strings", 1, trees)).alias("tree", "string"))
+        return whole.withColumn("cell", F.shiftright("string", self.settings.bits - route))
+
+    def search(self, asked: DataFrame, depth: int, most: int) -> DataFrame:
+        """(query, key, first, score): per query and block of a cell it goes to, the ``most`` nearest rows that match it in
+        ``depth`` bits. asked: distinct keys of the index."""
+        s, kind, dimension = self.settings, self.kind, self.dimension
+        trees = s.trees if depth else 1
+        route = min(depth, max(0, (self.rows - 1) // s.block_rows).bit_length())
+        queries = self.index.join(asked, "key", "left_semi")
+        filed, sent = self._in_cells(self.index, trees, route), self._in_cells(queries, trees, route)
+        blocks = lambda name, size: F.ceil(F.count("*") / size).cast("int").alias(name)
+        cells = filed.groupBy("tree", "cell").agg(blocks("row_blocks", s.block_rows)).join(sent.groupBy("tree", "cell").agg(blocks("query_blocks", s.query_rows)), ["tree", "cell"])
+        cells = checkpointed(cells)
+        place = F.struct("tree", "cell", "string", "row_blocks", "query_blocks")
+
+        def placed(df: DataFrame, parts: DataFrame) -> DataFrame:
+            """The vectors of the rows with each place they go to; vectors move once before they are copied."""
+            where = parts.join(cells, ["tree", "cell"]).groupBy("key").agg(F.collect_list(place).alias("places"))
+            return df.select("key", "first", "vector").join(where, "key").select("key", "first", "vector", F.inline("places"))
+
+        block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = placed(self.index, filed).select("tree", "cell", block("row_blocks").alias("row_block"), every("query_blocks").alias("query_block"), "key", "first", "string", "vector")
+        right = placed(queries, sent).select("tree", "cell", every("row_blocks").alias("row_block"), block("query_blocks").alias("query_block"), F.col("key").alias("query"), F.col("string").alias("asking"), F.col("vector").alias("wanted"))
+        shift, last, least = s.bits - depth, s.bits - route, s.least
+        schema = pa.schema([("query", pa.string()), ("key", pa.string()), ("first", pa.int64()), ("score", pa.float64())])
+
+        def run(index: pa.Table, asking: pa.Table) -> pa.Table:
+            out: list[list] = [[], [], [], []]
+            if index.num_rows and asking.num_rows:
+                cell = Cell(index.column("string").to_numpy(), _matrix(index.column("vector"), kind, dimension), index.column("first").to_numpy())
+                keys, names = np.array(index.column("key").to_pylist(), dtype=object)[cell.order], asking.column("query").to_pylist()
+                for q, places, score in cell.nearest(asking.column("asking").to_numpy(), _matrix(asking.column("wanted"), kind, dimension), shift, last, least, most):
+                    for part, values in zip(out, ([names[q]] * len(places), keys[places].tolist(), cell.first[places].tolist(), score.tolist())):
+                        part += values
+            return pa.table(out, schema=schema)
+
+        by = ("tree", "cell", "row_block", "query_block")
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query string, key string, first bigint, score double").dropDuplicates(["query", "key"])
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows found for each row of ``vectors`` for which ``is_query`` (over ``id``) holds.
 
     A query's own row is no candidate, equal vectors under other ids are; ties go to the smaller id; with fewer candidates
-    than k all are returned. Vectors that ``usable`` refuses take no part. Repeats of an id with the same vector count once;
-    an id with several vectors takes part with each, its own ids excluded. Other columns are left out.
+    than k all are returned. Vectors that ``usable`` refuses take no part; others count at any scale, however large or small
+    their components. Repeats of an id with the same vector count once; an id with several vectors takes part with each, its
+    own ids excluded. Other columns are left out; an empty table gives no rows.
     """
     spark = vectors.sparkSession
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
     rows = usable(rows, "vector").withColumn("key", F.concat(F.hex(F.xxhash64("vector")), F.hex(F.xxhash64(F.lit(k), "vector"))))
     few = Window.partitionBy("key").orderBy("id")
     copies = rows.withColumn("place", F.dense_rank().over(few)).where(F.col("place") <= k + 1).select("key", "id", "vector").groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.any_value("vector").alias("vector"))
     copies = checkpointed(copies)
     queries = checkpointed(rows.where(is_query).select("id", "key").distinct())
-    asked = queries.select("key").distinct().join(copies, "key").select("key", "vector")
 
     head = copies.orderBy(F.xxhash64("key"), "key").limit(settings.sample_rows).select("vector").toArrow()
     dimension = len(head.column("vector")[0]) if head.num_rows else 1
-    sample = _arrays(head, "vector", dimension)
+    sample = scaled(head.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension) if head.num_rows else np.empty((0, dimension)))
     sides = planes(dimension, settings)
     centre = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).mean(axis=0) if len(sample) else np.zeros(dimension)
     depth = enough_depth(sample, sides, centre, k, settings)
     shared = spark.sparkContext.broadcast((sides, centre))
 
-    n_rows, n_queries = copies.count(), asked.count()
-    blocks, query_blocks = max(1, -(-n_rows // settings.block_rows)), max(1, -(-n_queries // settings.query_rows))
-    block = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = copies.select(block(blocks).alias("rows"), every(query_blocks).alias("asking"), "key", F.col("ids")[0].alias("first"), "vector")
-    right = asked.select(every(blocks).alias("to_rows"), block(query_blocks).alias("from_asking"), F.col("key").alias("query"), F.col("vector").alias("wanted"))
-
-    def search(index: pa.Table, asking: pa.Table) -> pa.Table:
+    def indexed(batches):
         sides, centre = shared.value
-        out: dict[str, list] = {"query": [], "key": [], "first": [], "score": []}
-        if index.num_rows and asking.num_rows:
-            vectors, wanted = _arrays(index, "vector", dimension), _arrays(asking, "wanted", dimension)
-            keys, first, names = np.array(index.column("key").to_pylist(), dtype=object), index.column("first").to_numpy(), asking.column("query").to_pylist()
-            forest = Forest(strings(vectors, sides, centre, settings), settings)
-            for name, query, found in zip(names, wanted, strings(wanted, sides, centre, settings)):
-                at = forest.candidates(found, depth, k + 1)
-                score = cosines(vectors[at], query)
-                best = np.lexsort((first[at], -score))[: k + 1]
-                out["query"] += [name] * len(best)
-                out["key"] += keys[at[best]].tolist()
-                out["first"] += first[at[best]].tolist()
-                out["score"] += score[best].tolist()
-        return pa.table(out, schema=pa.schema([("query", pa.string()), ("key", pa.string()), ("first", pa.int64()), ("score", pa.float64())]))
-
-    local = left.groupBy("rows", "asking").cogroup(right.groupBy("to_rows", "from_asking")).applyInArrow(search, "query string, key string, first bigint, score double")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                found = scaled(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension))
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(strings(found, sides, centre, settings).ravel()), settings.trees).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in found.astype(kind)], pa.binary()), bits], ["key", "first", "vector", "strings"])
+
+    index = checkpointed(copies.select("key", F.col("ids")[0].alias("first"), "vector").mapInArrow(indexed, "key string, first bigint, vector binary, strings array<bigint>"))
+    n = index.count()
+    forest, asked, found = _Forest(index, n, kind, dimension, settings), checkpointed(queries.select("key").distinct()), None
+    while True:
+        met = checkpointed(forest.search(asked, depth, k + 1))
+        found = met if found is None else found.unionAll(met)
+        # Queries that met too few rows ascend further.
+        asked = checkpointed(asked.join(met.groupBy(F.col("query").alias("key")).agg(F.count("*").alias("met")).where(F.col("met") >= min(k + 1, n)), "key", "left_anti"))
+        if not depth or asked.isEmpty():
+            break
+        depth //= 2
+
     top = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), "id")
-    whole = local.withColumnRenamed("first", "id").withColumn("place", F.row_number().over(top("query"))).where(F.col("place") <= k + 1)
+    whole = found.dropDuplicates(["query", "key"]).withColumnRenamed("first", "id").withColumn("place", F.row_number().over(top("query"))).where(F.col("place") <= k + 1)
     named = whole.select("query", "key", "score").join(copies.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("id"))
     named = named.withColumn("place", F.row_number().over(top("query"))).where(F.col("place") <= k + 1).select(F.col("query").alias("key"), "score", F.col("id").alias("id"))
     pairs = named.join(queries.select("key", F.col("id").alias("query_id")), "key").where("id <> query_id").select("query_id", "id", "score").distinct()

@@ -62,3 +62,25 @@ def test_query_recall_on_small_tables(spark):
     want = exact(rows, 5, lambda i: i % 50 == 0)
     assert {(r.query_id, r["rank"]) for r in got} == {(q, k) for q in want for k in range(1, 6)}
     assert sum(r.vec_id in {j for j, _ in want[r.query_id]} for r in got) >= 0.9 * len(got)
+
+
+def test_large_and_small_components(spark):
+    rng = np.random.default_rng(4)
+    plain = rng.standard_normal((60, 6))
+    scales = [1e200, 1e-200, 1.0, 5e-310, 1e-30]
+    rows = [(i, (v * scales[i % 5]).tolist(), None, None) for i, v in enumerate(plain)]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA.replace("float", "double")), F.col("id") % 10 == 0).collect()
+    want = exact([(i, v) for i, v in enumerate(plain)], 5, lambda i: i % 10 == 0)
+    for q, best in want.items():
+        found = [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+        assert [i for i, _ in found] == [i for i, _ in best] and np.allclose([s for _, s in found], [s for _, s in best], atol=1e-6)
+
+
+def test_queries_ascend_where_few_rows_match(spark):
+    """A far cluster's depth leaves the lone vectors without matches; they still get all their neighbours."""
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(16)
+    rows = [(i, (centre + 0.01 * rng.standard_normal(16)).tolist(), None, None) for i in range(1, 600)]
+    rows += [(1000 * k, (-centre + 2 * rng.standard_normal(16)).tolist(), None, None) for k in range(1, 4)]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("id") >= 1000, settings=ann.Settings(block_rows=100, sample_rows=300)).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(1000 * q, k) for q in (1, 2, 3) for k in range(1, 6)]
