@@ -1,8 +1,8 @@
 """Secret scan with DataFrame functions only.
 
-Three fixed kinds are found by pattern. Two more come from sliding-window Shannon entropy, one per character class: long runs
-of the class are candidates, a window moves over each one sign at a time, and the sum of c*log2(c) over its sign counts is
-corrected for the one sign that leaves and the one that enters. A candidate is reported from the start of its first window
+Three fixed kinds are found by pattern. Three more come from sliding-window Shannon entropy, one per character class: long runs
+of the class are candidates, a window moves over each one sign at a time, its sign counts change by minus one for the sign that
+leaves and plus one for the sign that enters, and the sum of c*log2(c) over them is corrected for those two. A candidate is reported from the start of its first window
 over the threshold to the end of its last. Candidates on the allow-list, and spans inside a span of a fixed kind, are not.
 """
 
@@ -38,6 +38,7 @@ class EntropyClass:
 CLASSES = (
     EntropyClass("entropy_hex", "[0-9A-Fa-f]{24,}", ("[0-9]", "[A-Fa-f]"), 24, 3.017),
     EntropyClass("entropy_base64", "[A-Za-z0-9+/_=-]{20,}", ("[0-9]", "[a-z]", "[A-Z]"), 20, 3.617),
+    EntropyClass("entropy_base36", "[A-Z0-9]{20,}|[a-z0-9]{20,}", ("[0-9]", "[A-Za-z]"), 20, 3.617),
 )
 #: Whole candidates that are no secrets: UUIDs, words or numbers joined by one separator, and marked examples.
 ALLOW = (
@@ -50,22 +51,41 @@ _SPAN = "array<struct<start:int,rank:int,end:int>>"
 _FOUND = "array<struct<start:int,hit:string,value:string>>"
 
 
-def _found(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches with their starts: the texts between matches and the matches add up to the places."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def step(acc, part):
-        hit = part["hit"]
-        start = acc["at"] + F.length(part["before"])
-        one = F.array(F.struct(start.alias("start"), hit.alias("hit"), part["value"].alias("value")))
-        return F.struct((start + F.coalesce(F.length(hit), F.lit(0))).alias("at"), F.when(hit.isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
 
+def _found(text: Column, pattern: str, group: int = 0) -> Column:
+    """Leftmost non-overlapping matches with their starts: the texts between matches and the matches add up to the places.
+
+    The sums run over blocks of about the square root of their number, so a text with very many matches isn't copied once
+    for each of them.
+    """
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("before"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(_FOUND))
+    behind = lambda at, part: at + F.length(part["before"]) + F.coalesce(F.length(part["hit"]), F.lit(0))
+
+    def step(acc, part):
+        one = F.array(F.struct((acc["at"] + F.length(part["before"])).alias("start"), part["hit"].alias("hit"), part["value"].alias("value")))
+        return F.struct(behind(acc["at"], part).alias("at"), F.when(part["hit"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
+
+    def in_block(block, offset):
+        return F.aggregate(block, F.struct(offset.alias("at"), F.array().cast(_FOUND).alias("found")), step, lambda acc: acc["found"])
+
+    def in_blocks(blocks):
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), behind))
+        offsets = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(_let(offsets, lambda at: F.transform(blocks, lambda block, number: in_block(block, F.get(at, number)))))
+
+    def all_parts(found):
+        size = F.ceil(F.sqrt(F.size(found))).cast("int")
+        return _let(F.transform(F.sequence(F.lit(1), F.size(found), size), lambda first: F.slice(found, first, size)), in_blocks)
+
+    return F.when(text.rlike(pattern), _let(parts, all_parts)).otherwise(F.array().cast(_FOUND))
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -77,31 +97,40 @@ def _weight(count: Column) -> Column:
     return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
 
 
-def _count(window: Column, sign: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, sign, F.lit("")))
+def _signs(text: Column) -> Column:
+    """The distinct signs of a candidate, and for each of its signs which of them it is, from 1."""
+    signs = F.filter(F.split(text, ""), lambda x: x != "")
+    return _let(F.struct(signs.alias("all"), F.array_distinct(signs).alias("kinds")), lambda s: F.struct(s["kinds"].alias("kinds"), F.transform(s["all"], lambda x: F.array_position(s["kinds"], x).cast("int")).alias("places")))
 
 
-def _hot_part(text: Column, c: EntropyClass) -> Column:
-    """(first, last) starts of the windows of a candidate with enough entropy, from 0; (-1, -1) if there are none."""
+def _hot_part(signs: Column, c: EntropyClass) -> Column:
+    """(first, last) starts of the windows of a candidate (see ``_signs``) with enough entropy, from 0; (-1, -1) if there are none."""
     most = F.lit(c.window * (F.log2(F.lit(float(c.window))) - F.lit(c.bits)))  # of the sum of c*log2(c)
-    opening = F.substring(text, 1, c.window)
-    signs = F.array_distinct(F.split(opening, ""))
-    weight = F.aggregate(signs, F.lit(0.0), lambda s, x: s + _weight(_count(opening, x)))
+    places = signs["places"]
+    opening = F.transform(signs["kinds"], lambda _, i: F.size(F.filter(F.slice(places, 1, c.window), lambda p: p == i + 1)))
     now = lambda total, at: F.when(total <= most, at)
 
-    def step(acc, pair):
-        window, entering, at = acc["window"], pair["sign"], pair["at"]
-        leaving = F.substring(window, 1, 1)
-        rest = F.substring(window, 2, c.window)
-        before, there = _count(window, leaving), _count(rest, entering)
-        total = acc["total"] - _weight(before) + _weight(before - 1) - _weight(there) + _weight(there + 1)
-        first = F.when((acc["first"] < 0) & (total <= most), at).otherwise(acc["first"])
-        return F.struct(F.concat(rest, entering).alias("window"), total.alias("total"), first.alias("first"), F.coalesce(now(total, at), acc["last"]).alias("last"))
+    def step(acc, at):
+        leaving, entering = F.element_at(places, at), F.element_at(places, at + c.window)
+        gone, come = F.element_at(acc["counts"], leaving), F.element_at(acc["counts"], entering)
+        moved = acc["total"] - _weight(gone) + _weight(gone - 1) - _weight(come) + _weight(come + 1)
+        counts = F.transform(acc["counts"], lambda n, i: n - F.when(i + 1 == leaving, 1).otherwise(0) + F.when(i + 1 == entering, 1).otherwise(0))
+        changed = F.struct(F.when(leaving == entering, acc["counts"]).otherwise(counts).alias("counts"), F.when(leaving == entering, acc["total"]).otherwise(moved).alias("total"))
+
+        def noted(new):
+            first = F.when(acc["first"] < 0, F.coalesce(now(new["total"], at), acc["first"])).otherwise(acc["first"])
+            return F.struct(new["counts"].alias("counts"), new["total"].alias("total"), first.alias("first"), F.coalesce(now(new["total"], at), acc["last"]).alias("last"))
+
+        return _let(changed, noted)
+
+    def slid(counts):
+        weight = F.aggregate(counts, F.lit(0.0), lambda s, n: s + _weight(n))
+        place = F.coalesce(now(weight, F.lit(0)), F.lit(-1))
+        start = F.struct(counts.alias("counts"), weight.alias("total"), place.alias("first"), place.alias("last"))
+        steps = F.when(F.size(places) > c.window, F.sequence(F.lit(1), F.size(places) - c.window)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
-    later = F.filter(F.transform(F.split(text, ""), lambda x, i: F.struct(x.alias("sign"), (i - c.window + 1).alias("at"))), lambda p: (p["at"] > 0) & (p["sign"] != ""))
-    place = F.coalesce(now(weight, F.lit(0)), F.lit(-1))
-    start = F.struct(opening.alias("window"), weight.alias("total"), place.alias("first"), place.alias("last"))
-    return F.aggregate(later, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    return _let(opening, slid)
 
 
 def _entropy_spans(text: Column, c: EntropyClass, allow: tuple[str, ...]) -> Column:
@@ -113,7 +142,8 @@ def _entropy_spans(text: Column, c: EntropyClass, allow: tuple[str, ...]) -> Col
             good = good & ~f["hit"].rlike(pattern)
         return good
 
-    parts = F.transform(F.filter(_found(text, c.candidate), eligible), lambda f: F.struct(f["start"].alias("start"), _hot_part(f["hit"], c).alias("hot")))
+    candidates = F.transform(F.filter(_found(text, c.candidate), eligible), lambda f: F.struct(f["start"].alias("start"), _signs(f["hit"]).alias("signs")))
+    parts = F.transform(candidates, lambda f: F.struct(f["start"].alias("start"), _hot_part(f["signs"], c).alias("hot")))
     rank = F.lit(KINDS.index(c.kind))
     hot = F.filter(parts, lambda p: p["hot"]["first"] >= 0)
     return F.transform(hot, lambda p: F.struct((p["start"] + p["hot"]["first"]).alias("start"), rank.alias("rank"), (p["start"] + p["hot"]["last"] + c.window).alias("end"))).cast(_SPAN)

@@ -13,7 +13,8 @@ SCHEMA = "doc_id long, text string, _found string, spans int"
 def plain(text):
     """(base, all) spans as (start, rank, end), each window's entropy counted anew."""
     text, base, more = text or "", [], []
-    base += [(m.start(), 0, m.end()) for m in re.finditer(ss.ASSIGN, text) if len(m[2]) >= ss.MIN_VALUE]
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    base += [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.ASCII) if len(m[1]) >= 12]
     base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
     for c in ss.CLASSES:
@@ -37,6 +38,8 @@ def texts():
         lambda: pick(hexes, rng.randrange(10, 70)),
         lambda: pick(hexes.upper(), rng.randrange(20, 40)),
         lambda: pick(base64, rng.randrange(10, 60)),
+        lambda: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", rng.randrange(18, 40)),
+        lambda: pick("abcdefghijklmnopqrstuvwxyz0123456789", rng.randrange(18, 40)),
         lambda: pick("aB3", rng.randrange(20, 40)) + pick(base64, 22) + "aB1" * 9,
         lambda: "123e4567-e89b-12d3-a456-426614174000",
         lambda: "some-long-joined-words-in-a-row/path/page",
@@ -47,7 +50,7 @@ def texts():
 
 
 def test_spans_equal_brute_force_and_redaction_removes_them(spark):
-    rows = [(i, t, None, None) for i, t in enumerate(texts())] + [(900, None, "x", 1), (901, "", None, None), (None, "token=abcdefghijkl", None, None), (0, "token=abcdefghijkl", None, None), (903, "word " * 30000 + "secret: " + "Ab3" * 2000, None, None)]
+    rows = [(i, t, None, None) for i, t in enumerate(texts())] + [(900, None, "x", 1), (901, "", None, None), (None, "token=abcdefghijkl", None, None), (0, "token=abcdefghijkl", None, None), (903, "word " * 30000 + "secret: " + "Ab3" * 2000, None, None), (904, "".join(f"{n:016x} " for n in range(2500)), None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = ss.scan(docs).collect()
     as_tuples = lambda spans: [(s.start, s.rank, s.end) for s in spans]
