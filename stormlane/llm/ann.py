@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormlane.llm.common import checkpointed, table
+from stormlane.llm.common import checkpointed, map_arrow, table
 
 
 @dataclass(frozen=True)
@@ -219,7 +219,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 bits = pa.FixedSizeListArray.from_arrays(pa.array(strings(found, sides, centre, settings).ravel()), settings.trees).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in found.astype(kind)], pa.binary()), bits], ["key", "first", "vector", "strings"])
 
-    index = checkpointed(copies.select("key", F.col("ids")[0].alias("first"), "vector").mapInArrow(indexed, "key string, first bigint, vector binary, strings array<bigint>"))
+    index = checkpointed(map_arrow(copies.select("key", F.col("ids")[0].alias("first"), "vector"), indexed, "key string, first bigint, vector binary, strings array<bigint>"))
     n = index.count()
     forest, asked, found = _Forest(index, n, kind, dimension, settings), checkpointed(queries.select("key").distinct()), None
     while True:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormlane.llm.common import sql_type, table
+from stormlane.llm.common import map_arrow, sql_type, table
 
 #: The split pattern that the byte-level pre-tokenizer uses unless told otherwise.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -483,7 +483,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), texts], ["id", "ids", "decoded"])
         tokenizer.forget()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {sql_type(docs, id_col)}, ids array<int>, decoded string")
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {sql_type(docs, id_col)}, ids array<int>, decoded string")
 
 
 def decode_ids(rows: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -498,7 +498,7 @@ def decode_ids(rows: DataFrame, path: str, id_col: str = "id", ids_col: str = "i
                 texts = [None if x is None else tokenizer.decode(i for i in x if i is not None) for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return rows.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, f"id {sql_type(rows, id_col)}, text string")
+    return map_arrow(rows.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")), run, f"id {sql_type(rows, id_col)}, text string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

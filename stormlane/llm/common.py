@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark fills Arrow batches up to 64 MB of its own accord; JVM and worker hold a batch several times over.
+_BATCH, _DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow over batches of about ``BATCH_BYTES``, unless the session has a bound of its own."""
+    if df.sparkSession.conf.get(_BATCH) == _DEFAULT_BATCH:
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def fold(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % n

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stormlane.llm.common import sql_type, table
+from stormlane.llm.common import map_arrow, sql_type, table
 
 WINDOW, SHARD_WORDS, MAX_COVERAGE = 10, 250_000, 0.5
 #: A word in a text that isn't lower-cased yet: digits, letters A-Z and a-z, and all beyond ASCII.
@@ -232,7 +232,7 @@ def _streamed(docs: DataFrame, text_col: str, shards: list, window: int, finish:
     out = docs
     for k, shared in enumerate(shards):
         last = k == len(shards) - 1
-        out = out.mapInArrow(passing(shared, k == 0, last), schema if last else between)
+        out = map_arrow(out, passing(shared, k == 0, last), schema if last else between)
     return out
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormlane.llm.common import is_fold, sql_type, table
+from stormlane.llm.common import is_fold, map_arrow, sql_type, table
 
 UNKNOWN = "und"
 _BLOCK = 1 << 20
@@ -124,7 +124,7 @@ def _features(rows: DataFrame, settings: Settings):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ngram_counts(t.as_py(), settings.hash_bits).tobytes() for t in batch.column(1)], pa.binary())], ["lang", "features"])
 
-    return rows.mapInArrow(run, "lang string, features binary")
+    return map_arrow(rows, run, "lang string, features binary")
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], ["id", "lang_pred", "score", "ambiguous"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {sql_type(docs, id_col)}, lang_pred string, score double, ambiguous boolean")
+    return map_arrow(rows, run, f"id {sql_type(docs, id_col)}, lang_pred string, score double, ambiguous boolean")
 
 
 def op3_language_id(spark, sf_dir):

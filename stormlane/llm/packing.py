@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormlane.llm.common import sql_type, table
+from stormlane.llm.common import map_arrow, sql_type, table
 from stormlane.llm.token_lengths import encoder, public_ranks, shared_ranks, well_formed
 
 ROW_TOKENS, GROUP_CHARS, END_ID = 2048, 4_000_000, 50256
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         kinds = [("pack_group", pa.int32()), ("row", pa.int32()), ("n_tokens", pa.int32()), ("n_segments", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("segments", pa.list_(segment))]
         return pa.Table.from_pylist(out, schema=pa.schema(kinds))
 
-    tokens = dealt.mapInArrow(encoded, f"id {id_type}, ids binary, pack_group int")
+    tokens = map_arrow(dealt, encoded, f"id {id_type}, ids binary, pack_group int")
     return tokens.groupBy("pack_group").applyInArrow(packed, SCHEMA.format(id=id_type))
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormlane.llm.common import is_fold, sql_type, table
+from stormlane.llm.common import is_fold, map_arrow, sql_type, table
 
 #: Signs that are taken off both ends of a word.
 _EDGES = ".,;:!?\"'()[]{}<>|#$%&*+=-_/\\~^`@0123456789"
@@ -175,7 +175,7 @@ def _feature_rows(docs: DataFrame, task: Task) -> DataFrame:
             rows = [sorted(task.features_of(t.as_py(), known)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], ["features"])
 
-    return docs.select("id", "text").mapInArrow(run, "features array<bigint>")
+    return map_arrow(docs.select("id", "text"), run, "features array<bigint>")
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, task: Task) -> list[np.ndarray]:
@@ -224,19 +224,24 @@ def score(docs: DataFrame, model: Model, task: Task, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores_in(batch.column(1), shared.value, task, known))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {sql_type(docs, id_col)}, score double")
+    return map_arrow(rows, run, f"id {sql_type(docs, id_col)}, score double")
 
 
 def keep_below(docs: DataFrame, model: Model, task: Task, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with all their columns as they are."""
+    """The rows of ``docs`` whose score is below the threshold, with all their columns as they are.
+
+    Texts without words, nulls included, stay whatever the model says of them. Repeated rows are judged alike; an empty table
+    gives no rows; columns of any other name are carried along.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
         known = _chosen_only(shared.value, task)
         for batch in batches:
-            yield batch.filter(pa.array(scores_in(batch.column(at), shared.value, task, known) < threshold))
+            wordless = np.array([not (t.as_py() or "").strip() for t in batch.column(at)], dtype=bool)
+            yield batch.filter(pa.array(wordless | (scores_in(batch.column(at), shared.value, task, known) < threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def _train_on(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, task: Task) -> Model:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormlane.llm import golay
-from stormlane.llm.common import checkpointed, sql_type, table
+from stormlane.llm.common import checkpointed, map_arrow, sql_type, table
 from stormlane.llm.components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = [majority_bits(shingle_hashes(t.as_py(), shingle, seed)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["id", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {sql_type(docs, id_col)}, fingerprint bigint")
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {sql_type(docs, id_col)}, fingerprint bigint")
 
 
 def _segments(prints: np.ndarray) -> list[np.ndarray]:
@@ -85,7 +85,7 @@ def _keys(batches, probing: bool):
 
 
 def _keyed(prints: DataFrame, probing: bool) -> DataFrame:
-    return prints.select("fingerprint").mapInArrow(lambda batches: _keys(batches, probing), "key int, fingerprint bigint")
+    return map_arrow(prints.select("fingerprint"), lambda batches: _keys(batches, probing), "key int, fingerprint bigint")
 
 
 def _near(a: str, b: str, distance: int):
@@ -127,7 +127,7 @@ def _rooted(known: DataFrame, probing: bool) -> DataFrame:
                 at = order[np.searchsorted(prints, out.column(1).to_numpy(), sorter=order)]
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(roots[at])], ["key", "fingerprint", "root"])
 
-    return known.select("fingerprint", "root").mapInArrow(run, "key int, fingerprint bigint, root bigint")
+    return map_arrow(known.select("fingerprint", "root"), run, "key int, fingerprint bigint, root bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE, seed: int = SEED) -> DataFrame:

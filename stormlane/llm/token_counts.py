@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormlane.llm.common import sql_type, table
+from stormlane.llm.common import map_arrow, sql_type, table
 from stormlane.llm.token_lengths import encoder, public_ranks, shared_ranks, well_formed
 
 RULES = ("first", "last", "most")
@@ -79,7 +79,7 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)], ["id", "n_tokens", "sections"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {sql_type(docs, id_col)}, n_tokens bigint, sections array<struct<start:int,end:int,n_tokens:int,n_crossing:int>>")
+    return map_arrow(rows, run, f"id {sql_type(docs, id_col)}, n_tokens bigint, sections array<struct<start:int,end:int,n_tokens:int,n_crossing:int>>")
 
 
 def op6_token_counts(spark, sf_dir):

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from stormlane.llm import bpe, decontamination, pu, secret_scan, similar
 from stormlane.llm.simhash import shingle_hashes
@@ -73,6 +75,13 @@ def test_stages_handle_odd_rows_and_keep_the_columns(spark):
     assert left == []
 
 
+def test_texts_without_words_pass_the_toxicity_stage(spark):
+    """Even under a model that calls everything else toxic."""
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n\t"), (4, "some words")], "doc_id long, text string")
+    model = pu.Model(np.empty(0, dtype=np.int64), np.empty(0), 5.0, 0.99)
+    assert sorted(r.doc_id for r in pu.keep_below(docs, model, pu.TOXICITY).collect()) == [1, 2, 3]
+
+
 def test_run_equals_its_stages_by_brute_force(spark):
     """Each stage's decisions, worked out row by row from the same models and items."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
