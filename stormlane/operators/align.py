@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,24 +86,36 @@ def lag_weeks(df: DataFrame, keys: list[str], value: str, date: str = "date", we
 
 
 def nearest_district(points: DataFrame) -> DataFrame:
-    """Per district the one whose centroid of (x, y) is nearest; of equals the first by name. One row a district is compared."""
+    """Per district the one whose centroid of (x, y) is nearest; of equals the first by name. One row a district is compared;
+    the centroids are broadcast if their counted number allows."""
     centre = points.groupBy("district").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    a, b = centre.alias("a"), F.broadcast(centre).alias("b")
+    a, b = centre.alias("a"), sized(centre).alias("b")
     apart = F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2)
     pairs = a.join(b, F.col("a.district") != F.col("b.district")).select(F.col("a.district").alias("district"), F.col("b.district").alias("other"), apart.alias("apart"))
     return pairs.groupBy("district").agg(F.min_by("other", F.struct("apart", "other")).alias("nearest"))
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
-    """Per point (id, x, y) the nearest of the cells (cell_id, cx, cy) that lie in its own or one of the eight grid squares around.
+    """Per point (id, x, y) the nearest of the cells (cell_id, cx, cy); of equals the smallest cell_id.
 
-    Both sides meet on the square's number, so no point is held against all cells. With centres on the grid the nearest lies there.
+    Both sides meet on the number of a grid square, a point in its own square and the eight around it, so no point is held
+    against all cells. The squares of each level are twice as large as those of the level before. At the first level at which
+    a point has any cell around it, one lies within 2.83 squares; all that is as near lies around it two levels up, where the
+    point is compared. Points with a null coordinate have no cell, nor has any point if there are no cells.
     """
-    square = lambda c: F.round(F.col(c) / size).cast("long")
-    near = points.withColumn("i", F.explode(F.sequence(square("x") - 1, square("x") + 1))).withColumn("j", F.explode(F.sequence(square("y") - 1, square("y") + 1)))
-    placed = cells.withColumn("i", square("cx")).withColumn("j", square("cy"))
-    met = near.join(placed, ["i", "j"]).withColumn("apart", F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))
-    return met.groupBy("id").agg(F.min_by("cell_id", F.struct("apart", "cell_id")).alias("cell_id"))
+    points = points.select("id", "x", "y").where("x is not null and y is not null")
+    cells = cells.select("cell_id", "cx", "cy").where("cx is not null and cy is not null")
+    both = points.select("x", "y").unionByName(cells.select(F.col("cx").alias("x"), F.col("cy").alias("y")))
+    extent = both.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    levels = max(0, math.ceil(math.log2(max(extent, size) / size))) + 1
+    square = lambda c: F.round(F.col(c) / (F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level")))).cast("long")
+    around = lambda c: F.explode(F.sequence(square(c) - 1, square(c) + 1))
+    placed = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels + 2)))).withColumn("i", square("cx")).withColumn("j", square("cy"))
+    tried = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("i", around("x")).withColumn("j", around("y"))
+    first = tried.join(placed.select("level", "i", "j").distinct(), ["level", "i", "j"], "left_semi").groupBy("id", "x", "y").agg((F.min("level") + 2).alias("level"))
+    met = first.withColumn("i", around("x")).withColumn("j", around("y")).join(placed, ["level", "i", "j"])
+    apart = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
+    return met.groupBy("id").agg(F.min_by("cell_id", F.struct(apart, "cell_id")).alias("cell_id"))
 
 
 def spine(df: DataFrame, keys: list[str], at: str, step: str) -> DataFrame:

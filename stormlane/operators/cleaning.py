@@ -88,10 +88,14 @@ def latest_wins(df: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def version_suffix(members: DataFrame, name: str = "name", checksum: str = "checksum", position: str = "position") -> DataFrame:
-    """Members without equal copies; the k-th different content under one name is called name_k, the first keeps it."""
+    """Members without equal copies. The first content under a name keeps it; the k-th different one gets ``_k`` between the
+    archive time and the resource's own name (20250805-0001-a.xml, 20250805-0001_2-a.xml), so that it still ends like the others;
+    a name without an archive time gets it at the end. A null name is a name of its own and stays null."""
     distinct = members.groupBy(name, checksum).agg(F.min(position).alias(position))
     number = F.row_number().over(Window.partitionBy(name).orderBy(position))
-    return distinct.withColumn("copy", number).withColumn("stored_as", F.when(F.col("copy") == 1, F.col(name)).otherwise(F.concat_ws("_", name, F.col("copy").cast("string"))))
+    parts = "(?s)^([0-9]{8}-[0-9]{4}|.*)(.*)$"
+    stem, rest = F.regexp_extract(name, parts, 1), F.regexp_extract(name, parts, 2)
+    return distinct.withColumn("copy", number).withColumn("stored_as", F.when(F.col("copy") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("copy").cast("string"), rest)))
 
 
 def quality_report(df: DataFrame) -> DataFrame:

@@ -40,16 +40,46 @@ def merge_sessions(df: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "max_level", "n_signals")
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, time: str = "time", how: str = "inner") -> DataFrame:
+def _fresh(*frames: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """The names with as many underscores in front as keep them apart from the columns of the frames."""
+    taken, out = {c.lower() for f in frames for c in f.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def _by_hour(intervals: DataFrame, hour: str) -> DataFrame:
+    """A row for each hour that an interval touches."""
+    last = F.date_trunc("hour", F.col("end") - F.expr("interval 1 microsecond"))
+    return intervals.where("end > start").withColumn(hour, F.explode(F.sequence(F.date_trunc("hour", "start"), last, F.expr("interval 1 hour"))))
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, time: str = "time", how: str = "inner", keys: dict[str, str] | None = None) -> DataFrame:
     """Points with the intervals [start, end) that hold them, through hour buckets, so that the join is on equal keys.
 
-    A long interval has a row per hour it touches. how: inner, left, left_semi or left_anti.
+    A long interval has a row per hour it touches. ``keys`` names columns of the points and the intervals' columns they must
+    equal, so that only intervals of the point's own key meet it. how: inner, left, left_semi or left_anti. A null time or key
+    is held by nothing, nor is an interval with a null end or of no length.
     """
-    last = F.date_trunc("hour", F.col("end") - F.expr("interval 1 microsecond"))
-    hours = intervals.where("end > start").withColumn("_hour", F.explode(F.sequence(F.date_trunc("hour", "start"), last, F.expr("interval 1 hour"))))
-    marked = points.withColumn("_at", F.date_trunc("hour", time))
-    held = (F.col("_at") == F.col("_hour")) & (F.col(time) >= F.col("start")) & (F.col(time) < F.col("end"))
-    return marked.join(hours, held, how).drop("_at", "_hour")
+    at, hour = _fresh(points, intervals, names=("_at", "_hour"))
+    held = (F.col(at) == F.col(hour)) & (F.col(time) >= F.col("start")) & (F.col(time) < F.col("end"))
+    for own, theirs in (keys or {}).items():
+        held &= F.col(own) == F.col(theirs)
+    return points.withColumn(at, F.date_trunc("hour", time)).join(_by_hour(intervals, hour), held, how).drop(at, hour)
+
+
+def segments(signals: DataFrame) -> DataFrame:
+    """Time cut where any signal (start, end, level) starts or ends, by hour: (hour, from, until, level, since) with the highest
+    level in force and the latest start at that level. No two segments overlap, so a point lies in one at most."""
+    hours = _by_hour(signals.select("start", "end", "level"), "hour")
+    within = hours.select("hour", "level", F.col("start").alias("since"), F.greatest(F.col("start"), F.col("hour").cast("timestamp_ntz")).alias("a"), F.least(F.col("end"), (F.col("hour") + F.expr("interval 1 hour")).cast("timestamp_ntz")).alias("b"))
+    edges = within.select("hour", F.explode(F.array("a", "b")).alias("from")).distinct()
+    cut = edges.withColumn("until", F.lead("from").over(Window.partitionBy("hour").orderBy("from"))).where("until is not null")
+    held = cut.join(within, (cut["hour"] == within["hour"]) & (F.col("a") <= F.col("from")) & (F.col("b") >= F.col("until"))).select(cut["hour"], "from", "until", "level", "since")
+    best = held.groupBy("hour", "from", "until").agg(F.max(F.struct("level", "since")).alias("best"))
+    return best.select("hour", "from", "until", "best.level", "best.since")
 
 
 def collapse_runs(df: DataFrame, keys: list[str], item: str, unit: str) -> DataFrame:
@@ -68,11 +98,16 @@ def collapse_runs(df: DataFrame, keys: list[str], item: str, unit: str) -> DataF
 
 
 def encode_warning(points: DataFrame, signals: DataFrame, keys: list[str], time: str = "time") -> DataFrame:
-    """Per point the highest level in force (0: none), since when that signal stands in minutes, and its one-hot columns."""
-    active = interval_join(points.select(*keys, time), signals.select("start", "end", "level"), time)
-    best = active.groupBy(*keys).agg(F.max(F.struct("level", "start")).alias("best"), F.any_value(time).alias("_time"))
-    best = best.select(*keys, F.col("best.level").alias("level"), F.expr(f"timestampdiff(MINUTE, best.start, _time)").alias("minutes_since"))
-    out = points.join(best, keys, "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    """Per point the highest level in force (0: none), since when that signal stands in minutes, and its one-hot columns.
+
+    Points meet the segments of their hour, of which one at most holds them: a row a point, repeats included, whatever number
+    of signals overlap. ``keys`` is kept for callers that name what identifies a point; a null time has level 0.
+    """
+    at, hour, start, until, since = _fresh(points, names=("_at", "_hour", "_from", "_until", "_since"))
+    cut = segments(signals).select(F.col("hour").alias(hour), F.col("from").alias(start), F.col("until").alias(until), "level", F.col("since").alias(since))
+    inside = (F.col(at) == F.col(hour)) & (F.col(time) >= F.col(start)) & (F.col(time) < F.col(until))
+    joined = points.withColumn(at, F.date_trunc("hour", time)).join(cut, inside, "left")
+    out = joined.withColumn("minutes_since", F.timestamp_diff("MINUTE", F.col(since), F.col(time))).withColumn("level", F.coalesce("level", F.lit(0))).drop(at, hour, start, until, since)
     for k, name in ((1, "amber"), (2, "red"), (3, "black")):
         out = out.withColumn(f"is_{name}", (F.col("level") == k).cast("int"))
     return out.withColumn("warned", (F.col("level") > 0).cast("int"))

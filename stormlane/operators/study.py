@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,8 +11,21 @@ def dry_baseline(df: DataFrame, keys: list[str], value: str = "speed", exact: bo
     return df.groupBy(*keys).agg((F.median(value) if exact else F.percentile_approx(value, 0.5, 10_000)).alias("baseline"))
 
 
-def normalise(df: DataFrame, key: str = "detector_id", value: str = "speed") -> DataFrame:
-    """Adds z: the value against its key's own history, null where that never varies. The history is a grouped aggregate."""
+def normalise(df: DataFrame, key: str = "detector_id", value: str = "speed", how: str = "zscore") -> DataFrame:
+    """zscore adds z: the value against its key's own history, null where that never varies. The history is a grouped aggregate.
+
+    ratio adds ratio, the value over its key's median (null where that is 0); prev_week adds ratio, the value over that of the
+    same key a week before, by column bin; raw adds nothing.
+    """
+    if how == "raw":
+        return df
+    if how == "ratio":
+        return df.join(dry_baseline(df, [key], value), key).withColumn("ratio", F.col(value) / F.nullif(F.col("baseline"), F.lit(0.0))).drop("baseline")
+    if how == "prev_week":
+        before = df.select(key, (F.col("bin") + F.expr("interval 7 days")).alias("bin"), F.col(value).alias("_before"))
+        return df.join(before, [key, "bin"], "left").withColumn("ratio", F.col(value) / F.nullif(F.col("_before"), F.lit(0.0))).drop("_before")
+    if how != "zscore":
+        raise ValueError(f"no normalisation is called {how}")
     own = df.groupBy(key).agg(F.avg(value).alias("_mean"), F.stddev(value).alias("_sd"))
     return df.join(own, key).withColumn("z", (F.col(value) - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_mean", "_sd")
 
@@ -65,6 +78,49 @@ def within_regression(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     return sums.agg(F.sum("n").alias("n"), (sxy / F.nullif(sxx, F.lit(0.0))).alias("slope"))
 
 
+def ablate(rows: DataFrame, variants: dict[str, Column], default: str, k: int = 20) -> DataFrame:
+    """What each variant of a cleaning step does to the ranking: (variant, n, spearman, n_common) against ``default``.
+
+    rows: detector_id, level, speed, and whatever the variants look at; a variant is the condition under which a row counts.
+    All variants go through one pass over the rows, each row as often as it counts: baseline of level 0, median ratio per level,
+    mean per detector. n detectors are ranked both ways (Spearman by mean ranks); n_common are in the first k of both. Rows
+    with a null speed, level or detector count nowhere; a variant without detectors in common has n 0 and null.
+    """
+    counted = F.array(*[F.when(F.coalesce(keep, F.lit(False)), F.lit(name)) for name, keep in variants.items()])
+    used = rows.where("speed is not null and level is not null and detector_id is not null").select("detector_id", "level", "speed", F.explode(F.array_compact(counted)).alias("variant"))
+    keys = ["variant", "detector_id"]
+    scores = sensitivity(used, dry_baseline(used.where("level = 0"), keys), keys).groupBy(*keys).agg(F.avg("sensitivity").alias("x")).where("x is not null")
+    plain = scores.where(F.col("variant") == default).select("detector_id", F.col("x").alias("y"))
+    both = scores.join(plain, "detector_id")
+
+    def ranked(column: str) -> Column:
+        by = Window.partitionBy("variant").orderBy(column)
+        return F.rank().over(by) + (F.count("*").over(Window.partitionBy("variant", column)) - 1) / 2
+
+    ranks = both.select("variant", ranked("x").alias("rx"), ranked("y").alias("ry")).groupBy("variant").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
+    first = scores.withColumn("place", F.row_number().over(Window.partitionBy("variant").orderBy("x", "detector_id"))).where(F.col("place") <= k).select(*keys)
+    common = first.join(first.where(F.col("variant") == default).select("detector_id"), "detector_id").groupBy("variant").agg(F.count("*").alias("n_common"))
+    names = rows.sparkSession.createDataFrame([(name,) for name in variants], "variant string")
+    return names.join(ranks, "variant", "left").join(common, "variant", "left").select("variant", F.coalesce("n", F.lit(0)).alias("n"), "spearman", F.coalesce("n_common", F.lit(0)).alias("n_common"))
+
+
+def within_regression_two(df: DataFrame, y: str, x1: str, x2: str, group: str) -> DataFrame:
+    """(n, slope_1, slope_2): y on two regressors together within groups, from grouped sums alone. Rows with a null in any of
+    them are left out; regressors that lie on one line within all groups give null."""
+    some = df.where(F.col(y).isNotNull() & F.col(x1).isNotNull() & F.col(x2).isNotNull()).select(group, *[F.col(c).cast("double").alias(a) for c, a in ((y, "y"), (x1, "a"), (x2, "b"))])
+    pairs = ("aa", "bb", "ab", "ay", "by")
+    sums = some.groupBy(group).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "yab"], *[F.sum(F.col(p[0]) * F.col(p[1])).alias(p) for p in pairs])
+    total = sums.agg(F.sum("n").alias("n"), *[F.sum(F.col(p) - F.col(p[0]) * F.col(p[1]) / F.col("n")).alias(p) for p in pairs])
+    whole = F.nullif(F.expr("aa * bb - ab * ab"), F.lit(0.0))
+    return total.select("n", (F.expr("ay * bb - by * ab") / whole).alias("slope_1"), (F.expr("by * aa - ay * ab") / whole).alias("slope_2"))
+
+
+def linear_by(df: DataFrame, y: str, x: str, train: Column) -> DataFrame:
+    """``df`` with the prediction of a straight line of y on x that is fitted to the rows in ``train``."""
+    line = df.where(train).agg(F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_intercept"))
+    return df.crossJoin(F.broadcast(line)).withColumn("prediction", F.col("_intercept") + F.col("_slope") * F.col(x)).drop("_slope", "_intercept")
+
+
 def f1_mae(df: DataFrame, truth: str, guess: str, limit: float = 0.7) -> DataFrame:
     """Mean absolute error, and F1 of values below ``limit``."""
     hit, said = F.col(truth) < limit, F.col(guess) < limit

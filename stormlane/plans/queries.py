@@ -106,12 +106,13 @@ def latest_wins(v: Views) -> DataFrame:
     return cleaning.latest_wins(old.unionByName(new), "date", "version").select("date", "name")
 
 
-_MEMBERS = "SELECT l_orderkey AS name, l_suppkey % 3 AS checksum, min(l_linenumber) AS position FROM lineitem GROUP BY ALL"
+_MEMBERS = "SELECT '20240101-0001-' || l_orderkey || '.xml' AS name, l_suppkey % 3 AS checksum, min(l_linenumber) AS position FROM lineitem GROUP BY ALL"
 
 
-@query("version_suffix", "", f"SELECT CAST(name AS VARCHAR) AS name, CAST(copy AS INTEGER) AS copy, CAST(checksum AS BIGINT) AS checksum, CASE WHEN copy = 1 THEN CAST(name AS VARCHAR) ELSE name || '_' || copy END AS stored_as FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY position, checksum) AS copy FROM ({_MEMBERS}))")
+@query("version_suffix", "", f"SELECT name, CAST(copy AS INTEGER) AS copy, CAST(checksum AS BIGINT) AS checksum, CASE WHEN copy = 1 THEN name ELSE '20240101-0001_' || copy || substr(name, 14) END AS stored_as FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY position, checksum) AS copy FROM ({_MEMBERS}))")
 def version_suffix(v: Views) -> DataFrame:
-    members = v.table("lineitem").select(F.col("l_orderkey").cast("string").alias("name"), (F.col("l_suppkey") % 3).alias("checksum"), F.struct(F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 3).alias("checksum")).alias("position"))
+    name = F.concat(F.lit("20240101-0001-"), F.col("l_orderkey").cast("string"), F.lit(".xml"))
+    members = v.table("lineitem").select(name.alias("name"), (F.col("l_suppkey") % 3).alias("checksum"), F.struct(F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 3).alias("checksum")).alias("position"))
     return cleaning.version_suffix(members).select("name", "copy", "checksum", "stored_as")
 
 
@@ -137,8 +138,7 @@ def exclude_incidents(v: Views) -> DataFrame:
     some = v.readings.where("lane_id in ('error', 'purchase')")
     news = some.groupBy("detector_id", F.to_date("time").alias("day")).agg(F.min("time").alias("start"), F.min(F.when(F.col("lane_id") == "purchase", F.col("time"))).alias("closed"))
     active = news.select(F.col("detector_id").alias("where"), "start", F.coalesce("closed", F.col("start") + F.expr("interval 1 day")).alias("end"))
-    hit = intervals.interval_join(v.readings.select("event_id", "detector_id", "time"), active, "time").where(F.col("detector_id") == F.col("where")).select("event_id")
-    return v.readings.join(hit, "event_id", "left_anti").select("event_id")
+    return intervals.interval_join(v.readings, active, "time", "left_anti", {"detector_id": "where"}).select("event_id")
 
 
 # Joins
@@ -202,7 +202,7 @@ def nearest_district(v: Views) -> DataFrame:
     return align.nearest_district(v.detectors)
 
 
-@query("nearest_cell", "detectors", ", g AS (SELECT s_suppkey AS cell_id, round(s_acctbal / 500) * 500 AS cx, CAST(s_suppkey % 100 AS DOUBLE) AS cy FROM supplier) SELECT id, cell_id FROM (SELECT d.detector_id AS id, g.cell_id, row_number() OVER (PARTITION BY d.detector_id ORDER BY (x - cx) ** 2 + (y - cy) ** 2, g.cell_id) AS k FROM detectors d JOIN g ON abs(round(x / 500) - round(cx / 500)) <= 1 AND abs(round(y / 500) - round(cy / 500)) <= 1) WHERE k = 1")
+@query("nearest_cell", "detectors", ", g AS (SELECT s_suppkey AS cell_id, round(s_acctbal / 500) * 500 AS cx, CAST(s_suppkey % 100 AS DOUBLE) AS cy FROM supplier) SELECT id, cell_id FROM (SELECT d.detector_id AS id, g.cell_id, row_number() OVER (PARTITION BY d.detector_id ORDER BY (x - cx) ** 2 + (y - cy) ** 2, g.cell_id) AS k FROM detectors d, g) WHERE k = 1")
 def nearest_cell(v: Views) -> DataFrame:
     cells = v.table("supplier").select(F.col("s_suppkey").alias("cell_id"), (F.round(F.col("s_acctbal") / 500) * 500).alias("cx"), (F.col("s_suppkey") % 100).cast("double").alias("cy"))
     return align.nearest_cell(v.detectors.select(F.col("detector_id").alias("id"), "x", "y"), cells, 500)
@@ -479,8 +479,37 @@ def topk_per_district(v: Views) -> DataFrame:
 
 _LOOSE = ", lr AS (SELECT l.*, speed / nullif(b, 0) AS ratio FROM levels l JOIN (SELECT detector_id, median(speed) AS b FROM levels WHERE level = 0 AND valid = 'Y' AND volume <> 0 GROUP BY detector_id) USING (detector_id) WHERE valid = 'Y' AND volume <> 0), ls AS (SELECT detector_id, avg(s) AS sensitivity FROM (SELECT detector_id, level, median(ratio) - 1 AS s FROM lr WHERE level > 0 GROUP BY ALL) GROUP BY detector_id)"
 _TOP = "(SELECT detector_id FROM {0} WHERE sensitivity IS NOT NULL ORDER BY sensitivity, detector_id LIMIT 20)"
-for _name in ("top_overlap", "ablation_overlap"):
-    query(_name, "ranking", f"{_LOOSE} SELECT count(*) AS n_common FROM (SELECT * FROM {_TOP.format('ranking')} INTERSECT SELECT * FROM {_TOP.format('ls')})")(lambda v: study.overlap(_ranking(v), _ranking(v, False)))
+query("top_overlap", "ranking", f"{_LOOSE} SELECT count(*) AS n_common FROM (SELECT * FROM {_TOP.format('ranking')} INTERSECT SELECT * FROM {_TOP.format('ls')})")(lambda v: study.overlap(_ranking(v), _ranking(v, False)))
+
+#: Variants of the cleaning steps, one step at a time varied against the default: the condition under which a row counts, in SQL.
+_STEPS = {
+    "default": "valid = 'Y' AND volume <> 0 AND speed BETWEEN 0 AND 130",
+    "no_bounds": "valid = 'Y' AND volume <> 0",
+    "keep_invalid": "volume <> 0 AND speed BETWEEN 0 AND 130",
+    "keep_placeholder": "valid = 'Y' AND speed BETWEEN 0 AND 130",
+    "low_bounds": "valid = 'Y' AND volume <> 0 AND speed BETWEEN 0 AND 80",
+    "busy_only": "valid = 'Y' AND volume <> 0 AND speed BETWEEN 0 AND 130 AND occupancy BETWEEN 20 AND 100",
+}
+_USED = " UNION ALL ".join(f"SELECT '{name}' AS variant, detector_id, level, speed FROM levels WHERE {keep}" for name, keep in _STEPS.items())
+_ABLATED = f""", u AS ({_USED}), sc AS (SELECT variant, detector_id, avg(s) AS x FROM (SELECT variant, detector_id, level, median(speed / nullif(b, 0)) - 1 AS s FROM u JOIN (SELECT variant, detector_id, median(speed) AS b FROM u WHERE level = 0 GROUP BY ALL) USING (variant, detector_id) WHERE level > 0 GROUP BY ALL) GROUP BY ALL HAVING x IS NOT NULL),
+bo AS (SELECT a.variant, a.x, b.x AS y FROM sc a JOIN sc b ON a.detector_id = b.detector_id AND b.variant = 'default'),
+rk AS (SELECT variant, rank() OVER (PARTITION BY variant ORDER BY x) + (count(*) OVER (PARTITION BY variant, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY variant ORDER BY y) + (count(*) OVER (PARTITION BY variant, y) - 1) / 2.0 AS ry FROM bo),
+fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY x, detector_id) AS place FROM sc) WHERE place <= 20),
+co AS (SELECT a.variant, count(*) AS n_common FROM fi a JOIN fi b ON a.detector_id = b.detector_id AND b.variant = 'default' GROUP BY a.variant)"""
+
+
+def _ablated(v: Views) -> DataFrame:
+    return study.ablate(_levels(v), {name: F.expr(keep) for name, keep in _STEPS.items()}, "default")
+
+
+@query("ablation_overlap", "levels", f"{_ABLATED} SELECT variant, n_common FROM co")
+def ablation_overlap(v: Views) -> DataFrame:
+    return _ablated(v).select("variant", "n_common")
+
+
+@query("ablation_steps", "levels", f"{_ABLATED} SELECT variant, count(*) AS n, round(corr(rx, ry), 4) AS spearman, any_value(n_common) AS n_common FROM rk JOIN co USING (variant) GROUP BY variant")
+def ablation_steps(v: Views) -> DataFrame:
+    return _ablated(v).select("variant", "n", _r("spearman", 4), "n_common")
 
 
 @query("ablation_spearman", "ranking", f"{_LOOSE}, r AS (SELECT detector_id, rank() OVER (ORDER BY a.sensitivity) + (count(*) OVER (PARTITION BY a.sensitivity) - 1) / 2.0 AS x, rank() OVER (ORDER BY b.sensitivity) + (count(*) OVER (PARTITION BY b.sensitivity) - 1) / 2.0 AS y FROM ranking a JOIN ls b USING (detector_id) WHERE a.sensitivity IS NOT NULL AND b.sensitivity IS NOT NULL) SELECT count(*) AS n, round(corr(x, y), 4) AS spearman FROM r")
@@ -493,6 +522,26 @@ def within_regression(v: Views) -> DataFrame:
     return study.within_regression(_ratio(v), "ratio", "level", "detector_id").select("n", _r("slope", 5))
 
 
+@query("within_regression_rain", "ratios rain detectors", ", j AS (SELECT q.detector_id, q.ratio AS y, CAST(q.level AS DOUBLE) AS a, coalesce((min_mm + max_mm) / 2.0, 0) AS b FROM ratios q JOIN detectors d ON q.detector_id = d.detector_id JOIN (SELECT DISTINCT hour FROM rain) h ON h.hour = date_trunc('hour', time) LEFT JOIN rain r ON r.hour = h.hour AND r.district = d.district WHERE ratio IS NOT NULL), c AS (SELECT a - avg(a) OVER w AS a, b - avg(b) OVER w AS b, y - avg(y) OVER w AS y FROM j WINDOW w AS (PARTITION BY detector_id)), t AS (SELECT count(*) AS n, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS bby FROM c) SELECT n, round((ay * bb - bby * ab) / (aa * bb - ab * ab), 5) AS slope_level, round((bby * aa - ay * ab) / (aa * bb - ab * ab), 5) AS slope_rain FROM t")
+def within_regression_rain(v: Views) -> DataFrame:
+    """Speed ratio on warning level and rain together, within detectors; hours without a bulletin are left out."""
+    found = study.within_regression_two(_model_table(v), "ratio", "level", "rain", "detector_id")
+    return found.select("n", F.round("slope_1", 5).alias("slope_level"), F.round("slope_2", 5).alias("slope_rain"))
+
+
+@query("linear_eval", "ratios", ", m AS (SELECT *, CAST(hour(time) AS DOUBLE) AS hr, week(time) % 3 AS fold FROM ratios WHERE ratio IS NOT NULL), l AS (SELECT regr_slope(ratio, level) AS s, regr_intercept(ratio, level) AS i, regr_slope(ratio, hr) AS ts, regr_intercept(ratio, hr) AS ti FROM m WHERE fold <> 0) SELECT count(*) AS n, round(avg(abs(ratio - (i + s * level))), 5) AS mae, round(avg(abs(ratio - (ti + ts * hr))), 5) AS mae_time_only FROM m, l WHERE fold = 0")
+def linear_eval(v: Views) -> DataFrame:
+    """A straight line on the warning level beside one on the hour of day alone; whole weeks are held out."""
+    rows = _ratio(v).where("ratio is not null").select("ratio", F.col("level").cast("double").alias("level"), F.hour("time").cast("double").alias("hour"), (F.weekofyear("time") % 3).alias("fold"))
+    both = study.linear_by(study.linear_by(rows, "ratio", "level", F.col("fold") != 0).withColumnRenamed("prediction", "by_level"), "ratio", "hour", F.col("fold") != 0)
+    error = lambda guess: F.round(F.avg(F.abs(F.col("ratio") - F.col(guess))), 5)
+    return both.where("fold = 0").agg(F.count("*").alias("n"), error("by_level").alias("mae"), error("prediction").alias("mae_time_only"))
+
+
+for _how, _sql in (("ratio", "speed / nullif(median(speed) OVER (PARTITION BY detector_id), 0)"), ("prev_week", "speed / nullif((SELECT b.speed FROM six b WHERE b.detector_id = six.detector_id AND b.bin = six.bin - INTERVAL 7 days), 0)")):
+    query(f"{_how}_norm", "six", f"SELECT detector_id, bin, round({_sql}, 5) AS ratio FROM six")(lambda v, how=_how: study.normalise(_six(v), how=how).select("detector_id", "bin", _r("ratio", 5)))
+
+
 def _ratio(v: Views) -> DataFrame:
     rows = _usable(v)
     return rows.join(study.dry_baseline(rows.where("level = 0"), ["detector_id"]), "detector_id").withColumn("ratio", F.col("speed") / F.nullif(F.col("baseline"), F.lit(0.0)))

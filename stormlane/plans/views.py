@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormlane.operators.align import sized
+
 
 class Views:
     """The views over one folder of tables."""
@@ -38,7 +40,7 @@ class Views:
     @property
     def detectors(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", F.col("n_name").alias("district"))
-        return self.table("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("detector_id"), F.col("c_name").alias("road"), "district", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"))
+        return self.table("customer").join(sized(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("detector_id"), F.col("c_name").alias("road"), "district", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"))
 
     def _intervals(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("start", F.col("ts")).withColumn("end", F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.floor("value").cast("int")))

@@ -1,6 +1,7 @@
 """Small literal cases for the rules that the tables' own rows may miss."""
 
 import datetime as dt
+import random
 import tempfile
 import zipfile
 
@@ -172,3 +173,59 @@ def test_spearman_takes_mean_ranks_of_ties(spark):
 def test_names_and_codes(spark):
     row = spark.range(1).select(scalar.norm_district(F.lit(" Kwai and Tsing District ")).alias("a"), scalar.url_path(F.lit("https://x.org/a/b.csv?v=1#z")).alias("b"), scalar.hhmm(F.lit("5")).alias("c"), scalar.level_name(F.lit(9)).alias("d"), scalar.member_file(F.lit("f/20240501-0800-a-b.xml")).alias("e"), scalar.wall_time(*map(F.lit, (2023, 2, 30, 1, 1))).alias("f")).first()
     assert tuple(row) == ("Kwai & Tsing", "x.org/a/b.csv", "0005", "", "a-b.xml", None)
+
+
+def test_kth_content_is_numbered_before_the_resource_part(spark):
+    rows = [("20250805-0001-rawSpeedVol.xml", "a", 1), ("20250805-0001-rawSpeedVol.xml", "a", 2), ("20250805-0001-rawSpeedVol.xml", "b", 3), ("20250805-0001-rawSpeedVol.xml", "c", 4), ("20250805-0002-rawSpeedVol.xml", "b", 5), ("notes.txt", "a", 6), ("notes.txt", "b", 7)]
+    got = cleaning.version_suffix(spark.createDataFrame(rows, "name string, checksum string, position int")).orderBy("position").collect()
+    assert [r.stored_as for r in got] == ["20250805-0001-rawSpeedVol.xml", "20250805-0001_2-rawSpeedVol.xml", "20250805-0001_3-rawSpeedVol.xml", "20250805-0002-rawSpeedVol.xml", "notes.txt", "notes.txt_2"]
+
+
+def test_nearest_cell_equals_brute_force_off_the_grid(spark):
+    rng = random.Random(2)
+    points = [(i, rng.uniform(-900, 900), rng.uniform(-900, 900)) for i in range(60)] + [(90, None, 1.0), (91, 0.49, 0.0)]
+    cells = [(i, rng.uniform(-300, 1500), rng.uniform(-300, 300)) for i in range(25)] + [(40, 1.51, 0.0), (41, 0.49, -1.4), (42, None, 0.0)]
+    frames = spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(cells, "cell_id int, cx double, cy double")
+    want = {i: min(((x - a) ** 2 + (y - b) ** 2, c) for c, a, b in cells if a is not None)[1] for i, x, y in points if x is not None}
+    assert {r.id: r.cell_id for r in align.nearest_cell(*frames, 1.0).collect()} == want
+    assert align.nearest_cell(frames[0], frames[1].limit(0), 1.0).collect() == [] == align.nearest_cell(frames[0].limit(0), frames[1], 1.0).collect()
+
+
+def test_interval_join_by_key_and_clashing_names(spark):
+    points = spark.createDataFrame([(i, i % 2, T(2024, 5, 1, 9, i), "x", 1) for i in range(4)] + [(9, None, T(2024, 5, 1, 9), "x", 1), (10, 1, None, "x", 1)], "id int, own int, time timestamp_ntz, _at string, _hour int")
+    held = spark.createDataFrame([(1, T(2024, 5, 1, 8), T(2024, 5, 1, 9, 2)), (0, T(2024, 5, 1, 9, 2), T(2024, 5, 1, 12))], "theirs int, start timestamp_ntz, end timestamp_ntz")
+    join = lambda how: intervals.interval_join(points, held, how=how, keys={"own": "theirs"})
+    assert sorted(r.id for r in join("inner").collect()) == [1, 2]
+    assert sorted(r.id for r in join("left_anti").collect()) == [0, 3, 9, 10] and join("left_anti").columns == points.columns
+
+
+def test_warning_levels_equal_brute_force(spark):
+    rng = random.Random(8)
+    at = lambda minutes: T(2024, 5, 1) + dt.timedelta(minutes=minutes)
+    signals = [(at(a), at(a + rng.randrange(0, 200)), rng.randrange(1, 4)) for a in (rng.randrange(0, 900) for _ in range(40))]
+    points = [(i, at(rng.randrange(-60, 1200)), "kept") for i in range(150)] + [(7, at(300), "repeated"), (200, None, "no time")]
+    got = intervals.encode_warning(spark.createDataFrame(points, "id int, time timestamp_ntz, _at string"), spark.createDataFrame(signals, "start timestamp_ntz, end timestamp_ntz, level int"), ["id"])
+    want = []
+    for i, t, _ in points:
+        best = max(((level, a) for a, b, level in signals if t is not None and a <= t < b), default=(0, None))
+        want.append((i, best[0], None if best[1] is None else (t - best[1]) // dt.timedelta(minutes=1)))
+    assert sorted(map(str, (tuple(r) for r in got.select("id", "level", "minutes_since").collect()))) == sorted(map(str, want))
+
+
+def test_normalisations_and_regression_on_two(spark):
+    rows = [(d, T(2024, 5, 1) + dt.timedelta(days=k), float(10 * d + k * k)) for d in (1, 2) for k in range(10)]
+    bins = spark.createDataFrame(rows, "detector_id int, bin timestamp_ntz, speed double")
+    week = {(r.detector_id, r.bin): r.ratio for r in study.normalise(bins, how="prev_week").collect()}
+    assert week[1, T(2024, 5, 8)] == 59 / 10 and week[1, T(2024, 5, 7)] is None
+    assert study.normalise(bins, how="raw") is bins
+    with pytest.raises(ValueError):
+        study.normalise(bins, how="other")
+    rng = random.Random(1)
+    data = [(g, a := rng.random(), b := rng.random(), 5 * g + 2 * a - 3 * b) for g in range(4) for _ in range(9)] + [(1, None, 1.0, 2.0)]
+    found = study.within_regression_two(spark.createDataFrame(data, "g int, a double, b double, y double"), "y", "a", "b", "g").first()
+    assert found.n == 36 and abs(found.slope_1 - 2) < 1e-9 and abs(found.slope_2 + 3) < 1e-9
+
+
+def test_ablation_of_a_table_without_rows(spark):
+    rows = spark.createDataFrame([], "detector_id int, level int, speed double")
+    assert sorted(map(tuple, study.ablate(rows, {"default": F.lit(True), "none": F.col("speed") < 0}, "default").collect())) == [("default", 0, None, 0), ("none", 0, None, 0)]
