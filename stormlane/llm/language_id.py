@@ -3,10 +3,12 @@
 Each language has a codeword of bits. One binary classifier per bit, over hashed letter n-grams, says which side of the bit a
 text is on; decoding sums the logistic loss of each codeword over all bits, weighted by how well a bit's classifier does on
 its training rows, and takes the codeword with the smallest loss. Codewords differ in many bits, so some wrong bits are
-corrected. Where the two best codewords are close, the answer is flagged as ambiguous.
+corrected: with more languages the codewords get longer until any two differ in ``distance`` bits or more. Where the two best
+codewords are close, the answer is flagged as ambiguous; of equally good ones the first by name is taken.
 
-Bounds: at most ``rows`` labelled rows are sampled, in equal parts per language and by a hash of their id; their whole texts
-count. The model has ``bits`` classifiers over 2**``hash_bits`` features, whatever the input.
+Bounds: at most ``rows`` labelled rows are sampled, in equal parts per language, those with the least hashes of their id; their
+whole texts count. Only ids whose hash is under a threshold, set by the language's counted rows so that about twice as many
+pass as are wanted, are put in order. The model has ``bits`` classifiers or more over 2**``hash_bits`` features.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormlane.llm.common import is_fold, map_arrow, sql_type, table
+from stormlane.llm.common import checkpointed, is_fold, map_arrow, sql_type, table
 
 UNKNOWN = "und"
 _BLOCK = 1 << 20
@@ -29,6 +31,7 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
 class Settings:
     rows: int = 4000
     bits: int = 15
+    distance: int = 5
     hash_bits: int = 12
     steps: int = 200
     rate: float = 0.05
@@ -62,6 +65,17 @@ def codebook(n: int, bits: int, seed: int = 1) -> np.ndarray:
     return best
 
 
+def enough_bits(n: int, settings: Settings) -> int:
+    """Bits of a codebook for n languages: as few as ``bits`` or, from there in steps of 8, as give ``distance``."""
+    bits = settings.bits
+    while n > 1:
+        codes = codebook(n, bits).astype(int)
+        if int((bits - codes @ codes.T + 2 * bits * np.eye(n, dtype=int)).min()) // 2 >= settings.distance:
+            break
+        bits += 8
+    return bits
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -87,10 +101,11 @@ def ngram_counts(text: str | None, hash_bits: int) -> np.ndarray:
 def fit(features: np.ndarray, languages: list[str], settings: Settings) -> Model:
     """Adam on the logistic loss of all bits at once; rows count so that each language weighs the same."""
     names = sorted(set(languages))
-    codes = codebook(len(names), settings.bits)
-    weights, bias = np.zeros((1 << settings.hash_bits, settings.bits), dtype=np.float32), np.zeros(settings.bits, dtype=np.float32)
+    bits = enough_bits(len(names), settings)
+    codes = codebook(len(names), bits)
+    weights, bias = np.zeros((1 << settings.hash_bits, bits), dtype=np.float32), np.zeros(bits, dtype=np.float32)
     if len(names) < 2:
-        return Model(names, codes, weights, bias, np.ones(settings.bits), settings)
+        return Model(names, codes, weights, bias, np.ones(bits), settings)
     number = np.array([names.index(x) for x in languages])
     target = codes[number].astype(np.float32)
     share = (1 / np.bincount(number)[number] / len(names)).astype(np.float32)[:, None]
@@ -130,9 +145,12 @@ def _features(rows: DataFrame, settings: Settings):
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
     """A model from the rows of ``docs`` that are ``usable`` and have an id, a language and a text with a letter."""
     rows = docs.where(usable).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
-    n = rows.agg(F.count_distinct("lang")).first()[0]
+    counts = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    each = max(1, settings.rows // max(1, counts.count()))
+    place = F.xxhash64("id").cast("double") / F.lit(2.0**64) + 0.5  # from 0 to 1, in the hashes' order
+    some = rows.select("id", "lang").join(F.broadcast(counts), "lang").where(place <= F.lit(2.0 * each + 100) / F.col("n")).select("id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = rows.select("id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, settings.rows // max(1, n))).select("id", "lang").distinct()
+    sample = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("id", "lang")
     found = _features(rows.join(F.broadcast(sample), ["id", "lang"], "left_semi").select("lang", "text"), settings).toArrow().to_pydict()
     features = np.frombuffer(b"".join(found["features"]), dtype=np.float32).reshape(-1, 1 << settings.hash_bits)
     kept = features.any(axis=1)

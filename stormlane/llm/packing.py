@@ -5,8 +5,10 @@ Within a pack group the pieces are placed longest first, each into the open row
 segment tree over the amounts of room finds it in logarithmic time. Rows are written as id matrices (one binary value of
 little-endian uint32 per row, padded), cumulative segment lengths, and positions that start again at every segment.
 
-Texts are dealt into pack groups by a hash of id and text, so a group is about ``group_tokens`` tokens whatever the table's
-size or skew, and each group is packed by one task; what packing apart costs is about one open row per group.
+Texts are dealt into pack groups by a hash of id, text and, for repeated rows, which repeat it is: a function of the rows alone,
+so a group that is computed again after a lost executor has the same rows. A group is about ``group_chars`` characters whatever
+the table's size or skew, and each group is packed by one task; what packing apart costs is about one open row per group. A
+text longer than that is in one group whole, so its task holds that text's ids, four bytes each.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormlane.llm.common import map_arrow, sql_type, table
+from stormlane.llm.common import checkpointed, map_arrow, sql_type, table
 from stormlane.llm.token_lengths import encoder, public_ranks, shared_ranks, well_formed
 
 ROW_TOKENS, GROUP_CHARS, END_ID = 2048, 4_000_000, 50256
+#: Ids of repeated rows up to which they are broadcast against the documents; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 class RoomTree:
@@ -88,11 +92,17 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     shared, id_type = shared_ranks(spark, path, pattern), sql_type(docs, id_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups = max(1, -(-total // group_chars))
-    # A random-free salt: rows with equal id and text are dealt apart by the hash of a running number within their task.
-    dealt = rows.withColumn("pack_group", F.pmod(F.xxhash64("id", F.xxhash64("text"), F.monotonically_increasing_id() % 64), F.lit(groups)).cast("int"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    marks = checkpointed(rows.groupBy("id", "mark").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")))
+    groups = max(1, -(-(marks.agg(F.sum("chars")).first()[0] or 0) // group_chars))
+    often = checkpointed(marks.where("n > 1").select(F.col("id").alias("again"), F.col("mark").alias("again_mark")))
+    rows = rows.withColumn("copy", F.lit(1))
+    if not often.isEmpty():
+        near = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+        same = F.col("id").eqNullSafe(F.col("again")) & (F.col("mark") == F.col("again_mark"))
+        copies = rows.join(near, same, "left_semi").groupBy("id", "text", "mark").agg(F.count("*").cast("int").alias("n"))
+        rows = rows.join(near, same, "left_anti").unionByName(copies.select("id", "text", "mark", F.explode(F.sequence(F.lit(1), "n")).alias("copy")))
+    dealt = rows.select("id", "text", F.pmod(F.xxhash64("id", "mark", "copy"), F.lit(groups)).cast("int").alias("pack_group"))
 
     def encoded(batches):
         encode, _ = encoder(shared)

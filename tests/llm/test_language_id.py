@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -62,3 +63,47 @@ def test_held_out_accuracy(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
     held = got[got.held_out].merge(truth, on="doc_id")
     assert (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
+
+
+def test_codewords_grow_with_the_languages():
+    for n in (4, 20, 60):
+        bits = li.enough_bits(n, li.Settings())
+        codes = li.codebook(n, bits).astype(int)
+        apart = (bits - codes @ codes.T) // 2
+        assert apart[~np.eye(n, dtype=bool)].min() >= 5 and (bits == 15) == (n == 4)
+
+
+def plain_counts(text, hash_bits):
+    """Square roots of hashed counts of 1- to 3-grams, gram by gram."""
+    a, b, c = (int(x) for x in li._FACTORS)
+    signs = [32 if ord(x) < 128 and not "a" <= x <= "z" else ord(x) for x in text.lower()]
+    counts, mask = [0] * (1 << hash_bits), (1 << 32) - 1
+    for at in range(len(signs)):
+        gram = signs[at] * a & mask
+        counts[gram >> 32 - hash_bits] += 1
+        if at + 1 < len(signs):
+            gram = (gram ^ (signs[at + 1] * b & mask)) * c & mask
+            counts[gram >> 32 - hash_bits] += 1
+        if at + 2 < len(signs):
+            gram = (gram ^ (signs[at + 2] * a & mask)) * b & mask
+            counts[gram >> 32 - hash_bits] += 1
+    return [n**0.5 / sum(counts) ** 0.5 for n in counts]
+
+
+def test_query_equals_plain_decoding(spark):
+    """Every row of the small tables, scored bit by bit and codeword by codeword from the same model."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = li.train(docs, ~li.is_fold(F.col("doc_id"), 4, 2))
+    got = {r.doc_id: r for r in li.op3_language_id(spark, sf).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        counts = plain_counts(r.text, 12)
+        used = [i for i, x in enumerate(counts) if x]
+        outputs = [sum(counts[i] * float(model.weights[i, k]) for i in used) + float(model.bias[k]) for k in range(len(model.bias))]
+        losses = [sum(w * math.log1p(math.exp(-o * int(c))) for w, o, c in zip(model.bit_weights, outputs, code)) for code in model.codes]
+        odds = [math.exp(min(losses) - x) for x in losses]
+        assert model.languages[losses.index(min(losses))] == got[r.doc_id].lang_pred
+        assert abs(max(odds) / sum(odds) - got[r.doc_id].score) < 1e-4

@@ -110,3 +110,44 @@ def test_query_on_small_tables(spark):
     got = {r.doc_id: list(r.section_tokens) for r in token_counts.op6_token_counts(spark, "/root/testdata/sf0.001").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     assert got == {r.doc_id: plain_counts(r.text, "first") for r in docs}
+
+
+def plain_rows(names, tokens, capacity):
+    """Best fit decreasing by looking at every open row; of rows with equal room the one that got it last."""
+    pieces = [(n, at, t[at : at + capacity]) for n, t in sorted(zip(names, tokens), key=lambda x: (str(x[0]), np.array(x[1], dtype="<u4").tobytes())) for at in range(0, len(t), capacity)]
+    rows, room, touched = [], [], []
+    for step, piece in enumerate(sorted(pieces, key=lambda p: -len(p[2]))):
+        fits = [(room[r], -touched[r], r) for r in range(len(rows)) if room[r] >= len(piece[2])]
+        r = min(fits)[2] if fits else len(rows)
+        if r == len(rows):
+            rows.append([])
+            room.append(capacity)
+            touched.append(0)
+        rows[r].append(piece)
+        room[r] -= len(piece[2])
+        touched[r] = step
+    return rows
+
+
+def test_query_rows_equal_plain_packing(spark):
+    """Every packed row of the small tables, from the documents of its group."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    groups = {}
+    for r in packing.op2_token_id_binary_output(spark, sf).collect():
+        groups.setdefault(r.pack_group, {})[r.row] = r
+    for packed in groups.values():
+        names = sorted({s.id for r in packed.values() for s in r.segments})
+        want = plain_rows(names, [[*ENCODE(texts[n] or ""), packing.END_ID] for n in names], packing.ROW_TOKENS)
+        assert sorted(packed) == list(range(len(want)))
+        for number, pieces in enumerate(want):
+            ids = [t for _, _, p in pieces for t in p]
+            assert np.frombuffer(packed[number].ids, dtype="<u4").tolist() == ids + [packing.END_ID] * (packing.ROW_TOKENS - len(ids))
+            assert [(s.id, s.start, s.end) for s in packed[number].segments] == [(n, at, at + len(p)) for n, at, p in pieces]
+            assert list(packed[number].cu_seqlens) == [0, *np.cumsum([len(p) for _, _, p in pieces]).tolist()]
+
+
+def test_dealing_does_not_depend_on_the_partitions(spark):
+    rows = spark.createDataFrame([(i % 7, f"text {i % 7} " * 40, None, None) for i in range(300)] + [(None, None, None, None)] * 5, SCHEMA)
+    packed = lambda n: sorted((r.pack_group, r.row, bytes(r.ids)) for r in packing.pack(rows.repartition(n), *public_ranks(), group_chars=5000).collect())
+    assert packed(1) == packed(5)
