@@ -188,7 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Callable[[Colu
     """A model of ``label``, from docs (id, text) and labels (id and the 0/1 column ``label``) whose ids are ``usable``.
 
     Null ids, null labels and labels without a document teach nothing; an id with several labels counts as its largest. The
-    prior, unless given, is the share of ones among the usable labels. Without positives the model is the prior alone.
+    prior, unless given, is the share of ones among the usable labels. That is an unbiased estimate only where labels were
+    given without regard to what they say; where ones were labelled more eagerly than zeros it is too high, and scores with it.
+    Without positives the model is the prior alone. The hashes of the distinct words of at most ``positives`` and
+    ``unlabelled`` texts go to the driver, eight bytes each.
     """
     known = labels.where(F.col("id").isNotNull() & F.col(label).isNotNull() & usable(F.col("id"))).groupBy("id").agg(F.max(label).alias("label"))
     known = known.join(docs.where("text is not null").select("id").distinct(), "id", "left_semi")

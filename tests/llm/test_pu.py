@@ -66,3 +66,33 @@ def test_held_out_accuracy(spark, query, label, mod, rest, least):
     assert ((got.score >= 0.5).astype(int) == got.predicted).all()
     held = got[got.held_out].merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
     assert (held.predicted == held[label]).mean() >= least
+
+
+def test_toxic_texts_are_found_and_clean_ones_left_alone(spark):
+    """Most labels are 0, so the share of right answers says little: of the held-out rows, how many of each kind."""
+    sf = "/root/testdata/sf0.1"
+    got = pu.op7_toxicity(spark, sf).toPandas()
+    held = got[got.held_out].merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
+    toxic, clean = held[held.toxic == 1], held[held.toxic == 0]
+    assert len(toxic) > 50 and toxic.predicted.mean() >= 0.8 and clean.predicted.mean() <= 0.02
+
+
+def plain_score(text, model, task):
+    """The score of a text from the model's weights, word by word."""
+    weight = dict(zip(model.ids.tolist(), model.weights.tolist()))
+    if task is pu.TOXICITY:
+        stripped = {w.strip(pu._EDGES) for w in (text or "").lower().split()} - {""}
+        found = {pu._id("w", w) for w in stripped}
+    else:
+        found = set(pu.quality_features(text, pu.ending_features))
+    return 1 / (1 + np.exp(-(model.bias + sum(weight.get(i, 0.0) for i in found))))
+
+
+@pytest.mark.parametrize(("query", "fit", "task"), [(pu.op7_toxicity, pu.toxicity_model, pu.TOXICITY), (pu.op10_quality_classifier, pu.quality_model, pu.QUALITY)])
+def test_query_scores_equal_plain_scores(spark, query, fit, task):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in query(spark, sf).collect():
+        assert r.score == pytest.approx(plain_score(texts[r.doc_id], model, task), abs=1e-9) and r.predicted == (r.score >= 0.5)
