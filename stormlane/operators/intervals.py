@@ -33,9 +33,10 @@ def merge_intervals(df: DataFrame, keys: list[str] | None = None, max_gap: str =
 
 
 def merge_sessions(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The same by session windows, as streams do it; intervals of no length are left out."""
-    some = df.where("end > start").withColumn("time", F.col("start").cast("timestamp")).withColumn("seconds", F.expr("timestampdiff(SECOND, start, end)"))
-    window = F.session_window("time", F.concat(F.col("seconds").cast("string"), F.lit(" seconds")))
+    """The same by session windows, to the microsecond, as streams do it; intervals of no length, and those with a null start or
+    end, are left out."""
+    some = df.where("end > start").withColumn("time", F.col("start").cast("timestamp")).withColumn("lasts", F.expr("timestampdiff(MICROSECOND, start, end)"))
+    window = F.session_window("time", F.concat(F.col("lasts").cast("string"), F.lit(" microseconds")))
     merged = some.groupBy(*keys, window.alias("w")).agg(F.max("level").alias("max_level"), F.count("*").alias("n_signals"))
     return merged.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "max_level", "n_signals")
 

@@ -229,3 +229,9 @@ def test_normalisations_and_regression_on_two(spark):
 def test_ablation_of_a_table_without_rows(spark):
     rows = spark.createDataFrame([], "detector_id int, level int, speed double")
     assert sorted(map(tuple, study.ablate(rows, {"default": F.lit(True), "none": F.col("speed") < 0}, "default").collect())) == [("default", 0, None, 0), ("none", 0, None, 0)]
+
+
+def test_sessions_keep_fractions_of_seconds(spark):
+    at = lambda second, micro=0: T(2024, 5, 1, 9, 0, second, micro)
+    rows = spark.createDataFrame([(1, at(0), at(10, 600_000), 1), (1, at(10, 600_000), at(20), 2), (1, at(30), at(30), 3), (2, None, at(1), 1)], "detector_id int, start timestamp_ntz, end timestamp_ntz, level int")
+    assert [tuple(r) for r in intervals.merge_sessions(rows, ["detector_id"]).collect()] == [(1, at(0), at(20), 2, 2)]
