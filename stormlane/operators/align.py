@@ -156,6 +156,47 @@ def rain_slots(rain: DataFrame, how: str = "mid") -> DataFrame:
     return rain.select("district", "hour", rain_value(how).alias("rain"), shifts).select("district", (F.col("hour") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("_k") * 15)).alias("slot"), "rain")
 
 
+def align_rain(rain: DataFrame, how: str = "slots", value: str = "mid", max_gap: int = 3) -> DataFrame:
+    """(district, slot, rain): hourly values on quarter hours. slots: the four slots of the period that ends at HH:45; ffill: from
+    the hour on until the district's next value; linear: along the line between hours, gaps of over ``max_gap`` slots staying null.
+    """
+    if how == "slots":
+        return rain_slots(rain, value)
+    hourly = rain.select("district", F.col("hour").alias("slot"), rain_value(value).cast("double").alias("rain"))
+    filled = {"ffill": lambda: fill(hourly, ["district"], "slot", "rain", "15 minutes"), "linear": lambda: fill_linear(hourly, ["district"], "slot", "rain", "15 minutes", max_gap)}[how]()
+    return filled.select("district", "slot", F.col("filled").alias("rain"))
+
+
+def coverage_daily(readings: DataFrame, expected: int = 2880, period: str = "time") -> DataFrame:
+    """Per detector and day the distinct periods present and their share of those expected; days without a reading have no row."""
+    present = readings.groupBy("detector_id", F.to_date("time").alias("date")).agg(F.count_distinct(period).alias("present"))
+    return present.withColumn("share", F.col("present") / F.lit(expected))
+
+
+def territory_join(readings: DataFrame, rain: DataFrame) -> DataFrame:
+    """Each reading (with column hour) and the highest rain of any district in its hour; null in hours without a bulletin."""
+    return readings.join(sized(territory_rain(rain).withColumnRenamed("rain", "territory_rain")), "hour", "left")
+
+
+def segment_route(segments: DataFrame, routes: DataFrame, centreline: DataFrame) -> DataFrame:
+    """Per route the segment readings, those on the centreline, and their share. routes: (segment_id, route); centreline: ids.
+
+    Readings of segments without a route count under a null route.
+    """
+    known = centreline.select("segment_id").distinct().withColumn("known", F.lit(1))
+    joined = segments.join(sized(routes), "segment_id", "left").join(sized(known), "segment_id", "left")
+    counts = joined.groupBy("route").agg(F.count("*").alias("n"), F.count("known").alias("n_matched"))
+    return counts.withColumn("match_rate", F.col("n_matched") / F.col("n"))
+
+
+def grid_to_district(grid: DataFrame, dim: DataFrame, size: float) -> DataFrame:
+    """Mean and largest rain per district and end time of nowcast cells (cell_id, cx, cy, ending, rain), each detector's district
+    taking the cell nearest to it (see ``nearest_cell``), a cell once per district."""
+    near = nearest_cell(dim.select(F.col("detector_id").alias("id"), "x", "y"), grid.select("cell_id", "cx", "cy").distinct(), size)
+    owned = dim.join(near, dim["detector_id"] == near["id"]).select("district", "cell_id").distinct()
+    return grid.join(owned, "cell_id").groupBy("district", "ending").agg(F.avg("rain").alias("mean_rain"), F.max("rain").alias("max_rain"))
+
+
 def rain_lags(rain: DataFrame, lags: tuple = (1, 2), how: str = "mid") -> DataFrame:
     """Each hour's value with those of the hours before, by time and not by row: an absent hour gives null."""
     base = rain.select("district", "hour", rain_value(how).alias("rain"))

@@ -231,8 +231,34 @@ for _m in (5, 15, 60):
 
 @query("coverage_daily", "readings", "SELECT detector_id, CAST(time AS DATE) AS date, count(DISTINCT date_trunc('minute', time)) AS present, round(count(DISTINCT date_trunc('minute', time)) / 1440.0, 6) AS share FROM readings GROUP BY ALL")
 def coverage_daily(v: Views) -> DataFrame:
-    present = v.readings.groupBy("detector_id", F.to_date("time").alias("date")).agg(F.count_distinct(F.date_trunc("minute", "time")).alias("present"))
-    return present.withColumn("share", F.round(F.col("present") / 1440, 6))
+    minutes = v.readings.withColumn("minute", F.date_trunc("minute", "time"))
+    return align.coverage_daily(minutes, 1440, "minute").withColumn("share", F.round("share", 6))
+
+
+@query("territory_join", "readings rain", "SELECT event_id, t.rain AS territory_rain FROM readings LEFT JOIN (SELECT hour, max(max_mm) AS rain FROM rain GROUP BY hour) t ON t.hour = date_trunc('hour', time)")
+def territory_join(v: Views) -> DataFrame:
+    return align.territory_join(v.readings.withColumn("hour", F.date_trunc("hour", "time").cast("timestamp_ntz")), v.rain).select("event_id", "territory_rain")
+
+
+@query("segment_match_rate", "", "SELECT p_brand AS route, count(*) AS n, count(s_suppkey) AS n_matched, round(count(s_suppkey) / count(*), 6) AS match_rate FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 10 LEFT JOIN supplier ON l_partkey = s_suppkey AND s_acctbal > 0 GROUP BY p_brand")
+def segment_match_rate(v: Views) -> DataFrame:
+    segments = v.table("lineitem").select(F.col("l_partkey").alias("segment_id"))
+    routes = v.table("part").where("p_size > 10").select(F.col("p_partkey").alias("segment_id"), F.col("p_brand").alias("route"))
+    centre = v.table("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("segment_id"))
+    return align.segment_route(segments, routes, centre).withColumn("match_rate", F.round("match_rate", 6))
+
+
+@query("grid_to_district", "detectors", ", g AS (SELECT s_suppkey AS cell_id, s_acctbal AS cx, CAST(s_suppkey % 100 AS DOUBLE) AS cy FROM supplier), o AS (SELECT DISTINCT district, cell_id FROM (SELECT district, cell_id, row_number() OVER (PARTITION BY detector_id ORDER BY (x - cx) ** 2 + (y - cy) ** 2, cell_id) AS k FROM detectors, g) WHERE k = 1) SELECT district, l_shipdate AS ending, round(avg(l_quantity), 6) AS mean_rain, CAST(max(l_quantity) AS DOUBLE) AS max_rain FROM lineitem JOIN o ON l_suppkey = cell_id GROUP BY ALL")
+def grid_to_district(v: Views) -> DataFrame:
+    cells = v.table("supplier").select(F.col("s_suppkey").alias("cell_id"), F.col("s_acctbal").alias("cx"), (F.col("s_suppkey") % 100).cast("double").alias("cy"))
+    values = v.table("lineitem").select(F.col("l_suppkey").alias("cell_id"), F.col("l_shipdate").alias("ending"), F.col("l_quantity").cast("double").alias("rain"))
+    return align.grid_to_district(values.join(cells, "cell_id"), v.detectors, 50.0).withColumn("mean_rain", F.round("mean_rain", 6))
+
+
+for _how, _sql in (("ffill", "last_value(rain IGNORE NULLS) OVER (PARTITION BY district ORDER BY slot ROWS UNBOUNDED PRECEDING)"), ("linear", "coalesce(rain, CASE WHEN nk - pk <= 4 THEN pv + (nv - pv) * (k - pk) / (nk - pk) END)")):
+    query(f"rain_{_how}", "rain", f", h AS (SELECT district, hour AS slot, CAST((min_mm + max_mm) / 2.0 AS DOUBLE) AS rain FROM rain), s AS (SELECT district, slot, rain, row_number() OVER (PARTITION BY district ORDER BY slot) AS k FROM (SELECT district, unnest(generate_series(min(slot), max(slot), INTERVAL 15 minutes)) AS slot FROM h GROUP BY district) LEFT JOIN h USING (district, slot)), f AS (SELECT *, last_value(CASE WHEN rain IS NOT NULL THEN k END IGNORE NULLS) OVER b AS pk, last_value(rain IGNORE NULLS) OVER b AS pv, first_value(CASE WHEN rain IS NOT NULL THEN k END IGNORE NULLS) OVER a AS nk, first_value(rain IGNORE NULLS) OVER a AS nv FROM s WINDOW b AS (PARTITION BY district ORDER BY slot ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY district ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT district, slot, round({_sql}, 6) AS rain FROM f")(
+        lambda v, how=_how: align.align_rain(v.rain, how).select("district", "slot", _r("rain"))
+    )
 
 
 @query("baseline_median", "readings holidays", "SELECT detector_id, CASE WHEN h.date IS NOT NULL THEN 'holiday' WHEN isodow(time) >= 6 THEN 'weekend' ELSE 'working' END AS day_type, CAST(hour(time) // 6 AS INTEGER) AS slot, round(median(speed), 6) AS baseline FROM readings LEFT JOIN holidays h ON h.date = CAST(time AS DATE) GROUP BY ALL")

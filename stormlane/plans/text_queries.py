@@ -56,6 +56,11 @@ def _signal_logs(v: Views) -> DataFrame:
 _LOGGED = """SELECT level, CASE level WHEN 1 THEN 'Amber' WHEN 2 THEN 'Red' ELSE 'Black' END AS level_name, date_trunc('minute', "start") AS "start", date_trunc('minute', "end") AS "end", CAST(date_diff('minute', date_trunc('minute', "start"), date_trunc('minute', "end")) AS BIGINT) AS duration_min, day("start") > 25 AS provisional FROM signals"""
 
 
+@query("parse_signals_counters", "signals", """SELECT strftime("start", '%Y-%m') AS month, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_rejected FROM signals GROUP BY ALL""")
+def parse_signals_counters(v: Views) -> DataFrame:
+    return parse.signal_counters(_signal_logs(v), "month")
+
+
 @query("parse_signals", "signals", _LOGGED)
 def parse_signals(v: Views) -> DataFrame:
     return parse.read_signals(_signal_logs(v)).select("level", "level_name", "start", "end", "duration_min", "provisional")
@@ -217,13 +222,7 @@ def member_name(v: Views) -> DataFrame:
 
 def _scratch(v: Views) -> str:
     """A new folder in the checkpoint folder that the session names."""
-    sc = v.spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or f"/tmp/spark-{uuid.uuid4().hex}")
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    return f"{tables.shared_folder(v.spark)}/{uuid.uuid4().hex}"
 
 
 @query("roundtrip_episodes", "episodes", """SELECT episode_id, date_trunc('minute', "start") AS "start", date_trunc('minute', "end") AS "end", max_level, n_signals, provisional FROM episodes""")
@@ -284,6 +283,14 @@ def plan_totals(v: Views) -> DataFrame:
     return catalog.plan_totals(_sized_tasks(v))
 
 
+@query("plan_pending", "", f"WITH {_ENTRIES}, {_SIZED} SELECT url, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (size IS NULL) AS n_unknown FROM z WHERE NOT (kind = 'day' AND right(item, 1) IN ('0', '2', '4', '6', '8')) GROUP BY ROLLUP (url)")
+def plan_pending(v: Views) -> DataFrame:
+    """Totals of what is still to do where the outputs of even days are present."""
+    tasks = _sized_tasks(v)
+    done = tasks.where("kind = 'day' and right(item, 1) in ('0', '2', '4', '6', '8')")
+    return catalog.plan_totals(catalog.pending(tasks, done, ["url", "kind", "item"]))
+
+
 @query("sampled_estimate", "", "SELECT url, n, round(CASE WHEN n > 20 THEN m * n ELSE s END, 4) AS bytes FROM (SELECT url, count(*) AS n, sum(size) AS s, avg(size) FILTER (place <= 5) AS m FROM (SELECT l_suppkey AS url, l_partkey AS size, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey % 97, l_orderkey, l_linenumber) AS place FROM lineitem) GROUP BY url)")
 def sampled_estimate(v: Views) -> DataFrame:
     tasks = v.table("lineitem").select(F.col("l_suppkey").alias("url"), F.col("l_partkey").alias("size"), "l_orderkey", "l_linenumber")

@@ -35,6 +35,23 @@ def read_signals(files: DataFrame, content: str = "content") -> DataFrame:
     return rows.withColumn("level_name", level_name(F.col("level"))).withColumn("duration_min", F.expr("timestampdiff(MINUTE, start, end)"))
 
 
+def signal_rejects(files: DataFrame, content: str = "content") -> DataFrame:
+    """The lines of rainstorm logs that ``read_signals`` leaves out, marker and blank lines apart: the other columns of the file,
+    the fields, and why: code (not one of the three) or fields (fewer than eleven)."""
+    f = F.col("fields")
+    code = F.get(f, F.lit(0)).isin("A", "R", "B")
+    reason = F.when(~code, "code").when(F.size(f) < 11, "fields")
+    return _log_lines(files, content).drop("provisional").withColumn("reason", reason).where("reason is not null")
+
+
+def signal_counters(files: DataFrame, file_col: str, content: str = "content") -> DataFrame:
+    """Per file (named by ``file_col``) the lines that became rows and those that were rejected; a file without either has zeros."""
+    f = F.col("fields")
+    good = F.get(f, F.lit(0)).isin("A", "R", "B") & (F.size(f) >= 11)
+    lines = _log_lines(files.select(file_col, content), content).groupBy(file_col).agg(F.count_if(good).alias("n_rows"), F.count_if(~good).alias("n_rejected"))
+    return files.select(file_col).distinct().join(lines, file_col, "left").fillna(0, ["n_rows", "n_rejected"])
+
+
 def read_tc(files: DataFrame, content: str = "content") -> DataFrame:
     """Cyclone signals: tc_code, name, intensity, signal, direction, start, end, provisional. Lines of fewer than fifteen fields
     or of intensity MSN are left out; a name of NIL is empty."""
