@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormlane.sources.tables import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, set from ``spark.checkpoint.dir`` if it isn't set yet.
-
-    Where the setting is absent a temporary folder serves, but only in local mode, where driver and tasks share it.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read back: lineage ends here, and lost executors cost no more than what follows."""
     shared_folder(df.sparkSession)
