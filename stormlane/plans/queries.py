@@ -121,16 +121,12 @@ def quality_report(v: Views) -> DataFrame:
     return cleaning.quality_report(v.readings)
 
 
-_KEPT = "r WHERE CAST(time AS DATE) NOT IN (SELECT date FROM holidays) AND NOT EXISTS (SELECT 1 FROM storms s WHERE time >= s.\"start\" AND time < s.\"end\")"
+_KEPT = "r WHERE CAST(time AS DATE) NOT IN (SELECT date FROM holidays) AND NOT EXISTS (SELECT 1 FROM cyclones s WHERE time >= s.\"start\" AND time < s.\"end\")"
 
 
-def _storms(v: Views) -> DataFrame:
-    return v.cyclones.where("end - start > interval '300' minute")
-
-
-@query("exclude_confounders", "readings holidays storms", f"SELECT event_id FROM readings {_KEPT}")
+@query("exclude_confounders", "readings holidays cyclones", f"SELECT event_id FROM readings {_KEPT}")
 def exclude_confounders(v: Views) -> DataFrame:
-    return align.exclude_days(v.readings, v.days, _storms(v)).select("event_id")
+    return align.exclude_days(v.readings, v.days, v.cyclones).select("event_id")
 
 
 @query("exclude_incidents", "readings", """SELECT event_id FROM readings r WHERE NOT EXISTS (SELECT 1 FROM (SELECT detector_id, min(time) AS "start", coalesce(min(time) FILTER (lane_id = 'purchase'), min(time) + INTERVAL 1 day) AS "end" FROM readings WHERE lane_id IN ('error', 'purchase') GROUP BY detector_id, CAST(time AS DATE)) i WHERE time >= i."start" AND time < i."end" AND i.detector_id = r.detector_id)""")
@@ -322,79 +318,63 @@ def collapse_days(v: Views) -> DataFrame:
     return intervals.collapse_runs(v.events.select(F.col("user_id").alias("k"), F.to_date("ts").alias("date")), ["k"], "date", "day")
 
 
-def _thin(v: Views) -> DataFrame:
-    return v.signals.where("level = 3 and end - start > interval '150' minute")
-
-
 _TOUCHED = """SELECT *, CAST(unnest(generate_series(CAST("start" - INTERVAL {pad} hours AS DATE), CAST("end" + INTERVAL {pad} hours AS DATE), INTERVAL 1 day)) AS DATE) AS date FROM {source}"""
-_EVENTS = f"SELECT date, list_sort(list(DISTINCT episode_id)) AS ids, max(max_level) AS max_level FROM ({_TOUCHED.format(pad=3, source='thin_episodes')}) GROUP BY date"
-_EXCLUDED = f"SELECT date FROM ({_TOUCHED.format(pad=0, source='thin_episodes')}) UNION SELECT date FROM ({_TOUCHED.format(pad=0, source='storms')})"
-
-
-@query("event_days", "thin_episodes", f"SELECT date, array_to_string(ids, ' ') AS episode_ids, max_level FROM ({_EVENTS})")
-def event_days(v: Views) -> DataFrame:
-    return days.event_days(intervals.merge_intervals(_thin(v))).withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), " "))
-
-
-@query("excluded_days", "thin_episodes storms", _EXCLUDED)
-def excluded_days(v: Views) -> DataFrame:
-    return days.excluded_days(intervals.merge_intervals(_thin(v)), _storms(v))
-
-
+_EVENTS = f"SELECT date, list_sort(list(DISTINCT episode_id)) AS ids, max(max_level) AS max_level FROM ({_TOUCHED.format(pad=3, source='episodes')}) GROUP BY date"
+_BLACK = _EVENTS.replace("FROM episodes", "FROM (SELECT * FROM episodes WHERE max_level >= 3)")
+_EXCLUDED = f"SELECT date FROM ({_TOUCHED.format(pad=0, source='episodes')}) UNION SELECT date FROM ({_TOUCHED.format(pad=0, source='cyclones')})"
 _SELECTED = f"""(SELECT date, 'event' AS role, array_to_string(ids, ' ') AS episode_ids, max_level FROM ev UNION ALL SELECT date, 'control', '', 0 FROM (SELECT DISTINCT CAST(date - CAST(7 * k AS INTEGER) AS DATE) AS date FROM ev, range(1, 3) t(k)) WHERE date NOT IN (SELECT date FROM ev) AND date NOT IN ({_EXCLUDED}))"""
+_MANIFEST = f"SELECT date, role, episode_ids, max_level, CASE max_level WHEN 1 THEN 'Amber' WHEN 2 THEN 'Red' WHEN 3 THEN 'Black' ELSE '' END AS max_level_name FROM {_SELECTED}"
+_ROLES = f"SELECT count(*) FILTER (role = 'event') AS n_event, count(*) FILTER (role = 'control') AS n_control FROM {_SELECTED}"
+_STUDIED = "WHERE date >= DATE '2023-12-01'"
 
 
-def _selected(v: Views) -> DataFrame:
-    return days.select_days(intervals.merge_intervals(_thin(v)), _storms(v), (2023, 2025), since="2023-12-01")
-
-
-@query("select_days", "thin_episodes storms", f", ev AS ({_EVENTS}) SELECT date, role, episode_ids, max_level, CASE max_level WHEN 1 THEN 'Amber' WHEN 2 THEN 'Red' WHEN 3 THEN 'Black' ELSE '' END AS max_level_name FROM {_SELECTED} WHERE date >= DATE '2023-12-01'")
-def select_days(v: Views) -> DataFrame:
-    return _selected(v).withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), " "))
-
+def _ids_as_text(found: DataFrame) -> DataFrame:
+    return found.withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), " "))
 
-@query("role_counts", "thin_episodes storms", f", ev AS ({_EVENTS}) SELECT count(*) FILTER (role = 'event') AS n_event, count(*) FILTER (role = 'control') AS n_control FROM {_SELECTED} WHERE date >= DATE '2023-12-01'")
-def role_counts(v: Views) -> DataFrame:
-    return days.role_counts(_selected(v))
 
-
-# The four queries above know a few long Black signals and long cyclones only; these take every signal and every cyclone.
-def _whole_sql(sql: str) -> str:
-    return sql.replace("thin_episodes", "episodes").replace("storms", "cyclones")
+def _selected(v: Views, min_level: int = 1, years: tuple = (2023, 2025), since: str = "2023-12-01") -> DataFrame:
+    """Over every signal and every cyclone; years and first day are those of the study unless given."""
+    return days.select_days(intervals.merge_intervals(v.signals), v.cyclones, years, min_level=min_level, since=since)
 
 
 _EVERY = {"years": (1, 9999), "since": "0001-01-01"}
-_BLACK = _EVENTS.replace("thin_episodes", "(SELECT * FROM episodes WHERE max_level >= 3)")
-_MANIFEST = f"SELECT date, role, episode_ids, max_level, CASE max_level WHEN 1 THEN 'Amber' WHEN 2 THEN 'Red' WHEN 3 THEN 'Black' ELSE '' END AS max_level_name FROM {_whole_sql(_SELECTED)}"
 
 
-def _selected_all(v: Views, min_level: int = 1) -> DataFrame:
-    return days.select_days(intervals.merge_intervals(v.signals), v.cyclones, min_level=min_level, **_EVERY)
+@query("event_days_all", "episodes", f"SELECT date, array_to_string(ids, ' ') AS episode_ids, max_level FROM ({_EVENTS})")
+@query("event_days", "episodes", f"SELECT date, array_to_string(ids, ' ') AS episode_ids, max_level FROM ({_EVENTS})")
+def event_days(v: Views) -> DataFrame:
+    return _ids_as_text(days.event_days(intervals.merge_intervals(v.signals)))
 
 
-@query("event_days_all", "episodes", f"SELECT date, array_to_string(ids, ' ') AS episode_ids, max_level FROM ({_whole_sql(_EVENTS)})")
-def event_days_all(v: Views) -> DataFrame:
-    return days.event_days(intervals.merge_intervals(v.signals)).withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), " "))
+@query("excluded_days_all", "episodes cyclones", _EXCLUDED)
+@query("excluded_days", "episodes cyclones", _EXCLUDED)
+def excluded_days(v: Views) -> DataFrame:
+    return days.excluded_days(intervals.merge_intervals(v.signals), v.cyclones)
 
 
-@query("excluded_days_all", "episodes cyclones", _whole_sql(_EXCLUDED))
-def excluded_days_all(v: Views) -> DataFrame:
-    return days.excluded_days(intervals.merge_intervals(v.signals), v.cyclones)
+@query("select_days", "episodes cyclones", f", ev AS ({_EVENTS}) {_MANIFEST} {_STUDIED}")
+def select_days(v: Views) -> DataFrame:
+    return _ids_as_text(_selected(v))
 
 
-@query("select_days_all", "episodes cyclones", f", ev AS ({_whole_sql(_EVENTS)}) {_MANIFEST}")
+@query("select_days_all", "episodes cyclones", f", ev AS ({_EVENTS}) {_MANIFEST}")
 def select_days_all(v: Views) -> DataFrame:
-    return _selected_all(v).withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), " "))
+    return _ids_as_text(_selected(v, **_EVERY))
 
 
 @query("select_days_black", "episodes cyclones", f", ev AS ({_BLACK}) {_MANIFEST}")
 def select_days_black(v: Views) -> DataFrame:
-    return _selected_all(v, min_level=3).withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), " "))
+    return _ids_as_text(_selected(v, 3, **_EVERY))
+
+
+@query("role_counts", "episodes cyclones", f", ev AS ({_EVENTS}) {_ROLES} {_STUDIED}")
+def role_counts(v: Views) -> DataFrame:
+    return days.role_counts(_selected(v))
 
 
-@query("role_counts_all", "episodes cyclones", f", ev AS ({_whole_sql(_EVENTS)}) SELECT count(*) FILTER (role = 'event') AS n_event, count(*) FILTER (role = 'control') AS n_control FROM {_whole_sql(_SELECTED)}")
+@query("role_counts_all", "episodes cyclones", f", ev AS ({_EVENTS}) {_ROLES}")
 def role_counts_all(v: Views) -> DataFrame:
-    return days.role_counts(_selected_all(v))
+    return days.role_counts(_selected(v, **_EVERY))
 
 
 @query("episodes_pivot", "episodes", "SELECT CAST(year(\"start\") AS INTEGER) AS year, count(*) FILTER (max_level = 1) AS amber, count(*) FILTER (max_level = 2) AS red, count(*) FILTER (max_level = 3) AS black FROM episodes GROUP BY ALL")

@@ -93,16 +93,13 @@ SQL = {
     "clean": """SELECT event_id, time, detector_id, lane_id, CASE WHEN volume <> 0 THEN speed END AS speed, occupancy, volume FROM readings WHERE valid = 'Y' AND speed BETWEEN 0 AND 130 AND occupancy BETWEEN 0 AND 100""",
     "six": """SELECT detector_id, time_bucket(INTERVAL 6 hours, time) AS bin, count(*) AS n, avg(speed) AS speed, avg(occupancy) AS occupancy, sum(volume) AS volume FROM clean GROUP BY ALL""",
     "episodes": """SELECT CAST(row_number() OVER (ORDER BY "start") AS INTEGER) AS episode_id, * FROM (SELECT min("start") AS "start", max("end") AS "end", max(level) AS max_level, count(*) AS n_signals, bool_or(provisional) AS provisional FROM (SELECT *, sum(opens) OVER (ORDER BY "start", signal_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN "start" <= max("end") OVER (ORDER BY "start", signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM signals)) GROUP BY island)""",
-    "thin": """SELECT * FROM signals WHERE level = 3 AND "end" - "start" > INTERVAL 150 minutes""",
-    "thin_episodes": """SELECT CAST(row_number() OVER (ORDER BY "start") AS INTEGER) AS episode_id, * FROM (SELECT min("start") AS "start", max("end") AS "end", max(level) AS max_level, count(*) AS n_signals, bool_or(provisional) AS provisional FROM (SELECT *, sum(opens) OVER (ORDER BY "start", signal_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN "start" <= max("end") OVER (ORDER BY "start", signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM thin)) GROUP BY island)""",
-    "storms": """SELECT * FROM cyclones WHERE "end" - "start" > INTERVAL 300 minutes""",
     "levels": """SELECT r.*, coalesce(w.level, 0) AS level, (epoch_us(r.time) - epoch_us(w."start")) // 60000000 AS minutes_since FROM readings r LEFT JOIN (SELECT event_id, max(struct_pack(level := level, "start" := s."start")).level AS level, max(struct_pack(level := level, "start" := s."start"))."start" AS "start" FROM readings JOIN signals s ON time >= s."start" AND time < s."end" GROUP BY event_id) w USING (event_id)""",
     "baseline": """SELECT detector_id, median(speed) AS baseline FROM levels WHERE level = 0 AND valid = 'Y' AND volume <> 0 AND speed BETWEEN 0 AND 130 GROUP BY detector_id""",
     "ratios": """SELECT l.*, speed / nullif(baseline, 0) AS ratio FROM levels l JOIN baseline USING (detector_id) WHERE valid = 'Y' AND volume <> 0 AND speed BETWEEN 0 AND 130""",
     "sensitive": """SELECT detector_id, level, count(*) AS n, median(ratio) - 1 AS sensitivity FROM ratios WHERE level > 0 GROUP BY ALL""",
     "ranking": """SELECT detector_id, avg(sensitivity) AS sensitivity FROM sensitive GROUP BY detector_id""",
 }
-_NEEDS = {"clean": ["readings"], "six": ["clean"], "episodes": ["signals"], "thin": ["signals"], "thin_episodes": ["thin"], "storms": ["cyclones"], "levels": ["readings", "signals"], "baseline": ["levels"], "ratios": ["baseline"], "sensitive": ["ratios"], "ranking": ["sensitive"]}
+_NEEDS = {"clean": ["readings"], "six": ["clean"], "episodes": ["signals"], "levels": ["readings", "signals"], "baseline": ["levels"], "ratios": ["baseline"], "sensitive": ["ratios"], "ranking": ["sensitive"]}
 
 
 def with_views(names: str, query: str) -> str:
