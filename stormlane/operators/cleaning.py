@@ -111,3 +111,12 @@ def quality_report(df: DataFrame) -> DataFrame:
         "n_no_occupancy": F.col("no_occupancy"),
     }
     return flagged.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
+
+
+def repeat_report(df: DataFrame, keys: tuple = ("time", "detector_id", "lane_id"), stated: str | None = None, dated: str | None = None) -> DataFrame:
+    """(n_rows, n_duplicate, n_redated): rows beyond the first of their keys, nulls being equal, and rows whose ``stated`` date
+    isn't the ``dated`` one (0 where these are not named; a null on one side alone counts as re-dated)."""
+    moved = ~F.col(stated).eqNullSafe(F.col(dated)) if stated and dated else F.lit(False)
+    held = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(moved).alias("m"))
+    zero = F.lit(0).cast("long")
+    return held.agg(F.coalesce(F.sum("n"), zero).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), zero).alias("n_duplicate"), F.coalesce(F.sum("m"), zero).alias("n_redated"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormlane.operators.intervals import interval_join
+
 
 def dry_baseline(df: DataFrame, keys: list[str], value: str = "speed", exact: bool = True) -> DataFrame:
     """The median of the value per key; ``exact=False`` takes an approximate one of bounded memory."""
@@ -30,10 +32,14 @@ def normalise(df: DataFrame, key: str = "detector_id", value: str = "speed", how
     return df.join(own, key).withColumn("z", (F.col(value) - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_mean", "_sd")
 
 
-def sensitivity(df: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and warning level: rows, and the median of speed over baseline, less 1. Level 0 is left out."""
-    ratio = df.join(baseline, keys).where("level > 0").withColumn("ratio", F.col("speed") / F.nullif(F.col("baseline"), F.lit(0.0)))
-    return ratio.groupBy(*keys, "level").agg(F.count("*").alias("n"), (F.median("ratio") - 1).alias("sensitivity"))
+def sensitivity(df: DataFrame, baseline: DataFrame, keys: list[str], value: str = "speed", by: list[str] | None = None) -> DataFrame:
+    """Per key and warning level: rows, and the median of the value over its key's baseline, less 1. Level 0 is left out.
+
+    ``by`` names other columns to group by (a road or district) once each row stands against the baseline of its own key. A
+    baseline of 0 gives no ratio: the row counts in n, not in the median.
+    """
+    ratio = df.join(baseline, keys).where("level > 0").withColumn("ratio", F.col(value) / F.nullif(F.col("baseline"), F.lit(0.0)))
+    return ratio.groupBy(*(by or keys), "level").agg(F.count("*").alias("n"), (F.median("ratio") - 1).alias("sensitivity"))
 
 
 def overall(sensitive: DataFrame) -> DataFrame:
@@ -128,12 +134,59 @@ def f1_mae(df: DataFrame, truth: str, guess: str, limit: float = 0.7) -> DataFra
     return df.agg(F.count("*").alias("n"), F.avg(F.abs(F.col(truth) - F.col(guess))).alias("mae"), (2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0))).alias("f1"))
 
 
-def fit_and_score(train: DataFrame, test: DataFrame, features: list[str], label: str, estimator=None) -> DataFrame:
-    """The test rows with a prediction of a regressor from Spark's ML library; gradient-boosted trees unless given."""
+def split_by_episode(df: DataFrame, episodes: DataFrame, time: str = "time", parts: int = 3) -> DataFrame:
+    """Adds episode_id (of the episode that holds the row, or null) and fold, 0 to parts - 1.
+
+    An episode's rows are all in one fold, by its id; rows outside every episode take the fold of their day's number, so that
+    dry hours of a day stay together. Episodes must not overlap. A null time has a null fold. With a single episode one fold
+    holds all its rows, and a test part of another fold is empty of them.
+    """
+    held = interval_join(df, episodes.select("start", "end", "episode_id"), time, "left").drop("start", "end")
+    return held.withColumn("fold", F.pmod(F.coalesce(F.col("episode_id"), F.unix_date(F.to_date(time))), F.lit(parts)).cast("int"))
+
+
+def _fitted(train: DataFrame, features: list[str], label: str, estimator):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
+
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), estimator]).fit(train.where(F.col(label).isNotNull()))
+
+
+def _trees(label: str):
     from pyspark.ml.regression import GBTRegressor
 
-    estimator = estimator or GBTRegressor(featuresCol="_x", labelCol=label, maxIter=8, maxDepth=4, seed=1)
-    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), estimator]).fit(train.where(F.col(label).isNotNull()))
-    return model.transform(test).drop("_x")
+    return GBTRegressor(featuresCol="_x", labelCol=label, maxIter=8, maxDepth=4, seed=1)
+
+
+def fit_and_score(train: DataFrame, test: DataFrame, features: list[str], label: str, estimator=None) -> DataFrame:
+    """The test rows with a prediction of an estimator from Spark's ML library; gradient-boosted trees unless given.
+
+    An estimator of one's own takes its features from ``_x`` and its label from ``label``. Rows with a null feature are left out.
+    """
+    return _fitted(train, features, label, estimator or _trees(label)).transform(test).drop("_x")
+
+
+def congestion(train: DataFrame, test: DataFrame, features: list[str], ratio: str = "ratio", limit: float = 0.7) -> DataFrame:
+    """The test rows with p_congested, the probability of a logistic model that the ratio is below ``limit``, and congested, 1
+    from a half on. Rows with a null ratio aren't learnt from, those with a null feature are left out. A training part of one
+    class gives that class throughout."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    label, plain = "_congested", ["rawPrediction", "probability", "prediction"]
+    known = train.where(F.col(ratio).isNotNull()).withColumn(label, (F.col(ratio) < limit).cast("double"))
+    model = LogisticRegression(featuresCol="_x", labelCol=label, family="binomial", maxIter=100, tol=1e-9)
+    scored = _fitted(known, features, label, model).transform(test)
+    return scored.withColumn("p_congested", vector_to_array("probability")[1]).withColumn("congested", F.col("prediction").cast("int")).drop("_x", *plain)
+
+
+def class_scores(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
+    """(n, n_true, accuracy, f1) of a yes-or-no guess; f1 is null where neither ever says yes."""
+    tp, fp, fn = F.count_if(truth & guess), F.count_if(~truth & guess), F.count_if(truth & ~guess)
+    return df.agg(F.count("*").alias("n"), F.count_if(truth).alias("n_true"), F.avg((truth == guess).cast("double")).alias("accuracy"), (2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0))).alias("f1"))
+
+
+def importances(train: DataFrame, features: list[str], label: str) -> DataFrame:
+    """(feature, importance) of the gradient-boosted trees: shares that add up to 1, one row a feature, also of those unused."""
+    found = _fitted(train, features, label, _trees(label)).stages[-1].featureImportances.toArray()
+    return train.sparkSession.createDataFrame([(name, float(x)) for name, x in zip(features, found)], "feature string, importance double")

@@ -465,6 +465,21 @@ def sensitivity(v: Views) -> DataFrame:
     return _sensitivity(_usable(v)).select("detector_id", "level", "n", _r("sensitivity"))
 
 
+@query("sensitivity_occupancy", "levels", ", u AS (SELECT * FROM levels WHERE valid = 'Y' AND volume <> 0 AND speed BETWEEN 0 AND 130) SELECT detector_id, level, count(*) AS n, round(median(occupancy / nullif(b, 0)) - 1, 6) AS sensitivity FROM u JOIN (SELECT detector_id, median(occupancy) AS b FROM u WHERE level = 0 GROUP BY detector_id) USING (detector_id) WHERE level > 0 GROUP BY ALL")
+def sensitivity_occupancy(v: Views) -> DataFrame:
+    """How much occupancy rises per detector and level."""
+    rows = _usable(v)
+    return study.sensitivity(rows, study.dry_baseline(rows.where("level = 0"), ["detector_id"], "occupancy"), ["detector_id"], "occupancy").select("detector_id", "level", "n", _r("sensitivity"))
+
+
+for _place in ("district", "road"):
+
+    @query(f"sensitivity_{_place}", "ratios detectors", f"SELECT {_place}, level, count(*) AS n, round(median(ratio) - 1, 6) AS sensitivity FROM ratios JOIN detectors USING (detector_id) WHERE level > 0 GROUP BY ALL")
+    def sensitivity_place(v: Views, place: str = _place) -> DataFrame:
+        rows = align.join_detector(_usable(v), v.detectors)
+        return study.sensitivity(rows, study.dry_baseline(rows.where("level = 0"), ["detector_id"]), ["detector_id"], by=[place]).select(place, "level", "n", _r("sensitivity"))
+
+
 @query("sensitivity_rank", "ranking", "SELECT detector_id, CAST(rank() OVER (ORDER BY round(sensitivity, 9)) AS BIGINT) AS place FROM ranking WHERE sensitivity IS NOT NULL")
 def sensitivity_rank(v: Views) -> DataFrame:
     ranking = _ranking(v).where("sensitivity is not null").select("detector_id", F.round("sensitivity", 9).alias("sensitivity"))
@@ -572,12 +587,44 @@ def model_table(v: Views) -> DataFrame:
     return _model_table(v).select("event_id", "detector_id", "district", _r("ratio"), "level", "rain", "day_type")
 
 
+_FEATURES = ["level", "rain", "hour"]
+
+
+def _learnable(v: Views) -> DataFrame:
+    number = {"level": F.col("level").cast("double"), "rain": F.coalesce("rain", F.lit(0.0)), "hour": F.hour("time").cast("double")}
+    return _model_table(v).where("ratio is not null").select("event_id", "time", "ratio", *[c.alias(name) for name, c in number.items()])
+
+
 @query("model_eval")
 def model_eval(v: Views) -> DataFrame:
-    """Gradient-boosted trees on level, rain and hour of day; whole weeks are held out, so no episode is in both parts."""
-    rows = _model_table(v).where("ratio is not null").select("ratio", F.col("level").cast("double").alias("level"), F.coalesce("rain", F.lit(0.0)).alias("rain"), F.hour("time").cast("double").alias("hour"), (F.weekofyear("time") % 3).alias("fold"))
-    guessed = study.fit_and_score(rows.where("fold <> 0"), rows.where("fold = 0"), ["level", "rain", "hour"], "ratio")
-    return study.f1_mae(guessed, "ratio", "prediction")
+    """Gradient-boosted trees on level, rain and hour of day; whole weeks are held out, so an episode over a week's end is in
+    both parts (``split_episodes`` and ``congestion_eval`` hold out whole episodes)."""
+    rows = _learnable(v).withColumn("fold", F.weekofyear("time") % 3)
+    return study.f1_mae(study.fit_and_score(rows.where("fold <> 0"), rows.where("fold = 0"), _FEATURES, "ratio"), "ratio", "prediction")
+
+
+def _in_folds(v: Views, rows: DataFrame) -> DataFrame:
+    return study.split_by_episode(rows, intervals.merge_intervals(v.signals))
+
+
+@query("split_episodes", "readings episodes", """SELECT event_id, episode_id, CAST(coalesce(episode_id, CAST(time AS DATE) - DATE '1970-01-01') % 3 AS INTEGER) AS fold FROM readings LEFT JOIN episodes ON time >= "start" AND time < "end" """)
+def split_episodes(v: Views) -> DataFrame:
+    return _in_folds(v, v.readings).select("event_id", "episode_id", "fold")
+
+
+@query("congestion_eval")
+def congestion_eval(v: Views) -> DataFrame:
+    """A logistic model of congestion (ratio below 0.7) on level, rain and hour beside one on the hour alone; whole episodes are
+    held out. Where all signals are one episode the test part holds the days without any."""
+    rows = _in_folds(v, _learnable(v))
+    train, test, truth = rows.where("fold <> 0"), rows.where("fold = 0"), F.col("ratio") < 0.7
+    scored = [study.class_scores(study.congestion(train, test, names), truth, F.col("congested") == 1).withColumn("model", F.lit(model)) for model, names in (("all", _FEATURES), ("time only", ["hour"]))]
+    return scored[0].unionByName(scored[1]).select("model", "n", "n_true", _r("accuracy", 5), _r("f1", 5))
+
+
+@query("model_importances")
+def model_importances(v: Views) -> DataFrame:
+    return study.importances(_learnable(v), _FEATURES, "ratio").select("feature", _r("importance", 5))
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:

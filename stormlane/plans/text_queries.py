@@ -66,8 +66,8 @@ def parse_signals(v: Views) -> DataFrame:
     return parse.read_signals(_signal_logs(v)).select("level", "level_name", "start", "end", "duration_min", "provisional")
 
 
-@query("parse_tc", "cyclones", """SELECT CAST(signal_id AS VARCHAR) AS tc_code, CASE WHEN signal_id % 4 = 0 THEN '' ELSE 'TC' || signal_id END AS name, 'T' AS intensity, '8' AS signal, 'NE' AS direction, date_trunc('minute', "start") AS "start", date_trunc('minute', "end") AS "end", false AS provisional FROM cyclones WHERE signal_id % 5 <> 0""")
-def parse_tc(v: Views) -> DataFrame:
+def _tc_logs(v: Views) -> DataFrame:
+    """A cyclone log a month; every fifth signal has the intensity that is rejected."""
     rows = v.cyclones.withColumn("start", _minute("start")).withColumn("end", _minute("end"))
     name = F.when(F.col("signal_id") % 4 == 0, "NIL").otherwise(F.concat(F.lit("TC"), F.col("signal_id").cast("string")))
     intensity = F.when(F.col("signal_id") % 5 == 0, "MSN").otherwise("T")
@@ -77,7 +77,17 @@ def parse_tc(v: Views) -> DataFrame:
         return [(hour.cast("int") * 100 + minute.cast("int")).cast("string"), day, month, year, F.lit("x")]
 
     line = F.concat_ws("\t", F.col("signal_id").cast("string"), intensity, name, F.lit("8"), F.lit("NE"), *at("start", False), *at("end", True), F.lit("1"))
-    return parse.read_tc(_document(rows.withColumn("month", F.date_format("start", "yyyy-MM")), ["month"], line, ["signal_id"]))
+    return _document(rows.withColumn("month", F.date_format("start", "yyyy-MM")), ["month"], line, ["signal_id"])
+
+
+@query("parse_tc", "cyclones", """SELECT CAST(signal_id AS VARCHAR) AS tc_code, CASE WHEN signal_id % 4 = 0 THEN '' ELSE 'TC' || signal_id END AS name, 'T' AS intensity, '8' AS signal, 'NE' AS direction, date_trunc('minute', "start") AS "start", date_trunc('minute', "end") AS "end", false AS provisional FROM cyclones WHERE signal_id % 5 <> 0""")
+def parse_tc(v: Views) -> DataFrame:
+    return parse.read_tc(_tc_logs(v))
+
+
+@query("parse_tc_counters", "cyclones", """SELECT strftime("start", '%Y-%m') AS month, count(*) FILTER (signal_id % 5 <> 0) AS n_rows, count(*) FILTER (signal_id % 5 = 0) AS n_rejected FROM cyclones GROUP BY ALL""")
+def parse_tc_counters(v: Views) -> DataFrame:
+    return parse.tc_counters(_tc_logs(v), "month")
 
 
 @query("parse_calendar", "holidays", "SELECT date, name FROM holidays")
@@ -119,6 +129,23 @@ def salvage_xml(v: Views) -> DataFrame:
     return _parsed(parse.salvage_readings(cut))
 
 
+def _some_cut(v: Views) -> DataFrame:
+    """The documents of even hours end within a lane of a further period."""
+    cut = F.concat(F.regexp_replace("content", "</periods></raw_speed_volume_list>$", ""), F.lit("<period><period_from>00:00</period_from><detectors><detector><detector_id>x</detector_id><lanes><lane><lane_id>Fa"))
+    return _reading_files(v).withColumn("content", F.when(F.substring("hour", -1, 1).cast("int") % 2 == 0, cut).otherwise(F.col("content")))
+
+
+@query("read_archive_xml", "readings", _RENDERED)
+def read_archive_xml(v: Views) -> DataFrame:
+    """Whole and cut documents in one job."""
+    return _parsed(parse.read_archive(_some_cut(v)))
+
+
+@query("cut_counters", "readings", "SELECT count(*) AS n_files, count(*) FILTER (CAST(right(hour, 1) AS INTEGER) % 2 = 0) AS n_truncated FROM (SELECT DISTINCT strftime(time, '%Y%m%d-%H') AS hour FROM readings)")
+def cut_counters(v: Views) -> DataFrame:
+    return parse.cut_counters(_some_cut(v))
+
+
 @query("read_dimension", "detectors", "SELECT CASE WHEN detector_id % 2 = 0 THEN 'wide' ELSE 'plain' END AS version, CAST(detector_id AS VARCHAR) AS detector_id, district, road, x AS latitude, y AS longitude FROM detectors")
 def read_dimension(v: Views) -> DataFrame:
     rows = v.detectors.withColumn("version", F.when(F.col("detector_id") % 2 == 0, "wide").otherwise("plain")).withColumn("part", F.col("detector_id") % 50)
@@ -211,6 +238,14 @@ def bundle_members(v: Views) -> DataFrame:
     return found.groupBy("bundle", "name", "day", "checksum").agg(F.count("*").cast("int").alias("copies")).drop("checksum")
 
 
+@query("bundle_source", "readings", f"SELECT day AS bundle, 'speeds/' || day || '-' || hour || '00-rawSpeedVol.xml' AS name, day, CASE WHEN CAST(hour AS INTEGER) % 3 = 0 THEN 2 ELSE 1 END AS copies FROM ({_HOURS})")
+def bundle_source(v: Views) -> DataFrame:
+    """The bundles as files, read by slices of members."""
+    folder = bundles.write_bundles(_bundle_files(v), f"{_scratch(v)}-bundles")
+    found = bundles.read_bundles(v.spark, folder, "rawSpeedVol.xml").withColumn("bundle", F.regexp_replace("bundle", "[.]zip$", ""))
+    return found.groupBy("bundle", "name", "day", "checksum").agg(F.count("*").cast("int").alias("copies")).drop("checksum")
+
+
 @query("member_name", "readings", f"SELECT strptime(day || hour, '%Y%m%d%H') AS archived, 'rawSpeedVol.xml' AS file, count(*) AS n FROM ({_HOURS}) GROUP BY ALL")
 def member_name(v: Views) -> DataFrame:
     names = bundles.members_of(_bundle_files(v)).select("name").distinct()
@@ -371,13 +406,23 @@ def district_norm(v: Views) -> DataFrame:
     return v.table("customer").select(F.col("c_custkey").alias("k"), scalar.norm_district(raw).alias("district"))
 
 
-@query("redate_midnight", "readings", "SELECT event_id, CAST(time AS DATE) AS date FROM readings")
-def redate_midnight(v: Views) -> DataFrame:
+def _redated(v: Views) -> DataFrame:
     """Every fifth reading is said to start at midnight and carries the day before."""
     late = F.col("event_id") % 5 == 0
-    stated = F.when(late, F.date_sub(F.to_date("time"), 1)).otherwise(F.to_date("time"))
-    period = F.when(late, "00:00:00").otherwise("12:00:00")
-    return v.readings.select("event_id", scalar.redate(stated, period, F.col("time")).alias("date"))
+    rows = v.readings.withColumn("stated", F.when(late, F.date_sub(F.to_date("time"), 1)).otherwise(F.to_date("time")))
+    return rows.withColumn("date", scalar.redate(F.col("stated"), F.when(late, "00:00:00").otherwise("12:00:00"), F.col("time")))
+
+
+@query("redate_midnight", "readings", "SELECT event_id, CAST(time AS DATE) AS date FROM readings")
+def redate_midnight(v: Views) -> DataFrame:
+    return _redated(v).select("event_id", "date")
+
+
+@query("repeat_report", "readings", "SELECT count(*) AS n_rows, count(*) - count(DISTINCT (date_trunc('hour', time), detector_id, lane_id)) AS n_duplicate, count(*) FILTER (event_id % 5 = 0) AS n_redated FROM readings")
+def repeat_report(v: Views) -> DataFrame:
+    """Readings of one detector and lane within an hour count as repeats of each other."""
+    hourly = _redated(v).withColumn("time", F.date_trunc("hour", "time"))
+    return cleaning.repeat_report(hourly, stated="stated", dated="date")
 
 
 @query("hkt_convert", "readings", "SELECT event_id, time + INTERVAL 8 hours AS local FROM readings")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import os
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
@@ -40,7 +42,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out = []
         for path in self.paths:
-            for file in sorted(os.path.join(path, f) for f in os.listdir(path)) if os.path.isdir(path) else [path]:
+            for file in sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith(".")) if os.path.isdir(path) else [path]:
                 held, size = [], 0
                 with zipfile.ZipFile(file) as bundle:
                     for position, info in enumerate(bundle.infolist()):
@@ -82,6 +84,37 @@ class BundleSource(DataSource):
         return _Reader(self.options)
 
 
+def read_bundles(spark: SparkSession, path: str, suffix: str = "", slice_bytes: int = 32 << 20) -> DataFrame:
+    """The members of the ZIP files at a path. Turns pushdown into Python data sources on for the session, as the source needs it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BundleSource)
+    return spark.read.format("bundles").option("suffix", suffix).option("sliceBytes", str(slice_bytes)).load(path)
+
+
+def write_bundles(files: DataFrame, folder: str, bundle: str = "bundle", content: str = "content") -> str:
+    """Writes rows of bundle name and bytes as files ``<folder>/<name>.zip``; returns the folder as a path.
+
+    The folder must be one that all executors mount (a path or a file: address). A file appears under its name only when whole,
+    so a task that is run again writes the same one. Rows with a null name or no bytes are left out.
+    """
+    at = urlparse(folder)
+    if at.scheme not in ("", "file"):
+        raise ValueError(f"bundles are written to a mounted folder, not to {at.scheme}")
+    os.makedirs(at.path, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(part := f"{at.path}/.{name}-{uuid.uuid4().hex}", "wb") as out:
+                    out.write(data)
+                os.replace(part, f"{at.path}/{name}.zip")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    some = files.select(F.col(bundle), F.col(content)).where(F.col(bundle).isNotNull() & F.col(content).isNotNull())
+    some.mapInArrow(run, "n bigint").agg(F.sum("n")).first()
+    return at.path
+
+
 def members_of(files: DataFrame, content: str = "content", bundle: str = "bundle", suffix: str = "") -> DataFrame:
     """The members of bundles given as rows with their bytes, as Spark's binary file reader has them."""
     names = MEMBERS.replace(" binary", "").split(", ")

@@ -52,6 +52,24 @@ def signal_counters(files: DataFrame, file_col: str, content: str = "content") -
     return files.select(file_col).distinct().join(lines, file_col, "left").fillna(0, ["n_rows", "n_rejected"])
 
 
+def _tc_reason() -> Column:
+    f = F.col("fields")
+    return F.when(F.size(f) < 15, "fields").when(F.coalesce(f[1], F.lit("")) == "MSN", "intensity")
+
+
+def tc_rejects(files: DataFrame, content: str = "content") -> DataFrame:
+    """The lines of cyclone logs that ``read_tc`` leaves out, marker and blank lines apart: the other columns of the file, the
+    fields, and why: fields (fewer than fifteen) or intensity (MSN)."""
+    return _log_lines(files, content).drop("provisional").withColumn("reason", _tc_reason()).where("reason is not null")
+
+
+def tc_counters(files: DataFrame, file_col: str, content: str = "content") -> DataFrame:
+    """As ``signal_counters``, of cyclone logs."""
+    lines = _log_lines(files.select(file_col, content), content).withColumn("reason", _tc_reason())
+    counts = lines.groupBy(file_col).agg(F.count_if(F.col("reason").isNull()).alias("n_rows"), F.count("reason").alias("n_rejected"))
+    return files.select(file_col).distinct().join(counts, file_col, "left").fillna(0, ["n_rows", "n_rejected"])
+
+
 def read_tc(files: DataFrame, content: str = "content") -> DataFrame:
     """Cyclone signals: tc_code, name, intensity, signal, direction, start, end, provisional. Lines of fewer than fifteen fields
     or of intensity MSN are left out; a name of NIL is empty."""
@@ -99,6 +117,11 @@ def is_cut(content: Column) -> Column:
     return ~F.rtrim(content).rlike(r"</raw_speed_volume_list>\s*$")
 
 
+def cut_counters(files: DataFrame, content: str = "content") -> DataFrame:
+    """(n_files, n_truncated) of detector documents; a null text counts as truncated."""
+    return files.agg(F.count("*").alias("n_files"), F.count_if(F.coalesce(is_cut(F.col(content)), F.lit(True))).alias("n_truncated"))
+
+
 def salvage_readings(files: DataFrame, content: str = "content") -> DataFrame:
     """Every complete lane of cut documents: split at periods, then at detectors, then complete lanes are taken one by one."""
     rest = [c for c in files.columns if c != content]
@@ -110,6 +133,12 @@ def salvage_readings(files: DataFrame, content: str = "content") -> DataFrame:
     return _lane_columns(lanes.withColumn("l", F.from_xml("x", LANE)), [*rest, "date", "period_from", "period_to", "detector_id", "direction"])
 
 
+def read_archive(files: DataFrame, content: str = "content") -> DataFrame:
+    """Lane readings of whole documents and what is whole within cut ones, in one job; the columns of ``read_readings``."""
+    whole = files.where(~is_cut(F.col(content)))
+    return read_readings(whole, content).unionByName(salvage_readings(files, content))
+
+
 def read_dimension(files: DataFrame, content: str = "content", columns: str = "detector_id string, district string, road string, latitude double, longitude double") -> DataFrame:
     """Rows of dimension CSVs given as bytes, with the other columns of the file (its version, say). UTF-16 with a byte order
     mark is tab-separated, UTF-8 comma-separated. The header and blank lines are left out, fields are trimmed."""
