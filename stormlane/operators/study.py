@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlane.operators.intervals import interval_join
+from stormlane.sources.tables import shared_folder
 
 
 def dry_baseline(df: DataFrame, keys: list[str], value: str = "speed", exact: bool = True) -> DataFrame:
@@ -57,19 +58,40 @@ def top_per(df: DataFrame, key: str, k: int = 3) -> DataFrame:
     return df.where("sensitivity is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A small result of long work (a row a detector), written once to the session's checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def ranks(df: DataFrame, value: str, name: str, by: tuple = (), ties: str = "mean", buckets: int = 200) -> DataFrame:
+    """``df`` with the rank of a numeric value from 1 as ``name``, within ``by``; ties take their mean rank, or the least (ties="min").
+
+    Nothing is ordered as a whole: values fall between boundaries near their quantiles (at most ``buckets``, the only thing the
+    driver sees), are ordered within each of these ranges, and the ranges' sizes are added up. Equal values are counted first
+    and share a range. Null values have no rank and are left out. ``df`` is read more than once: see ``kept``.
+    """
+    some, part = df.where(F.col(value).isNotNull()), "_part"
+    found = some.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(b) for b in sorted(set(found))]) if found else F.array().cast("array<double>")
+    counts = some.groupBy(*by, value).agg(F.count("*").alias("_n")).withColumn(part, F.size(F.filter(bounds, lambda b: b <= F.col(value))))
+    sizes = counts.groupBy(*by, part).agg(F.sum("_n").alias("_size"))
+    lower = sizes.withColumn("_lower", F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = (F.col("_n") + 1) / 2 if ties == "mean" else F.lit(1)
+    placed = counts.withColumn("_within", within).join(lower.drop("_size"), [*by, part]).select(*by, value, (F.col("_lower") + F.col("_within") + shift).alias(name))
+    return some.join(placed, [*by, value])
+
+
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties by their mean, one row per detector. Values are counted first, so the ordered pass sees each once."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn(name, F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2)
-    return df.join(ranked.select(value, name), value).select("detector_id", name)
+    """Ranks from 1, ties by their mean, one row per detector."""
+    return ranks(df, value, name).select("detector_id", name)
 
 
 def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rank correlation of two rankings over the detectors that both have."""
     both = a.select("detector_id", F.col("sensitivity").alias("x")).join(b.select("detector_id", F.col("sensitivity").alias("y")), "detector_id").where("x is not null and y is not null")
-    ranks = average_rank(both, "x", "rx").join(average_rank(both, "y", "ry"), "detector_id")
-    return ranks.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
+    return ranks(ranks(kept(both), "x", "rx"), "y", "ry").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
 
 
 def overlap(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
@@ -95,19 +117,14 @@ def ablate(rows: DataFrame, variants: dict[str, Column], default: str, k: int =
     counted = F.array(*[F.when(F.coalesce(keep, F.lit(False)), F.lit(name)) for name, keep in variants.items()])
     used = rows.where("speed is not null and level is not null and detector_id is not null").select("detector_id", "level", "speed", F.explode(F.array_compact(counted)).alias("variant"))
     keys = ["variant", "detector_id"]
-    scores = sensitivity(used, dry_baseline(used.where("level = 0"), keys), keys).groupBy(*keys).agg(F.avg("sensitivity").alias("x")).where("x is not null")
+    scores = kept(sensitivity(used, dry_baseline(used.where("level = 0"), keys), keys).groupBy(*keys).agg(F.avg("sensitivity").alias("x")).where("x is not null"))
     plain = scores.where(F.col("variant") == default).select("detector_id", F.col("x").alias("y"))
-    both = scores.join(plain, "detector_id")
-
-    def ranked(column: str) -> Column:
-        by = Window.partitionBy("variant").orderBy(column)
-        return F.rank().over(by) + (F.count("*").over(Window.partitionBy("variant", column)) - 1) / 2
-
-    ranks = both.select("variant", ranked("x").alias("rx"), ranked("y").alias("ry")).groupBy("variant").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
+    ranked = ranks(ranks(scores.join(plain, "detector_id"), "x", "rx", ("variant",)), "y", "ry", ("variant",))
+    both = ranked.groupBy("variant").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
     first = scores.withColumn("place", F.row_number().over(Window.partitionBy("variant").orderBy("x", "detector_id"))).where(F.col("place") <= k).select(*keys)
     common = first.join(first.where(F.col("variant") == default).select("detector_id"), "detector_id").groupBy("variant").agg(F.count("*").alias("n_common"))
     names = rows.sparkSession.createDataFrame([(name,) for name in variants], "variant string")
-    return names.join(ranks, "variant", "left").join(common, "variant", "left").select("variant", F.coalesce("n", F.lit(0)).alias("n"), "spearman", F.coalesce("n_common", F.lit(0)).alias("n_common"))
+    return names.join(both, "variant", "left").join(common, "variant", "left").select("variant", F.coalesce("n", F.lit(0)).alias("n"), "spearman", F.coalesce("n_common", F.lit(0)).alias("n_common"))
 
 
 def within_regression_two(df: DataFrame, y: str, x1: str, x2: str, group: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormlane.operators import align, catalog, cleaning, days, intervals, study
@@ -483,9 +483,7 @@ for _place in ("district", "road"):
 @query("sensitivity_rank", "ranking", "SELECT detector_id, CAST(rank() OVER (ORDER BY round(sensitivity, 9)) AS BIGINT) AS place FROM ranking WHERE sensitivity IS NOT NULL")
 def sensitivity_rank(v: Views) -> DataFrame:
     ranking = _ranking(v).where("sensitivity is not null").select("detector_id", F.round("sensitivity", 9).alias("sensitivity"))
-    counts = ranking.groupBy("sensitivity").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("sensitivity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranking.join(counts.select("sensitivity", (before + 1).alias("place")), "sensitivity").select("detector_id", "place")
+    return study.ranks(study.kept(ranking), "sensitivity", "place", ties="min").select("detector_id", F.col("place").cast("long").alias("place"))
 
 
 @query("topk", "ranking", "SELECT detector_id, round(sensitivity, 6) AS sensitivity FROM ranking WHERE sensitivity IS NOT NULL ORDER BY ranking.sensitivity, detector_id LIMIT 20")

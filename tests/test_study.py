@@ -98,3 +98,21 @@ def test_bundles_written_are_read_back(spark):
     assert [(r.bundle, bytes(r.content)) for r in bundles.read_bundles(spark, folder, ".xml").collect()] == [("a.zip", b"one")]
     with pytest.raises(ValueError):
         bundles.write_bundles(files, "s3://somewhere/z")
+
+
+def test_ranks_are_those_of_a_sorted_list(spark):
+    import random
+
+    random.seed(3)
+    data = [(k, random.choice("ab"), random.choice([float(random.randint(-9, 9)), random.random()])) for k in range(700)] + [(700, "a", None), (701, "c", 1.0)]
+    df = spark.createDataFrame(data, "id int, g string, v double")
+    for buckets in (2, 7, 200):
+        mean = {r.id: r.place for r in study.ranks(df, "v", "place", ("g",), buckets=buckets).collect()}
+        least = {r.id: r.place for r in study.ranks(df, "v", "place", ties="min", buckets=buckets).collect()}
+        some = [r for r in data if r[2] is not None]
+        assert set(mean) == set(least) == {r[0] for r in some}
+        for k, g, x in some:
+            own = [r[2] for r in some if r[1] == g]
+            assert mean[k] == sum(y < x for y in own) + (sum(y == x for y in own) + 1) / 2
+            assert least[k] == sum(r[2] < x for r in some) + 1
+    assert study.ranks(df.limit(0), "v", "place").count() == 0
