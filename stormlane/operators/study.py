@@ -163,10 +163,14 @@ def split_by_episode(df: DataFrame, episodes: DataFrame, time: str = "time", par
 
 
 def _fitted(train: DataFrame, features: list[str], label: str, estimator):
+    """The fitted pipeline, or None where no row has a label and all features."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), estimator]).fit(train.where(F.col(label).isNotNull()))
+    usable = train.dropna(subset=[*features, label])
+    if usable.isEmpty():
+        return None
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), estimator]).fit(usable)
 
 
 def _trees(label: str):
@@ -179,21 +183,25 @@ def fit_and_score(train: DataFrame, test: DataFrame, features: list[str], label:
     """The test rows with a prediction of an estimator from Spark's ML library; gradient-boosted trees unless given.
 
     An estimator of one's own takes its features from ``_x`` and its label from ``label``. Rows with a null feature are left out.
+    Without usable rows to learn from, predictions are null.
     """
-    return _fitted(train, features, label, estimator or _trees(label)).transform(test).drop("_x")
+    model = _fitted(train, features, label, estimator or _trees(label))
+    return model.transform(test).drop("_x") if model else test.dropna(subset=features).withColumn("prediction", F.lit(None).cast("double"))
 
 
 def congestion(train: DataFrame, test: DataFrame, features: list[str], ratio: str = "ratio", limit: float = 0.7) -> DataFrame:
     """The test rows with p_congested, the probability of a logistic model that the ratio is below ``limit``, and congested, 1
     from a half on. Rows with a null ratio aren't learnt from, those with a null feature are left out. A training part of one
-    class gives that class throughout."""
+    class gives that class throughout, an empty one nulls."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
     label, plain = "_congested", ["rawPrediction", "probability", "prediction"]
     known = train.where(F.col(ratio).isNotNull()).withColumn(label, (F.col(ratio) < limit).cast("double"))
-    model = LogisticRegression(featuresCol="_x", labelCol=label, family="binomial", maxIter=100, tol=1e-9)
-    scored = _fitted(known, features, label, model).transform(test)
+    model = _fitted(known, features, label, LogisticRegression(featuresCol="_x", labelCol=label, family="binomial", maxIter=100, tol=1e-9))
+    if model is None:
+        return test.dropna(subset=features).withColumn("p_congested", F.lit(None).cast("double")).withColumn("congested", F.lit(None).cast("int"))
+    scored = model.transform(test)
     return scored.withColumn("p_congested", vector_to_array("probability")[1]).withColumn("congested", F.col("prediction").cast("int")).drop("_x", *plain)
 
 
@@ -204,6 +212,8 @@ def class_scores(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
 
 
 def importances(train: DataFrame, features: list[str], label: str) -> DataFrame:
-    """(feature, importance) of the gradient-boosted trees: shares that add up to 1, one row a feature, also of those unused."""
-    found = _fitted(train, features, label, _trees(label)).stages[-1].featureImportances.toArray()
-    return train.sparkSession.createDataFrame([(name, float(x)) for name, x in zip(features, found)], "feature string, importance double")
+    """(feature, importance) of the gradient-boosted trees: shares that add up to 1, one row a feature, also of those unused;
+    null without usable rows."""
+    model = _fitted(train, features, label, _trees(label))
+    found = model.stages[-1].featureImportances.toArray().tolist() if model else [None] * len(features)
+    return train.sparkSession.createDataFrame(list(zip(features, found)), "feature string, importance double")

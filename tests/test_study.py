@@ -116,3 +116,13 @@ def test_ranks_are_those_of_a_sorted_list(spark):
             assert mean[k] == sum(y < x for y in own) + (sum(y == x for y in own) + 1) / 2
             assert least[k] == sum(r[2] < x for r in some) + 1
     assert study.ranks(df.limit(0), "v", "place").count() == 0
+
+
+def test_models_without_rows_or_with_one_class(spark):
+    df = spark.createDataFrame([(1.0, 0.9), (2.0, 0.8), (None, 0.1), (3.0, None)], "a double, ratio double")
+    none = df.limit(0)
+    assert {(r.p_congested, r.congested) for r in study.congestion(none, df, ["a"]).collect()} == {(None, None)}
+    assert [r.prediction for r in study.fit_and_score(none, df, ["a"], "ratio").collect()] == [None] * 3
+    assert [tuple(r) for r in study.importances(none, ["a"], "ratio").collect()] == [("a", None)]
+    assert [r.congested for r in study.congestion(df, df, ["a"]).collect()] == [0, 0, 0]
+    assert [r.congested for r in study.congestion(df.where("ratio < 0.5").fillna(0.0), df, ["a"]).collect()] == [1, 1, 1]

@@ -1,4 +1,4 @@
-"""Day selection over every signal and cyclone, not over the thinned ones."""
+"""Day selection over every signal and every cyclone."""
 
 from pyspark.sql import functions as F
 
