@@ -271,6 +271,8 @@ class Tokenizer:
         self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         steps = (d["normalizer"] or {"normalizers": []}).get("normalizers") or ([d["normalizer"]] if d["normalizer"] else [])
         self.normalizers = [self._normalizer(s) for s in steps]
+        #: Whether the normalizers change single signs, their marks and runs of white space only, so words don't touch each other.
+        self.local = all(s["type"] in ("NFC", "Lowercase") or (s["pattern"].get("Regex"), s["content"]) == (r"\s+", " ") for s in steps)
         pre = d["pre_tokenizer"].get("pretokenizers") or [d["pre_tokenizer"]]
         byte_level = pre[-1]
         if byte_level["type"] != "ByteLevel" or byte_level["add_prefix_space"] or len(pre) > 2:
@@ -307,8 +309,7 @@ class Tokenizer:
         raise ValueError(f"normalizer {step['type']} is not supported")
 
     def _encode_run(self, text: str) -> tuple[int, ...]:
-        for normalize in self.normalizers:
-            text = normalize(text)
+        text = self._normalised(text)
         if self.spaceless and text.isalpha():
             return self.word_memo[text]
         return tuple(chain.from_iterable(map(self.word_memo.__getitem__, self.words.findall(text))))
@@ -346,16 +347,24 @@ class Tokenizer:
         found = dict(zip(short, self.merges.apply_words([raw[i] for i in short])))
         self.met_words.add(new, [found[i] if i in found else self._encode_word(w) for i, w in enumerate(new)])
 
-    def _number_runs(self, runs: list[bytes]) -> None:
-        """Encodes runs between ASCII white space that have no number yet."""
-        text = b" ".join(runs).decode("utf-8")
+    def _normalised(self, text: str) -> str:
         for normalize in self.normalizers:
             text = normalize(text)
-        parts = text.split(" ")
-        if len(parts) != len(runs):  # white space beyond ASCII became spaces
-            parts = [run.decode("utf-8") for run in runs]
-            for normalize in self.normalizers:
-                parts = list(map(normalize, parts))
+        return text
+
+    def _number_runs(self, runs: list[bytes]) -> None:
+        """Encodes runs between ASCII white space that have no number yet.
+
+        Runs are normalised in one text, a space between two, only where none of them can lose or gain a space by that: they
+        have no white space of their own, and the normalizers leave all else in its place. Any other run is normalised alone.
+        """
+        parts = [run.decode("utf-8") for run in runs]
+        together = [i for i, part in enumerate(parts) if part.isascii() or not _ODD_SPACE.search(part)] if self.local else []
+        alone = set(range(len(parts))).difference(together)
+        for i, part in zip(together, self._normalised(" ".join([parts[i] for i in together])).split(" "), strict=True) if together else ():
+            parts[i] = part
+        for i in alone:
+            parts[i] = self._normalised(parts[i])
         split = [[part] if part.isalpha() else self.words.findall(part) for part in parts]
         words = list(chain.from_iterable(split))
         self._number_words(words)
@@ -401,6 +410,8 @@ class Tokenizer:
 
 
 _ASCII_SPACE = {c: " " for c in b"\t\n\x0b\x0c\r"}
+#: White space in a run between ASCII white space, by the normalizers' rule or by Python's.
+_ODD_SPACE = regex.compile(r"[\s\x1c-\x1f]")
 
 
 class Decoder:

@@ -6,8 +6,8 @@ its training rows, and takes the codeword with the smallest loss. Codewords diff
 corrected: with more languages the codewords get longer until any two differ in ``distance`` bits or more. Where the two best
 codewords are close, the answer is flagged as ambiguous; of equally good ones the first by name is taken.
 
-Bounds: at most ``rows`` labelled rows are sampled, in equal parts per language, those with the least hashes of their id; their
-whole texts count. Only ids whose hash is under a threshold, set by the language's counted rows so that about twice as many
+Bounds: at most ``rows`` labelled ids are sampled, in equal parts per language, those with the least hashes; their whole texts
+count. Only ids whose hash is under a threshold, set by the language's counted ids so that about twice as many
 pass as are wanted, are put in order. The model has ``bits`` classifiers or more over 2**``hash_bits`` features.
 """
 
@@ -143,15 +143,17 @@ def _features(rows: DataFrame, settings: Settings):
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
-    """A model from the rows of ``docs`` that are ``usable`` and have an id, a language and a text with a letter."""
+    """A model from the rows of ``docs`` that are ``usable`` and have an id, a language and a text with a letter. An id that
+    repeats within a language counts once, with the least of its texts by hash, so the sample's bound holds for any table."""
     rows = docs.where(usable).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
-    counts = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    counts = checkpointed(rows.select("id", "lang").distinct().groupBy("lang").agg(F.count("*").alias("n")))
     each = max(1, settings.rows // max(1, counts.count()))
     place = F.xxhash64("id").cast("double") / F.lit(2.0**64) + 0.5  # from 0 to 1, in the hashes' order
     some = rows.select("id", "lang").join(F.broadcast(counts), "lang").where(place <= F.lit(2.0 * each + 100) / F.col("n")).select("id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     sample = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("id", "lang")
-    found = _features(rows.join(F.broadcast(sample), ["id", "lang"], "left_semi").select("lang", "text"), settings).toArrow().to_pydict()
+    one = rows.join(F.broadcast(sample), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    found = _features(one.select("lang", "least.text"), settings).toArrow().to_pydict()
     features = np.frombuffer(b"".join(found["features"]), dtype=np.float32).reshape(-1, 1 << settings.hash_bits)
     kept = features.any(axis=1)
     return fit(features[kept], [x for x, k in zip(found["lang"], kept) if k], settings)

@@ -5,8 +5,8 @@ would cost as negatives less p times what the positives would; it cannot truly b
 step undoes it instead (the non-negative estimator). A linear model with logistic loss is fitted in numpy on a bounded sample;
 scoring is one pass over all rows.
 
-Bounds: at most ``positives`` trusted and ``unlabelled`` other rows are sampled, by a hash of their id, so the sample does not
-depend on how the rows are dealt. Their whole texts count. Features are chosen on the sample: at most ``features`` whose share
+Bounds: at most ``positives`` trusted and ``unlabelled`` other ids are sampled, by a hash of the id, so the sample does not
+depend on how the rows are dealt; an id that repeats counts once. Their whole texts count. Features are chosen on the sample: at most ``features`` whose share
 among the positives differs clearly from that among the unlabelled rows.
 """
 
@@ -179,8 +179,10 @@ def _feature_rows(docs: DataFrame, task: Task) -> DataFrame:
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, task: Task) -> list[np.ndarray]:
-    """Features of the rows with the given ids, of which there are as many as the sample's bound at most."""
-    found = _feature_rows(docs.join(F.broadcast(ids), "id", "left_semi"), task).toArrow().column("features").combine_chunks()
+    """Features of one row of each of the given ids, of which there are as many as the sample's bound at most; of an id's texts
+    the least by its hash."""
+    one = docs.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    found = _feature_rows(one.select("id", "least.text"), task).toArrow().column("features").combine_chunks()
     return [np.asarray(x, dtype=np.int64) for x in np.split(found.values.to_numpy(), found.offsets.to_numpy()[1:-1])] if len(found) else []
 
 
@@ -197,10 +199,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Callable[[Colu
     known = known.join(docs.where("text is not null").select("id").distinct(), "id", "left_semi")
     if prior is None:
         prior = known.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.0
-    few = lambda df, n: df.orderBy(F.xxhash64(F.lit(label), "id"), "id").limit(n).select("id")
+    few = lambda df, n: df.select("id").distinct().orderBy(F.xxhash64(F.lit(label), "id"), "id").limit(n)
     trusted = few(known.where("label = 1"), task.positives)
-    others = few(docs.where(F.col("id").isNotNull() & F.col("text").isNotNull() & usable(F.col("id"))).select("id"), task.unlabelled)
-    return fit(_sampled(docs, trusted, task), _sampled(docs, others.distinct(), task), prior, task)
+    others = few(docs.where(F.col("id").isNotNull() & F.col("text").isNotNull() & usable(F.col("id"))), task.unlabelled)
+    some = docs.where("text is not null")
+    return fit(_sampled(some, trusted, task), _sampled(some, others, task), prior, task)
 
 
 def scores_in(batch_texts, model: Model, task: Task, known) -> np.ndarray:

@@ -3,7 +3,9 @@
 Three fixed kinds are found by pattern. Three more come from sliding-window Shannon entropy, one per character class: long runs
 of the class are candidates, a window moves over each one sign at a time, its sign counts change by minus one for the sign that
 leaves and plus one for the sign that enters, and the sum of c*log2(c) over them is corrected for those two. A candidate is reported from the start of its first window
-over the threshold to the end of its last. Candidates on the allow-list, and spans inside a span of a fixed kind, are not.
+over the threshold to the end of its last. Candidates on the allow-list, and spans inside a span of a fixed kind, are not;
+marked examples are blanked before candidates are sought. A step costs as much as the candidate has distinct signs (65 at
+most), since the counts are one array that is written anew.
 """
 
 from __future__ import annotations
@@ -40,12 +42,15 @@ CLASSES = (
     EntropyClass("entropy_base64", "[A-Za-z0-9+/_=-]{20,}", ("[0-9]", "[a-z]", "[A-Z]"), 20, 3.617),
     EntropyClass("entropy_base36", "[A-Z0-9]{20,}|[a-z0-9]{20,}", ("[0-9]", "[A-Za-z]"), 20, 3.617),
 )
-#: Whole candidates that are no secrets: UUIDs, words or numbers joined by one separator, and marked examples.
+#: Whole candidates that are no secrets: UUIDs, and words or numbers joined by separators.
 ALLOW = (
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     "^([A-Z]?[a-z]+|[0-9]+)([-_/=+]+([A-Z]?[a-z]+|[0-9]+))*$",
-    "(EXAMPLE|example|Example)",
 )
+#: A marked example: letters and digits, between separators, that have the word in them. Entropy does not look at these; what
+#: stands beside them is a candidate of its own.
+EXAMPLE_WORDS = "EXAMPLE|example|Example"
+EXAMPLE = f"[A-Za-z0-9]*({EXAMPLE_WORDS})[A-Za-z0-9]*"
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 _FOUND = "array<struct<start:int,hit:string,value:string>>"
@@ -88,6 +93,14 @@ def _found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), _let(parts, all_parts)).otherwise(F.array().cast(_FOUND))
 
 
+def _unmarked(text: Column) -> Column:
+    """The text with spaces in place of marked examples, so that all else keeps its place."""
+    pattern = f"(?<![A-Za-z0-9]){EXAMPLE}"  # from a part's start only, so that long runs aren't tried from each sign
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    blanked = F.transform(parts, lambda p: F.concat(p["before"], F.coalesce(F.rpad(F.lit(""), F.length(p["hit"]), " "), F.lit(""))))
+    return F.when(text.rlike(EXAMPLE_WORDS), F.array_join(blanked, "")).otherwise(text)
+
+
 def _spans(found: Column, kind: str) -> Column:
     rank = F.lit(KINDS.index(kind))
     return F.transform(found, lambda f: F.struct(f["start"].alias("start"), rank.alias("rank"), (f["start"] + F.length(f["hit"])).alias("end"))).cast(_SPAN)
@@ -162,7 +175,7 @@ def span_columns(df: DataFrame, text: str, found: str = "_found", classes: tuple
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     assign = F.filter(_found(body, ASSIGN, 2), lambda f: F.length(f["value"]) >= MIN_VALUE)
     base = F.array_sort(F.concat(_spans(assign, "assign"), _spans(_found(body, ACCESS), "access"), _spans(_found(body, HEX), "hex")))
-    more = F.concat(*[_entropy_spans(body, c, allow) for c in classes])
+    more = _let(_unmarked(body), lambda text: F.concat(*[_entropy_spans(text, c, allow) for c in classes]))
     out = df.withColumn(found, F.struct(base.alias("base"), more.alias("more")))
     fresh = F.filter(F.col(found)["more"], lambda s: ~F.exists(F.col(found)["base"], lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
     return out.withColumn(found, F.struct(F.col(found)["base"].alias("base"), F.array_sort(F.concat(F.col(found)["base"], fresh)).alias("spans")))
@@ -210,11 +223,11 @@ def _sql() -> str:
     kinds = [("assign", ASSIGN, 2, f"length(value) >= {MIN_VALUE}"), ("access", ACCESS, 0, "true"), ("hex", HEX, 0, "true")]
     parts = []
     for kind, pattern, group, keep in [*kinds, *((c.kind, c.candidate, 0, " AND ".join([*(f"regexp_matches(hit, {quoted(n)})" for n in c.needs), *(f"NOT regexp_matches(hit, {quoted(a)})" for a in ALLOW)])) for c in CLASSES)]:
-        p = quoted(pattern)
+        p, body = quoted(pattern), "body" if kind in KINDS[:3] else "unmarked"
         parts.append(f"""SELECT row_no, {KINDS.index(kind)} AS kind, "start", hit FROM (
   SELECT row_no, hits[i] AS hit, vals[i] AS value, CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS "start"
   FROM (SELECT row_no, hits, pieces, vals, unnest(range(1, len(hits) + 1)) AS i FROM (
-    SELECT row_no, regexp_extract_all(body, {p}) AS hits, regexp_extract_all(body, {p}, {group}) AS vals, string_split_regex(body, {p}) AS pieces FROM docs)))
+    SELECT row_no, regexp_extract_all({body}, {p}) AS hits, regexp_extract_all({body}, {p}, {group}) AS vals, string_split_regex({body}, {p}) AS pieces FROM docs)))
   WHERE {keep}""")
     fixed, loose = parts[:3], parts[3:]
     hot = []
@@ -227,7 +240,8 @@ def _sql() -> str:
   WHERE bits >= {c.bits} GROUP BY row_no, kind, "start\"""")
     names = f"[{', '.join(map(quoted, KINDS))}]"
     text = f"""{names}[kind + 1] || ':' || "start" || ':' || "end\""""
-    return f"""WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS body FROM documents),
+    unmarked = "array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || repeat(' ', coalesce(length(hits[i]), 0))), '')"
+    return f"""WITH docs AS (SELECT row_no, doc_id, body, {unmarked} AS unmarked FROM (SELECT *, string_split_regex(body, {quoted(EXAMPLE)}) AS pieces, regexp_extract_all(body, {quoted(EXAMPLE)}) AS hits FROM (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS body FROM documents))),
 base AS (SELECT row_no, kind, "start", "start" + length(hit) AS "end" FROM ({' UNION ALL '.join(fixed)})),
 hot AS ({' UNION ALL '.join(hot)}),
 more AS (SELECT * FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row_no = h.row_no AND b."start" <= h."start" AND b."end" >= h."end")),

@@ -30,6 +30,39 @@ def test_ids_and_text_equal_the_library(pair):
         assert own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+#: Signs that the normalizer takes for white space, marks that join what stands before them, and signs that change alone.
+ODD = [" ", "\u00a0", "\u3000", "\x85", "\u2028", "\u2003", "\u1680", "\x1c", "\u0301", "\u0308", "e\u0301", "\u00e9", "a", "b", "ab", "\u0130", "\u03a3", "\u4e2d", "1", ".", "\n"]
+
+
+def odd_texts(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ODD) for _ in range(rng.randrange(1, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 50])
+def test_batches_of_odd_texts_equal_the_library(pair, size):
+    """From an empty memory and from a warm one; runs of nothing but white space beyond ASCII among them."""
+    own, library, _ = pair
+    texts = odd_texts(800, size) + [sign * n for sign in ODD for n in (1, 2)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for cold in (True, False):
+        own.forget()
+        for at in range(0, len(texts), size):
+            if cold:
+                own.forget()
+            assert [x.tolist() for x in own.encode_many([t.encode() for t in texts[at : at + size]])] == want[at : at + size]
+    own.forget()
+
+
+def test_ids_do_not_depend_on_how_rows_are_dealt(spark, pair):
+    _, library, path = pair
+    texts = odd_texts(120, 9)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)]
+    for tasks in (1, 120):
+        assert sorted((r.id, r.ids) for r in bpe.encode_texts(frame.repartition(tasks), path).collect()) == want
+
+
 def test_emitted_tokens_are_stable_for_any_feed(pair):
     own, library, _ = pair
     rng = random.Random(4)

@@ -107,3 +107,13 @@ def test_query_equals_plain_decoding(spark):
         odds = [math.exp(min(losses) - x) for x in losses]
         assert model.languages[losses.index(min(losses))] == got[r.doc_id].lang_pred
         assert abs(max(odds) / sum(odds) - got[r.doc_id].score) < 1e-4
+
+
+def test_an_id_that_repeats_does_not_widen_the_sample(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"))
+    many = docs.unionAll(spark.range(10_000).select(F.lit(8).cast("long"), F.concat(F.lit("again "), F.col("id")), F.lit("en")))
+    sizes, fit = [], li.fit
+    monkeypatch.setattr(li, "fit", lambda features, languages, settings: sizes.append((languages.count("en"), languages.count("fr"))) or fit(features, languages, settings))
+    li.train(many, F.lit(True), settings=li.Settings(rows=100, steps=2))
+    li.train(many, F.lit(True), settings=li.Settings(rows=4000, steps=2))
+    assert sizes == [(50, 50), (150, 150)]

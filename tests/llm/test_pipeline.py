@@ -82,6 +82,19 @@ def test_texts_without_words_pass_the_toxicity_stage(spark):
     assert sorted(r.doc_id for r in pu.keep_below(docs, model, pu.TOXICITY).collect()) == [1, 2, 3]
 
 
+def test_encoding_stage_equals_the_library_on_odd_white_space(spark):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    rng, signs = random.Random(8), [" ", "\u00a0", "\u3000", "\x85", "\u2028", "a", "b", "e\u0301"]
+    texts = ["".join(rng.choice(signs) for _ in range(9)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(60)
+    library, digest = Tokenizer.from_file(bpe.word_tokenizer_path()), lambda ids: hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    want = [(i, digest(library.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)]
+    assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.encoding(spark, docs, SF).collect()) == want
+
+
 def test_run_equals_its_stages_by_brute_force(spark):
     """Each stage's decisions, worked out row by row from the same models and items."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stormlane.llm import pu
 
@@ -96,3 +97,18 @@ def test_query_scores_equal_plain_scores(spark, query, fit, task):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in query(spark, sf).collect():
         assert r.score == pytest.approx(plain_score(texts[r.doc_id], model, task), abs=1e-9) and r.predicted == (r.score >= 0.5)
+
+
+def test_an_id_that_repeats_does_not_widen_the_sample(spark, monkeypatch):
+    docs = spark.range(400).select(F.col("id"), F.concat(F.lit("some words "), F.col("id")).alias("text"))
+    many = docs.unionAll(spark.range(10_000).select(F.lit(7).cast("long").alias("id"), F.concat(F.lit("again "), F.col("id")).alias("text")))
+    labels = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("label"))
+    sizes, fit = [], pu.fit
+    monkeypatch.setattr(pu, "fit", lambda a, b, *rest: sizes.append((len(a), len(b))) or fit(a, b, *rest))
+    task = pu.Task(pu.toxicity_features, pu.word_features, positives=150, unlabelled=300, steps=2)
+    for _ in range(2):
+        pu.train(many, labels, "label", lambda i: F.lit(True), task)
+    assert sizes == [(150, 300)] * 2
+    everything = pu.Task(pu.toxicity_features, pu.word_features, steps=2)
+    pu.train(many, labels, "label", lambda i: F.lit(True), everything)
+    assert sizes[-1] == (200, 400)
