@@ -1,24 +1,28 @@
 """Approximate nearest neighbours by cosine with a forest of hash prefixes.
 
-Each tree gives every vector a long string of bits, the sides of random hyperplanes. A tree's strings are dealt out by their
-first ``route`` bits, so that a cell holds about ``block_rows`` rows, and each cell keeps its strings as a sorted array. A query
-goes, in every tree, to the one cell that its own string begins like, descends there by binary search to the rows that share a
-prefix, and ascends, one slice of the array at a time, to the match length that the fit found to be enough and on until the
-slice has ``least`` rows; that slice are its candidates. Queries with fewer candidates than neighbours asked for ascend further, in all trees together, by a search at a
-shorter length for them alone, down to none. Candidates are ranked by their exact cosine in double precision.
+Each tree gives every vector a long string of bits, the sides of random hyperplanes. A tree is the sorted array of these strings,
+dealt out by prefix into cells of at most ``block_rows`` rows: where a prefix has more, longer ones divide it, until strings end. A
+row is in one cell of each tree, so it is copied ``trees`` times, however many rows and queries there are.
 
-No query meets a row of another cell: a row is sent to as many cells as there are trees, and only to those that a query goes
-to, whatever the size of the table. Cells of more than ``block_rows`` rows or ``query_rows`` queries, such as those of a dense
-cluster, are split into blocks of about that size, within the cell.
+A query descends, in every tree, to its own cell and there by binary search to the rows with the longest prefix in common with it,
+and takes shorter and shorter prefixes until ``least`` rows match. These candidates give the query a first k-th best cosine. A
+nearer vector agrees with it in each bit with a known probability, so how long a prefix may be before such a vector matches in none
+of the trees more often than ``1 - recall`` follows from that cosine: the query ascends to this length in all trees at once, and all
+rows that match it there are its candidates. Where its own cell covers the length, nothing else is asked; where the length is
+shorter than the cell's prefix, the query goes to the other cells below it. Near neighbours thus end in a few short slices, and only
+queries without any near neighbour see much of the table. Candidates are ranked by their exact cosine in double precision.
 
-The fit uses a bounded sample (``sample_rows`` rows, ``sample_queries`` of them as queries): the match length at which
-``recall`` of the sample's true neighbours are candidates. Nearer neighbours in the whole table only match longer.
+Queries stream past the rows of a cell, which alone are held, so a cell may have any number of them. Only a group of rows whose
+strings are equal to the last bit is divided in another way, by hash, and its queries go to each part.
+
+A bounded sample (``sample_rows`` rows) gives the centre that vectors are held against before their bits are taken.
 
 Equal vectors are collapsed first: no more of them than a result can hold, and one, matter. That is exact.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,22 +31,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlane.llm.common import checkpointed, map_arrow, table
+from stormlane.operators.align import sized
 
 
 @dataclass(frozen=True)
 class Settings:
     trees: int = 16
-    bits: int = 32
+    bits: int = 48
     block_rows: int = 8192
-    query_rows: int = 4096
+    #: Queries of one slice that are scored together.
+    query_rows: int = 512
     least: int = 256
     sample_rows: int = 8192
-    sample_queries: int = 256
-    recall: float = 0.97
+    recall: float = 0.95
     seed: int = 7
 
 
-_TOGETHER = 512
+#: Bits by which cells of too many rows are divided at a time.
+_STEP = 4
 #: Slack by which scores from a matrix product may differ from those that are returned.
 _SLACK = 1e-9
 
@@ -77,17 +83,15 @@ def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
-def enough_depth(sample: np.ndarray, sides: np.ndarray, centre: np.ndarray, k: int, settings: Settings) -> int:
-    """The longest match length that at least ``recall`` of the true neighbours in the sample reach in some tree."""
-    if len(sample) < 2:
-        return 0
-    found, lengths = strings(sample, sides, centre, settings), []
-    for q in range(min(settings.sample_queries, len(sample))):
-        score = cosines(sample, sample[q])
-        score[q] = -np.inf
-        best = np.argsort(-score)[: min(k, len(sample) - 1)]
-        lengths.append(match_lengths(found[best], found[q], settings.bits).max(axis=1))
-    return max(0, int(np.quantile(np.concatenate(lengths), 1 - settings.recall, method="lower")))
+def level_needed(cosine: Column, spread: Column, settings: Settings) -> Column:
+    """The longest prefix at which a vector with this cosine to the query matches in some tree with probability ``recall``.
+
+    ``spread`` is the squared length of the query's unit vector less the centre; the other one's is taken to be alike.
+    """
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - (1 - cosine) / F.greatest(spread, F.lit(1e-12))))) / math.pi
+    agree = F.greatest(1 - apart, F.lit(1e-12))
+    enough = math.log(1 - (1 - settings.recall) ** (1 / settings.trees))
+    return F.when(agree >= 1, settings.bits).otherwise(F.least(F.lit(settings.bits), F.floor(F.lit(enough) / F.ln(agree)))).cast("int")
 
 
 class Cell:
@@ -99,28 +103,41 @@ class Cell:
         self.vectors = vectors[self.order]
         self.unit = self.vectors / np.linalg.norm(self.vectors, axis=1, keepdims=True)
 
-    def nearest(self, queries: np.ndarray, wanted: np.ndarray, shift: int, last: int, least: int, most: int):
-        """Per query its number, the places of its ``most`` nearest among the rows that match it in all but the last ``shift``
-        bits (more, up to ``last``, while there are fewer than ``least``), and their scores. Queries with one prefix have one
-        slice of the array and are held against it together."""
-        prefixes = queries >> shift
-        order = np.argsort(prefixes, kind="stable")
-        groups = np.flatnonzero(np.diff(prefixes[order], prepend=-1))
+    def slices(self, queries: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the rows stand that match each query in all but its last ``shifts`` bits."""
+        low = queries >> shifts << shifts
+        return np.searchsorted(self.sorted, low), np.searchsorted(self.sorted, low + (np.int64(1) << shifts))
+
+    def descend(self, queries: np.ndarray, bits: int, depth: int, least: int) -> np.ndarray:
+        """The bits each query leaves out: none of its longest match, then more while fewer than ``least`` rows match, up to all
+        behind the cell's own ``depth``."""
+        place = np.searchsorted(self.sorted, queries)
+        near = [match_lengths(self.sorted[np.clip(place + k, 0, len(self.sorted) - 1)], queries, bits) for k in (-1, 0)]
+        shifts, last = bits - np.maximum(*near), bits - depth
+        while True:
+            start, end = self.slices(queries, shifts)
+            few = (end - start < least) & (shifts < last)
+            if not few.any():
+                return shifts
+            shifts = np.where(few, shifts + 1, shifts)
+
+    def nearest(self, queries: np.ndarray, wanted: np.ndarray, shifts: np.ndarray, bounds: np.ndarray, most: int, together: int):
+        """Per query its number, the places of its ``most`` nearest among the rows that match it in all but the last ``shifts``
+        bits and have a cosine of ``bounds`` or more, and their scores. Queries with one slice are held against it together."""
+        start, end = self.slices(queries, shifts)
+        order = np.lexsort((end, start))
+        groups = np.flatnonzero((np.diff(start[order], prepend=-1) != 0) | (np.diff(end[order], prepend=-1) != 0))
         for members in np.split(order, groups[1:]) if len(order) else []:
-            for level in range(shift, max(shift, last) + 1):
-                low = queries[members[0]] >> level << level
-                start, end = np.searchsorted(self.sorted, [low, low + (1 << level)])
-                if end - start >= least:
-                    break
-            for at in range(0, len(members) if end > start else 0, _TOGETHER):
-                some = members[at : at + _TOGETHER]
-                about = (wanted[some] / np.linalg.norm(wanted[some], axis=1, keepdims=True)) @ self.unit[start:end].T
-                bounds = np.partition(about, -most, axis=1)[:, -most] if about.shape[1] > most else np.full(len(some), -2.0)
-                for q, row, bound in zip(some.tolist(), about, bounds):
-                    places = start + np.flatnonzero(row >= bound - _SLACK)
+            a, b = start[members[0]], end[members[0]]
+            for at in range(0, len(members) if b > a else 0, together):
+                some = members[at : at + together]
+                about = (wanted[some] / np.linalg.norm(wanted[some], axis=1, keepdims=True)) @ self.unit[a:b].T
+                best = np.partition(about, -most, axis=1)[:, -most] if about.shape[1] > most else np.full(len(some), -2.0)
+                for q, row, bound in zip(some.tolist(), about, np.maximum(best, bounds[some])):
+                    places = a + np.flatnonzero(row >= bound - _SLACK)
                     score = cosines(self.vectors[places], wanted[q])
-                    best = np.lexsort((self.first[places], -score))[:most]
-                    yield q, places[best], score[best]
+                    top = np.lexsort((self.first[places], -score))[:most]
+                    yield q, places[top], score[top]
 
 
 def usable(rows: DataFrame, vector: str) -> DataFrame:
@@ -136,53 +153,91 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind: str, dimension: int) -> np
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dimension).astype(np.float64)
 
 
-class _Forest:
-    """The rows of an index, (key, first, vector as bytes, strings), and searches in it."""
+_PLACE = ("tree", "depth", "cell", "part")
 
-    def __init__(self, index: DataFrame, rows: int, kind: str, dimension: int, settings: Settings):
-        self.index, self.rows, self.kind, self.dimension, self.settings = index, rows, kind, dimension, settings
 
-    def _in_cells(self, df: DataFrame, trees: int, route: int) -> DataFrame:
-        whole = df.select("key", F.posexplode(F.slice("strings", 1, trees)).alias("tree", "string"))
-        return whole.withColumn("cell", F.shiftright("string", self.settings.bits - route))
+class _Forest:
+    """The rows of an index, (key, first, vector as bytes, strings), dealt into cells, and searches in it."""
 
-    def search(self, asked: DataFrame, depth: int, most: int) -> DataFrame:
-        """(query, key, first, score): per query and block of a cell it goes to, the ``most`` nearest rows that match it in
-        ``depth`` bits. asked: distinct keys of the index."""
+    def __init__(self, index: DataFrame, rows: int, kind: str, dimension: int, settings: Settings):
+        self.index, self.kind, self.dimension, self.settings = index, kind, dimension, settings
+        self.route = max(0, (rows - 1) // settings.block_rows).bit_length()
+        depths = sized(checkpointed(self._depths()))
+        cell = F.expr(f"shiftright(string, {settings.bits} - depth)")
+        self.places = lambda df: self._filed(df).join(depths, ["tree", "base"]).withColumn("cell", cell).drop("base")
+        self.cells = checkpointed(self.places(index).groupBy("tree", "depth", "cell").agg(F.ceil(F.count("*") / settings.block_rows).cast("int").alias("parts")))
+        divided = self.cells.where("parts > 1")
+        self.divided = None if divided.isEmpty() else sized(divided)
+
+    def _filed(self, df: DataFrame) -> DataFrame:
+        whole = df.select("key", F.posexplode("strings").alias("tree", "string"))
+        return whole.withColumn("base", F.shiftright("string", self.settings.bits - self.route))
+
+    def _depths(self) -> DataFrame:
+        """(tree, base, depth): by how many bits the rows of each prefix of ``route`` bits are divided into cells."""
+        s, depth = self.settings, self.route
+        filed = self._filed(self.index)
+        counts = checkpointed(filed.groupBy("tree", "base").agg(F.count("*").alias("n")))
+        full = F.col("n") > s.block_rows
+        settled, open_ = counts.where(~full).select("tree", "base", F.lit(depth).alias("depth")), counts.where(full).select("tree", "base")
+        while depth < s.bits and not open_.isEmpty():
+            depth = min(s.bits, depth + _STEP)
+            below = filed.join(sized(open_), ["tree", "base"]).groupBy("tree", "base", F.shiftright("string", s.bits - depth)).agg(F.count("*").alias("n"))
+            counts = checkpointed(below.groupBy("tree", "base").agg(F.max("n").alias("n")))
+            done = counts.where(~full | F.lit(depth == s.bits)).select("tree", "base", F.lit(depth).alias("depth"))
+            settled, open_ = settled.unionAll(done), counts.where(full & F.lit(depth < s.bits)).select("tree", "base")
+        return settled
+
+    def _in_parts(self, df: DataFrame, part: Column) -> DataFrame:
+        """Adds the part of a divided cell; 0 in all others."""
+        if self.divided is None:
+            return df.withColumn("part", F.lit(0))
+        return df.join(self.divided, ["tree", "depth", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part).drop("parts")
+
+    def search(self, asked: DataFrame, most: int, descending: bool) -> DataFrame:
+        """(query, key, first, score, matched) for the keys ``asked`` (key, level, bound): the ``most`` nearest rows of each cell
+        that match in ``level`` bits and have a cosine of ``bound`` or more; where ``descending``, those with the longest match in
+        the query's own cell, whatever the level."""
         s, kind, dimension = self.settings, self.kind, self.dimension
-        trees = s.trees if depth else 1
-        route = min(depth, max(0, (self.rows - 1) // s.block_rows).bit_length())
-        queries = self.index.join(asked, "key", "left_semi")
-        filed, sent = self._in_cells(self.index, trees, route), self._in_cells(queries, trees, route)
-        blocks = lambda name, size: F.ceil(F.count("*") / size).cast("int").alias(name)
-        cells = filed.groupBy("tree", "cell").agg(blocks("row_blocks", s.block_rows)).join(sent.groupBy("tree", "cell").agg(blocks("query_blocks", s.query_rows)), ["tree", "cell"])
-        cells = checkpointed(cells)
-        place = F.struct("tree", "cell", "string", "row_blocks", "query_blocks")
-
-        def placed(df: DataFrame, parts: DataFrame) -> DataFrame:
-            """The vectors of the rows with each place they go to; vectors move once before they are copied."""
-            where = parts.join(cells, ["tree", "cell"]).groupBy("key").agg(F.collect_list(place).alias("places"))
-            return df.select("key", "first", "vector").join(where, "key").select("key", "first", "vector", F.inline("places"))
-
-        block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = placed(self.index, filed).select("tree", "cell", block("row_blocks").alias("row_block"), every("query_blocks").alias("query_block"), "key", "first", "string", "vector")
-        right = placed(queries, sent).select("tree", "cell", every("row_blocks").alias("row_block"), block("query_blocks").alias("query_block"), F.col("key").alias("query"), F.col("string").alias("asking"), F.col("vector").alias("wanted"))
-        shift, last, least = s.bits - depth, s.bits - route, s.least
-        schema = pa.schema([("query", pa.string()), ("key", pa.string()), ("first", pa.int64()), ("score", pa.float64())])
-
-        def run(index: pa.Table, asking: pa.Table) -> pa.Table:
-            out: list[list] = [[], [], [], []]
-            if index.num_rows and asking.num_rows:
-                cell = Cell(index.column("string").to_numpy(), _matrix(index.column("vector"), kind, dimension), index.column("first").to_numpy())
-                keys, names = np.array(index.column("key").to_pylist(), dtype=object)[cell.order], asking.column("query").to_pylist()
-                for q, places, score in cell.nearest(asking.column("asking").to_numpy(), _matrix(asking.column("wanted"), kind, dimension), shift, last, least, most):
-                    for part, values in zip(out, ([names[q]] * len(places), keys[places].tolist(), cell.first[places].tolist(), score.tolist())):
-                        part += values
-            return pa.table(out, schema=schema)
-
-        by = ("tree", "cell", "row_block", "query_block")
-        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query string, key string, first bigint, score double").dropDuplicates(["query", "key"])
+        own = self.places(self.index.join(asked.select("key"), "key", "left_semi")).join(asked, "key")
+        if descending:
+            visits = own
+        else:
+            below = self.cells.drop("parts").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth")))).withColumn("above", F.expr("shiftright(cell, depth - level)"))
+            starts = own.drop("cell").withColumn("wanted_level", F.col("level")).withColumn("level", F.least("level", "depth")).withColumn("above", F.expr(f"shiftright(string, {s.bits} - level)"))
+            visits = starts.drop("depth").join(below, ["tree", "level", "above"]).drop("above", "level").withColumnRenamed("wanted_level", "level")
+        sent = self._in_parts(visits, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        kept = self._in_parts(self.places(self.index), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        vectors = self.index.select("key", "first", "vector")
+        left = kept.join(vectors, "key").select(*_PLACE, F.lit(0).alias("asks"), "key", "first", "string", "vector", F.lit(0).alias("level"), F.lit(0.0).alias("bound"))
+        right = sent.join(vectors, "key").select(*_PLACE, F.lit(1).alias("asks"), "key", "first", "string", "vector", "level", "bound")
+        dealt = left.unionByName(right).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "asks")
+
+        def run(batches):
+            held, cell, at = [], None, None
+            for batch in batches:
+                marks = np.stack([batch.column(i).to_numpy() for i in range(5)], axis=1)
+                starts = np.flatnonzero((np.diff(marks, axis=0, prepend=marks[:1] - 1) != 0).any(axis=1)) if batch.num_rows else []
+                for first, end in zip(starts, [*starts[1:], batch.num_rows]):
+                    place, part = tuple(marks[first, :4].tolist()), batch.slice(first, end - first)
+                    if place != at:
+                        held, cell, at = [], None, place
+                    if not marks[first, 4]:
+                        held.append(part.select(["key", "first", "string", "vector"]))
+                        continue
+                    if cell is None:  # rows come before queries
+                        rows = pa.Table.from_batches(held)
+                        cell = Cell(rows.column("string").to_numpy(), _matrix(rows.column("vector"), kind, dimension), rows.column("first").to_numpy())
+                        keys, held = np.array(rows.column("key").to_pylist(), dtype=object)[cell.order], []
+                    asking, names = part.column("string").to_numpy(), part.column("key").to_pylist()
+                    shifts = cell.descend(asking, s.bits, place[1], s.least) if descending else s.bits - np.maximum(part.column("level").to_numpy().astype(np.int64), 0)
+                    out: list[list] = [[], [], [], [], []]
+                    for q, places, score in cell.nearest(asking, _matrix(part.column("vector"), kind, dimension), shifts, part.column("bound").to_numpy(), most, s.query_rows):
+                        for column, values in zip(out, ([names[q]] * len(places), keys[places].tolist(), cell.first[places].tolist(), score.tolist(), [s.bits - int(shifts[q])] * len(places))):
+                            column += values
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int32()))], ["query", "key", "first", "score", "matched"])
+
+        return map_arrow(dealt, run, "query string, key string, first bigint, score double, matched int")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:
@@ -194,6 +249,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     own ids excluded. Other columns are left out; an empty table gives no rows.
     """
     spark = vectors.sparkSession
+    s = settings
     kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
     rows = usable(rows, "vector").withColumn("key", F.concat(F.hex(F.xxhash64("vector")), F.hex(F.xxhash64(F.lit(k), "vector"))))
@@ -207,7 +263,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     sample = scaled(head.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension) if head.num_rows else np.empty((0, dimension)))
     sides = planes(dimension, settings)
     centre = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).mean(axis=0) if len(sample) else np.zeros(dimension)
-    depth = enough_depth(sample, sides, centre, k, settings)
     shared = spark.sparkContext.broadcast((sides, centre))
 
     def indexed(batches):
@@ -216,23 +271,33 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 found = scaled(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension))
-                bits = pa.FixedSizeListArray.from_arrays(pa.array(strings(found, sides, centre, settings).ravel()), settings.trees).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in found.astype(kind)], pa.binary()), bits], ["key", "first", "vector", "strings"])
-
-    index = checkpointed(map_arrow(copies.select("key", F.col("ids")[0].alias("first"), "vector"), indexed, "key string, first bigint, vector binary, strings array<bigint>"))
-    n = index.count()
-    forest, asked, found = _Forest(index, n, kind, dimension, settings), checkpointed(queries.select("key").distinct()), None
-    while True:
-        met = checkpointed(forest.search(asked, depth, k + 1))
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(strings(found, sides, centre, s).ravel()), s.trees).cast(pa.list_(pa.int64()))
+                off = found / np.linalg.norm(found, axis=1, keepdims=True) - centre
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in found.astype(kind)], pa.binary()), bits, pa.array((off * off).sum(axis=1))], ["key", "first", "vector", "strings", "spread"])
+
+    index = checkpointed(map_arrow(copies.select("key", F.col("ids")[0].alias("first"), "vector"), indexed, "key string, first bigint, vector binary, strings array<bigint>, spread double"))
+    forest = _Forest(index, index.count(), kind, dimension, s)
+    spreads = index.select("key", "spread")
+    asked = checkpointed(queries.select("key").distinct().select("key", F.lit(s.bits + 1).alias("level"), F.lit(-2.0).alias("bound")))
+    found, descending = None, True
+    while not asked.isEmpty():
+        met = checkpointed(forest.search(asked, k + 1, descending))
         found = met if found is None else found.unionAll(met)
-        # Queries that met too few rows ascend further.
-        asked = checkpointed(asked.join(met.groupBy(F.col("query").alias("key")).agg(F.count("*").alias("met")).where(F.col("met") >= min(k + 1, n)), "key", "left_anti"))
-        if not depth or asked.isEmpty():
-            break
-        depth //= 2
+        # A query's level so far: in its own cells the longest of what was matched there.
+        so_far = met.groupBy(F.col("query").alias("key")).agg(F.max("matched").alias("matched"))
+        others = found.where("query <> key").groupBy("query", "key").agg(F.max("score").alias("score"))
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+        bounds = others.withColumn("place", place).where(F.col("place") == k).select(F.col("query").alias("key"), F.col("score").alias("bound"))
+        known = asked.select("key", "level").join(so_far, "key").join(bounds, "key", "left").join(spreads, "key")
+        # Without k neighbours yet, half of the prefix is left out.
+        need = F.when(F.col("bound").isNotNull(), level_needed(F.col("bound"), F.col("spread"), s)).otherwise(F.floor(F.least(F.col("matched"), F.lit(forest.route)) / 2).cast("int"))
+        asked = checkpointed(known.select("key", need.alias("level"), F.coalesce("bound", F.lit(-2.0)).alias("bound"), "matched").where("level < matched").drop("matched"))
+        descending = False
 
     top = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), "id")
-    whole = found.dropDuplicates(["query", "key"]).withColumnRenamed("first", "id").withColumn("place", F.row_number().over(top("query"))).where(F.col("place") <= k + 1)
+    if found is None:
+        return queries.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
+    whole = found.drop("matched").dropDuplicates(["query", "key"]).withColumnRenamed("first", "id").withColumn("place", F.row_number().over(top("query"))).where(F.col("place") <= k + 1)
     named = whole.select("query", "key", "score").join(copies.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("id"))
     named = named.withColumn("place", F.row_number().over(top("query"))).where(F.col("place") <= k + 1).select(F.col("query").alias("key"), "score", F.col("id").alias("id"))
     pairs = named.join(queries.select("key", F.col("id").alias("query_id")), "key").where("id <> query_id").select("query_id", "id", "score").distinct()
