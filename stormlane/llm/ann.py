@@ -43,7 +43,7 @@ class Settings:
     query_rows: int = 512
     least: int = 256
     sample_rows: int = 8192
-    recall: float = 0.95
+    recall: float = 0.92
     seed: int = 7
 
 
