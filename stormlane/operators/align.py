@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlane.functions.scalar import day_type
+from stormlane.operators.scans import PIECE, fresh, with_neighbours
 
 #: A dimension is broadcast up to this many rows (they are counted); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -42,19 +43,24 @@ def unmatched_ids(readings: DataFrame, dim: DataFrame) -> DataFrame:
     return a.join(b, "detector_id", "left_anti").withColumn("side", F.lit("readings")).unionByName(b.join(a, "detector_id", "left_anti").withColumn("side", F.lit("dimension")))
 
 
-def asof_version(df: DataFrame, versions: DataFrame, key: str, time: str, valid_from: str, value: str) -> DataFrame:
+def asof_version(df: DataFrame, versions: DataFrame, key: str, time: str, valid_from: str, value: str, piece: str | None = None) -> DataFrame:
     """Each row with the ``value`` of the latest version of its key that is not after its time, or null.
 
-    Rows and versions are sorted together within their key, and the last version's value is carried on: one shuffle, and rows
-    don't multiply by their key's versions. Versions come before rows of the same time.
+    Rows and versions are sorted together, and the last version's value is carried on: rows don't multiply by their key's versions.
+    Versions come before rows of the same time. Times are cut into pieces (days, or ``piece``), so that a key's history is no single
+    group; numbers instead of times are not, and have one.
     """
     rest = df.columns
-    events = versions.select(F.col(key), F.col(valid_from).alias("_at"), F.lit(0).alias("_row"), F.struct(valid_from, value).alias("_version"))
-    rows = df.select(F.col(key), F.col(time).alias("_at"), F.lit(1).alias("_row"), F.struct(*rest).alias("_data"))
+    at, row, version, data, found = fresh(df, versions, names=("_at", "_row", "_version", "_data", "_found"))
+    events = versions.select(F.col(key), F.col(valid_from).alias(at), F.lit(0).alias(row), F.struct(valid_from, value).alias(version))
+    rows = df.select(F.col(key), F.col(time).alias(at), F.lit(1).alias(row), F.struct(*rest).alias(data))
     both = rows.unionByName(events, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("_found", F.last("_version", ignorenulls=True).over(order)).where("_row = 1")
-    return carried.select(*[F.col(f"_data.{c}").alias(c) for c in rest], F.col(f"_found.{valid_from}").alias(valid_from), F.col(f"_found.{value}").alias(value))
+    if dict(both.dtypes)[at].startswith(("timestamp", "date")):
+        carried = with_neighbours(both, [key], at, [at, row], F.col(version), back=found, piece=piece or PIECE)
+    else:
+        order = Window.partitionBy(key).orderBy(at, row).rowsBetween(Window.unboundedPreceding, 0)
+        carried = both.withColumn(found, F.last(version, ignorenulls=True).over(order))
+    return carried.where(F.col(row) == 1).select(*[F.col(data)[c].alias(c) for c in rest], F.col(found)[valid_from].alias(valid_from), F.col(found)[value].alias(value))
 
 
 def rain_value(how: str = "mid") -> Column:
@@ -63,10 +69,11 @@ def rain_value(how: str = "mid") -> Column:
 
 def rain_join(df: DataFrame, rain: DataFrame, how: str = "mid") -> DataFrame:
     """Adds rain of the row's (district, hour): 0 if the hour has a bulletin that doesn't name the district, null without one."""
-    values = rain.select("hour", "district", rain_value(how).alias("_rain"))
-    hours = rain.select("hour").distinct().withColumn("_told", F.lit(True))
+    amount, told = fresh(df, rain, names=("_rain", "_told"))
+    values = rain.select("hour", "district", rain_value(how).alias(amount))
+    hours = rain.select("hour").distinct().withColumn(told, F.lit(True))
     joined = df.join(values, ["hour", "district"], "left").join(hours, "hour", "left")
-    return joined.withColumn("rain", F.coalesce("_rain", F.when(F.col("_told"), F.lit(0.0)))).drop("_rain", "_told")
+    return joined.withColumn("rain", F.coalesce(amount, F.when(F.col(told), F.lit(0.0)))).drop(amount, told)
 
 
 def territory_rain(rain: DataFrame) -> DataFrame:
@@ -120,40 +127,54 @@ def nearest_cell(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
 
 def spine(df: DataFrame, keys: list[str], at: str, step: str) -> DataFrame:
     """All bins from the first to the last of each key, with the values of those that exist."""
-    ends = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
-    return ends.select(*keys, F.explode(F.sequence("_a", "_b", F.expr(f"interval {step}"))).alias(at)).join(df, [*keys, at], "left")
+    a, b = fresh(df, names=("_a", "_b"))
+    ends = df.groupBy(*keys).agg(F.min(at).alias(a), F.max(at).alias(b))
+    return ends.select(*keys, F.explode(F.sequence(a, b, F.expr(f"interval {step}"))).alias(at)).join(df, [*keys, at], "left")
 
 
-def fill_linear(df: DataFrame, keys: list[str], at: str, value: str, step: str, max_gap: int = 2) -> DataFrame:
-    """On the spine: gaps of up to ``max_gap`` bins are filled along the line between their neighbours; longer ones stay null."""
-    order = Window.partitionBy(*keys).orderBy(at)
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    full = spine(df, keys, at, step).withColumn("_n", F.row_number().over(order))
-    known = F.when(F.col(value).isNotNull(), F.col("_n"))
-    full = full.withColumn("_pn", F.last(known, ignorenulls=True).over(back)).withColumn("_nn", F.first(known, ignorenulls=True).over(ahead))
-    full = full.withColumn("_pv", F.last(value, ignorenulls=True).over(back)).withColumn("_nv", F.first(value, ignorenulls=True).over(ahead))
-    line = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * (F.col("_n") - F.col("_pn")) / (F.col("_nn") - F.col("_pn"))
-    short = F.col("_nn") - F.col("_pn") - 1 <= max_gap
-    return full.withColumn("filled", F.coalesce(F.col(value), F.when(short, line))).drop("_n", "_pn", "_nn", "_pv", "_nv")
+def fill_linear(df: DataFrame, keys: list[str], at: str, value: str, step: str, max_gap: int = 2, piece: str = PIECE) -> DataFrame:
+    """On the spine: gaps of up to ``max_gap`` bins are filled along the line between their neighbours; longer ones stay null.
 
+    The known bins before and after are carried from piece to piece (see ``scans``). Steps are fixed lengths of time.
+    """
+    full = spine(df, keys, at, step)
+    before, after = fresh(full, names=("_before", "_after"))
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("t"), F.col(value).cast("double").alias("v")))
+    full = with_neighbours(full, keys, at, [at], known, before, after, piece)
+    micros = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
+    bins = lambda a, b: micros(a, b) / micros(F.col(at), F.col(at) + F.expr(f"interval {step}"))
+    p, n = F.col(before), F.col(after)
+    line = p["v"] + (n["v"] - p["v"]) * bins(p["t"], F.col(at)) / F.nullif(bins(p["t"], n["t"]), F.lit(0.0))
+    return full.withColumn("filled", F.coalesce(F.col(value), F.when(bins(p["t"], n["t"]) - 1 <= max_gap, line))).drop(before, after)
+
+
+def fill(df: DataFrame, keys: list[str], at: str, value: str, step: str, how: str = "ffill", season: Column | None = None, piece: str = PIECE) -> DataFrame:
+    """On the spine: the last known value (ffill), known rows only (drop), or the mean of the key and season (seasonal).
 
-def fill(df: DataFrame, keys: list[str], at: str, value: str, step: str, how: str = "ffill") -> DataFrame:
-    """On the spine: the last known value (ffill), known rows only (drop), or the mean of the key and time of day (seasonal)."""
+    ``season`` is an expression over the spine: the hour of day unless given; ``weekly_slot`` is the plan's slot.
+    """
     full = spine(df, keys, at, step)
     if how == "drop":
         return full.where(F.col(value).isNotNull()).withColumn("filled", F.col(value))
     if how == "ffill":
-        back = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-        return full.withColumn("filled", F.last(value, ignorenulls=True).over(back))
-    season = full.withColumn("_slot", F.hour(at))
-    means = season.groupBy(*keys, "_slot").agg(F.avg(value).alias("_mean"))
-    return season.join(means, [*keys, "_slot"], "left").withColumn("filled", F.coalesce(value, "_mean")).drop("_slot", "_mean")
+        return with_neighbours(full.drop("filled"), keys, at, [at], F.col(value), back="filled", piece=piece)
+    if how != "seasonal":
+        raise ValueError(f"no filling is called {how}")
+    slot, mean = fresh(full, names=("_slot", "_mean"))
+    seasons = full.withColumn(slot, F.hour(at) if season is None else season)
+    means = seasons.groupBy(*keys, slot).agg(F.avg(value).alias(mean))
+    return seasons.join(means, [*keys, slot], "left").withColumn("filled", F.coalesce(value, mean)).drop(slot, mean)
+
+
+def weekly_slot(at: str, minutes: int = 15) -> Column:
+    """Weekday or weekend, and the bin of ``minutes`` within the day: the season of a reading."""
+    return F.struct((F.weekday(at) >= 5).alias("weekend"), F.floor((F.hour(at) * 60 + F.minute(at)) / minutes).cast("int").alias("bin"))
 
 
 def rain_slots(rain: DataFrame, how: str = "mid") -> DataFrame:
     """Hourly values as four quarter-hour slots; a period ends at HH:45, so they are HH-1:45 to HH:30."""
-    shifts = F.explode(F.sequence(F.lit(-1), F.lit(2))).alias("_k")
-    return rain.select("district", "hour", rain_value(how).alias("rain"), shifts).select("district", (F.col("hour") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("_k") * 15)).alias("slot"), "rain")
+    shifts = F.explode(F.sequence(F.lit(-1), F.lit(2))).alias("shift")
+    return rain.select("district", "hour", rain_value(how).alias("rain"), shifts).select("district", (F.col("hour") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("shift") * 15)).alias("slot"), "rain")
 
 
 def align_rain(rain: DataFrame, how: str = "slots", value: str = "mid", max_gap: int = 3) -> DataFrame:
@@ -212,10 +233,11 @@ def exclude_days(df: DataFrame, holidays: DataFrame, cyclones: DataFrame, mode:
 
     if mode == "keep":
         return df
-    dated = df.withColumn("_date", F.to_date(time))
-    days = sized(holidays.select(F.col("date").alias("_date")).distinct())
+    (date,) = fresh(df, names=("_date",))
+    dated = df.withColumn(date, F.to_date(time))
+    days = sized(holidays.select(F.col("date").alias(date)).distinct())
     if mode == "drop":
-        return interval_join(dated.join(days, "_date", "left_anti").drop("_date"), cyclones.select("start", "end"), time, "left_anti")
-    flagged = dated.join(days.withColumn("on_holiday", F.lit(True)), "_date", "left").drop("_date").withColumn("on_holiday", F.coalesce("on_holiday", F.lit(False)))
+        return interval_join(dated.join(days, date, "left_anti").drop(date), cyclones.select("start", "end"), time, "left_anti")
+    flagged = dated.join(days.withColumn("on_holiday", F.lit(True)), date, "left").drop(date).withColumn("on_holiday", F.coalesce("on_holiday", F.lit(False)))
     under = interval_join(flagged, cyclones.select("start", "end"), time, "left_semi").withColumn("under_cyclone", F.lit(True))
     return under.unionByName(interval_join(flagged, cyclones.select("start", "end"), time, "left_anti").withColumn("under_cyclone", F.lit(False)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormlane.operators.scans import PIECE, fresh, with_runs
+
 SPEED, OCCUPANCY = (0, 130), (0, 100)
 
 
@@ -14,8 +16,9 @@ def filter_valid(df: DataFrame, mode: str = "drop_lane") -> DataFrame:
         return df
     if mode == "drop_lane":
         return df.where("valid = 'Y'")
+    (bad,) = fresh(df, names=("_bad",))
     period = Window.partitionBy("time", "detector_id")
-    return df.withColumn("_bad", F.bool_or(F.col("valid") != "Y").over(period)).where("not _bad").drop("_bad")
+    return df.withColumn(bad, F.bool_or(F.col("valid") != "Y").over(period)).where(~F.col(bad)).drop(bad)
 
 
 def in_bounds(speed: tuple = SPEED, occupancy: tuple = OCCUPANCY) -> Column:
@@ -38,20 +41,35 @@ def flag_contradictions(df: DataFrame) -> DataFrame:
     return df.withColumn("still_with_volume", (F.col("speed") == 0) & (F.col("volume") > 0)).withColumn("no_occupancy", F.col("occupancy") == -1)
 
 
-def stuck_runs(df: DataFrame, keys: list[str], value: str = "speed", over: str = "30 minutes") -> DataFrame:
-    """Adds run (number of the run of equal values within the key) and stuck (whether the run spans more than ``over``)."""
-    order = Window.partitionBy(*keys).orderBy("time", "event_id")
-    changed = F.when(F.col(value).eqNullSafe(F.lag(value).over(order)) & F.lag("event_id").over(order).isNotNull(), 0).otherwise(1)
-    runs = df.withColumn("_changed", changed).withColumn("run", F.sum("_changed").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
-    whole = Window.partitionBy(*keys, "run")
-    return runs.withColumn("stuck", F.max("time").over(whole) - F.min("time").over(whole) > F.expr(f"interval {over}"))
+def stuck_runs(df: DataFrame, keys: list[str], value: str = "speed", over: str = "30 minutes", piece: str = PIECE) -> DataFrame:
+    """Adds run (number of the run of equal values within the key) and stuck (whether the run spans more than ``over``).
+
+    Runs are found piece by piece (see ``scans``). The few that last too long have a row for each piece they touch, so that flags
+    come back by key, run and piece, even where a detector is stuck for good. Columns of these names are replaced.
+    """
+    df = df.drop("run", "stuck")
+    cut, start, end, stuck = fresh(df, names=("_piece", "_start", "_end", "_stuck"))
+    rows = with_runs(df, keys, "time", ["time", "event_id"], value, "run", piece).withColumn(cut, F.date_trunc(piece, "time"))
+    spans = rows.groupBy(*keys, "run").agg(F.min("time").alias(start), F.max("time").alias(end)).where(F.col(end) - F.col(start) > F.expr(f"interval {over}"))
+    touched = F.explode(F.sequence(F.date_trunc(piece, start), F.date_trunc(piece, end), F.expr(f"interval 1 {piece}")))
+    long = spans.select(*[F.col(k).alias(f"{stuck}_{k}") for k in (*keys, "run")], touched.alias(f"{stuck}_piece"), F.lit(True).alias(stuck))
+    same = F.col(cut) == F.col(f"{stuck}_piece")
+    for k in (*keys, "run"):
+        same &= F.col(k).eqNullSafe(F.col(f"{stuck}_{k}"))
+    return rows.join(long, same, "left").select(*df.columns, "run", F.coalesce(F.col(stuck), F.lit(False)).alias("stuck"))
 
 
 def drop_stuck_days(df: DataFrame, keys: list[str], value: str = "speed", over: str = "30 minutes") -> DataFrame:
     """Without the detector-days that have a stuck run."""
-    found = stuck_runs(df, keys, value, over).withColumn("_day", F.to_date("time"))
-    day = Window.partitionBy("detector_id", "_day")
-    return found.withColumn("_bad", F.bool_or("stuck").over(day)).where("not _bad").drop("_bad", "_day", "run", "stuck")
+    found = stuck_runs(df, keys, value, over)
+    day, bad = fresh(found, names=("_day", "_bad"))
+    found = found.withColumn(day, F.to_date("time"))
+    return found.withColumn(bad, F.bool_or("stuck").over(Window.partitionBy("detector_id", day))).where(~F.col(bad)).drop(bad, day, "run", "stuck")
+
+
+def null_stuck(df: DataFrame, keys: list[str], value: str = "speed", over: str = "30 minutes") -> DataFrame:
+    """The values of stuck runs become null."""
+    return stuck_runs(df, keys, value, over).withColumn(value, F.when(~F.col("stuck"), F.col(value))).drop("run", "stuck")
 
 
 def robust_z(df: DataFrame, key: str = "detector_id", value: str = "speed", z: float = 3.5) -> DataFrame:
@@ -59,32 +77,34 @@ def robust_z(df: DataFrame, key: str = "detector_id", value: str = "speed", z: f
 
     Medians are grouped aggregates that are joined back, so a detector with very many rows is no single window.
     """
-    middle = df.groupBy(key).agg(F.median(value).alias("_med"))
-    off = df.join(middle, key).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
-    spread = off.groupBy(key).agg(F.median("_off").alias("_mad"))
-    score = F.lit(0.6745) * F.col("_off") / F.nullif(F.col("_mad"), F.lit(0.0))
-    return off.join(spread, key).withColumn("outlier", F.coalesce(score > z, F.lit(False))).drop("_med", "_off", "_mad")
+    med, away, mad = fresh(df, names=("_med", "_off", "_mad"))
+    middle = df.groupBy(key).agg(F.median(value).alias(med))
+    off = df.join(middle, key).withColumn(away, F.abs(F.col(value) - F.col(med)))
+    spread = off.groupBy(key).agg(F.median(away).alias(mad))
+    score = F.lit(0.6745) * F.col(away) / F.nullif(F.col(mad), F.lit(0.0))
+    return off.join(spread, key).withColumn("outlier", F.coalesce(score > z, F.lit(False))).drop(med, away, mad)
 
 
 def iqr_filter(df: DataFrame, key: str = "detector_id", value: str = "speed", k: float = 1.5) -> DataFrame:
     """Rows within the quartiles of their key, widened by ``k`` times their distance."""
-    fences = df.groupBy(key).agg(F.percentile(value, F.lit(0.25)).alias("_a"), F.percentile(value, F.lit(0.75)).alias("_b"))
-    step = k * (F.col("_b") - F.col("_a"))
-    return df.join(fences, key).where(F.col(value).between(F.col("_a") - step, F.col("_b") + step)).drop("_a", "_b")
+    low, high = fresh(df, names=("_a", "_b"))
+    fences = df.groupBy(key).agg(F.percentile(value, F.lit(0.25)).alias(low), F.percentile(value, F.lit(0.75)).alias(high))
+    step = k * (F.col(high) - F.col(low))
+    return df.join(fences, key).where(F.col(value).between(F.col(low) - step, F.col(high) + step)).drop(low, high)
 
 
 def dedup_overlap(df: DataFrame, keys: tuple = ("time", "detector_id", "lane_id"), archived: str = "archived") -> DataFrame:
     """One row per reading: that of the latest snapshot. The maximum is pre-aggregated before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max(F.struct(F.col(archived), *[c for c in rest if c != archived])).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
+    rest, (best,) = [c for c in df.columns if c not in keys], fresh(df, names=("_best",))
+    kept = df.groupBy(*keys).agg(F.max(F.struct(F.col(archived), *[c for c in rest if c != archived])).alias(best))
+    return kept.select(*keys, *[F.col(best)[c].alias(c) for c in rest])
 
 
 def latest_wins(df: DataFrame, key: str, version: str) -> DataFrame:
     """One row per key: that of the latest version."""
-    rest = [c for c in df.columns if c not in (key, version)]
-    best = df.groupBy(key).agg(F.max(F.struct(version, *rest)).alias("_best"))
-    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in (version, *rest)])
+    rest, (best,) = [c for c in df.columns if c not in (key, version)], fresh(df, names=("_best",))
+    kept = df.groupBy(key).agg(F.max(F.struct(version, *rest)).alias(best))
+    return kept.select(key, *[F.col(best)[c].alias(c) for c in (version, *rest)])
 
 
 def version_suffix(members: DataFrame, name: str = "name", checksum: str = "checksum", position: str = "position") -> DataFrame:

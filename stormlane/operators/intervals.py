@@ -5,31 +5,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormlane.operators.scans import PIECE, fresh
+from stormlane.sources.tables import kept
 
-def _islands(df: DataFrame, keys: list[str], max_gap: str, aggregates: list[Column]) -> DataFrame:
-    """Rows of one key whose interval starts no later than ``max_gap`` after all before have ended become one row."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+
+#: Ranges of start times that un-keyed intervals are merged in; one summary of each goes to the driver.
+RANGES = 200
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01'"
+
+
+def _micros(time: str) -> Column:
+    return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, {time})")
+
+
+def _numbered(df: DataFrame, by: list[str], carried: str, max_gap: str, name: str) -> DataFrame:
+    """``df`` with the number of islands that have opened within ``by`` up to the row: 0 where it goes on what was carried there.
+
+    An interval opens an island if it starts later than ``max_gap`` after all before it have ended; ``carried`` is the latest end
+    before the first of ``by``, or null.
+    """
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    before = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col(carried))
     opens = F.when(before.isNull() | (F.col("start") > before + F.expr(f"interval {max_gap}")), 1).otherwise(0)
-    numbered = df.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggregates).drop("_island")
+    return df.withColumn(name, opens).withColumn(name, F.sum(name).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def merge_intervals(df: DataFrame, keys: list[str] | None = None, max_gap: str = "0 minutes") -> DataFrame:
+def _as_time(micros: Column) -> Column:
+    return F.expr(_EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / 1_000_000).cast("decimal(18,6)"))
+
+
+def _merged_whole(df: DataFrame, max_gap: str, first: list[Column], again: list[Column], ranges: int) -> DataFrame:
+    """Islands of all rows, by ranges of start times between quantiles.
+
+    Each range hands over its latest end, the driver carries the maximum on over at most ``ranges`` of them, and ranges are merged on
+    their own. What they found is written once; the numbers of islands per range, added up the same way, number all islands from 1.
+    """
+    part, carried, local, island = fresh(df, names=("_part", "_carried", "_local", "_island"))
+    some = df.where("start is not null").withColumn(part, _micros("start"))
+    found = some.agg(F.percentile_approx(part, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(b) for b in sorted(set(found))]).cast("array<bigint>")
+    some = some.withColumn(part, F.size(F.filter(bounds, lambda b: b <= F.col(part))))
+    tops, latest, before = {r[0]: r[1] for r in some.groupBy(part).agg(F.max(_micros("end"))).collect()}, None, {}
+    for k in sorted(tops):
+        before[k] = latest
+        latest = tops[k] if latest is None else max(latest, tops[k] if tops[k] is not None else latest)
+    ends = F.array(*[F.lit(before.get(k)) for k in range(len(set(found)) + 1)]).cast("array<bigint>")
+    held = _numbered(some.withColumn(carried, _as_time(F.get(ends, F.col(part)))), [part], carried, max_gap, local)
+    merged = kept(held.groupBy(part, local).agg(F.min("start").alias("start"), F.max("end").alias("end"), *first))
+    opened = {r[0]: r[1] for r in merged.groupBy(part).agg(F.max(local)).collect()}
+    sums = [sum(opened.get(j, 0) for j in range(k)) for k in range(len(set(found)) + 1)]
+    whole = merged.withColumn(island, (F.get(F.array(*map(F.lit, sums)), F.col(part)) + F.col(local)).cast("int"))
+    return whole.groupBy(F.col(island).alias("episode_id")).agg(F.min("start").alias("start"), F.max("end").alias("end"), *again)
+
+
+def _merged_by_key(df: DataFrame, keys: list[str], max_gap: str, first: list[Column], again: list[Column], piece: str) -> DataFrame:
+    """The same per key, by days of the start instead of ranges; what is carried on stays in a window over a key's days."""
+    cut, carried, local, base, top = fresh(df, names=("_piece", "_carried", "_local", "_base", "_top"))
+    rows = df.where("start is not null").withColumn(cut, F.date_trunc(piece, "start"))
+    of_key = Window.partitionBy(*keys).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*keys, cut)]
+    tops = rows.groupBy(*keys, cut).agg(F.max("end").alias(top)).withColumn(carried, F.max(top).over(of_key)).drop(top)
+    met = rows.alias("r").join(tops.alias("s"), same("r", "s")).select("r.*", carried)
+    held = _numbered(met, [*keys, cut], carried, max_gap, local)
+    merged = held.groupBy(*keys, cut, local).agg(F.min("start").alias("start"), F.max("end").alias("end"), *first)
+    counts = merged.groupBy(*keys, cut).agg(F.max(local).alias(top)).withColumn(base, F.coalesce(F.sum(top).over(of_key), F.lit(0))).drop(top)
+    whole = merged.alias("r").join(counts.alias("s"), same("r", "s")).select("r.*", (F.col(base) + F.col(local)).cast("int").alias("episode_id"))
+    return whole.groupBy(*keys, "episode_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), *again)
+
+
+def merge_intervals(df: DataFrame, keys: list[str] | None = None, max_gap: str = "0 minutes", ranges: int = RANGES, piece: str = PIECE) -> DataFrame:
     """Episodes of intervals (start, end, level, provisional) that touch, overlap or follow within ``max_gap``, per key.
 
-    Without keys, intervals are first merged within each day of their start, so the one ordered pass over everything sees
-    islands only. Adds max_level, n_signals, provisional and episode_id, 1 to n by start within the key.
+    Adds max_level, n_signals, provisional and episode_id, 1 to n by start within the key. No key's history, nor that of all
+    intervals where there are no keys, is ordered as a whole: ranges of starts, or a key's days, are merged on their own, each from
+    the latest end before it. Without keys ``df`` is read more than once. Intervals with a null start are left out; a null end
+    ends nothing. Repeats count each.
     """
     first = [F.max("level").alias("max_level"), F.count("*").alias("n_signals"), F.bool_or("provisional").alias("provisional")]
     again = [F.max("max_level").alias("max_level"), F.sum("n_signals").alias("n_signals"), F.bool_or("provisional").alias("provisional")]
-    if keys:
-        merged = _islands(df, keys, max_gap, first)
-    else:
-        daily = _islands(df.withColumn("_day", F.to_date("start")), ["_day"], max_gap, first).drop("_day")
-        merged = _islands(daily, [], max_gap, again)
-    order = Window.partitionBy(*(keys or [])).orderBy("start")
-    return merged.withColumn("episode_id", F.row_number().over(order)).withColumn("n_signals", F.col("n_signals").cast("long"))
+    merged = _merged_by_key(df, keys, max_gap, first, again, piece) if keys else _merged_whole(df, max_gap, first, again, ranges)
+    return merged.withColumn("n_signals", F.col("n_signals").cast("long"))
 
 
 def merge_sessions(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,16 +96,6 @@ def merge_sessions(df: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "max_level", "n_signals")
 
 
-def _fresh(*frames: DataFrame, names: tuple[str, ...]) -> list[str]:
-    """The names with as many underscores in front as keep them apart from the columns of the frames."""
-    taken, out = {c.lower() for f in frames for c in f.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        out.append(name)
-    return out
-
-
 def _by_hour(intervals: DataFrame, hour: str) -> DataFrame:
     """A row for each hour that an interval touches."""
     last = F.date_trunc("hour", F.col("end") - F.expr("interval 1 microsecond"))
@@ -64,23 +109,25 @@ def interval_join(points: DataFrame, intervals: DataFrame, time: str = "time", h
     equal, so that only intervals of the point's own key meet it. how: inner, left, left_semi or left_anti. A null time or key
     is held by nothing, nor is an interval with a null end or of no length.
     """
-    at, hour = _fresh(points, intervals, names=("_at", "_hour"))
+    at, hour = fresh(points, intervals, names=("_at", "_hour"))
     held = (F.col(at) == F.col(hour)) & (F.col(time) >= F.col("start")) & (F.col(time) < F.col("end"))
     for own, theirs in (keys or {}).items():
         held &= F.col(own) == F.col(theirs)
     return points.withColumn(at, F.date_trunc("hour", time)).join(_by_hour(intervals, hour), held, how).drop(at, hour)
 
 
-def segments(signals: DataFrame) -> DataFrame:
-    """Time cut where any signal (start, end, level) starts or ends, by hour: (hour, from, until, level, since) with the highest
-    level in force and the latest start at that level. No two segments overlap, so a point lies in one at most."""
-    hours = _by_hour(signals.select("start", "end", "level"), "hour")
-    within = hours.select("hour", "level", F.col("start").alias("since"), F.greatest(F.col("start"), F.col("hour").cast("timestamp_ntz")).alias("a"), F.least(F.col("end"), (F.col("hour") + F.expr("interval 1 hour")).cast("timestamp_ntz")).alias("b"))
-    edges = within.select("hour", F.explode(F.array("a", "b")).alias("from")).distinct()
-    cut = edges.withColumn("until", F.lead("from").over(Window.partitionBy("hour").orderBy("from"))).where("until is not null")
-    held = cut.join(within, (cut["hour"] == within["hour"]) & (F.col("a") <= F.col("from")) & (F.col("b") >= F.col("until"))).select(cut["hour"], "from", "until", "level", "since")
-    best = held.groupBy("hour", "from", "until").agg(F.max(F.struct("level", "since")).alias("best"))
-    return best.select("hour", "from", "until", "best.level", "best.since")
+def segments(signals: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Time cut where any signal (start, end, level) of the same ``keys`` starts or ends, by hour: (keys, hour, from, until, level,
+    since) with the highest level in force and the latest start at that level. No two segments of a key overlap, so a point lies in
+    one at most. Signals with a null key are in none."""
+    hours = _by_hour(signals.select(*keys, "start", "end", "level").dropna(subset=list(keys)) if keys else signals.select("start", "end", "level"), "hour")
+    within = hours.select(*keys, "hour", "level", F.col("start").alias("since"), F.greatest(F.col("start"), F.col("hour").cast("timestamp_ntz")).alias("a"), F.least(F.col("end"), (F.col("hour") + F.expr("interval 1 hour")).cast("timestamp_ntz")).alias("b"))
+    by = [*keys, "hour"]
+    edges = within.select(*by, F.explode(F.array("a", "b")).alias("from")).distinct()
+    cut = edges.withColumn("until", F.lead("from").over(Window.partitionBy(*by).orderBy("from"))).where("until is not null")
+    held = cut.join(within, by).where("a <= `from` and b >= until")
+    best = held.groupBy(*by, "from", "until").agg(F.max(F.struct("level", "since")).alias("best"))
+    return best.select(*by, "from", "until", "best.level", "best.since")
 
 
 def collapse_runs(df: DataFrame, keys: list[str], item: str, unit: str) -> DataFrame:
@@ -98,20 +145,28 @@ def collapse_runs(df: DataFrame, keys: list[str], item: str, unit: str) -> DataF
     return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", text.alias("text")))).alias("runs")).select(*keys, F.array_join(F.col("runs.text"), ", ").alias("ranges"))
 
 
-def encode_warning(points: DataFrame, signals: DataFrame, keys: list[str], time: str = "time") -> DataFrame:
+def encode_warning(points: DataFrame, signals: DataFrame, keys: dict[str, str] | None = None, time: str = "time", how: str = "all") -> DataFrame:
     """Per point the highest level in force (0: none), since when that signal stands in minutes, and its one-hot columns.
 
-    Points meet the segments of their hour, of which one at most holds them: a row a point, repeats included, whatever number
-    of signals overlap. ``keys`` is kept for callers that name what identifies a point; a null time has level 0.
+    ``keys`` names columns of the points and the signals' columns they must equal, so that a point is only under its own district's
+    (or detector's) signals; without keys all signals hold everywhere. Points meet the segments of their key and hour, of which one
+    at most holds them: a row a point, repeats included, whatever number of signals overlap. A null time or key has level 0.
+    how: ordinal adds level and minutes_since, onehot is_amber, is_red and is_black, binary warned, all every one of them.
     """
-    at, hour, start, until, since = _fresh(points, names=("_at", "_hour", "_from", "_until", "_since"))
-    cut = segments(signals).select(F.col("hour").alias(hour), F.col("from").alias(start), F.col("until").alias(until), "level", F.col("since").alias(since))
+    keys = keys or {}
+    named = {own: fresh(points, names=(f"_key_{n}",))[0] for n, own in enumerate(keys)}
+    at, hour, start, until, since = fresh(points, names=("_at", "_hour", "_from", "_until", "_since"))
+    cut = segments(signals, tuple(keys.values())).select(*[F.col(keys[own]).alias(name) for own, name in named.items()], F.col("hour").alias(hour), F.col("from").alias(start), F.col("until").alias(until), "level", F.col("since").alias(since))
     inside = (F.col(at) == F.col(hour)) & (F.col(time) >= F.col(start)) & (F.col(time) < F.col(until))
+    for own, name in named.items():
+        inside &= F.col(own) == F.col(name)
     joined = points.withColumn(at, F.date_trunc("hour", time)).join(cut, inside, "left")
-    out = joined.withColumn("minutes_since", F.timestamp_diff("MINUTE", F.col(since), F.col(time))).withColumn("level", F.coalesce("level", F.lit(0))).drop(at, hour, start, until, since)
+    out = joined.withColumn("minutes_since", F.timestamp_diff("MINUTE", F.col(since), F.col(time))).withColumn("level", F.coalesce("level", F.lit(0))).drop(at, hour, start, until, since, *named.values())
     for k, name in ((1, "amber"), (2, "red"), (3, "black")):
         out = out.withColumn(f"is_{name}", (F.col("level") == k).cast("int"))
-    return out.withColumn("warned", (F.col("level") > 0).cast("int"))
+    out = out.withColumn("warned", (F.col("level") > 0).cast("int"))
+    added = {"ordinal": ["level", "minutes_since"], "onehot": ["is_amber", "is_red", "is_black"], "binary": ["warned"]}
+    return out if how == "all" else out.select(*points.columns, *added[how])
 
 
 def news_intervals(news: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlane.operators.intervals import interval_join
-from stormlane.sources.tables import shared_folder
+from stormlane.operators.scans import fresh
+from stormlane.sources.tables import kept
 
 
 def dry_baseline(df: DataFrame, keys: list[str], value: str = "speed", exact: bool = True) -> DataFrame:
@@ -25,12 +26,14 @@ def normalise(df: DataFrame, key: str = "detector_id", value: str = "speed", how
     if how == "ratio":
         return df.join(dry_baseline(df, [key], value), key).withColumn("ratio", F.col(value) / F.nullif(F.col("baseline"), F.lit(0.0))).drop("baseline")
     if how == "prev_week":
-        before = df.select(key, (F.col("bin") + F.expr("interval 7 days")).alias("bin"), F.col(value).alias("_before"))
-        return df.join(before, [key, "bin"], "left").withColumn("ratio", F.col(value) / F.nullif(F.col("_before"), F.lit(0.0))).drop("_before")
+        (week,) = fresh(df, names=("_before",))
+        before = df.select(key, (F.col("bin") + F.expr("interval 7 days")).alias("bin"), F.col(value).alias(week))
+        return df.join(before, [key, "bin"], "left").withColumn("ratio", F.col(value) / F.nullif(F.col(week), F.lit(0.0))).drop(week)
     if how != "zscore":
         raise ValueError(f"no normalisation is called {how}")
-    own = df.groupBy(key).agg(F.avg(value).alias("_mean"), F.stddev(value).alias("_sd"))
-    return df.join(own, key).withColumn("z", (F.col(value) - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_mean", "_sd")
+    mean, sd = fresh(df, names=("_mean", "_sd"))
+    own = df.groupBy(key).agg(F.avg(value).alias(mean), F.stddev(value).alias(sd))
+    return df.join(own, key).withColumn("z", (F.col(value) - F.col(mean)) / F.nullif(F.col(sd), F.lit(0.0))).drop(mean, sd)
 
 
 def sensitivity(df: DataFrame, baseline: DataFrame, keys: list[str], value: str = "speed", by: list[str] | None = None) -> DataFrame:
@@ -58,12 +61,6 @@ def top_per(df: DataFrame, key: str, k: int = 3) -> DataFrame:
     return df.where("sensitivity is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A small result of long work (a row a detector), written once to the session's checkpoint folder and read from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def ranks(df: DataFrame, value: str, name: str, by: tuple = (), ties: str = "mean", buckets: int = 200) -> DataFrame:
     """``df`` with the rank of a numeric value from 1 as ``name``, within ``by``; ties take their mean rank, or the least (ties="min").
 

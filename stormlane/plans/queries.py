@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stormlane.operators import align, catalog, cleaning, days, intervals, study
 from stormlane.plans.views import Views, with_views
+from stormlane.sources.tables import kept
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -443,8 +444,13 @@ def zscore_norm(v: Views) -> DataFrame:
 # The study
 
 
+def _under(v: Views, rows: DataFrame) -> DataFrame:
+    """Rows with their detector's district, whose signals they are under."""
+    return rows.join(align.sized(v.detectors.select("detector_id", F.col("district").alias("under"))), "detector_id", "left")
+
+
 def _levels(v: Views) -> DataFrame:
-    return intervals.encode_warning(v.readings, v.signals, ["event_id"])
+    return intervals.encode_warning(_under(v, v.readings), _under(v, v.signals), {"under": "under"}).drop("under")
 
 
 def _usable(v: Views, bounded: bool = True) -> DataFrame:
@@ -483,7 +489,7 @@ for _place in ("district", "road"):
 @query("sensitivity_rank", "ranking", "SELECT detector_id, CAST(rank() OVER (ORDER BY round(sensitivity, 9)) AS BIGINT) AS place FROM ranking WHERE sensitivity IS NOT NULL")
 def sensitivity_rank(v: Views) -> DataFrame:
     ranking = _ranking(v).where("sensitivity is not null").select("detector_id", F.round("sensitivity", 9).alias("sensitivity"))
-    return study.ranks(study.kept(ranking), "sensitivity", "place", ties="min").select("detector_id", F.col("place").cast("long").alias("place"))
+    return study.ranks(kept(ranking), "sensitivity", "place", ties="min").select("detector_id", F.col("place").cast("long").alias("place"))
 
 
 @query("topk", "ranking", "SELECT detector_id, round(sensitivity, 6) AS sensitivity FROM ranking WHERE sensitivity IS NOT NULL ORDER BY ranking.sensitivity, detector_id LIMIT 20")
@@ -515,18 +521,19 @@ bo AS (SELECT a.variant, a.x, b.x AS y FROM sc a JOIN sc b ON a.detector_id = b.
 rk AS (SELECT variant, rank() OVER (PARTITION BY variant ORDER BY x) + (count(*) OVER (PARTITION BY variant, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY variant ORDER BY y) + (count(*) OVER (PARTITION BY variant, y) - 1) / 2.0 AS ry FROM bo),
 fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY x, detector_id) AS place FROM sc) WHERE place <= 20),
 co AS (SELECT a.variant, count(*) AS n_common FROM fi a JOIN fi b ON a.detector_id = b.detector_id AND b.variant = 'default' GROUP BY a.variant)"""
+_NAMES = "(SELECT unnest([" + ", ".join(f"'{name}'" for name in _STEPS) + "]) AS variant)"
 
 
 def _ablated(v: Views) -> DataFrame:
     return study.ablate(_levels(v), {name: F.expr(keep) for name, keep in _STEPS.items()}, "default")
 
 
-@query("ablation_overlap", "levels", f"{_ABLATED} SELECT variant, n_common FROM co")
+@query("ablation_overlap", "levels", f"{_ABLATED} SELECT variant, coalesce(n_common, 0) AS n_common FROM {_NAMES} LEFT JOIN co USING (variant)")
 def ablation_overlap(v: Views) -> DataFrame:
     return _ablated(v).select("variant", "n_common")
 
 
-@query("ablation_steps", "levels", f"{_ABLATED} SELECT variant, count(*) AS n, round(corr(rx, ry), 4) AS spearman, any_value(n_common) AS n_common FROM rk JOIN co USING (variant) GROUP BY variant")
+@query("ablation_steps", "levels", f"{_ABLATED} SELECT variant, count(rx) AS n, round(corr(rx, ry), 4) AS spearman, coalesce(any_value(n_common), 0) AS n_common FROM {_NAMES} LEFT JOIN rk USING (variant) LEFT JOIN co USING (variant) GROUP BY variant")
 def ablation_steps(v: Views) -> DataFrame:
     return _ablated(v).select("variant", "n", _r("spearman", 4), "n_common")
 

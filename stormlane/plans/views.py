@@ -63,9 +63,10 @@ class Views:
 
     @property
     def holidays(self) -> DataFrame:
-        """Days of large purchases, named by the customer of the largest; an older and a newer version differ in some names."""
-        day = self.events.where("value > 200").groupBy(F.to_date("ts").alias("date")).agg(F.max("event_id").alias("n"))
-        return day.select("date", F.concat(F.lit("Holiday "), F.col("n").cast("string")).alias("name"), "n").where("n % 4 = 0")
+        """Days whose largest value is above the mean of all days' largest, named by its event; the view's n tells versions apart."""
+        day = self.events.groupBy(F.to_date("ts").alias("date")).agg(F.max("value").alias("top"), F.max_by("event_id", F.struct("value", "event_id")).alias("n"))
+        mean = F.broadcast(day.agg(F.avg("top").alias("mean")))
+        return day.crossJoin(mean).where("top > mean").select("date", F.concat(F.lit("Holiday "), F.col("n").cast("string")).alias("name"), "n")
 
     @property
     def days(self) -> DataFrame:
@@ -87,19 +88,19 @@ SQL = {
     "signals": """SELECT event_id AS signal_id, user_id AS detector_id, ts AS "start", ts + to_minutes(CAST(floor(value) AS BIGINT)) AS "end", CAST(event_id % 3 + 1 AS INTEGER) AS level, event_id * 10 > 9 * (SELECT max(event_id) FROM events) AS provisional FROM events WHERE event_type = 'error'""",
     "cyclones": """SELECT event_id AS signal_id, ts AS "start", ts + to_minutes(CAST(floor(value) AS BIGINT)) AS "end", 8 AS signal FROM events WHERE event_type = 'purchase' AND value > 200""",
     "rain": """SELECT date_trunc('hour', ts) AS hour, n_name AS district, CAST(floor(min(value) / 10) AS INTEGER) AS min_mm, CAST(ceil(max(value) / 10) AS INTEGER) AS max_mm FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE event_type = 'view' GROUP BY ALL""",
-    "holidays": """SELECT date, 'Holiday ' || n AS name, n FROM (SELECT CAST(ts AS DATE) AS date, max(event_id) AS n FROM events WHERE value > 200 GROUP BY ALL) WHERE n % 4 = 0""",
+    "holidays": """SELECT date, 'Holiday ' || n AS name, n FROM (SELECT *, avg(top) OVER () AS mean FROM (SELECT CAST(ts AS DATE) AS date, max(value) AS top, max(struct_pack(value := value, n := event_id)).n AS n FROM events GROUP BY ALL)) WHERE top > mean""",
     "versions": """SELECT o_custkey AS "key", o_orderdate AS valid_from, max(o_orderkey) AS version FROM orders GROUP BY ALL""",
     "probes": """SELECT l_orderkey AS order_no, l_linenumber AS line_no, l_suppkey AS "key", l_shipdate AS time FROM lineitem""",
     "clean": """SELECT event_id, time, detector_id, lane_id, CASE WHEN volume <> 0 THEN speed END AS speed, occupancy, volume FROM readings WHERE valid = 'Y' AND speed BETWEEN 0 AND 130 AND occupancy BETWEEN 0 AND 100""",
     "six": """SELECT detector_id, time_bucket(INTERVAL 6 hours, time) AS bin, count(*) AS n, avg(speed) AS speed, avg(occupancy) AS occupancy, sum(volume) AS volume FROM clean GROUP BY ALL""",
     "episodes": """SELECT CAST(row_number() OVER (ORDER BY "start") AS INTEGER) AS episode_id, * FROM (SELECT min("start") AS "start", max("end") AS "end", max(level) AS max_level, count(*) AS n_signals, bool_or(provisional) AS provisional FROM (SELECT *, sum(opens) OVER (ORDER BY "start", signal_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN "start" <= max("end") OVER (ORDER BY "start", signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM signals)) GROUP BY island)""",
-    "levels": """SELECT r.*, coalesce(w.level, 0) AS level, (epoch_us(r.time) - epoch_us(w."start")) // 60000000 AS minutes_since FROM readings r LEFT JOIN (SELECT event_id, max(struct_pack(level := level, "start" := s."start")).level AS level, max(struct_pack(level := level, "start" := s."start"))."start" AS "start" FROM readings JOIN signals s ON time >= s."start" AND time < s."end" GROUP BY event_id) w USING (event_id)""",
+    "levels": """SELECT r.*, coalesce(w.level, 0) AS level, (epoch_us(r.time) - epoch_us(w."start")) // 60000000 AS minutes_since FROM readings r LEFT JOIN (SELECT event_id, max(struct_pack(level := level, "start" := s."start")).level AS level, max(struct_pack(level := level, "start" := s."start"))."start" AS "start" FROM (SELECT event_id, time, district FROM readings JOIN detectors USING (detector_id)) p JOIN (SELECT "start", "end", level, district FROM signals JOIN detectors USING (detector_id)) s ON p.district = s.district AND time >= s."start" AND time < s."end" GROUP BY event_id) w USING (event_id)""",
     "baseline": """SELECT detector_id, median(speed) AS baseline FROM levels WHERE level = 0 AND valid = 'Y' AND volume <> 0 AND speed BETWEEN 0 AND 130 GROUP BY detector_id""",
     "ratios": """SELECT l.*, speed / nullif(baseline, 0) AS ratio FROM levels l JOIN baseline USING (detector_id) WHERE valid = 'Y' AND volume <> 0 AND speed BETWEEN 0 AND 130""",
     "sensitive": """SELECT detector_id, level, count(*) AS n, median(ratio) - 1 AS sensitivity FROM ratios WHERE level > 0 GROUP BY ALL""",
     "ranking": """SELECT detector_id, avg(sensitivity) AS sensitivity FROM sensitive GROUP BY detector_id""",
 }
-_NEEDS = {"clean": ["readings"], "six": ["clean"], "episodes": ["signals"], "levels": ["readings", "signals"], "baseline": ["levels"], "ratios": ["baseline"], "sensitive": ["ratios"], "ranking": ["sensitive"]}
+_NEEDS = {"clean": ["readings"], "six": ["clean"], "episodes": ["signals"], "levels": ["readings", "signals", "detectors"], "baseline": ["levels"], "ratios": ["baseline"], "sensitive": ["ratios"], "ranking": ["sensitive"]}
 
 
 def with_views(names: str, query: str) -> str:

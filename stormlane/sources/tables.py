@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A small result of long work, written once to the session's checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """With a header and times to the minute; an empty table gives a header alone."""
     df.write.option("header", True).option("timestampNTZFormat", MINUTES).mode("overwrite").csv(path)

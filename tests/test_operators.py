@@ -204,7 +204,7 @@ def test_warning_levels_equal_brute_force(spark):
     at = lambda minutes: T(2024, 5, 1) + dt.timedelta(minutes=minutes)
     signals = [(at(a), at(a + rng.randrange(0, 200)), rng.randrange(1, 4)) for a in (rng.randrange(0, 900) for _ in range(40))]
     points = [(i, at(rng.randrange(-60, 1200)), "kept") for i in range(150)] + [(7, at(300), "repeated"), (200, None, "no time")]
-    got = intervals.encode_warning(spark.createDataFrame(points, "id int, time timestamp_ntz, _at string"), spark.createDataFrame(signals, "start timestamp_ntz, end timestamp_ntz, level int"), ["id"])
+    got = intervals.encode_warning(spark.createDataFrame(points, "id int, time timestamp_ntz, _at string"), spark.createDataFrame(signals, "start timestamp_ntz, end timestamp_ntz, level int"))
     want = []
     for i, t, _ in points:
         best = max(((level, a) for a, b, level in signals if t is not None and a <= t < b), default=(0, None))
