@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormlane.operators import align, catalog, cleaning, days, intervals, study
+from stormlane.operators import align, catalog, cleaning, days, intervals, modelling, study
 from stormlane.plans.views import Views, with_views
 from stormlane.sources.tables import kept
 
@@ -632,6 +632,122 @@ def model_importances(v: Views) -> DataFrame:
     return study.importances(_learnable(v), _FEATURES, "ratio").select("feature", _r("importance", 5))
 
 
+# Configurations
+
+
+class _Study:
+    """The views as inputs of a modelling table; each is only read if it is asked for."""
+
+    def __init__(self, v: Views):
+        self.v = v
+
+    readings = property(lambda self: self.v.readings)
+    detectors = property(lambda self: self.v.detectors)
+    signals = property(lambda self: _under(self.v, self.v.signals).withColumnRenamed("under", "district"))
+    rain = property(lambda self: self.v.rain)
+    holidays = property(lambda self: self.v.days)
+    cyclones = property(lambda self: self.v.cyclones)
+
+
+_BASE = {"minutes": 360, "calendar": "none"}
+#: The ablation's configurations: what each changes against the first.
+_CONFIGS: dict[str, dict] = {
+    "default": {}, "keep_invalid": {"validity": "keep"}, "slowest_lane": {"lanes": "slowest"}, "bin_60": {"minutes": 60}, "bin_720": {"minutes": 720},
+    "fill_linear": {"fill": "linear"}, "fill_ffill": {"fill": "ffill"}, "rain_max": {"rain": "max"}, "rain_ffill": {"rain_align": "ffill"}, "no_rain": {"rain": "none"},
+    "zscore": {"normalise": "zscore"}, "prev_week": {"normalise": "prev_week"},
+}
+_CONFIGS = {name: modelling.Config(**_BASE | changes) for name, changes in _CONFIGS.items()}
+
+
+def _bins_sql(c: modelling.Config) -> str:
+    """The bins of a configuration with their district, level and rain, as far as the ablation varies them."""
+    keep = ["speed BETWEEN 0 AND 130 AND occupancy BETWEEN 0 AND 100"] + ["valid = 'Y'"] * (c.validity == "drop_lane")
+    lane = {"weighted": "sum(speed * volume) / nullif(sum(CASE WHEN speed IS NOT NULL THEN volume END), 0)", "slowest": "min(speed)"}[c.lanes]
+    step = f"INTERVAL {c.minutes} minutes"
+    bins = f"SELECT detector_id, time_bucket({step}, time) AS bin, avg(speed) AS speed FROM (SELECT detector_id, time, {lane} AS speed FROM (SELECT detector_id, time, volume, CASE WHEN volume <> 0 THEN speed END AS speed FROM readings WHERE {' AND '.join(keep)}) GROUP BY ALL) GROUP BY ALL"
+    if c.fill != "none":
+        filled = {"ffill": "last_value(speed IGNORE NULLS) OVER b", "linear": "coalesce(speed, CASE WHEN first_value(CASE WHEN speed IS NOT NULL THEN k END IGNORE NULLS) OVER a - last_value(CASE WHEN speed IS NOT NULL THEN k END IGNORE NULLS) OVER b - 1 <= 2 THEN last_value(speed IGNORE NULLS) OVER b + (first_value(speed IGNORE NULLS) OVER a - last_value(speed IGNORE NULLS) OVER b) * (k - last_value(CASE WHEN speed IS NOT NULL THEN k END IGNORE NULLS) OVER b) / (first_value(CASE WHEN speed IS NOT NULL THEN k END IGNORE NULLS) OVER a - last_value(CASE WHEN speed IS NOT NULL THEN k END IGNORE NULLS) OVER b) END)"}[c.fill]
+        spine = f"SELECT detector_id, bin, speed, row_number() OVER (PARTITION BY detector_id ORDER BY bin) AS k FROM (SELECT detector_id, unnest(generate_series(min(bin), max(bin), {step})) AS bin FROM ({bins}) GROUP BY detector_id) LEFT JOIN ({bins}) USING (detector_id, bin)"
+        bins = f"SELECT detector_id, bin, {filled} AS speed FROM ({spine}) WINDOW b AS (PARTITION BY detector_id ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY detector_id ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    placed = f"SELECT q.*, d.district FROM ({bins}) q LEFT JOIN detectors d USING (detector_id) WHERE speed IS NOT NULL"
+    leveled = f"SELECT p.*, coalesce(level, 0) AS level FROM ({placed}) p LEFT JOIN (SELECT district, bin, max(level) AS level FROM (SELECT DISTINCT district, bin FROM ({placed})) JOIN (SELECT \"start\", \"end\", level, district FROM signals JOIN detectors USING (detector_id)) s USING (district) WHERE bin >= s.\"start\" AND bin < s.\"end\" GROUP BY ALL) w USING (district, bin)"
+    value = {"mid": "(min_mm + max_mm) / 2.0", "max": "max_mm"}.get(c.rain)
+    if c.rain == "none":
+        return f"SELECT *, CAST(NULL AS DOUBLE) AS rain FROM ({leveled})"
+    if c.rain_align == "ffill":
+        return f"SELECT l.*, CASE WHEN l.bin <= z.last THEN {value} END AS rain FROM ({leveled}) l ASOF LEFT JOIN rain r ON r.district = l.district AND l.bin >= r.hour LEFT JOIN (SELECT district, max(hour) AS last FROM rain GROUP BY district) z ON z.district = l.district"
+    return f"SELECT l.*, CASE WHEN b.hour IS NOT NULL THEN coalesce({value}, 0) END AS rain FROM ({leveled}) l LEFT JOIN rain r ON r.hour = date_trunc('hour', bin) AND r.district = l.district LEFT JOIN (SELECT DISTINCT hour FROM rain) b ON b.hour = date_trunc('hour', bin)"
+
+
+def _config_sql(c: modelling.Config) -> str:
+    y = {
+        "ratio": "speed / nullif(baseline, 0)", "zscore": "(speed - avg(speed) OVER (PARTITION BY detector_id)) / nullif(stddev_samp(speed) OVER (PARTITION BY detector_id), 0)", "prev_week": "q.speed / nullif(w.speed, 0)",
+    }[c.normalise]
+    source = {"ratio": "q JOIN (SELECT detector_id, median(speed) AS baseline FROM q WHERE level = 0 GROUP BY detector_id) USING (detector_id)", "zscore": "q", "prev_week": "q LEFT JOIN q w ON w.detector_id = q.detector_id AND w.bin = q.bin - INTERVAL 7 days"}[c.normalise]
+    return f"(WITH q AS ({_bins_sql(c)}) SELECT q.detector_id, q.bin, q.speed, q.district, q.level, q.rain, {y} AS y FROM {source})"
+
+
+_CONFIG_ROWS = " UNION ALL ".join(f"SELECT '{name}' AS variant, {str(c.normalise in ('ratio', 'prev_week')).lower()} AS ratio, detector_id, level, hour(bin) AS hour, coalesce(rain > 0, false) AS wet, y FROM {_config_sql(c)} WHERE y IS NOT NULL" for name, c in _CONFIGS.items())
+_CONFIG_NAMES = "(SELECT unnest([" + ", ".join(f"'{name}'" for name in _CONFIGS) + "]) AS variant)"
+_COMPARED = _ABLATED[_ABLATED.index("bo AS") :]
+
+
+@query("ablation_configs", "readings detectors signals rain", f""", lo AS MATERIALIZED ({_CONFIG_ROWS}), sc AS (SELECT variant, detector_id, avg(m) AS x FROM (SELECT variant, detector_id, level, median(y) AS m FROM lo WHERE level > 0 GROUP BY ALL) GROUP BY ALL), {_COMPARED},
+er AS (SELECT variant, count(*) AS n_rows, avg(abs(y - guess)) AS mae, 2.0 * count(*) FILTER (ratio AND y < 0.7 AND guess < 0.7) / nullif(2 * count(*) FILTER (ratio AND y < 0.7 AND guess < 0.7) + count(*) FILTER (ratio AND y >= 0.7 AND guess < 0.7) + count(*) FILTER (ratio AND y < 0.7 AND guess >= 0.7), 0) AS f1 FROM (SELECT *, avg(y) OVER (PARTITION BY variant, level, hour, wet) AS guess FROM lo) GROUP BY variant),
+co1 AS (SELECT variant, count(rx) AS n, round(corr(rx, ry), 4) AS spearman FROM rk GROUP BY variant)
+SELECT variant, coalesce(n, 0) AS n, spearman, coalesce(n_common, 0) AS n_common, coalesce(n_rows, 0) AS n_rows, round(mae, 5) AS mae, round(f1, 5) AS f1 FROM {_CONFIG_NAMES} LEFT JOIN co1 USING (variant) LEFT JOIN co USING (variant) LEFT JOIN er USING (variant)""")
+def ablation_configs(v: Views) -> DataFrame:
+    """Bin width, lanes, filling, rain and normalisation varied one at a time, all from one tree of steps."""
+    return modelling.ablate(_CONFIGS, _Study(v), "default").select("variant", "n", _r("spearman", 4), "n_common", "n_rows", _r("mae", 5), _r("f1", 5))
+
+
+_FULL = modelling.Config(minutes=60, confounders="feature", rain_lags=(1, 2))
+_LEAN = modelling.Config(minutes=720, rain="none", calendar="none", warning="onehot", confounders="keep", fill="linear")
+
+
+@query("model_table_full", "readings detectors signals rain holidays cyclones", f""", q AS MATERIALIZED {_config_sql(_FULL)} SELECT q.detector_id, q.bin, q.district, q.level, round(q.y, 6) AS y, q.rain, a.rain AS rain_1, b.rain AS rain_2, h.date IS NOT NULL AS on_holiday, EXISTS (SELECT 1 FROM cyclones s WHERE q.bin >= s."start" AND q.bin < s."end") AS under_cyclone, CASE WHEN h.date IS NOT NULL THEN 'holiday' WHEN isodow(q.bin) >= 6 THEN 'weekend' ELSE 'working' END AS day_type
+FROM q LEFT JOIN (SELECT hour, district, (min_mm + max_mm) / 2.0 AS rain FROM rain) a ON a.district = q.district AND a.hour = date_trunc('hour', q.bin) - INTERVAL 1 hour LEFT JOIN (SELECT hour, district, (min_mm + max_mm) / 2.0 AS rain FROM rain) b ON b.district = q.district AND b.hour = date_trunc('hour', q.bin) - INTERVAL 2 hours LEFT JOIN holidays h ON h.date = CAST(q.bin AS DATE)""")
+def model_table_full(v: Views) -> DataFrame:
+    """Hourly bins with all the configuration can add: rain and its lags, warning, calendar and confounders."""
+    return modelling.model_table(_FULL, _Study(v)).select("detector_id", "bin", "district", "level", _r("y"), "rain", "rain_1", "rain_2", "on_holiday", "under_cyclone", "day_type")
+
+
+@query("model_table_lean", "readings detectors signals rain", f"SELECT detector_id, bin, CAST(level = 1 AS INTEGER) AS is_amber, CAST(level = 2 AS INTEGER) AS is_red, CAST(level = 3 AS INTEGER) AS is_black, round(y, 6) AS y FROM {_config_sql(_LEAN)}")
+def model_table_lean(v: Views) -> DataFrame:
+    """Half-day bins, short gaps filled, one-hot warnings, and nothing else: neither rain nor calendar is read."""
+    return modelling.model_table(_LEAN, _Study(v)).select("detector_id", "bin", "is_amber", "is_red", "is_black", _r("y"))
+
+
+def _district_folds(v: Views, rows: DataFrame) -> DataFrame:
+    """Whole episodes of a district in one fold; rows have a district."""
+    episodes = intervals.merge_intervals(_under(v, v.signals), ["under"])
+    return study.split_by_episode(rows, episodes, keys={"district": "under"})
+
+
+_CV = f"""SELECT q.ratio, CAST(q.level AS DOUBLE) AS a, coalesce((min_mm + max_mm) / 2.0, 0)::DOUBLE AS b, CAST(hour(time) AS DOUBLE) AS h, CAST(coalesce(e.episode_id, CAST(time AS DATE) - DATE '1970-01-01') % 3 AS INTEGER) AS fold FROM ratios q JOIN detectors d ON q.detector_id = d.detector_id LEFT JOIN rain r ON r.hour = date_trunc('hour', time) AND r.district = d.district LEFT JOIN ({_merged_sql("district", "0 minutes", "(SELECT s.*, district FROM signals s JOIN detectors USING (detector_id))")}) e ON e.district = d.district AND time >= e."start" AND time < e."end" WHERE ratio IS NOT NULL"""
+_LINES = """SELECT f.fold, (cay * vb - cby * cab) / (va * vb - cab * cab) AS sa, (cby * va - cay * cab) / (va * vb - cab * cab) AS sb, my, ma, mb, ts, ti FROM (SELECT DISTINCT fold FROM m) f, LATERAL (SELECT covar_pop(ratio, a) AS cay, covar_pop(ratio, b) AS cby, covar_pop(a, b) AS cab, var_pop(a) AS va, var_pop(b) AS vb, avg(ratio) AS my, avg(a) AS ma, avg(b) AS mb, regr_slope(ratio, h) AS ts, regr_intercept(ratio, h) AS ti FROM m WHERE m.fold <> f.fold)"""
+
+
+@query("linear_cv", "ratios rain detectors signals", f", m AS MATERIALIZED ({_CV}), l AS ({_LINES}) SELECT m.fold, count(*) AS n, round(any_value(sa), 5) AS slope_level, round(any_value(sb), 5) AS slope_rain, round(avg(abs(ratio - (my + sa * (a - ma) + sb * (b - mb)))), 5) AS mae, round(avg(abs(ratio - (ti + ts * h))), 5) AS mae_time_only FROM m JOIN l USING (fold) GROUP BY m.fold")
+def linear_cv(v: Views) -> DataFrame:
+    """A line of the speed ratio on level and rain, fitted without the fold of whole episodes it is tried on, beside one on the hour."""
+    rows = _model_table(v).where("ratio is not null").select("time", "district", "ratio", F.col("level").cast("double").alias("level"), F.coalesce("rain", F.lit(0.0)).cast("double").alias("rain"), F.hour("time").cast("double").alias("hour"))
+    rows = kept(_district_folds(v, rows))
+    both, lines = study.linear_cv(rows, "ratio", ["level", "rain"])
+    both, _ = study.linear_cv(both.withColumnRenamed("prediction", "by_both"), "ratio", ["hour"])
+    error = lambda guess: F.round(F.avg(F.abs(F.col("ratio") - F.col(guess))), 5)
+    slope = lambda k: F.create_map(*[F.lit(x) for fold, line in lines.items() for x in (fold, round(line[k], 5) if line else None)])[F.col("fold")]
+    per_fold = both.groupBy("fold").agg(F.count("*").alias("n"), error("by_both").alias("mae"), error("prediction").alias("mae_time_only"))
+    return per_fold.select("fold", "n", slope(1).alias("slope_level") if lines else F.lit(None).cast("double").alias("slope_level"), slope(2).alias("slope_rain") if lines else F.lit(None).cast("double").alias("slope_rain"), "mae", "mae_time_only")
+
+
+@query("baseline_sketch", "readings", "SELECT detector_id, count(*) AS n, quantile_disc(speed, 0.5) AS baseline, quantile_disc(speed, 0.25) AS low, quantile_disc(speed, 0.75) AS high FROM readings WHERE speed IS NOT NULL AND CAST(time AS DATE) >= DATE '2024-01-10' GROUP BY detector_id")
+def baseline_sketch(v: Views) -> DataFrame:
+    """Quartiles of a period from sketches of days; exact where a detector has as many rows as a sketch holds, as here."""
+    since = F.col("date") >= F.lit("2024-01-10").cast("date")
+    return study.sketched_quantiles(study.daily_sketches(v.readings, ["detector_id"]), ["detector_id"], {"baseline": 0.5, "low": 0.25, "high": 0.75}, since)
+
+
 def flagship(spark, sf_dir: str) -> DataFrame:
     return QUERIES["sensitivity"](spark, sf_dir)
 
