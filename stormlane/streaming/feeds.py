@@ -5,8 +5,15 @@ Each function takes a streaming DataFrame and returns one; sinks and triggers ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from stormlane.functions.scalar import member_stamp
+from stormlane.sources import bundles, parse
 
 
 def stream_readings(readings: DataFrame, late: str = "15 minutes") -> DataFrame:
@@ -34,6 +41,57 @@ def stream_sessions(signals: DataFrame, keys: list[str], late: str = "6 hours")
     return merged.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "max_level", "n_signals")
 
 
+def stream_episodes(signals: DataFrame, keys: list[str], max_gap: str = "0 minutes", late: str = "6 hours") -> DataFrame:
+    """Episodes per key of signals (start, end, level) that touch, overlap or follow within ``max_gap``; signals of no length count.
+
+    A key's open episodes are its state: few, as an episode leaves once the watermark (the latest start less ``late``) has passed its
+    end by more than the gap, when no signal in time can reach it any more. An event-time timer lets it leave without new signals of
+    its key. Signals with a null key, start or end are left out.
+    """
+    gap = pd.Timedelta(max_gap)
+    kinds = dict(signals.dtypes)
+    out = f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, start timestamp, end timestamp, max_level int, n_signals bigint"
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [list(e) for e in zip(*state.get)] if state.exists else []
+        micros = lambda column: column.astype("datetime64[us]").astype("int64").tolist()
+        for frame in frames:
+            held += [[a, b, level, 1] for a, b, level in zip(micros(frame["start"]), micros(frame["end"]), frame["level"].tolist())]
+        held.sort()
+        merged: list[list] = []
+        for a, b, level, n in held:
+            if merged and a <= merged[-1][1] + gap // pd.Timedelta(microseconds=1):
+                last = merged[-1]
+                last[1:] = [max(last[1], b), max(last[2], level), last[3] + n]
+            else:
+                merged.append([a, b, level, n])
+        width = gap // pd.Timedelta(microseconds=1)
+        passed = state.getCurrentWatermarkMs() * 1000
+        done = [e for e in merged if e[1] + width < passed]
+        still = [e for e in merged if e[1] + width >= passed]
+        if still:
+            state.update(tuple(list(c) for c in zip(*still)))
+            state.setTimeoutTimestamp(max(min(e[1] for e in still) + width, passed) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        if done:
+            columns = {k: [v] * len(done) for k, v in zip(keys, key)}
+            times = lambda k: pd.to_datetime([e[k] for e in done], unit="us")
+            yield pd.DataFrame(columns | {"start": times(0), "end": times(1), "max_level": [e[2] for e in done], "n_signals": [e[3] for e in done]})
+
+    some = signals.dropna(subset=[*keys, "start", "end"]).withColumn("level", F.coalesce(F.col("level").cast("int"), F.lit(0))).select(*keys, "start", "end", "level")
+    state = "start array<bigint>, end array<bigint>, level array<int>, n array<bigint>"
+    return some.withWatermark("start", late).groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_archive(spark: SparkSession, path: str, suffix: str = "rawSpeedVol.xml") -> DataFrame:
+    """Lane readings of the detector documents in the bundles at a path, as they come, with the archive time of their member; of cut
+    documents what is whole."""
+    members = bundles.stream_bundles(spark, path, suffix)
+    files = members.select(member_stamp(F.col("name")).cast("timestamp").alias("archived"), F.decode("content", "UTF-8").alias("content"))
+    return parse.read_archive(files)
+
+
 def stream_rain(bulletins: DataFrame, late: str = "2 hours") -> DataFrame:
     """Hourly district maxima; bulletins later than ``late`` are dropped and counted in the query's progress."""
     marked = bulletins.withWatermark("issued", late)
