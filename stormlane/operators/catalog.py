@@ -20,7 +20,7 @@ def expand_plan(entries: DataFrame) -> DataFrame:
     """(url, kind, item): the files of each entry (its dates, or the months of its range less the excluded), then documents.
 
     An entry with both dates and range, with neither nor documents, or with an exclude but no range has one row of kind
-    'rejected'; items of a wrong shape have kind 'bad'.
+    'rejected'; items of a wrong shape have kind 'bad'; an excluded month that the range doesn't have has one of kind 'idle exclude'.
     """
     both = F.col("dates").isNotNull() & F.col("range").isNotNull()
     idle = F.col("dates").isNull() & F.col("range").isNull() & F.col("dictionary").isNull() & F.col("schema").isNull()
@@ -29,8 +29,9 @@ def expand_plan(entries: DataFrame) -> DataFrame:
     items = F.coalesce("dates", F.array_except(months, F.coalesce("exclude", F.array().cast("array<string>"))), F.array().cast("array<string>"))
     none = F.array().cast("array<struct<kind:string,item:string>>")
     tagged = lambda column, kind: F.coalesce(F.transform(column, lambda x: F.struct(kind(x).alias("kind"), x.alias("item"))), none)
+    idle_excludes = tagged(F.when(F.col("range").isNotNull(), F.array_except("exclude", months)), lambda x: F.lit("idle exclude"))
     documents = [tagged(F.col(c), lambda x, c=c: F.lit(c)) for c in ("dictionary", "schema")]
-    requests = F.when(wrong, F.array(F.struct(F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("item")))).otherwise(F.concat(tagged(items, item_kind), *documents))
+    requests = F.when(wrong, F.array(F.struct(F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("item")))).otherwise(F.concat(tagged(items, item_kind), idle_excludes, *documents))
     return entries.select("url", F.explode(requests).alias("r")).select("url", "r.kind", "r.item")
 
 

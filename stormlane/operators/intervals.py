@@ -177,3 +177,12 @@ def news_intervals(news: DataFrame) -> DataFrame:
         F.min(F.when(F.col("status") == "CLOSED", F.col("time"))).alias("end"),
         F.count("*").alias("n_messages"),
     )
+
+
+def exclude_incidents(df: DataFrame, news: DataFrame, keys: dict[str, str], time: str = "time", open_for: str = "1 day") -> DataFrame:
+    """``df`` without the rows that lie within an incident (start, end) of their key; one without an end holds for ``open_for``.
+
+    ``keys`` names columns of ``df`` and the incidents' columns they must equal. Rows with a null time or key stay.
+    """
+    active = news.select(*keys.values(), "start", F.coalesce("end", F.col("start") + F.expr(f"interval {open_for}")).alias("end"))
+    return interval_join(df, active, time, "left_anti", keys)

@@ -134,8 +134,8 @@ def exclude_confounders(v: Views) -> DataFrame:
 def exclude_incidents(v: Views) -> DataFrame:
     some = v.readings.where("lane_id in ('error', 'purchase')")
     news = some.groupBy("detector_id", F.to_date("time").alias("day")).agg(F.min("time").alias("start"), F.min(F.when(F.col("lane_id") == "purchase", F.col("time"))).alias("closed"))
-    active = news.select(F.col("detector_id").alias("where"), "start", F.coalesce("closed", F.col("start") + F.expr("interval 1 day")).alias("end"))
-    return intervals.interval_join(v.readings, active, "time", "left_anti", {"detector_id": "where"}).select("event_id")
+    incidents = news.select(F.col("detector_id").alias("where"), "start", F.col("closed").alias("end"))
+    return intervals.exclude_incidents(v.readings, incidents, {"detector_id": "where"}).select("event_id")
 
 
 # Joins
@@ -426,6 +426,14 @@ def fill_seasonal(v: Views) -> DataFrame:
     return align.fill(_six(v), ["detector_id"], "bin", "speed", "6 hours", "seasonal").select("detector_id", "bin", _r("filled"))
 
 
+@query("fill_seasonal_week", "readings", ", q AS (SELECT detector_id, time_bucket(INTERVAL 15 minutes, time) AS bin, avg(speed) AS speed FROM readings GROUP BY ALL), s AS (SELECT detector_id, bin, speed FROM (SELECT detector_id, unnest(generate_series(min(bin), max(bin), INTERVAL 15 minutes)) AS bin FROM q GROUP BY detector_id) LEFT JOIN q USING (detector_id, bin)), m AS (SELECT detector_id, isodow(bin) >= 6 AS weekend, hour(bin) * 4 + minute(bin) // 15 AS slot, avg(speed) AS mean FROM q GROUP BY ALL) SELECT s.detector_id, bin, round(coalesce(speed, mean), 4) AS filled FROM s JOIN m ON m.detector_id = s.detector_id AND m.weekend = (isodow(s.bin) >= 6) AND m.slot = hour(s.bin) * 4 + minute(s.bin) // 15")
+def fill_seasonal_week(v: Views) -> DataFrame:
+    """Quarter-hour bins that any bin of the detector at that quarter of a working day or weekend tells something about."""
+    bins = align.bin_time(v.readings, 15).select("detector_id", "bin", "speed")
+    filled = align.fill(bins, ["detector_id"], "bin", "speed", "15 minutes", "seasonal", align.weekly_slot("bin"))
+    return filled.where("filled is not null").select("detector_id", "bin", _r("filled", 4))
+
+
 @query("rain_slots", "rain", "SELECT district, hour + to_minutes(CAST(15 * k AS BIGINT)) AS slot, (min_mm + max_mm) / 2.0 AS rain FROM rain, range(-1, 3) t(k)")
 def rain_slots(v: Views) -> DataFrame:
     return align.rain_slots(v.rain)

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormlane.functions import scalar
-from stormlane.operators import catalog, cleaning, intervals
-from stormlane.plans.queries import _EPISODE_COLUMNS, query
+from stormlane.operators import align, catalog, cleaning, days, intervals
+from stormlane.plans.queries import _EPISODE_COLUMNS, _EVENTS, _MANIFEST, query
 from stormlane.plans.views import Views
-from stormlane.sources import bundles, parse, tables
+from stormlane.sources import bundles, parse, rejects, tables
 
 _MINUTE = "date_trunc('minute', {})"
 
@@ -141,6 +141,13 @@ def read_archive_xml(v: Views) -> DataFrame:
     return _parsed(parse.read_archive(_some_cut(v)))
 
 
+@query("salvage_middle", "readings", _RENDERED.replace("FROM readings", "FROM (SELECT *, max(event_id) OVER (PARTITION BY strftime(time, '%Y%m%d-%H')) AS last FROM readings) WHERE event_id < last"))
+def salvage_middle(v: Views) -> DataFrame:
+    """Every document is cut within the last lane of its own last detector, which is lost; all before it is found."""
+    kept = F.expr("substring(content, 1, length(content) - length(substring_index(content, '<speed>', -1)))")
+    return _parsed(parse.salvage_readings(_reading_files(v).withColumn("content", kept)))
+
+
 @query("cut_counters", "readings", "SELECT count(*) AS n_files, count(*) FILTER (CAST(right(hour, 1) AS INTEGER) % 2 = 0) AS n_truncated FROM (SELECT DISTINCT strftime(time, '%Y%m%d-%H') AS hour FROM readings)")
 def cut_counters(v: Views) -> DataFrame:
     return parse.cut_counters(_some_cut(v))
@@ -266,6 +273,13 @@ def roundtrip_episodes(v: Views) -> DataFrame:
     return tables.read_csv(v.spark, path, tables.EPISODES)
 
 
+@query("roundtrip_manifest", "episodes cyclones", f", ev AS ({_EVENTS}) SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({_MANIFEST})")
+def roundtrip_manifest(v: Views) -> DataFrame:
+    """The selected days written in order of date and read back."""
+    tables.write_manifest(days.select_days(intervals.merge_intervals(v.signals), v.cyclones, (1, 9999), min_level=1, since="0001-01-01"), path := _scratch(v))
+    return tables.read_manifest(v.spark, path)
+
+
 @query("pending_partitions", "readings", "SELECT event_id, CAST(time AS DATE) AS date FROM readings WHERE CAST(time AS DATE) NOT IN (SELECT CAST(time AS DATE) FROM readings WHERE lane_id = 'error' AND speed > 200)")
 def pending_partitions(v: Views) -> DataFrame:
     rows = v.readings.withColumn("date", F.to_date("time"))
@@ -306,6 +320,14 @@ def plan_expand(v: Views) -> DataFrame:
     return _tasks(v)
 
 
+@query("plan_idle_excludes", "", f"WITH {_ENTRIES} SELECT url, strftime(a - INTERVAL 1 month, '%Y-%m') AS item FROM e WHERE s = 'F' UNION ALL SELECT url, strftime(b + INTERVAL 1 month, '%Y-%m') FROM e WHERE s = 'F'")
+def plan_idle_excludes(v: Views) -> DataFrame:
+    """Each range also excludes the month before its first and the one after its last, which change nothing."""
+    month = lambda c, n: F.date_format(F.add_months(F.to_date(F.concat(c, F.lit("-01"))), n), "yyyy-MM")
+    entries = catalog.read_plan(_plan_files(v)).withColumn("exclude", F.when(F.col("exclude").isNotNull(), F.concat("exclude", F.array(month(F.get("range", F.lit(0)), -1), month(F.get("range", F.lit(1)), 1)))))
+    return catalog.expand_plan(entries).where("kind = 'idle exclude'").select("url", "item")
+
+
 _SIZED = f"t AS ({_PLANNED}), z AS (SELECT url, kind, item, CASE WHEN kind = 'month' THEN NULL ELSE 100 * length(url) END AS size FROM t WHERE kind <> 'rejected')"
 
 
@@ -440,3 +462,76 @@ def slot_key(v: Views) -> DataFrame:
     from stormlane.operators.align import calendar_join
 
     return calendar_join(v.readings, v.days).select("event_id", scalar.slot(F.col("time")).alias("slot"), "day_type")
+
+
+# What the readers leave out
+
+
+def _route_file(v: Views) -> DataFrame:
+    """Segment and route of the parts above size 10 as CSV bytes, a file per size."""
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), F.col("p_brand"))
+    lines = _document(v.table("part").where("p_size > 10"), ["p_size"], line, ["p_partkey"], "\r\n", "\ufeffSEGMENT,ROUTE\r\n", "\r\n\r\n")
+    return lines.select(F.encode("content", "UTF-8").alias("content"))
+
+
+@query("route_file_match_rate", "", "SELECT p_brand AS route, count(*) AS n, count(s_suppkey) AS n_matched, round(count(s_suppkey) / count(*), 6) AS match_rate FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 10 LEFT JOIN supplier ON l_partkey = s_suppkey AND s_acctbal > 0 GROUP BY p_brand")
+def route_file_match_rate(v: Views) -> DataFrame:
+    """Segments joined with the routes of a file that is read."""
+    segments = v.table("lineitem").select(F.col("l_partkey").cast("string").alias("segment_id"))
+    centre = v.table("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("segment_id"))
+    return align.segment_route(segments, parse.read_dimension(_route_file(v), columns=parse.ROUTES), centre).withColumn("match_rate", F.round("match_rate", 6))
+
+
+def _damaged(v: Views) -> list[DataFrame]:
+    """The rejects of archives with known damage: which orders, order lines, customers or suppliers are damaged goes by their numbers."""
+    o, lines, text = v.table("orders"), v.table("lineitem"), lambda c: F.col(c).cast("string")
+    order, customer = F.col("o_orderkey") % 10, F.col("o_custkey") % 7
+    event = F.concat(F.lit('{"dtstart":["'), F.when(order == 0, "20241399").otherwise("20240105"), F.lit('"],"summary":"'), F.when(order == 1, " ").otherwise("x"), F.lit('"}'))
+    calendars = _document(o.select("o_custkey", "o_orderkey", event.alias("e")), ["o_custkey"], F.col("e"), ["o_orderkey"], ",", '{"vcalendar":[{"vevent":[', "]}]}").withColumn("content", F.when(customer == 0, F.substring("content", 1, 20)).otherwise(F.col("content")))
+    message = F.concat(F.lit("<message>"), F.when(order == 2, "").otherwise("<id>1</id>"), F.lit("<status>NEW</status><time>"), F.when(order == 3, "soon").otherwise("2024-01-05T10:00:00"), F.lit("</time></message>"))
+    news = _document(o.select("o_custkey", "o_orderkey", message.alias("m")), ["o_custkey"], F.col("m"), ["o_orderkey"], "", "<list>", "</list>")
+    segment = F.concat(F.lit("<segment>"), F.when(F.col("l_linenumber") == 3, "").otherwise("<segment_id>5</segment_id>"), F.lit("<speed>40.5</speed><valid>Y</valid></segment>"))
+    snapshots = _document(lines.select("l_orderkey", "l_linenumber", segment.alias("s")), ["l_orderkey"], F.col("s"), ["l_linenumber"], "", "", "").withColumn("content", F.concat(F.lit("<list><date>2024-01-05</date><time>"), F.when(F.col("l_orderkey") % 10 == 4, "later").otherwise("10:00:00"), F.lit("</time><segments>"), "content", F.lit("</segments></list>")))
+    place = F.concat_ws(",", text("s_suppkey"), F.lit("North"), F.lit("Road"), F.when(F.col("s_suppkey") % 9 == 0, "north").otherwise("22.3"), F.lit("114.1"))
+    suppliers = v.table("supplier").withColumn("of", F.col("s_suppkey") % 4)
+    dimension = _document(suppliers, ["of"], place, ["s_suppkey"], "\n", "id,district,road,lat,lon\n", "\n").select("of", F.encode("content", "UTF-8").alias("content"))
+    cell = F.when(F.col("l_linenumber") == 5, "20240101,1.5").otherwise(F.concat(F.when(F.col("l_orderkey") % 10 == 5, "202413010000").otherwise("202401010000"), F.lit(",202401010030,22.3,114.1,"), F.when(F.col("l_linenumber") == 4, "much").otherwise("1.5")))
+    day = F.concat(F.when(order == 6, "2024,2,30").otherwise("2024,2,3"), F.lit(","), F.when(order == 7, "much").when(order == 8, "Trace").when(order == 9, "***").otherwise("2.5"), F.lit(",C"))
+    lane = F.concat(F.lit("<lane><lane_id>Fast</lane_id><speed>"), F.when(customer == 3, "fast").otherwise("50"), F.lit("</speed><valid>Y</valid></lane>"))
+    document = F.concat(F.lit("<raw_speed_volume_list><date>2024-05-01</date><periods><period><period_from>08:00:00</period_from><detectors><detector><detector_id>D</detector_id><lanes>"), lane, F.lit("</lanes></detector></detectors></period></periods>"), F.when(customer == 2, "").otherwise("</raw_speed_volume_list>"))
+    persons = o.select("o_custkey").distinct()
+    sentence = F.when(F.col("o_custkey") % 5 == 0, "Fine.").otherwise("Between 9:45 a.m. and 10:45 a.m. the rainfall was:\n North District 5 mm")
+    response = F.when(customer == 1, '{"data-files":').otherwise('{"data-files":[],"timestamps":[]}')
+    return [
+        rejects.calendar_rejects(calendars, "o_custkey"),
+        rejects.news_rejects(news, "o_custkey"),
+        rejects.segment_rejects(snapshots, "l_orderkey"),
+        rejects.dimension_rejects(dimension, "of"),
+        rejects.grid_rejects(lines.select("l_orderkey", "l_linenumber", cell.alias("value")), "l_orderkey", "l_linenumber"),
+        rejects.daily_rain_rejects(o.select("o_custkey", (F.col("o_orderkey") % 1000).alias("n"), day.alias("value")), "o_custkey", "n"),
+        rejects.reading_rejects(persons.select("o_custkey", document.alias("content")), "o_custkey"),
+        rejects.bulletin_rejects(persons.select("o_custkey", sentence.alias("text")), "o_custkey"),
+        rejects.coverage_rejects(persons.select("o_custkey", response.alias("content")), "o_custkey"),
+        rejects.log_rejects(_signal_logs(v), "month", "signals"),
+        rejects.log_rejects(_tc_logs(v), "month", "tc"),
+    ]
+
+
+_PERSONS = "(SELECT DISTINCT o_custkey FROM orders)"
+
+
+@query("reject_counters", "signals cyclones", f"""SELECT source, reason, n FROM (SELECT 'calendar' AS source, 'json' AS reason, count(*) AS n FROM {_PERSONS} WHERE o_custkey % 7 = 0
+UNION ALL SELECT 'calendar', CASE o_orderkey % 10 WHEN 0 THEN 'date' ELSE 'name' END, count(*) FROM orders WHERE o_custkey % 7 <> 0 AND o_orderkey % 10 IN (0, 1) GROUP BY ALL
+UNION ALL SELECT 'news', CASE o_orderkey % 10 WHEN 2 THEN 'id' ELSE 'time' END, count(*) FROM orders WHERE o_orderkey % 10 IN (2, 3) GROUP BY ALL
+UNION ALL SELECT 'segments', 'time', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 10 = 4
+UNION ALL SELECT 'segments', 'segment_id', count(*) FROM lineitem WHERE l_linenumber = 3
+UNION ALL SELECT 'dimension', 'columns', count(*) FROM supplier WHERE s_suppkey % 9 = 0
+UNION ALL SELECT 'grid', CASE WHEN l_linenumber = 5 THEN 'shape' WHEN l_orderkey % 10 = 5 THEN 'time' ELSE 'number' END, count(*) FROM lineitem WHERE l_linenumber IN (4, 5) OR l_orderkey % 10 = 5 GROUP BY ALL
+UNION ALL SELECT 'daily_rain', CASE o_orderkey % 10 WHEN 6 THEN 'date' ELSE 'value' END, count(*) FROM orders WHERE o_orderkey % 10 IN (6, 7) GROUP BY ALL
+UNION ALL SELECT 'readings', CASE o_custkey % 7 WHEN 2 THEN 'cut' ELSE 'value' END, count(*) FROM {_PERSONS} WHERE o_custkey % 7 IN (2, 3) GROUP BY ALL
+UNION ALL SELECT 'bulletins', 'sentence', count(*) FROM {_PERSONS} WHERE o_custkey % 5 = 0
+UNION ALL SELECT 'coverage', 'json', count(*) FROM {_PERSONS} WHERE o_custkey % 7 = 1
+UNION ALL SELECT 'signals', 'code', count(DISTINCT strftime("start", '%Y-%m')) FROM signals
+UNION ALL SELECT 'tc', 'intensity', count(*) FROM cyclones WHERE signal_id % 5 = 0) WHERE n > 0""")
+def reject_counters(v: Views) -> DataFrame:
+    return rejects.counted(*_damaged(v))

@@ -85,11 +85,18 @@ def read_tc(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def read_calendar(files: DataFrame, content: str = "content") -> DataFrame:
-    """Holidays of calendar JSON: date and trimmed name, with the other columns of the file."""
-    schema = "vcalendar array<struct<vevent:array<struct<dtstart:array<string>,summary:string>>>>"
+    """Holidays of calendar JSON: date (null if it isn't one) and trimmed name, with the other columns of the file."""
     rest = [c for c in files.columns if c != content]
-    events = files.select(*rest, F.explode(F.from_json(clean_text(F.col(content)), schema)["vcalendar"][0]["vevent"]).alias("e"))
-    return events.select(*rest, F.to_date(F.col("e.dtstart")[0], "yyyyMMdd").alias("date"), F.trim("e.summary").alias("name"))
+    events = files.select(*rest, F.explode(F.from_json(clean_text(F.col(content)), CALENDAR)["vcalendar"][0]["vevent"]).alias("e"))
+    return events.select(*rest, calendar_date(F.col("e")).alias("date"), F.trim("e.summary").alias("name"))
+
+
+CALENDAR = "vcalendar array<struct<vevent:array<struct<dtstart:array<string>,summary:string>>>>"
+
+
+def calendar_date(event: Column) -> Column:
+    """The date an event starts on, or null."""
+    return F.try_to_date(F.get(event["dtstart"], F.lit(0)), "yyyyMMdd")
 
 
 LANE = "lane_id string, speed double, occupancy int, volume int, `s.d.` double, valid string"
@@ -139,60 +146,104 @@ def read_archive(files: DataFrame, content: str = "content") -> DataFrame:
     return read_readings(whole, content).unionByName(salvage_readings(files, content))
 
 
-def read_dimension(files: DataFrame, content: str = "content", columns: str = "detector_id string, district string, road string, latitude double, longitude double") -> DataFrame:
-    """Rows of dimension CSVs given as bytes, with the other columns of the file (its version, say). UTF-16 with a byte order
-    mark is tab-separated, UTF-8 comma-separated. The header and blank lines are left out, fields are trimmed."""
+DIMENSION = "detector_id string, district string, road string, latitude double, longitude double"
+
+
+def dimension_lines(files: DataFrame, content: str) -> DataFrame:
+    """The lines behind the header that aren't blank, with their number from 0, and whether their file is wide (UTF-16)."""
     rest = [c for c in files.columns if c != content]
     wide = F.substring(content, 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
     text = F.when(wide, F.decode(content, "UTF-16")).otherwise(F.decode(content, "UTF-8"))
     lines = F.slice(F.split(clean_text(text), "\r\n|\n"), 2, 1_000_000_000)
-    rows = files.select(*rest, wide.alias("_wide"), F.explode(lines).alias("_line")).where("trim(_line) <> ''")
+    return files.select(*rest, wide.alias("wide"), F.posexplode(lines).alias("number", "line")).where("trim(line) <> ''")
+
+
+def read_dimension(files: DataFrame, content: str = "content", columns: str = DIMENSION) -> DataFrame:
+    """Rows of dimension CSVs given as bytes, with the other columns of the file (its version, say). UTF-16 with a byte order
+    mark is tab-separated, UTF-8 comma-separated. The header and blank lines are left out, fields are trimmed. ``columns`` may be
+    those of another table, such as ``ROUTES``."""
+    rest = [c for c in files.columns if c != content]
+    held = files.select(F.struct(*rest).alias("file") if rest else F.lit(None).alias("file"), F.col(content).alias("content"))
     options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    parsed = F.when(F.col("_wide"), F.from_csv("_line", columns, {"sep": "\t", **options})).otherwise(F.from_csv("_line", columns, options))
-    return rows.select(*rest, parsed.alias("r")).select(*rest, "r.*")
+    parsed = F.when(F.col("wide"), F.from_csv("line", columns, {"sep": "\t", **options})).otherwise(F.from_csv("line", columns, options))
+    return dimension_lines(held, "content").select(*[F.col("file")[c].alias(c) for c in rest], parsed.alias("r")).select(*rest, "r.*")
+
+
+#: Columns of the segment-to-route table.
+ROUTES = "segment_id string, route string"
 
 
 _CLOCK = r"(\d{1,2})(?::(\d{2}))?\s*(a\.m\.|p\.m\.|noon|midnight)"
-_PERIOD = rf"(?i)between\s+(\d{{1,2}})(?::(\d{{2}}))?\s*(a\.m\.|p\.m\.|noon|midnight)?\s+and\s+{_CLOCK}"
+PERIOD = rf"(?i)between\s+(\d{{1,2}})(?::(\d{{2}}))?\s*(a\.m\.|p\.m\.|noon|midnight)?\s+and\s+{_CLOCK}"
 _RAIN = r"(?m)^\s*([A-Z][A-Za-z&; ]*?)\s+(\d+)(?:\s+to\s+(\d+))?\s*mm"
 
 
 def read_bulletins(files: DataFrame, text: str = "text", issued: str = "issued") -> DataFrame:
     """Rain per district of bulletin texts: issued, end of the period, district, min_mm, max_mm. One amount is both. The stated
     end is the latest such clock time not after the issue time. Bulletins without the sentence have no rows."""
-    end = [F.regexp_extract(text, _PERIOD, k) for k in (4, 5, 6)]
+    end = [F.regexp_extract(text, PERIOD, k) for k in (4, 5, 6)]
     minutes = clock(end[0], F.when(end[1] != "", end[1]), end[2])
-    rows = files.where(F.col(text).rlike(_PERIOD)).select(issued, latest_clock(minutes, F.col(issued)).alias("period_end"), F.explode(F.regexp_extract_all(text, F.lit(_RAIN), F.lit(0))).alias("x"))
+    rows = files.where(F.col(text).rlike(PERIOD)).select(issued, latest_clock(minutes, F.col(issued)).alias("period_end"), F.explode(F.regexp_extract_all(text, F.lit(_RAIN), F.lit(0))).alias("x"))
     part = lambda k: F.regexp_extract("x", _RAIN, k)
     low = part(2).cast("int")
     return rows.select(issued, "period_end", norm_district(part(1)).alias("district"), low.alias("min_mm"), F.coalesce(part(3).try_cast("int"), low).alias("max_mm"))
 
 
+DAY_LINE = r'^\s*"?\d{4}"?,"?\d{1,2}"?,"?\d{1,2}"?,'
+
+
+def made_date(year: str, month: str, day: str) -> Column:
+    """The date, or null if there is no such day."""
+    return F.try_to_date(F.concat_ws("-", year, month, day), "y-M-d")
+
+
 def read_daily_rain(lines: DataFrame, line: str = "value") -> DataFrame:
     """Daily totals of CSV lines: date, mm, trace, completeness. Only lines that begin with year, month and day count; Trace is
-    0 and flagged, *** is null."""
-    rows = lines.where(F.col(line).rlike(r'^\s*"?\d{4}"?,"?\d{1,2}"?,"?\d{1,2}"?,')).select(F.from_csv(line, "y int, m int, d int, v string, c string").alias("r")).select("r.*")
+    0 and flagged, *** is null; a day that doesn't exist has a null date."""
+    rows = lines.where(F.col(line).rlike(DAY_LINE)).select(F.from_csv(line, "y int, m int, d int, v string, c string").alias("r")).select("r.*")
     value = F.trim("v")
-    return rows.select(F.make_date("y", "m", "d").alias("date"), F.when(value == "Trace", 0.0).otherwise(value.try_cast("double")).alias("mm"), (value == "Trace").alias("trace"), F.trim("c").alias("completeness"))
+    return rows.select(made_date("y", "m", "d").alias("date"), F.when(value == "Trace", 0.0).otherwise(value.try_cast("double")).alias("mm"), (value == "Trace").alias("trace"), F.trim("c").alias("completeness"))
 
 
 def read_segments(files: DataFrame, content: str = "content") -> DataFrame:
     """Segment speeds of XML snapshots: time, segment_id, speed, valid."""
-    schema = "date string, time string, segments struct<segment:array<struct<segment_id:string,speed:double,valid:string>>>"
-    doc = files.select(F.from_xml(content, schema).alias("d")).select(F.to_timestamp_ntz(F.concat_ws(" ", "d.date", "d.time")).alias("time"), F.explode("d.segments.segment").alias("s"))
+    doc = files.select(F.from_xml(content, SEGMENTS).alias("d")).select(segment_time().alias("time"), F.explode("d.segments.segment").alias("s"))
     return doc.select("time", "s.segment_id", "s.speed", "s.valid")
 
 
+SEGMENTS = "date string, time string, segments struct<segment:array<struct<segment_id:string,speed:double,valid:string>>>"
+
+
+def segment_time() -> Column:
+    """The time of a parsed snapshot ``d``, or null if it can't be read."""
+    return F.try_to_timestamp(F.concat_ws(" ", "d.date", "d.time")).cast("timestamp_ntz")
+
+
 def read_news(files: DataFrame, content: str = "content") -> DataFrame:
     """Messages of traffic-news XML: id, status, time, heading, district (may be absent)."""
-    schema = "message array<struct<id:string,status:string,time:string,heading:string,district:string>>"
-    rows = files.select(F.explode(F.from_xml(content, schema)["message"]).alias("m"))
-    return rows.select("m.id", "m.status", F.to_timestamp_ntz("m.time").alias("time"), "m.heading", "m.district")
+    rows = files.select(F.explode(F.from_xml(content, NEWS)["message"]).alias("m"))
+    return rows.select("m.id", "m.status", news_time(F.col("m.time")).alias("time"), "m.heading", "m.district")
+
+
+NEWS = "message array<struct<id:string,status:string,time:string,heading:string,district:string>>"
+
+
+def news_time(value: Column) -> Column:
+    """The time of a message, or null if it can't be read."""
+    return F.try_to_timestamp(value).cast("timestamp_ntz")
+
+
+GRID_LINE = r"^\d{12},\d{12},"
+GRID = "u string, e string, lat double, lon double, rain double"
+
+
+def grid_time(value: Column) -> Column:
+    return F.try_to_timestamp(value, F.lit("yyyyMMddHHmm")).cast("timestamp_ntz")
 
 
 def read_grid(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Nowcast cells of CSV lines: updated, ending, lat, lon, rain and the lead time in minutes; header lines are left out."""
-    rows = lines.where(F.col(line).rlike(r"^\d{12},\d{12},")).select(F.from_csv(line, "u string, e string, lat double, lon double, rain double").alias("r")).select("r.*")
-    stamp = lambda c: F.to_timestamp_ntz(F.col(c), F.lit("yyyyMMddHHmm"))
-    out = rows.select(stamp("u").alias("updated"), stamp("e").alias("ending"), "lat", "lon", "rain")
+    """Nowcast cells of CSV lines: updated, ending, lat, lon, rain and the lead time in minutes; header lines are left out, times that
+    don't exist are null."""
+    rows = lines.where(F.col(line).rlike(GRID_LINE)).select(F.from_csv(line, GRID).alias("r")).select("r.*")
+    out = rows.select(grid_time(F.col("u")).alias("updated"), grid_time(F.col("e")).alias("ending"), "lat", "lon", "rain")
     return out.withColumn("lead_min", F.expr("timestampdiff(MINUTE, updated, ending)"))

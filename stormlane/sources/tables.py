@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 MINUTES = "yyyy-MM-dd'T'HH:mm"
 EPISODES = "episode_id int, start timestamp_ntz, end timestamp_ntz, max_level int, n_signals bigint, provisional boolean"
 
+MANIFEST = "date date, role string, episode_ids string, max_level int, max_level_name string"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session, set from ``spark.checkpoint.dir`` if it isn't set yet.
@@ -36,6 +38,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("timestampNTZFormat", MINUTES).mode("overwrite").csv(path)
 
 
+def write_sorted(df: DataFrame, path: str, *order: str) -> None:
+    """As ``write_csv``, in order over all files and within each: the i-th file by name holds the i-th range of ``order``."""
+    write_csv(df.orderBy(*order), path)
+
+
+def write_manifest(days: DataFrame, path: str) -> None:
+    """Selected days (date, role, episode_ids, max_level, max_level_name) by date; an array of ids becomes text with spaces between."""
+    ids = F.array_join(F.col("episode_ids").cast("array<string>"), " ") if dict(days.dtypes)["episode_ids"].startswith("array") else F.col("episode_ids")
+    write_sorted(days.withColumn("episode_ids", ids).select(*[f.split(" ")[0] for f in MANIFEST.split(", ")]), path, "date")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The days of a manifest; episode_ids as text, empty for control days."""
+    return read_csv(spark, path, MANIFEST).fillna("", ["episode_ids", "max_level_name"])
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).option("timestampNTZFormat", MINUTES).schema(schema).csv(path)
 
