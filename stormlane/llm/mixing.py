@@ -55,17 +55,22 @@ def sampling_key(id_col: Column, weight: Column, seed: int) -> Column:
     return F.when(good, -F.ln(u) / weight).otherwise(F.lit(float("inf")))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ratios: tuple = RATIOS, share: float = SHARE, most: float = MOST, seed: int = 12) -> DataFrame:
+def mix(docs: DataFrame, weight: Column | None = None, weights: DataFrame | None = None, default_weight: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ratios: tuple = RATIOS, share: float = SHARE, most: float = MOST, seed: int = 12) -> DataFrame:
     """(id, size, source_size, target, taken, source, text_hash) per row of ``docs``.
 
-    ``weight`` is an expression over the columns of ``docs``; all documents weigh alike unless it is given, and those with a null or
-    non-positive one come last. ``taken`` counts words: whole epochs, and the words of the last, partial one. The taken words of a
+    Quality weights are an expression ``weight`` over the columns of ``docs``, or a table ``weights`` (id, weight) of one row an id, which
+    sizes are joined with rather than texts; documents it lacks have ``default_weight``. Without either all weigh alike. Documents with
+    a null or non-positive weight come last. ``taken`` counts words: whole epochs, and the words of the last, partial one. The taken words of a
     source add up to its target, rounded down; with ``most`` a whole number none takes more than that times its size.
     Null and empty texts have size 0. Equal rows are ordered as one, each counting; an empty table gives no rows; other columns are
     left out.
     """
-    weighed = F.lit(1.0) if weight is None else weight.cast("double")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"), sampling_key(F.col(id_col), weighed, seed).alias("key"))
+    weighed = F.lit(default_weight) if weight is None else weight.cast("double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"), weighed.alias("weight"))
+    if weights is not None:
+        known = weights.select(F.col("id"), F.col("weight").cast("double").alias("own_weight"), F.lit(True).alias("known"))
+        rows = rows.join(known, "id", "left").withColumn("weight", F.when(F.col("known"), F.col("own_weight")).otherwise(F.col("weight"))).drop("own_weight", "known")
+    rows = rows.withColumn("key", sampling_key(F.col("id"), F.col("weight"), seed)).drop("weight")
     rows = rows.groupBy("id", "source", "size", "text_hash", "key").agg(F.count("*").alias("copies"))
     cell = F.when((F.col("key") > 0) & (F.col("key") < float("inf")), F.floor(F.log2("key") * _CELLS)).when(F.col("key") <= 0, -_LAST).otherwise(_LAST).cast("long")
     rows = rows.withColumn("cell", cell).withColumn("words", F.col("size") * F.col("copies"))
@@ -88,12 +93,12 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"{_SPACE}*{_WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
-def mixture(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixture(docs: DataFrame, weight: Column | None = None, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """(id, source, epoch, text): the mix itself, a row per document and epoch from 0, the last one perhaps the first words only.
 
     Documents that aren't taken, and texts without words, have no row. Equal rows stand in it as often as they are.
     """
-    plan = mix(docs, weight, id_col, text_col, source_col, **options).where("taken > 0").groupBy("id", "source", "text_hash", "size", "taken").agg(F.count("*").alias("copies"))
+    plan = mix(docs, weight, weights, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0").groupBy("id", "source", "text_hash", "size", "taken").agg(F.count("*").alias("copies"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash")).groupBy("id", "source", "text_hash").agg(F.first("text").alias("text")).alias("d")
     p = plan.alias("p")
     same = F.col("p.id").eqNullSafe(F.col("d.id")) & F.col("p.source").eqNullSafe(F.col("d.source")) & (F.col("p.text_hash") == F.col("d.text_hash"))
@@ -105,10 +110,9 @@ def mixture(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id
 
 def op12_mixing_sources(spark, sf_dir):
     """Documents labelled good are taken before others, those labelled bad after them; several labels of a document are averaged."""
-    quality = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(quality, "doc_id", "left")
-    weight = F.when(F.col("quality") >= 0.5, GOOD).when(F.col("quality").isNotNull(), BAD).otherwise(UNKNOWN)
-    return mix(docs, weight).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    quality = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality")).where("quality is not null")
+    weights = quality.select(F.col("doc_id").alias("id"), F.when(F.col("quality") >= 0.5, GOOD).otherwise(BAD).alias("weight"))
+    return mix(table(spark, sf_dir, "documents"), weights=weights, default_weight=UNKNOWN).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 _SQL = rf"""

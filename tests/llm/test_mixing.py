@@ -80,6 +80,16 @@ def test_the_mix_has_the_words_of_the_plan(spark):
     assert +words == +want
 
 
+def test_weights_from_a_table_equal_those_of_a_column(spark):
+    rows = [r for r in rows_of() if r[0] is None or r[0] < 150 and r[3] is not None]
+    docs = spark.createDataFrame([(*r, None, 1) for r in rows], SCHEMA)
+    weights = docs.where("doc_id is not null and quality <> 2.0").select(F.col("doc_id").alias("id"), F.col("quality").alias("weight"))
+    by_table = mx.mix(docs, weights=weights, default_weight=2.0)
+    by_column = mx.mix(docs, F.when(F.col("doc_id").isNull(), 2.0).otherwise(F.col("quality")))
+    assert sorted(map(str, by_table.collect())) == sorted(map(str, by_column.collect()))
+    assert mx.mix(docs, weights=weights.limit(0)).count() == len(rows)
+
+
 def test_good_documents_come_first(spark):
     docs = spark.createDataFrame([(i, "a b c d", "s", 4.0 if i % 2 else 0.25, None, 1) for i in range(800)], SCHEMA)
     taken = mx.mix(docs, F.col("quality"), share=0.5).groupBy((F.col("id") % 2).alias("good")).agg(F.sum("taken").alias("n"))
