@@ -27,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the job's own, in whatever store it is; nothing happens if there is none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """A small result of long work, written once to the session's checkpoint folder and read from there."""
     shared_folder(df.sparkSession)
