@@ -63,6 +63,13 @@ def test_edge_rows(spark):
     assert similar.one_of_each_group(docs.limit(0)).count() == 0
 
 
+def test_of_repeated_rows_the_same_one_stays_however_they_are_dealt(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, f"l{k}", f"s{k % 7}", k, None, None) for k in range(50)] + [(2, "other", "x", "y", 1, None, None)], SCHEMA)
+    found = {tuple(map(tuple, similar.one_of_each_group(docs.repartition(n)).orderBy("doc_id").collect())) for n in (1, 3, 9)}
+    assert len(found) == 1 and len(found.pop()) == 2
+
+
 def test_stages_handle_odd_rows_and_keep_the_columns(spark):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(1, text, "en", "s", 1, 1, "n"), (1, text, "en", "s", 1, 1, "n"), (None, None, None, None, None, None, None), (3, "", None, None, 0, None, None), (4, "token=abcdefghijklmnop " + "word " * 40000, None, None, 9, None, None)]
