@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormlane.operators.quantiles import middle
 from stormlane.operators.scans import PIECE, fresh, with_runs
 
 SPEED, OCCUPANCY = (0, 130), (0, 100)
@@ -72,15 +73,16 @@ def null_stuck(df: DataFrame, keys: list[str], value: str = "speed", over: str =
     return stuck_runs(df, keys, value, over).withColumn(value, F.when(~F.col("stuck"), F.col(value))).drop("run", "stuck")
 
 
-def robust_z(df: DataFrame, key: str = "detector_id", value: str = "speed", z: float = 3.5) -> DataFrame:
+def robust_z(df: DataFrame, key: str = "detector_id", value: str = "speed", z: float = 3.5, exact: bool = True) -> DataFrame:
     """Adds outlier: |0.6745 (x - median) / MAD| over ``z``; no value is one where the MAD is 0.
 
-    Medians are grouped aggregates that are joined back, so a detector with very many rows is no single window.
+    Medians are grouped aggregates that are joined back, so a detector with very many rows is no single window. ``exact=False``
+    takes both from sketches (see ``quantiles``), whose size does not grow with a detector's distinct values.
     """
     med, away, mad = fresh(df, names=("_med", "_off", "_mad"))
-    middle = df.groupBy(key).agg(F.median(value).alias(med))
-    off = df.join(middle, key).withColumn(away, F.abs(F.col(value) - F.col(med)))
-    spread = off.groupBy(key).agg(F.median(away).alias(mad))
+    medians = df.groupBy(key).agg(middle(value, exact).alias(med))
+    off = df.join(medians, key).withColumn(away, F.abs(F.col(value) - F.col(med)))
+    spread = off.groupBy(key).agg(middle(away, exact).alias(mad))
     score = F.lit(0.6745) * F.col(away) / F.nullif(F.col(mad), F.lit(0.0))
     return off.join(spread, key).withColumn("outlier", F.coalesce(score > z, F.lit(False))).drop(med, away, mad)
 

@@ -6,32 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlane.operators.intervals import interval_join
+from stormlane.operators.quantiles import daily_sketches, middle, sketched_quantiles  # noqa: F401
 from stormlane.operators.scans import fresh
 from stormlane.sources.tables import kept
 
 
 def dry_baseline(df: DataFrame, keys: list[str], value: str = "speed", exact: bool = True) -> DataFrame:
-    """The median of the value per key; ``exact=False`` takes an approximate one of bounded memory."""
-    return df.groupBy(*keys).agg((F.median(value) if exact else F.percentile_approx(value, 0.5, 10_000)).alias("baseline"))
-
-
-def daily_sketches(df: DataFrame, keys: list[str], value: str = "speed", time: str = "time", k: int = 400) -> DataFrame:
-    """(keys, date, n, sketch): a mergeable quantile sketch of each key's day, of bounded size whatever the number of rows.
-
-    Sketches are kept and merged for any period (``sketched_quantiles``), so a baseline needn't be computed anew from readings. With
-    ``k`` of 400 a rank is off by 0.9 % of the rows at most in 99 of 100 cases, about as 1 / k for others; a key's day or period of at
-    most ``k`` rows is exact. Null values are not counted, a day of nulls only has no row.
-    """
-    some = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    return some.groupBy(*keys, F.to_date(time).alias("date")).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
-
-
-def sketched_quantiles(sketches: DataFrame, keys: list[str], shares: dict[str, float], where: Column | None = None) -> DataFrame:
-    """(keys, n, a column per name of ``shares``): quantiles of the sketches' days for which ``where`` holds (all, unless given). A
-    quantile is a value that occurs, the smallest whose rank reaches the share."""
-    some = sketches if where is None else sketches.where(where)
-    merged = some.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
-    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(share)).alias(name) for name, share in shares.items()])
+    """The median of the value per key; ``exact=False`` takes that of a sketch of bounded size (see ``quantiles``)."""
+    return df.groupBy(*keys).agg(middle(value, exact).alias("baseline"))
 
 
 def normalise(df: DataFrame, key: str = "detector_id", value: str = "speed", how: str = "zscore") -> DataFrame:
@@ -55,14 +37,14 @@ def normalise(df: DataFrame, key: str = "detector_id", value: str = "speed", how
     return df.join(own, key).withColumn("z", (F.col(value) - F.col(mean)) / F.nullif(F.col(sd), F.lit(0.0))).drop(mean, sd)
 
 
-def sensitivity(df: DataFrame, baseline: DataFrame, keys: list[str], value: str = "speed", by: list[str] | None = None) -> DataFrame:
+def sensitivity(df: DataFrame, baseline: DataFrame, keys: list[str], value: str = "speed", by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Per key and warning level: rows, and the median of the value over its key's baseline, less 1. Level 0 is left out.
 
     ``by`` names other columns to group by (a road or district) once each row stands against the baseline of its own key. A
-    baseline of 0 gives no ratio: the row counts in n, not in the median.
+    baseline of 0 gives no ratio: the row counts in n, not in the median. ``exact=False`` takes medians from sketches.
     """
     ratio = df.join(baseline, keys).where("level > 0").withColumn("ratio", F.col(value) / F.nullif(F.col("baseline"), F.lit(0.0)))
-    return ratio.groupBy(*(by or keys), "level").agg(F.count("*").alias("n"), (F.median("ratio") - 1).alias("sensitivity"))
+    return ratio.groupBy(*(by or keys), "level").agg(F.count("*").alias("n"), (middle("ratio", exact) - 1).alias("sensitivity"))
 
 
 def overall(sensitive: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stormlane.operators import modelling, study
+from stormlane.operators import cleaning, modelling, study
 from stormlane.operators.modelling import Config
 from stormlane.plans.queries import _Study, _district_folds
 from stormlane.plans.views import Views
@@ -131,3 +131,18 @@ def test_sketches_of_few_rows_are_exact(spark):
     for r in study.sketched_quantiles(sketches, ["detector_id"], {"mid": 0.5}).collect():
         own = sorted(s for d, _, s in rows if d == r.detector_id and s is not None and s == s)
         assert r.n == len(own) and r.mid == own[-(-len(own) // 2) - 1]
+
+
+def test_outliers_and_sensitivity_by_sketches_are_near_the_exact_ones(spark):
+    value = F.pmod(F.xxhash64("id"), F.lit(1001)).cast("double")
+    rows = spark.range(60_000).select((F.col("id") % 2).alias("detector_id"), (F.col("id") % 3 % 2).cast("int").alias("level"), F.when(F.col("id") % 500 == 0, 1e5).when(F.col("id") % 501 == 0, None).otherwise(value + F.col("id") % 3 * 50).alias("speed"))
+    exact, near = (cleaning.robust_z(rows, exact=e).groupBy("outlier").count().collect() for e in (True, False))
+    assert sorted(map(tuple, exact)) == sorted(map(tuple, near))
+    found = []
+    for e in (True, False):
+        base = study.dry_baseline(rows.where("level = 0"), ["detector_id"], exact=e)
+        found.append({(r.detector_id, r.level): (r.n, r.sensitivity) for r in study.sensitivity(rows, base, ["detector_id"], exact=e).collect()})
+    for key, (n, sensitivity) in found[0].items():
+        assert found[1][key][0] == n and abs(found[1][key][1] - sensitivity) < 0.05
+    nothing = rows.withColumn("speed", F.lit(None).cast("double"))
+    assert {r.outlier for r in cleaning.robust_z(nothing.limit(5), exact=False).collect()} == {False}
