@@ -605,7 +605,7 @@ _FEATURES = ["level", "rain", "hour"]
 
 def _learnable(v: Views) -> DataFrame:
     number = {"level": F.col("level").cast("double"), "rain": F.coalesce("rain", F.lit(0.0)), "hour": F.hour("time").cast("double")}
-    return _model_table(v).where("ratio is not null").select("event_id", "time", "ratio", *[c.alias(name) for name, c in number.items()])
+    return _model_table(v).where("ratio is not null").select("event_id", "time", "district", "ratio", *[c.alias(name) for name, c in number.items()])
 
 
 @query("model_eval")
@@ -627,9 +627,9 @@ def split_episodes(v: Views) -> DataFrame:
 
 @query("congestion_eval")
 def congestion_eval(v: Views) -> DataFrame:
-    """A logistic model of congestion (ratio below 0.7) on level, rain and hour beside one on the hour alone; whole episodes are
-    held out. Where all signals are one episode the test part holds the days without any."""
-    rows = _in_folds(v, _learnable(v))
+    """A logistic model of congestion (ratio below 0.7) on level, rain and hour beside one on the hour alone; whole episodes of a
+    district are held out."""
+    rows = kept(_district_folds(v, _learnable(v)))
     train, test, truth = rows.where("fold <> 0"), rows.where("fold = 0"), F.col("ratio") < 0.7
     scored = [study.class_scores(study.congestion(train, test, names), truth, F.col("congested") == 1).withColumn("model", F.lit(model)) for model, names in (("all", _FEATURES), ("time only", ["hour"]))]
     return scored[0].unionByName(scored[1]).select("model", "n", "n_true", _r("accuracy", 5), _r("f1", 5))

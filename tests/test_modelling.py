@@ -146,3 +146,11 @@ def test_outliers_and_sensitivity_by_sketches_are_near_the_exact_ones(spark):
         assert found[1][key][0] == n and abs(found[1][key][1] - sensitivity) < 0.05
     nothing = rows.withColumn("speed", F.lit(None).cast("double"))
     assert {r.outlier for r in cleaning.robust_z(nothing.limit(5), exact=False).collect()} == {False}
+
+
+def test_congestion_is_tried_on_held_out_episodes(spark):
+    from stormlane.plans.queries import QUERIES
+
+    got = {r.model: r for r in QUERIES["congestion_eval"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == {"all", "time only"} and got["all"].n == got["time only"].n > 500
+    assert got["all"].n_true > 0 and got["all"].accuracy >= 0.5
