@@ -47,7 +47,7 @@ def asof_version(df: DataFrame, versions: DataFrame, key: str, time: str, valid_
     """Each row with the ``value`` of the latest version of its key that is not after its time, or null.
 
     Rows and versions are sorted together, and the last version's value is carried on: rows don't multiply by their key's versions.
-    Versions come before rows of the same time. Times are cut into pieces (days, or ``piece``), so that a key's history is no single
+    Versions come before rows of the same time. Times are cut into pieces (days, or ``piece``: a year for versions of dates), so that a key's history is no single
     group; numbers instead of times are not, and have one.
     """
     rest = df.columns

@@ -12,7 +12,8 @@ SPEED, OCCUPANCY = (0, 130), (0, 100)
 
 
 def filter_valid(df: DataFrame, mode: str = "drop_lane") -> DataFrame:
-    """drop_lane: without invalid lanes; keep: all; drop_period: without detector-periods of which any lane is invalid."""
+    """drop_lane: without invalid lanes, those of unknown (null) validity included; keep: all; drop_period: without detector-periods of
+    which any lane is invalid, an unknown one being none."""
     if mode == "keep":
         return df
     if mode == "drop_lane":
@@ -27,7 +28,7 @@ def in_bounds(speed: tuple = SPEED, occupancy: tuple = OCCUPANCY) -> Column:
 
 
 def filter_bounds(df: DataFrame, mode: str = "null", speed: tuple = SPEED, occupancy: tuple = OCCUPANCY) -> DataFrame:
-    """null: values out of bounds become null; drop: their rows go."""
+    """null: values out of bounds become null, null ones stay null; drop: their rows go, and those of null values."""
     if mode == "drop":
         return df.where(in_bounds(speed, occupancy))
     return df.withColumn("speed", F.when(F.col("speed").between(*speed), F.col("speed"))).withColumn("occupancy", F.when(F.col("occupancy").between(*occupancy), F.col("occupancy")))
@@ -60,9 +61,9 @@ def stuck_runs(df: DataFrame, keys: list[str], value: str = "speed", over: str =
     return rows.join(long, same, "left").select(*df.columns, "run", F.coalesce(F.col(stuck), F.lit(False)).alias("stuck"))
 
 
-def drop_stuck_days(df: DataFrame, keys: list[str], value: str = "speed", over: str = "30 minutes") -> DataFrame:
+def drop_stuck_days(df: DataFrame, keys: list[str], value: str = "speed", over: str = "30 minutes", piece: str = PIECE) -> DataFrame:
     """Without the detector-days that have a stuck run."""
-    found = stuck_runs(df, keys, value, over)
+    found = stuck_runs(df, keys, value, over, piece)
     day, bad = fresh(found, names=("_day", "_bad"))
     found = found.withColumn(day, F.to_date("time"))
     return found.withColumn(bad, F.bool_or("stuck").over(Window.partitionBy("detector_id", day))).where(~F.col(bad)).drop(bad, day, "run", "stuck")

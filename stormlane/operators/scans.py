@@ -1,6 +1,7 @@
 """Ordered scans over histories that are cut into pieces of time.
 
-A key's rows are ordered within a piece only (a day, unless told otherwise), never over its whole history. What a scan must know of the
+A key's rows are ordered within a piece only (a day, unless told otherwise; a piece should hold a good many of a key's rows, as each
+has a summary), never over its whole history. What a scan must know of the
 rows before a piece, or behind it, is a summary of one row per piece, which is formed before rows move, carried on in a window over the
 summaries, and put among the piece's rows as a row of its own. So a key that holds nearly all rows is as many tasks as it has pieces.
 """

@@ -72,12 +72,12 @@ def _banded(v: Views) -> DataFrame:
 
 @query("stuck_runs", "readings", f"SELECT event_id, CAST(run AS BIGINT) AS run, stuck FROM ({_STUCK})")
 def stuck_runs(v: Views) -> DataFrame:
-    return cleaning.stuck_runs(_banded(v), ["detector_id"], "band", "6 hours").select("event_id", F.col("run").cast("long").alias("run"), "stuck")
+    return cleaning.stuck_runs(_banded(v), ["detector_id"], "band", "6 hours", "week").select("event_id", F.col("run").cast("long").alias("run"), "stuck")
 
 
 @query("stuck_drop_day", "readings", f"SELECT event_id FROM readings WHERE (detector_id, CAST(time AS DATE)) NOT IN (SELECT (detector_id, CAST(time AS DATE)) FROM readings WHERE event_id IN (SELECT event_id FROM ({_STUCK}) WHERE stuck))")
 def stuck_drop_day(v: Views) -> DataFrame:
-    return cleaning.drop_stuck_days(_banded(v), ["detector_id"], "band", "6 hours").select("event_id")
+    return cleaning.drop_stuck_days(_banded(v), ["detector_id"], "band", "6 hours", "week").select("event_id")
 
 
 @query("robust_z", "readings", "SELECT event_id, coalesce(0.6745 * off / nullif(mad, 0) > 3.5, false) AS outlier FROM (SELECT *, median(off) OVER (PARTITION BY detector_id) AS mad FROM (SELECT *, abs(speed - median(speed) OVER (PARTITION BY detector_id)) AS off FROM readings))")
@@ -153,7 +153,7 @@ def unmatched_ids(v: Views) -> DataFrame:
 
 @query("asof_version", "versions probes", 'SELECT order_no, line_no, p."key" AS "key", p.time AS time, valid_from, version FROM probes p ASOF LEFT JOIN versions v ON p."key" = v."key" AND p.time >= v.valid_from')
 def asof_version(v: Views) -> DataFrame:
-    return align.asof_version(v.probes, v.versions, "key", "time", "valid_from", "version")
+    return align.asof_version(v.probes, v.versions, "key", "time", "valid_from", "version", "year")
 
 
 @query("interval_join", "readings signals", 'SELECT event_id, signal_id, level FROM readings JOIN signals s ON time >= s."start" AND time < s."end"')
@@ -413,12 +413,12 @@ _BACK, _AHEAD = "OVER (PARTITION BY detector_id ORDER BY bin ROWS UNBOUNDED PREC
 
 @query("interp_short", "six", f", {_SPINE} SELECT detector_id, bin, round(coalesce(speed, CASE WHEN nk - pk - 1 <= 2 THEN pv + (nv - pv) * (k - pk) / (nk - pk) END), 6) AS filled FROM (SELECT *, last_value(CASE WHEN speed IS NOT NULL THEN k END IGNORE NULLS) {_BACK} AS pk, first_value(CASE WHEN speed IS NOT NULL THEN k END IGNORE NULLS) {_AHEAD} AS nk, last_value(speed IGNORE NULLS) {_BACK} AS pv, first_value(speed IGNORE NULLS) {_AHEAD} AS nv FROM f)")
 def interp_short(v: Views) -> DataFrame:
-    return align.fill_linear(_six(v), ["detector_id"], "bin", "speed", "6 hours").select("detector_id", "bin", _r("filled"))
+    return align.fill_linear(_six(v), ["detector_id"], "bin", "speed", "6 hours", piece="week").select("detector_id", "bin", _r("filled"))
 
 
 @query("ffill", "six", f", {_SPINE} SELECT detector_id, bin, round(last_value(speed IGNORE NULLS) {_BACK}, 6) AS filled FROM f")
 def ffill(v: Views) -> DataFrame:
-    return align.fill(_six(v), ["detector_id"], "bin", "speed", "6 hours").select("detector_id", "bin", _r("filled"))
+    return align.fill(_six(v), ["detector_id"], "bin", "speed", "6 hours", piece="week").select("detector_id", "bin", _r("filled"))
 
 
 @query("fill_seasonal", "six", f", {_SPINE} SELECT detector_id, bin, round(coalesce(speed, avg(speed) OVER (PARTITION BY detector_id, hour(bin))), 6) AS filled FROM f")
