@@ -82,6 +82,19 @@ class Inputs(Protocol):
     cyclones: DataFrame
 
 
+class _Written:
+    """Inputs of several tables: those beside the readings are written when first asked for, and read from there."""
+
+    def __init__(self, inputs: Inputs):
+        self.inputs = inputs
+        self.readings = inputs.readings
+
+    def __getattr__(self, name: str) -> DataFrame:
+        found = kept(getattr(self.inputs, name))
+        setattr(self, name, found)
+        return found
+
+
 def _bounds(df: DataFrame, c: Config, t: Inputs) -> DataFrame:
     df = df if c.bounds == "none" else cleaning.filter_bounds(df, c.bounds)
     return cleaning.null_placeholder(df) if c.placeholder == "null" else df
@@ -180,7 +193,9 @@ def model_table(config: Config, inputs: Inputs) -> DataFrame:
 
 
 def model_tables(configs: dict[str, Config], inputs: Inputs) -> dict[str, DataFrame]:
-    """The table of each configuration. Plans are shared up to where configurations part, and written there, once each."""
+    """The table of each configuration. Plans are shared up to where configurations part, and written there, once each; so are the
+    tables beside the readings, which several of them join."""
+    inputs = _Written(inputs) if len(configs) > 1 else inputs
     paths = {name: [tuple(getattr(c, f) for f in names) for names, _ in STEPS] for name, c in configs.items()}
     below = defaultdict(set)
     for path in paths.values():
