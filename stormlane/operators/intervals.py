@@ -10,7 +10,7 @@ from stormlane.sources.tables import kept
 
 
 #: Ranges of start times that un-keyed intervals are merged in; one summary of each goes to the driver.
-RANGES = 200
+RANGES = 32
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01'"
 
 
