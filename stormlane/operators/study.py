@@ -47,6 +47,22 @@ def sensitivity(df: DataFrame, baseline: DataFrame, keys: list[str], value: str
     return ratio.groupBy(*(by or keys), "level").agg(F.count("*").alias("n"), (middle("ratio", exact) - 1).alias("sensitivity"))
 
 
+def sensitivity_by_level(df: DataFrame, keys: list[str], value: str = "speed", exact: bool = True) -> DataFrame:
+    """``sensitivity`` against the rows of level 0 of ``df`` itself, in one pass.
+
+    The median of a ratio to a baseline is the median divided by it, as long as rows are grouped by the baseline's own key: so one
+    grouped aggregate gives the medians of all levels, level 0 among them, and the baseline goes from there to the others in a window
+    over a key's few levels. Rows don't meet baselines, and ``df`` is read once. Keys without rows of level 0, and null keys or
+    levels, are left out.
+    """
+    dry, base = fresh(df, names=("_dry", "_base"))
+    medians = df.dropna(subset=[*keys, "level"]).where("level >= 0").groupBy(*keys, "level").agg(F.count("*").alias("n"), middle(value, exact).alias("sensitivity"))
+    of_key, is_dry = Window.partitionBy(*keys), F.col("level") == 0
+    held = medians.withColumn(dry, F.bool_or(is_dry).over(of_key)).withColumn(base, F.max(F.when(is_dry, F.col("sensitivity"))).over(of_key))
+    ratio = F.col("sensitivity") / F.nullif(F.col(base), F.lit(0.0)) - 1
+    return held.where(F.col(dry) & (F.col("level") > 0)).select(*keys, "level", "n", ratio.alias("sensitivity"))
+
+
 def overall(sensitive: DataFrame) -> DataFrame:
     """One figure per detector: the mean over its levels."""
     return sensitive.groupBy("detector_id").agg(F.avg("sensitivity").alias("sensitivity"))
@@ -89,7 +105,7 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
 def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rank correlation of two rankings over the detectors that both have."""
     both = a.select("detector_id", F.col("sensitivity").alias("x")).join(b.select("detector_id", F.col("sensitivity").alias("y")), "detector_id").where("x is not null and y is not null")
-    return ranks(ranks(kept(both), "x", "rx"), "y", "ry").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
+    return ranks(kept(ranks(kept(both), "x", "rx")), "y", "ry").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
 
 
 def overlap(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
@@ -115,7 +131,7 @@ def ablate(rows: DataFrame, variants: dict[str, Column], default: str, k: int =
     counted = F.array(*[F.when(F.coalesce(keep, F.lit(False)), F.lit(name)) for name, keep in variants.items()])
     used = rows.where("speed is not null and level is not null and detector_id is not null").select("detector_id", "level", "speed", F.explode(F.array_compact(counted)).alias("variant"))
     keys = ["variant", "detector_id"]
-    scores = kept(sensitivity(used, dry_baseline(used.where("level = 0"), keys), keys).groupBy(*keys).agg(F.avg("sensitivity").alias("x")).where("x is not null"))
+    scores = kept(sensitivity_by_level(used, keys).groupBy(*keys).agg(F.avg("sensitivity").alias("x")).where("x is not null"))
     return compared(scores, list(variants), default, k)
 
 
@@ -123,7 +139,7 @@ def compared(scores: DataFrame, variants: list[str], default: str, k: int = 20)
     """(variant, n, spearman, n_common) of rankings (variant, detector_id, x) against the ``default`` one, a row for each variant."""
     keys = ["variant", "detector_id"]
     plain = scores.where(F.col("variant") == default).select("detector_id", F.col("x").alias("y"))
-    ranked = ranks(ranks(scores.join(plain, "detector_id"), "x", "rx", ("variant",)), "y", "ry", ("variant",))
+    ranked = ranks(kept(ranks(kept(scores.join(plain, "detector_id")), "x", "rx", ("variant",))), "y", "ry", ("variant",))
     both = ranked.groupBy("variant").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
     first = scores.withColumn("place", F.row_number().over(Window.partitionBy("variant").orderBy("x", "detector_id"))).where(F.col("place") <= k).select(*keys)
     common = first.join(first.where(F.col("variant") == default).select("detector_id"), "detector_id").groupBy("variant").agg(F.count("*").alias("n_common"))

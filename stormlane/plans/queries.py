@@ -454,7 +454,7 @@ def zscore_norm(v: Views) -> DataFrame:
 
 def _under(v: Views, rows: DataFrame) -> DataFrame:
     """Rows with their detector's district, whose signals they are under."""
-    return rows.join(align.sized(v.detectors.select("detector_id", F.col("district").alias("under"))), "detector_id", "left")
+    return rows.join(v.places, "detector_id", "left")
 
 
 def _levels(v: Views) -> DataFrame:
@@ -467,7 +467,7 @@ def _usable(v: Views, bounded: bool = True) -> DataFrame:
 
 
 def _sensitivity(rows: DataFrame) -> DataFrame:
-    return study.sensitivity(rows, study.dry_baseline(rows.where("level = 0"), ["detector_id"]), ["detector_id"])
+    return study.sensitivity_by_level(rows, ["detector_id"])
 
 
 def _ranking(v: Views, bounded: bool = True) -> DataFrame:
@@ -483,7 +483,7 @@ def sensitivity(v: Views) -> DataFrame:
 def sensitivity_occupancy(v: Views) -> DataFrame:
     """How much occupancy rises per detector and level."""
     rows = _usable(v)
-    return study.sensitivity(rows, study.dry_baseline(rows.where("level = 0"), ["detector_id"], "occupancy"), ["detector_id"], "occupancy").select("detector_id", "level", "n", _r("sensitivity"))
+    return study.sensitivity_by_level(rows, ["detector_id"], "occupancy").select("detector_id", "level", "n", _r("sensitivity"))
 
 
 for _place in ("district", "road"):
@@ -548,7 +548,8 @@ def ablation_steps(v: Views) -> DataFrame:
 
 @query("ablation_spearman", "ranking", f"{_LOOSE}, r AS (SELECT detector_id, rank() OVER (ORDER BY a.sensitivity) + (count(*) OVER (PARTITION BY a.sensitivity) - 1) / 2.0 AS x, rank() OVER (ORDER BY b.sensitivity) + (count(*) OVER (PARTITION BY b.sensitivity) - 1) / 2.0 AS y FROM ranking a JOIN ls b USING (detector_id) WHERE a.sensitivity IS NOT NULL AND b.sensitivity IS NOT NULL) SELECT count(*) AS n, round(corr(x, y), 4) AS spearman FROM r")
 def ablation_spearman(v: Views) -> DataFrame:
-    return study.spearman(_ranking(v), _ranking(v, False)).select("n", _r("spearman", 4))
+    variants = {name: F.expr(_STEPS[name]) for name in ("default", "no_bounds")}
+    return study.ablate(_levels(v), variants, "default").where("variant = 'no_bounds'").select("n", _r("spearman", 4))
 
 
 @query("within_regression", "ratios rain detectors", ", j AS (SELECT r.detector_id, r.ratio AS y, r.level AS x FROM ratios r WHERE ratio IS NOT NULL), c AS (SELECT *, x - avg(x) OVER (PARTITION BY detector_id) AS dx, y - avg(y) OVER (PARTITION BY detector_id) AS dy FROM j) SELECT CAST(count(*) AS BIGINT) AS n, round(sum(dx * dy) / nullif(sum(dx * dx), 0), 5) AS slope FROM c")

@@ -5,14 +5,17 @@ Readings and signals come from events, detectors from customers and nations, ver
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormlane.operators.align import sized
+from stormlane.sources.tables import kept
 
 
 class Views:
-    """The views over one folder of tables."""
+    """The views over one folder of tables. Those that are small sums of the events are made once, written and read from there."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -37,17 +40,22 @@ class Views:
             F.when(F.col("event_id") % 200 == 0, "N").otherwise("Y").alias("valid"),
         )
 
-    @property
+    @cached_property
     def detectors(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", F.col("n_name").alias("district"))
         return self.table("customer").join(sized(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("detector_id"), F.col("c_name").alias("road"), "district", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"))
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """Each detector's district as column under, broadcast if their number allows."""
+        return sized(self.detectors.select("detector_id", F.col("district").alias("under")))
+
     def _intervals(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("start", F.col("ts")).withColumn("end", F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.floor("value").cast("int")))
 
-    @property
+    @cached_property
     def signals(self) -> DataFrame:
-        last = self.events.agg((F.max("event_id") * 9).alias("last"))
+        last = kept(self.events.agg((F.max("event_id") * 9).alias("last")))
         rows = self._intervals(self.events.where("event_type = 'error'")).crossJoin(F.broadcast(last))
         return rows.select(F.col("event_id").alias("signal_id"), F.col("user_id").alias("detector_id"), "start", "end", (F.col("event_id") % 3 + 1).cast("int").alias("level"), (F.col("event_id") * 10 > F.col("last")).alias("provisional"))
 
@@ -55,16 +63,16 @@ class Views:
     def cyclones(self) -> DataFrame:
         return self._intervals(self.events.where("event_type = 'purchase' and value > 200")).select(F.col("event_id").alias("signal_id"), "start", "end", F.lit(8).alias("signal"))
 
-    @property
+    @cached_property
     def rain(self) -> DataFrame:
         views = self.events.where("event_type = 'view'").withColumnRenamed("user_id", "detector_id").join(self.detectors, "detector_id")
         hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
-        return views.groupBy(hour.alias("hour"), "district").agg(F.floor(F.min("value") / 10).cast("int").alias("min_mm"), F.ceil(F.max("value") / 10).cast("int").alias("max_mm"))
+        return kept(views.groupBy(hour.alias("hour"), "district").agg(F.floor(F.min("value") / 10).cast("int").alias("min_mm"), F.ceil(F.max("value") / 10).cast("int").alias("max_mm")))
 
-    @property
+    @cached_property
     def holidays(self) -> DataFrame:
         """Days whose largest value is above the mean of all days' largest, named by its event; the view's n tells versions apart."""
-        day = self.events.groupBy(F.to_date("ts").alias("date")).agg(F.max("value").alias("top"), F.max_by("event_id", F.struct("value", "event_id")).alias("n"))
+        day = kept(self.events.groupBy(F.to_date("ts").alias("date")).agg(F.max("value").alias("top"), F.max_by("event_id", F.struct("value", "event_id")).alias("n")))
         mean = F.broadcast(day.agg(F.avg("top").alias("mean")))
         return day.crossJoin(mean).where("top > mean").select("date", F.concat(F.lit("Holiday "), F.col("n").cast("string")).alias("name"), "n")
 

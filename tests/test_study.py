@@ -72,6 +72,25 @@ def test_sensitivity_by_place_takes_each_rows_own_baseline(spark):
     assert got[("x", 1)] == (2, pytest.approx(-0.3)) and got[("y", 2)] == (1, None)
 
 
+def test_sensitivity_in_one_pass_equals_that_of_ratios(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 97 == 0, None).otherwise(F.col("id") % 11).alias("detector_id"),
+        F.when(F.col("id") % 89 == 0, None).otherwise((F.col("id") % 13 % 4).cast("int")).alias("level"),
+        F.when(F.col("id") % 7 == 0, None).otherwise(F.pmod(F.xxhash64("id"), F.lit(997)) / 10.0 - 20).alias("speed"),
+        F.lit("other").alias("_dry"),
+    )
+    rows = rows.where("detector_id is null or detector_id <> 4 or level > 0")  # 4 has no dry rows
+    rows = rows.withColumn("speed", F.expr("case when detector_id = 5 and level = 0 then 0.0 when detector_id = 6 and level = 0 then null else speed end"))
+    base = study.dry_baseline(rows.where("level = 0"), ["detector_id"])
+    want = {(r.detector_id, r.level): (r.n, r.sensitivity) for r in study.sensitivity(rows, base, ["detector_id"]).collect()}
+    got = {(r.detector_id, r.level): (r.n, r.sensitivity) for r in study.sensitivity_by_level(rows, ["detector_id"]).collect()}
+    assert got.keys() == want.keys() and not any(d == 4 for d, _ in got)
+    for key, (n, figure) in want.items():
+        assert got[key] == (n, None if figure is None else pytest.approx(figure, rel=1e-9))
+    assert got[(5, 1)][1] is None and got[(6, 1)][1] is None
+    assert study.sensitivity_by_level(rows.limit(0), ["detector_id"]).collect() == []
+
+
 def test_rejected_cyclone_lines_and_counts(spark):
     good = "\t".join(["1", "T", "A", "8", "NE", "0100", "2", "1", "2024", "x", "0200", "2", "1", "2024", "1"])
     files = spark.createDataFrame([("a", f"{good}\n{good.replace('	T	', '	MSN	')}\nshort\t1\n\n"), ("b", ""), ("c", None)], "file string, content string")
