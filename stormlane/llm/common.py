@@ -20,6 +20,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with more than one row in so many is a hot one, so there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` joined to ``facts`` (one row per key, column ``n`` with the key's number of rows, best checkpointed) without its ``n``.
+
+    The facts of hot keys, fewer than ``HOT_SHARE`` of them, are broadcast, so that their rows stay where they are; the others' rows
+    are shuffled. Null keys and keys without facts are left out; ``rows`` is read twice.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(facts.where(F.col(n) * HOT_SHARE > total).drop(n))
+    rest = facts.where(F.col(n) * HOT_SHARE <= total).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 #: Spark fills Arrow batches up to 64 MB of its own accord; JVM and worker hold a batch several times over.
 _BATCH, _DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 

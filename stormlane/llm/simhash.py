@@ -8,7 +8,8 @@ none is invented.
 
 Equal fingerprints are collapsed first. Crowded keys are contracted before the join: all fingerprints of a key are held
 against its smallest one only, and the join asks only for fingerprints of other components, so a large group of near copies
-yields links in proportion to its size and never all its pairs.
+yields links in proportion to its size and never all its pairs. Fingerprints and components that hold many rows are named by a
+broadcast of bounded size, so their rows are not brought to one task.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormlane.llm import golay
-from stormlane.llm.common import checkpointed, map_arrow, sql_type, table
+from stormlane.llm.common import checkpointed, join_spread, map_arrow, sql_type, table
 from stormlane.llm.components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 3
@@ -139,13 +140,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are left out.
     """
     own = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed))
-    firsts = checkpointed(own.groupBy("fingerprint").agg(F.min("id").alias("first")))
+    firsts = checkpointed(own.groupBy("fingerprint").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     groups = linked(firsts.select("fingerprint"), max_distance).withColumnRenamed("node", "fingerprint")
     members = checkpointed(groups.join(firsts, "fingerprint"))
-    least = members.groupBy("root").agg(F.min("first").alias("least"))
-    moved = members.join(least, "root").select("fingerprint", "least")
-    named = firsts.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id"))
-    return own.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+    least = checkpointed(members.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")))
+    moved = join_spread(members.select("root", "fingerprint"), least, "root").select("fingerprint", "least")
+    named = checkpointed(firsts.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id"), "n"))
+    return join_spread(own, named, "fingerprint").select("id", "fingerprint", "component_id")
 
 
 def op4_simhash_near_dedup(spark, sf_dir):

@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from stormlane.llm import golay, simhash
+from stormlane.llm.common import join_spread
 from stormlane.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, fingerprint string, id int"
@@ -94,3 +96,24 @@ def test_query_on_small_tables(spark):
 def test_distance_beyond_the_keys_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.linked(spark.createDataFrame([], "fingerprint long"), 4)
+
+
+def test_hot_keys_are_joined_where_their_rows_are(spark):
+    rows = [(i, 7 if i % 3 else i) for i in range(6000)] + [(-1, None)]
+    own = spark.createDataFrame(rows, "id long, k long")
+    facts = own.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), (F.first("k") * 2).alias("twice"))
+    got = join_spread(own, facts, "k")
+    assert got.columns == ["k", "id", "twice"]
+    assert sorted((r.id, r.k, r.twice) for r in got.collect()) == sorted((i, k, 2 * k) for i, k in rows if k is not None)
+    assert join_spread(own.limit(0), facts.limit(0), "k").count() == 0
+
+
+def test_copies_and_null_texts_in_thousands(spark):
+    texts = ["one two three four five six"] * 3000 + [None] * 1500 + [f"word{i} other{i} more{i} last{i}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = simhash.near_duplicates(docs).collect()
+    assert len(found) == len(texts) and len({r.id for r in found}) == len(texts)
+    want = plain_components([(t, plain_fingerprint(t)) for t in sorted(set(texts), key=texts.index)])
+    first = {t: texts.index(t) for t in set(texts)}
+    least = {root: min(first[t] for t in want if want[t] == root) for root in set(want.values())}
+    assert all(r.component_id == least[want[texts[r.id]]] for r in found)
