@@ -46,19 +46,14 @@ def flag_contradictions(df: DataFrame) -> DataFrame:
 def stuck_runs(df: DataFrame, keys: list[str], value: str = "speed", over: str = "30 minutes", piece: str = PIECE) -> DataFrame:
     """Adds run (number of the run of equal values within the key) and stuck (whether the run spans more than ``over``).
 
-    Runs are found piece by piece (see ``scans``). The few that last too long have a row for each piece they touch, so that flags
-    come back by key, run and piece, even where a detector is stuck for good. Columns of these names are replaced.
+    Runs are found piece by piece (see ``scans``), with the times of their ends, so that rows don't meet their runs in a join, and a
+    detector that is stuck for good is no single group. Columns of these names are replaced. Rows without a time are not stuck.
     """
     df = df.drop("run", "stuck")
-    cut, start, end, stuck = fresh(df, names=("_piece", "_start", "_end", "_stuck"))
-    rows = with_runs(df, keys, "time", ["time", "event_id"], value, "run", piece).withColumn(cut, F.date_trunc(piece, "time"))
-    spans = rows.groupBy(*keys, "run").agg(F.min("time").alias(start), F.max("time").alias(end)).where(F.col(end) - F.col(start) > F.expr(f"interval {over}"))
-    touched = F.explode(F.sequence(F.date_trunc(piece, start), F.date_trunc(piece, end), F.expr(f"interval 1 {piece}")))
-    long = spans.select(*[F.col(k).alias(f"{stuck}_{k}") for k in (*keys, "run")], touched.alias(f"{stuck}_piece"), F.lit(True).alias(stuck))
-    same = F.col(cut) == F.col(f"{stuck}_piece")
-    for k in (*keys, "run"):
-        same &= F.col(k).eqNullSafe(F.col(f"{stuck}_{k}"))
-    return rows.join(long, same, "left").select(*df.columns, "run", F.coalesce(F.col(stuck), F.lit(False)).alias("stuck"))
+    start, end = fresh(df, names=("_first_time", "_last_time"))
+    rows = with_runs(df, keys, "time", ["time", "event_id"], value, "run", piece, (start, end))
+    long = F.col("time").isNotNull() & (F.col(end) - F.col(start) > F.expr(f"interval {over}"))
+    return rows.select(*df.columns, "run", F.coalesce(long, F.lit(False)).alias("stuck"))
 
 
 def drop_stuck_days(df: DataFrame, keys: list[str], value: str = "speed", over: str = "30 minutes", piece: str = PIECE) -> DataFrame:

@@ -1,14 +1,14 @@
 """Ordered scans over histories that are cut into pieces of time.
 
 A key's rows are ordered within a piece only (a day, unless told otherwise; a piece should hold a good many of a key's rows, as each
-has a summary), never over its whole history. What a scan must know of the
-rows before a piece, or behind it, is a summary of one row per piece, which is formed before rows move, carried on in a window over the
-summaries, and put among the piece's rows as a row of its own. So a key that holds nearly all rows is as many tasks as it has pieces.
+has a summary), never over its whole history. What a scan must know of the rows before a piece, or behind it, is a summary of one row
+per piece, formed from the columns needed alone. Summaries are carried on in a window over a key's pieces and joined to the pieces' rows,
+which are shuffled by key and piece once. So a key that holds nearly all rows is as many tasks as it has pieces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 PIECE = "day"
@@ -24,6 +24,20 @@ def fresh(*frames: DataFrame, names: tuple[str, ...]) -> list[str]:
     return out
 
 
+def _placed(df: DataFrame, keys: list[str], at: str, piece: str, place: str) -> DataFrame:
+    """``df`` with the struct of its keys and piece. It is never null, and null keys in it are equal to each other, also in joins."""
+    return df.withColumn(place, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.date_trunc(piece, F.col(at)).alias("piece")))
+
+
+def _of_key(keys: list[str], place: str) -> tuple[WindowSpec, WindowSpec]:
+    """The pieces of a key onwards, and backwards: what lies ahead is read in the order that makes it the past."""
+    key, cut = [F.col(place)[f"k{i}"] for i in range(len(keys))], F.col(place)["piece"]
+    return Window.partitionBy(*key).orderBy(cut.asc_nulls_first()), Window.partitionBy(*key).orderBy(cut.desc_nulls_last())
+
+
+_PAST, _SO_FAR = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
+
+
 def with_neighbours(df: DataFrame, keys: list[str], at: str, order: list[str], known: Column, back: str | None = None, ahead: str | None = None, piece: str = PIECE) -> DataFrame:
     """``df`` with ``back``, the last value of ``known`` that isn't null at or before the row in its key's order, and ``ahead``, the first
     at or after it. ``at`` is the time that cuts pieces and ``order``, which must begin with it, the full order.
@@ -31,49 +45,63 @@ def with_neighbours(df: DataFrame, keys: list[str], at: str, order: list[str], k
     Null keys are a key of their own, null times come first; rows are neither lost nor repeated. Rows that are equal in all of
     ``order`` have no order among themselves.
     """
-    cut, value, place, before, behind = fresh(df, names=("_piece", "_known", "_place", "_before", "_behind"))
-    rows = df.withColumn(cut, F.date_trunc(piece, F.col(at))).withColumn(value, known).withColumn(place, F.lit(0))
+    place, value, end, carried = fresh(df, names=("_place", "_value", "_end", "_carried"))
+    rows = _placed(df, keys, at, piece, place).withColumn(value, known)
     has = F.when(F.col(value).isNotNull(), F.struct(*order))
-    sums = rows.groupBy(*keys, cut).agg(F.min_by(value, has).alias(behind), F.max_by(value, has).alias(before))
-    of_key = Window.partitionBy(*keys).orderBy(cut)
-    marks = []
-    if back:
-        marks.append(sums.withColumn(value, F.last(before, ignorenulls=True).over(of_key.rowsBetween(Window.unboundedPreceding, -1))).withColumn(place, F.lit(-1)))
-    if ahead:
-        marks.append(sums.withColumn(value, F.first(behind, ignorenulls=True).over(of_key.rowsBetween(1, Window.unboundedFollowing))).withColumn(place, F.lit(1)))
-    both = rows
-    for mark in marks:
-        both = both.unionByName(mark.where(F.col(value).isNotNull()).select(*keys, cut, value, place), allowMissingColumns=True)
-    within = Window.partitionBy(*keys, cut).orderBy(place, *order)
-    if back:
-        both = both.withColumn(back, F.last(value, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    if ahead:
-        both = both.withColumn(ahead, F.first(value, ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing)))
-    return both.where(F.col(place) == 0).select(*df.columns, *[c for c in (back, ahead) if c])
-
-
-def with_runs(df: DataFrame, keys: list[str], at: str, order: list[str], value: str, name: str, piece: str = PIECE) -> DataFrame:
+    onwards, backwards = _of_key(keys, place)
+    reverse = [F.col(c).desc_nulls_last() for c in order]
+    for name, extreme, pieces, by in ((back, F.max_by, onwards, order), (ahead, F.min_by, backwards, reverse)):
+        if name:
+            sums = _placed(df, keys, at, piece, place).withColumn(value, known).groupBy(place).agg(extreme(value, has).alias(end))
+            facts = sums.select(place, F.last(end, ignorenulls=True).over(pieces.rowsBetween(*_PAST)).alias(carried))
+            own = F.last(value, ignorenulls=True).over(Window.partitionBy(place).orderBy(*by).rowsBetween(*_SO_FAR))
+            rows = rows.withColumn(name, own).join(facts, place).withColumn(name, F.coalesce(name, carried)).drop(carried)
+    return rows.select(*df.columns, *[c for c in (back, ahead) if c])
+
+
+def with_runs(df: DataFrame, keys: list[str], at: str, order: list[str], value: str, name: str, piece: str = PIECE, span: tuple[str, str] | None = None) -> DataFrame:
     """``df`` with the number, from 1, of the run of equal values of its key that the row is in; nulls are equal to each other.
 
-    Changes are counted within pieces over the columns needed alone; a piece then starts with the last value and the number of runs
-    before it.
+    ``span`` names two more columns, the run's first and last time (null in rows without a time). Only the first and the last run of
+    a piece can go on in others: a piece is told their numbers and ends, and the runs between are its own.
     """
-    cut, held, place, changed, base, first, last, mark = fresh(df, names=("_piece", "_held", "_place", "_changed", "_base", "_first", "_last", "_mark"))
-    rows = df.withColumn(cut, F.date_trunc(piece, F.col(at))).withColumn(held, F.struct(F.col(value).alias("v")))
-    inside = Window.partitionBy(*keys, cut).orderBy(*order)
+    names = ("_place", "_held", "_came", "_changed", "_local", "_first", "_last", "_more", "_low", "_high", "_begun", "_ended", "_opens", "_closes", "_base", "_start", "_end")
+    place, held, came, changed, local, first, last, more, low, high, begun, ended, opens, closes, base, start, end = fresh(df, names=names)
     differs = lambda a, b: (~a.eqNullSafe(b)).cast("long")
-    before = F.lag(held).over(inside)
-    flags = rows.select(*keys, cut, held, *[c for c in order if c not in keys], F.when(before.isNotNull(), differs(F.col(held)["v"], before["v"])).alias(changed))
-    sums = flags.groupBy(*keys, cut).agg(F.min_by(held, F.struct(*order)).alias(first), F.max_by(held, F.struct(*order)).alias(last), F.coalesce(F.sum(changed), F.lit(0)).alias(changed))
-    of_key = Window.partitionBy(*keys).orderBy(cut)
-    came = F.lag(last).over(of_key)
-    opened = F.when(came.isNull(), F.lit(1)).otherwise(differs(came["v"], F.col(first)["v"]))
-    # The mark stands for the row before the piece's first: it has the value of that row, or of the first row itself for a key's start.
-    marks = sums.withColumn(mark, F.coalesce(came, F.col(first))).withColumn(base, opened).withColumn(base, F.sum(F.col(base) + F.col(changed)).over(of_key.rowsBetween(Window.unboundedPreceding, 0)) - F.col(changed))
-    starts = marks.withColumn(base, F.col(base) - differs(F.col(mark)["v"], F.col(first)["v"])).select(*keys, cut, F.col(mark).alias(held), base, F.lit(0).alias(place))
-    both = rows.withColumn(place, F.lit(1)).unionByName(starts, allowMissingColumns=True)
-    within = Window.partitionBy(*keys, cut).orderBy(place, *order)
-    came = F.lag(held).over(within)
-    both = both.withColumn(changed, F.coalesce(F.col(base), F.when(came.isNotNull(), differs(F.col(held)["v"], came["v"])), F.lit(0)))
-    numbered = both.withColumn(name, F.sum(changed).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.where(F.col(place) == 1).select(*df.columns, name)
+    inside = Window.partitionBy(place).orderBy(*order)
+    rows = _placed(df, keys, at, piece, place).withColumn(held, F.struct(F.col(value).alias("v"), F.col(at).alias("t")))
+    rows = rows.withColumn(came, F.lag(held).over(inside))
+    rows = rows.withColumn(changed, F.when(F.col(came).isNotNull(), differs(F.col(held)["v"], F.col(came)["v"])).otherwise(F.lit(0)))
+
+    is_new, by = F.col(changed) == 1, F.struct(*order)
+    sums = rows.groupBy(place).agg(
+        F.min_by(held, by).alias(first),
+        F.max_by(held, by).alias(last),
+        F.sum(changed).alias(more),
+        F.min(at).alias(low),
+        F.max(at).alias(high),
+        F.max(F.when(is_new, F.col(at))).alias(begun),
+        F.min(F.when(is_new, F.col(came)["t"])).alias(ended),
+    )
+    onwards, backwards = _of_key(keys, place)
+    before, behind = F.lag(last).over(onwards), F.lag(first).over(backwards)
+    facts = sums.withColumn(opens, F.when(before.isNull(), F.lit(1)).otherwise(differs(before["v"], F.col(first)["v"])))
+    facts = facts.withColumn(closes, F.when(behind.isNull(), F.lit(1)).otherwise(differs(behind["v"], F.col(last)["v"])))
+    # Where the piece's last run begins and its first one ends, unless a run goes through the whole piece and on.
+    begins = F.coalesce(begun, F.when(F.col(opens) == 1, F.col(low)))
+    ends = F.coalesce(ended, F.when(F.col(closes) == 1, F.col(high)))
+    facts = facts.select(
+        place,
+        more,
+        (F.sum(F.col(opens) + F.col(more)).over(onwards.rowsBetween(*_SO_FAR)) - F.col(more)).alias(base),
+        F.coalesce(F.when(F.col(opens) == 0, F.last(begins, ignorenulls=True).over(onwards.rowsBetween(*_PAST))), F.col(low)).alias(start),
+        F.coalesce(F.when(F.col(closes) == 0, F.last(ends, ignorenulls=True).over(backwards.rowsBetween(*_PAST))), F.col(high)).alias(end),
+    )
+    rows = rows.withColumn(local, F.sum(changed).over(inside.rowsBetween(*_SO_FAR)))
+    of_run = Window.partitionBy(place, local)
+    if span:
+        rows = rows.withColumn(low, F.min(at).over(of_run)).withColumn(high, F.max(at).over(of_run))
+    out = rows.join(facts, place).withColumn(name, F.col(base) + F.col(local))
+    if span:
+        out = out.withColumn(span[0], F.when(F.col(local) == 0, F.col(start)).otherwise(F.col(low))).withColumn(span[1], F.when(F.col(local) == F.col(more), F.col(end)).otherwise(F.col(high)))
+    return out.select(*df.columns, name, *(span or ()))
