@@ -102,10 +102,21 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return ranks(df, value, name).select("detector_id", name)
 
 
+def _both_ranks(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, detector_id, rx, ry): mean ranks within ``by`` of x and of y, in one pass over both; pairs with a null have none.
+
+    A detector comes once within ``by``.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("value")) for c in ("x", "y")])).alias("s")
+    long = kept(pairs.where("x is not null and y is not null").select(*by, "detector_id", sides).select(*by, "detector_id", "s.*"))
+    placed = ranks(long, "value", "rank", (*by, "side"))
+    return placed.groupBy(*by, "detector_id").agg(*[F.max(F.when(F.col("side") == c, F.col("rank"))).alias(f"r{c}") for c in ("x", "y")])
+
+
 def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rank correlation of two rankings over the detectors that both have."""
-    both = a.select("detector_id", F.col("sensitivity").alias("x")).join(b.select("detector_id", F.col("sensitivity").alias("y")), "detector_id").where("x is not null and y is not null")
-    return ranks(kept(ranks(kept(both), "x", "rx")), "y", "ry").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
+    both = a.select("detector_id", F.col("sensitivity").alias("x")).join(b.select("detector_id", F.col("sensitivity").alias("y")), "detector_id")
+    return _both_ranks(both, []).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
 
 
 def overlap(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
@@ -139,8 +150,7 @@ def compared(scores: DataFrame, variants: list[str], default: str, k: int = 20)
     """(variant, n, spearman, n_common) of rankings (variant, detector_id, x) against the ``default`` one, a row for each variant."""
     keys = ["variant", "detector_id"]
     plain = scores.where(F.col("variant") == default).select("detector_id", F.col("x").alias("y"))
-    ranked = ranks(kept(ranks(kept(scores.join(plain, "detector_id")), "x", "rx", ("variant",))), "y", "ry", ("variant",))
-    both = ranked.groupBy("variant").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
+    both = _both_ranks(scores.join(plain, "detector_id"), ["variant"]).groupBy("variant").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
     first = scores.withColumn("place", F.row_number().over(Window.partitionBy("variant").orderBy("x", "detector_id"))).where(F.col("place") <= k).select(*keys)
     common = first.join(first.where(F.col("variant") == default).select("detector_id"), "detector_id").groupBy("variant").agg(F.count("*").alias("n_common"))
     names = scores.sparkSession.createDataFrame([(name,) for name in variants], "variant string")
