@@ -264,6 +264,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """``docs`` with hit spans cut from their texts; rows with more than ``max_coverage`` of their words hit are dropped.
 
     All columns stay, whatever their names; texts without hits, nulls included, stay as they are.
+    Items are those of ``find``; repeated rows are judged one by one, alike. An empty table of documents gives no rows, one of items
+    leaves all as they are.
     """
     names = docs.columns
     at = names.index(text_col)
