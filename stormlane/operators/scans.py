@@ -3,7 +3,7 @@
 A key's rows are ordered within a piece only (a day, unless told otherwise; a piece should hold a good many of a key's rows, as each
 has a summary), never over its whole history. What a scan must know of the rows before a piece, or behind it, is a summary of one row
 per piece, formed from the columns needed alone. Summaries are carried on in a window over a key's pieces and joined to the pieces' rows,
-which are shuffled by key and piece once. So a key that holds nearly all rows is as many tasks as it has pieces.
+which are shuffled by key and piece once (for runs the columns needed are shuffled once more, as their summaries need order). So a key that holds nearly all rows is as many tasks as it has pieces.
 """
 
 from __future__ import annotations
