@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of copies: five-word shingles, similarity 0.8; the smallest id stays, a null one last. Texts
-    without words, nulls included, all stay. Of repeated rows one stays, by a rule (``similar.one_of_each_group``); an empty table
+    """Keeps one document of each group of copies: five-word shingles, similarity 0.8; the smallest id stays, a null one last. Copies are
+    found by SimHash and Golay keys and compared as sets; a prefix filter finds those that differ in more bits. Texts without words, nulls included, all stay. Of repeated rows one stays, by a rule (``similar.one_of_each_group``); an empty table
     gives no rows. Helper columns take names that the documents don't have."""
     return similar.one_of_each_group(docs)
 

@@ -139,7 +139,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id get the smallest id of their group that isn't null, or null. An empty table gives no rows. Other columns
     are left out.
     """
-    own = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed))
+    return grouped(checkpointed(fingerprints(docs, id_col, text_col, shingle, seed)), max_distance)
+
+
+def grouped(own: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(id, fingerprint, component_id) per row of (id, fingerprint), best checkpointed; component_id as in ``near_duplicates``."""
     firsts = checkpointed(own.groupBy("fingerprint").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     groups = linked(firsts.select("fingerprint"), max_distance).withColumnRenamed("node", "fingerprint")
     members = checkpointed(groups.join(firsts, "fingerprint"))

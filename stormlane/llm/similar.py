@@ -1,6 +1,10 @@
 """Near-duplicate texts by the Jaccard similarity of their sets of word shingles, found without a miss.
 
-Prefix filter: with all shingles in one order, two sets of similarity t or more have their first common shingle among the
+First comes operator 4's method: a 64-bit SimHash of each set, linked at three or fewer differing bits by Golay keys
+(``simhash``). Each text of a component is compared with its smallest one, set against set, and what is linked is contracted.
+At a similarity of 0.8 fingerprints differ in more bits than that, so the rest is found in an exact way, by a prefix filter:
+
+With all shingles in one order, two sets of similarity t or more have their first common shingle among the
 first n - ceil(t * n) + 1 of either, n being the set's size. Texts therefore meet under the shingles of these prefixes only,
 and where a shingle stands in both sets bounds what they can share. Any order finds every pair; common shingles go last, so
 prefixes rarely hold them. How common a shingle is is counted on a part of the texts, which decides about the order alone.
@@ -12,7 +16,7 @@ all made. A pair passes a 512-bit parity sketch first, which bounds from below h
 refuses no similar pair; every link comes from a comparison of the sets themselves.
 
 The checkpointed tables are: one row a document (id, hashes, prefix: about a third of its text), the shared keys, the nodes
-under them, and the pairs. Whole texts move only for pairs that the sketch lets pass.
+under them, their fingerprints' keys, and the pairs. Texts under no shared key can have no similar one and go no further. Whole texts move only for pairs that the sketch lets pass.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stormlane.llm import simhash
 from stormlane.llm.common import checkpointed, map_arrow, sql_type
 from stormlane.llm.components import connected_components
 
@@ -110,16 +115,16 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _described(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, mark, node, size, sketch, prefix) of each row of (id, text) whose text has words; node is a 128-bit digest of the
-    words, mark a 64-bit hash of the text as it is, by which, with the id, the row is found again."""
+    """(id, mark, node, size, fingerprint, sketch, prefix) of each row of (id, text) whose text has words; node is a 128-bit digest
+    of the words, mark a 64-bit hash of the text as it is, by which, with the id, the row is found again."""
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))
-    names = ["id", "mark", "node", "size", "sketch", "prefix"]
+    names = ["id", "mark", "node", "size", "fingerprint", "sketch", "prefix"]
 
     def run(batches):
         keys, counts = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                batch, kept, nodes, sizes, sketches, found = whole.slice(at, 500), [], [], [], [], []
+                batch, kept, nodes, sizes, prints, sketches, found = whole.slice(at, 500), [], [], [], [], [], []
                 for number, text in enumerate(batch.column(2)):
                     words = _words(text.as_py())
                     if words:
@@ -127,6 +132,7 @@ def _described(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
                         kept.append(number)
                         nodes.append(hashlib.md5(b" ".join(words), usedforsecurity=False).digest())
                         sizes.append(len(hashes))
+                        prints.append(simhash.majority_bits(hashes))
                         sketches.append(sketch(hashes))
                         found.append(prefix(hashes, similarity, keys, counts))
                 if kept:
@@ -134,10 +140,10 @@ def _described(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                     bits = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(np.concatenate(sketches)))
                     own = batch.take(pa.array(kept))
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), bits, lists], names)
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), bits, lists], names)
         _WORDS.clear()
 
-    schema = f"id {sql_type(rows, 'id')}, mark bigint, node binary, size int, sketch array<bigint>, prefix array<bigint>"
+    schema = f"id {sql_type(rows, 'id')}, mark bigint, node binary, size int, fingerprint bigint, sketch array<bigint>, prefix array<bigint>"
     return map_arrow(rows.where("text is not null").select("id", F.xxhash64("text").alias("mark"), "text"), run, schema)
 
 
@@ -196,6 +202,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs of texts whose fingerprints are linked, directly or not: each text and the smallest one of its component."""
+    found = simhash.grouped(nodes.select(F.col("node").alias("id"), "fingerprint"))
+    return _ordered(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("u"), F.col("component_id").alias("v")))
+
+
 def _stars(rooted: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
     """Pairs of each key's centre (struct ``hub``) and its texts of other groups."""
     met = rooted.select("key", F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("size").alias("u_size"), F.col("rest").alias("u_rest"))
@@ -237,12 +249,15 @@ def _linked(rows: DataFrame, described: DataFrame, firsts: DataFrame, shingle: i
     shared = checkpointed(keyed.join(keyed.groupBy("key").agg(F.count("size").alias("n")).where("n > 1"), "key"))
     # How many texts a text meets, over its prefix: the middle of a group meets most.
     scores = shared.groupBy("node").agg((F.sum(F.log("n")) / F.first("size")).alias("score"))
-    nodes = checkpointed(described.select("node", "size", "sketch").dropDuplicates(["node"]).join(scores, "node").join(firsts, "node"))
+    nodes = checkpointed(described.select("node", "size", "fingerprint", "sketch").dropDuplicates(["node"]).join(scores, "node").join(firsts, "node"))
     compare = _Comparison(rows, nodes, shingle, similarity)
-    rooted = checkpointed(shared.select("key", "node", "size", "rest", "n", F.col("node").alias("root")).join(nodes.select("node", "score"), "node"))
-
-    tried = checkpointed(_stars(rooted, _centres(rooted), similarity))
+    tried = checkpointed(_by_fingerprint(nodes))
     links = compare.links(tried)
+    roots = nodes.select("node", "score").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = checkpointed(shared.select("key", "node", "size", "rest", "n").join(roots, "node"))
+
+    again = checkpointed(_stars(rooted, _centres(rooted), similarity).join(tried, ["u", "v"], "left_anti"))
+    tried, links = tried.unionAll(again), links.unionAll(compare.links(again))
     roots = connected_components(links)
     rooted = _rooted(rooted.where("n > 2").drop("n"), roots)  # a key's only pair has been compared
     # Of what is not linked to a key's centre, the centre in turn.

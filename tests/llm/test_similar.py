@@ -86,3 +86,34 @@ def test_chains_and_large_groups_become_one_group(spark):
     copies = [[*base[:at], f"y{n}", *base[at + 1 :]] for n, at in enumerate(rng.randrange(90) for _ in range(300))]
     texts = [" ".join(t) for t in (*chain, base, *copies, words(rng, 90))]
     assert kept(spark, texts) == {0, len(chain), len(texts) - 1}
+
+
+def near_texts(n=120):
+    rng, texts = random.Random(17), []
+    for _ in range(n // 3):
+        one = words(rng, 300)
+        texts += [one, [*one[:150], "x", *one[151:]], words(rng, 12)]
+    return [" ".join(t) for t in texts]
+
+
+def test_texts_meet_by_the_golay_keys_of_their_fingerprints(spark, monkeypatch):
+    asked, linked = [], similar.simhash.linked
+    monkeypatch.setattr(similar.simhash, "linked", lambda prints, *rest: asked.append({r.fingerprint for r in prints.collect()}) or linked(prints, *rest))
+    texts = near_texts()
+    assert kept(spark, texts) == {i for i in range(len(texts)) if i % 3 != 1}
+    prints = [int(np.uint64(similar.simhash.majority_bits(similar._hashes(t, 5))).view(np.int64)) for i, t in enumerate(texts) if i % 3 < 2]
+    assert len(asked) == 1 and set(prints) <= asked[0]
+    rows = [(f"{i:03}".encode(), p) for i, p in enumerate([0, 7, 7 | 7 << 40, 15, 1 << 60 | 0xFF00, 1 << 60 | 0xFF00])]
+    pairs = similar._by_fingerprint(spark.createDataFrame(rows, "node binary, fingerprint long")).collect()
+    assert {(int(r.u), int(r.v)) for r in pairs} == {(0, 1), (0, 2), (0, 3), (4, 5)}
+
+
+@pytest.mark.parametrize("fingerprint", ["0L", "xxhash64(node)"])
+def test_links_do_not_depend_on_fingerprints(spark, monkeypatch, fingerprint):
+    """Where all fingerprints are equal the sets refuse what isn't similar; where none are near the prefixes find what is."""
+    from pyspark.sql import functions as F
+
+    described = similar._described
+    monkeypatch.setattr(similar, "_described", lambda *a: described(*a).withColumn("fingerprint", F.expr(fingerprint)))
+    texts = near_texts()
+    assert kept(spark, texts) == {i for i in range(len(texts)) if i % 3 != 1}
