@@ -31,7 +31,7 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 _FEED = 4096
 _MEMO_ENTRIES, _MEMO_LENGTH = 250_000, 48
 #: Texts are encoded together up to so many rows and characters; words of up to so many bytes are merged together.
-_ROWS, _CHARS, _TOGETHER, _FEW = 1000, 1_500_000, 48, 8
+_ROWS, _CHARS, _TOGETHER, _FEW = 1000, 400_000, 48, 8
 #: Ids that the numbered runs of a worker take up at most before they are forgotten.
 _POOL = 8_000_000
 _SHIFT, _NONE, _NO_RANK = 32, 1 << 62, np.iinfo(np.int32).max
