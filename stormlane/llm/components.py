@@ -1,34 +1,46 @@
 """Connected components of an edge table by alternating star contractions.
 
 Each round replaces every node's links by links to the smallest neighbour, first for the larger neighbours, then for the
-smaller ones, until nothing changes; the table then holds one star per component. Only grouped minima and equi-joins are
-used, so a node with very many links is pre-aggregated before the shuffle and its join can be split. Every round ends in a
-checkpoint, so lineage stays short and a lost executor costs one round.
+smaller ones, until every component is a star around its smallest node. Links are kept once, larger node first, so of a node's
+neighbours only the smaller ones decide, and a round never has more rows than it began with. Small tables are scanned by few tasks. Only grouped minima
+and equi-joins are used, so a node with very many links is pre-aggregated before the shuffle. Every round ends in a checkpoint,
+so lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormlane.llm.common import checkpointed
 
 MAX_ROUNDS = 60
+#: Links that one task scans at least, and links up to which smallest neighbours are broadcast; beyond, both sides are shuffled. The
+#: result is the same.
+SCAN_ROWS, BROADCAST_ROWS = 10_000, 200_000
+
+
+def _to_smallest(edges: DataFrame) -> DataFrame:
+    """(node, low): the smallest neighbour of each node that has smaller ones."""
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low"))
 
 
-def _to_smallest(links: DataFrame, group: str, member: str) -> DataFrame:
-    """Joins to each group its smallest member, the group's own name included."""
-    low = links.groupBy(group).agg(F.min(member).alias("low")).withColumn("low", F.least("low", group))
-    return links.join(low, group)
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """The number of links, and whether they are stars: every node is either some nodes' only smaller neighbour or has just one itself."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below")))))
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.count("*").alias("n"))
+    links, odd = nodes.agg(F.sum("below"), F.count_if(F.expr("below > 0 and n > 1"))).first()
+    return links or 0, not odd
 
 
-def _round(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _to_smallest(both, "u", "v").where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b")).where("a <> b")
-    high = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    starred = _to_smallest(high, "u", "v")
-    small = starred.select(F.col("v").alias("a"), F.col("low").alias("b")).unionAll(starred.select(F.col("u").alias("a"), F.col("low").alias("b")))
-    return small.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+def _round(edges: DataFrame, sized: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """edges: distinct, u > v."""
+    high = edges.join(sized(_to_smallest(edges)), F.col("v") == F.col("node"), "left").select("u", F.coalesce("low", "v").alias("v"))
+    starred = high.join(sized(_to_smallest(high)), F.col("u") == F.col("node"))
+    # The row with the smallest neighbour stands for the node's own link to it.
+    return starred.select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,12 +50,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     with a null are no links. An empty table gives an empty result.
     """
     edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
     for _ in range(MAX_ROUNDS):
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before or not state[0]:
+        n, done = _state(edges)
+        few = edges.coalesce(n // SCAN_ROWS + 1)
+        if done:
             break
-        before, edges = state, checkpointed(_round(edges))
+        edges = checkpointed(_round(few, F.broadcast if n <= BROADCAST_ROWS else lambda df: df))
     else:
         raise RuntimeError("the components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return few.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(few.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -238,6 +238,11 @@ def _meetings(rooted: DataFrame, similarity: float) -> DataFrame:
     return _ordered(met.join(u, ["key", "u_root"]).join(v, ["key", "v_root"]).where(_enough(similarity, "u", "v")))
 
 
+def _stars_and(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Links whose components hold the known ones and what new links join to them."""
+    return links.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+
+
 def _linked(rows: DataFrame, described: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of the nodes that are linked, directly or not, to another one.
 
@@ -253,24 +258,23 @@ def _linked(rows: DataFrame, described: DataFrame, firsts: DataFrame, shingle: i
     compare = _Comparison(rows, nodes, shingle, similarity)
     tried = checkpointed(_by_fingerprint(nodes))
     links = compare.links(tried)
-    roots = nodes.select("node", "score").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = checkpointed(shared.select("key", "node", "size", "rest", "n").join(roots, "node"))
+    roots = connected_components(links)
+    scored = nodes.select("node", "score").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = checkpointed(shared.select("key", "node", "size", "rest", "n").join(scored, "node"))
 
     again = checkpointed(_stars(rooted, _centres(rooted), similarity).join(tried, ["u", "v"], "left_anti"))
-    tried, links = tried.unionAll(again), links.unionAll(compare.links(again))
-    roots = connected_components(links)
+    tried, roots = tried.unionAll(again), connected_components(_stars_and(roots, compare.links(again)))
     rooted = _rooted(rooted.where("n > 2").drop("n"), roots)  # a key's only pair has been compared
     # Of what is not linked to a key's centre, the centre in turn.
     others = rooted.join(_centres(rooted).select("key", F.col("hub.root").alias("main")), "key").where("root <> main")
     again = checkpointed(_stars(rooted, _centres(others), similarity).join(tried, ["u", "v"], "left_anti"))
     tried, more = tried.unionAll(again), compare.links(again)
     if not more.isEmpty():
-        links = links.unionAll(more)
-        roots = connected_components(links)
+        roots = connected_components(_stars_and(roots, more))
         rooted = _rooted(rooted, roots)
     # Pairs that were compared already and are still apart have no link.
     rest = compare.links(checkpointed(_meetings(rooted, similarity).join(tried, ["u", "v"], "left_anti")))
-    return roots if rest.isEmpty() else connected_components(rest.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    return roots if rest.isEmpty() else connected_components(_stars_and(roots, rest))
 
 
 def _one_row_each(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
