@@ -46,8 +46,11 @@ def plan_totals(tasks: DataFrame) -> DataFrame:
 
 
 def estimated_sizes(tasks: DataFrame, above: int = 20, n: int = 5, order=None) -> DataFrame:
-    """Bytes per URL: all sizes summed, or with more than ``above`` tasks the mean of ``n`` of them times their number."""
-    place = F.row_number().over(Window.partitionBy("url").orderBy(*(order or [F.rand(1)])))
+    """Bytes per URL: all sizes summed, or with more than ``above`` tasks the mean of ``n`` of them times their number.
+
+    The first ``n`` by ``order`` are taken; of tasks that it leaves equal the smaller sizes come first, so reruns agree.
+    """
+    place = F.row_number().over(Window.partitionBy("url").orderBy(*(order or [F.rand(1)]), "size"))
     chosen = tasks.withColumn("place", place).groupBy("url").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.avg(F.when(F.col("place") <= n, F.col("size"))).alias("mean"))
     return chosen.select("url", "n", F.when(F.col("n") > above, F.col("mean") * F.col("n")).otherwise(F.col("all").cast("double")).alias("bytes"))
 

@@ -235,3 +235,9 @@ def test_sessions_keep_fractions_of_seconds(spark):
     at = lambda second, micro=0: T(2024, 5, 1, 9, 0, second, micro)
     rows = spark.createDataFrame([(1, at(0), at(10, 600_000), 1), (1, at(10, 600_000), at(20), 2), (1, at(30), at(30), 3), (2, None, at(1), 1)], "detector_id int, start timestamp_ntz, end timestamp_ntz, level int")
     assert [tuple(r) for r in intervals.merge_sessions(rows, ["detector_id"]).collect()] == [(1, at(0), at(20), 2, 2)]
+
+
+@pytest.mark.parametrize("sizes", [range(1, 31), range(30, 0, -1)])
+def test_estimates_do_not_depend_on_the_order_of_equal_tasks(spark, sizes):
+    tasks = spark.createDataFrame([("u", 1, n) for n in sizes], "url string, place_in_list int, size bigint").coalesce(1)
+    assert [tuple(r) for r in catalog.estimated_sizes(tasks, order=["place_in_list"]).collect()] == [("u", 30, 3.0 * 30)]
