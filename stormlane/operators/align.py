@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stormlane.functions.scalar import day_type
 from stormlane.operators.scans import PIECE, fresh, with_neighbours
+from stormlane.sources.tables import kept
 
 #: A dimension is broadcast up to this many rows (they are counted); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -102,27 +103,56 @@ def nearest_district(points: DataFrame) -> DataFrame:
     return pairs.groupBy("district").agg(F.min_by("other", F.struct("apart", "other")).alias("nearest"))
 
 
+def _square(c: str, size: float) -> Column:
+    """The number of the square of the row's level that a coordinate is in; squares of a level lie whole in those of the next."""
+    return F.floor(F.col(c) / (F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))))
+
+
+def _finest_level(places: DataFrame, size: float, top: int, shared: int = 4, deepest: int = 40) -> int:
+    """The first level below ``top`` at which a place has, on the average, ``shared`` places in its square, itself included."""
+    for high in range(top, top - deepest, -8):
+        placed = places.withColumn("level", F.explode(F.sequence(F.lit(high - 7), F.lit(high))))
+        counts = placed.groupBy("level", _square("cx", size), _square("cy", size)).agg(F.count("*").cast("double").alias("n"))
+        found = counts.groupBy("level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean")).where(F.col("mean") <= shared).collect()
+        if found:
+            return max(r.level for r in found)
+    return top - deepest + 1
+
+
 def nearest_cell(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
     """Per point (id, x, y) the nearest of the cells (cell_id, cx, cy); of equals the smallest cell_id.
 
-    Both sides meet on the number of a grid square, a point in its own square and the eight around it, so no point is held
-    against all cells. The squares of each level are twice as large as those of the level before. At the first level at which
-    a point has any cell around it, one lies within 2.83 squares; all that is as near lies around it two levels up, where the
-    point is compared. Points with a null coordinate have no cell, nor has any point if there are no cells.
+    Sides of squares are ``size`` times powers of two, from one square for all down to few cells each, however dense they are. A point
+    meets one cell near each square around which there are any, which bounds how far its nearest one is; then all cells of the squares
+    within that bound. Of cells at one place the smallest alone counts, points at one place are compared once. Points with a null
+    coordinate (or NaN) have no cell, nor has any point if there are no cells. Points farther from all cells than these are from
+    each other meet a large part of them.
     """
-    points = points.select("id", "x", "y").where("x is not null and y is not null")
-    cells = cells.select("cell_id", "cx", "cy").where("cx is not null and cy is not null")
-    both = points.select("x", "y").unionByName(cells.select(F.col("cx").alias("x"), F.col("cy").alias("y")))
+    real = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    points = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(real("x", "y"))
+    places = kept(cells.select("cell_id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy")).where(real("cx", "cy")).groupBy("cx", "cy").agg(F.min("cell_id").alias("cell_id")))
+    both = points.select("x", "y").unionByName(places.select(F.col("cx").alias("x"), F.col("cy").alias("y")))
     extent = both.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
-    levels = max(0, math.ceil(math.log2(max(extent, size) / size))) + 1
-    square = lambda c: F.round(F.col(c) / (F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level")))).cast("long")
-    around = lambda c: F.explode(F.sequence(square(c) - 1, square(c) + 1))
-    placed = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels + 2)))).withColumn("i", square("cx")).withColumn("j", square("cy"))
-    tried = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("i", around("x")).withColumn("j", around("y"))
-    first = tried.join(placed.select("level", "i", "j").distinct(), ["level", "i", "j"], "left_semi").groupBy("id", "x", "y").agg((F.min("level") + 2).alias("level"))
-    met = first.withColumn("i", around("x")).withColumn("j", around("y")).join(placed, ["level", "i", "j"])
-    apart = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
-    return met.groupBy("id").agg(F.min_by("cell_id", F.struct(apart, "cell_id")).alias("cell_id"))
+    top = max(0, math.ceil(math.log2(max(extent, size) / size))) + 1
+    finest = _finest_level(places, size, top)
+    levels = F.explode(F.sequence(F.lit(finest), F.lit(top)))
+    on = ["level", "i", "j"]
+    apart = lambda x, y: F.pow(F.col("x") - F.col(x), 2) + F.pow(F.col("y") - F.col(y), 2)
+    placed = places.withColumn("level", levels).withColumn("i", _square("cx", size)).withColumn("j", _square("cy", size))
+    steps = lambda name: F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias(name)
+    one = placed.groupBy(*on).agg(F.min(F.struct("cx", "cy")).alias("c")).select("*", steps("di")).select("*", steps("dj"))
+    known = one.groupBy("level", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j")).agg(F.min_by("c", F.struct(F.abs("di") + F.abs("dj"), "c")).alias("c"))
+    spots = points.select("x", "y").distinct()
+    tried = spots.withColumn("level", levels).withColumn("i", _square("x", size)).withColumn("j", _square("y", size))
+    bound = tried.join(sized(known), on).groupBy("x", "y").agg((F.sqrt(F.min(apart("c.cx", "c.cy"))) * (1 + 1e-9) + 1e-150).alias("d"))
+    # the squares of a level whose sides are about as long as the bound
+    level = F.least(F.lit(top), F.greatest(F.lit(finest), F.ceil(F.log2(F.col("d") / size)).cast("int")))
+    asked = bound.withColumn("level", level)
+    for c, number in (("x", "i"), ("y", "j")):
+        asked = asked.withColumn("low", F.col(c) - F.col("d")).withColumn("high", F.col(c) + F.col("d")).withColumn(number, F.explode(F.sequence(_square("low", size), _square("high", size)))).drop("low", "high")
+    met = asked.join(sized(placed), on)
+    nearest = met.groupBy("x", "y").agg(F.min(F.struct(apart("cx", "cy").alias("apart"), "cell_id")).alias("found"))
+    return points.join(nearest, ["x", "y"]).groupBy("id").agg(F.min("found").alias("found")).select("id", "found.cell_id")
 
 
 def spine(df: DataFrame, keys: list[str], at: str, step: str) -> DataFrame:

@@ -241,3 +241,24 @@ def test_sessions_keep_fractions_of_seconds(spark):
 def test_estimates_do_not_depend_on_the_order_of_equal_tasks(spark, sizes):
     tasks = spark.createDataFrame([("u", 1, n) for n in sizes], "url string, place_in_list int, size bigint").coalesce(1)
     assert [tuple(r) for r in catalog.estimated_sizes(tasks, order=["place_in_list"]).collect()] == [("u", 30, 3.0 * 30)]
+
+
+def most_rows(df):
+    """The largest number of rows that any step of the plan makes."""
+    df.collect()
+
+    def walk(node):
+        kind, made = node.getClass().getSimpleName(), node.metrics().get("numOutputRows")
+        kids = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+        return max([made.get().value() if made.isDefined() else 0, *map(walk, kids)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_points_in_a_crowded_square_meet_few_of_its_cells(spark):
+    rng = random.Random(5)
+    place = lambda n: [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(n)]
+    points, cells = place(1000), [(i, x, y) for i, x, y in place(1000)] + [(5000 + i, 50.0, 50.0) for i in range(500)]
+    near = align.nearest_cell(spark.createDataFrame([*points, (-1, float("nan"), 1.0)], "id int, x double, y double"), spark.createDataFrame(cells, "cell_id int, cx double, cy double"), 500.0)
+    assert most_rows(near) < 100_000
+    assert {r.id: r.cell_id for r in near.collect()} == {i: min(((x - a) ** 2 + (y - b) ** 2, c) for c, a, b in cells)[1] for i, x, y in points}
