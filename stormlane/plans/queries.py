@@ -249,7 +249,7 @@ def segment_match_rate(v: Views) -> DataFrame:
 def grid_to_district(v: Views) -> DataFrame:
     cells = v.table("supplier").select(F.col("s_suppkey").alias("cell_id"), F.col("s_acctbal").alias("cx"), (F.col("s_suppkey") % 100).cast("double").alias("cy"))
     values = v.table("lineitem").select(F.col("l_suppkey").alias("cell_id"), F.col("l_shipdate").alias("ending"), F.col("l_quantity").cast("double").alias("rain"))
-    return align.grid_to_district(values.join(cells, "cell_id"), v.detectors, 50.0).withColumn("mean_rain", F.round("mean_rain", 6))
+    return align.grid_to_district(values.join(align.sized(cells), "cell_id"), v.detectors, 50.0).withColumn("mean_rain", F.round("mean_rain", 6))
 
 
 for _how, _sql in (("ffill", "last_value(rain IGNORE NULLS) OVER (PARTITION BY district ORDER BY slot ROWS UNBOUNDED PRECEDING)"), ("linear", "coalesce(rain, CASE WHEN nk - pk <= 4 THEN pv + (nv - pv) * (k - pk) / (nk - pk) END)")):

@@ -262,3 +262,15 @@ def test_points_in_a_crowded_square_meet_few_of_its_cells(spark):
     near = align.nearest_cell(spark.createDataFrame([*points, (-1, float("nan"), 1.0)], "id int, x double, y double"), spark.createDataFrame(cells, "cell_id int, cx double, cy double"), 500.0)
     assert most_rows(near) < 100_000
     assert {r.id: r.cell_id for r in near.collect()} == {i: min(((x - a) ** 2 + (y - b) ** 2, c) for c, a, b in cells)[1] for i, x, y in points}
+
+
+def test_districts_take_cells_of_a_crowded_square(spark):
+    rng = random.Random(6)
+    cells = [(i, rng.uniform(0, 40), rng.uniform(0, 40), 1, float(i % 7)) for i in range(800)]
+    dim = [(i, f"d{i % 3}", rng.uniform(0, 40), rng.uniform(0, 40)) for i in range(800)]
+    found = align.grid_to_district(spark.createDataFrame(cells, "cell_id int, cx double, cy double, ending int, rain double"), spark.createDataFrame(dim, "detector_id int, district string, x double, y double"), 50.0)
+    assert most_rows(found) < 100_000
+    own = {}
+    for _, district, x, y in dim:
+        own.setdefault(district, set()).add(min(((x - a) ** 2 + (y - b) ** 2, c) for c, a, b, _, _ in cells)[1])
+    assert {r.district: (round(r.mean_rain, 9), r.max_rain) for r in found.collect()} == {k: (round(sum(c % 7 for c in v) / len(v), 9), max(c % 7 for c in v)) for k, v in own.items()}
