@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlane.functions.scalar import day_type
-from stormlane.operators.scans import PIECE, fresh, with_neighbours
+from stormlane.operators.scans import PIECE, fresh, with_neighbours, with_next
 from stormlane.sources.tables import kept
 
 #: A dimension is broadcast up to this many rows (they are counted); beyond, the join shuffles.
@@ -181,8 +181,10 @@ def fill_linear(df: DataFrame, keys: list[str], at: str, value: str, step: str,
 def fill(df: DataFrame, keys: list[str], at: str, value: str, step: str, how: str = "ffill", season: Column | None = None, piece: str = PIECE) -> DataFrame:
     """On the spine: the last known value (ffill), known rows only (drop), or the mean of the key and season (seasonal).
 
-    ``season`` is an expression over the spine: the hour of day unless given; ``weekly_slot`` is the plan's slot.
+    ``season`` is an expression over the spine's ``at``: the hour of day unless given; ``weekly_slot`` is the plan's slot.
     """
+    if how == "seasonal" and _is_fixed(step):
+        return _fill_seasonal(df, keys, at, value, step, F.hour(at) if season is None else season, piece)
     full = spine(df, keys, at, step)
     if how == "drop":
         return full.where(F.col(value).isNotNull()).withColumn("filled", F.col(value))
@@ -196,6 +198,30 @@ def fill(df: DataFrame, keys: list[str], at: str, value: str, step: str, how: st
     return seasons.join(means, [*keys, slot], "left").withColumn("filled", F.coalesce(value, mean)).drop(slot, mean)
 
 
+def _is_fixed(step: str) -> bool:
+    """Whether a step always lasts equally long: hours and parts of them, not days, months or years of a calendar."""
+    return all(word.rstrip("s") in ("hour", "minute", "second", "millisecond", "microsecond") for word in step.lower().split()[1::2])
+
+
+def _fill_seasonal(df: DataFrame, keys: list[str], at: str, value: str, step: str, season: Column, piece: str) -> DataFrame:
+    """``fill`` by seasons for bins of a fixed length. The bins of a gap are made from the known bin before it, which holds its key's means by
+    number of the season, so that bins, which may be many more than ``df`` has rows, are never shuffled nor sorted."""
+    key, first, following, slot, number, mean, means, made = fresh(df, names=("_key", "_first", "_following", "_slot", "_number", "_mean", "_means", "_made"))
+    wide, step, season = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', TIMESTAMP_NTZ'1970-01-01' + interval {step})"), F.expr(f"interval {step}"), F.struct(season.alias("s"))
+    rows = df.where(F.col(at).isNotNull()).withColumn(key, F.struct(*keys))
+    firsts = rows.groupBy(key).agg(F.min(at).alias(first))
+    rows = rows.join(firsts, key).where(F.timestamp_diff("MICROSECOND", F.col(first), F.col(at)) % wide == 0).drop(first)
+    per_season = rows.where(F.col(value).isNotNull()).groupBy(key, season.alias(slot)).agg(F.avg(value).alias(mean))
+    seasons = kept(per_season.select(slot).distinct().withColumn(number, F.monotonically_increasing_id()))
+    of_key = per_season.join(sized(seasons), slot).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(number, mean))).alias(means))
+    held = with_next(rows, keys, at, following, piece).join(of_key, key, "left")
+    bins = F.when(F.col(following) > F.col(at) + step, F.sequence(F.col(at), F.col(following) - step, step)).otherwise(F.array(at))
+    full = held.withColumn(made, F.explode(bins))
+    others = [F.when(F.col(made) == F.col(at), F.col(c)).alias(c) for c in df.columns if c not in (*keys, at)]
+    full = full.select(*keys, F.col(made).alias(at), *others, means).withColumn(slot, season)
+    return full.join(sized(seasons), slot, "left").withColumn("filled", F.coalesce(value, F.col(means)[F.col(number)])).drop(slot, number, means)
+
+
 def weekly_slot(at: str, minutes: int = 15) -> Column:
     """Weekday or weekend, and the bin of ``minutes`` within the day: the season of a reading."""
     return F.struct((F.weekday(at) >= 5).alias("weekend"), F.floor((F.hour(at) * 60 + F.minute(at)) / minutes).cast("int").alias("bin"))

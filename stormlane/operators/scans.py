@@ -59,6 +59,16 @@ def with_neighbours(df: DataFrame, keys: list[str], at: str, order: list[str], k
     return rows.select(*df.columns, *[c for c in (back, ahead) if c])
 
 
+def with_next(df: DataFrame, keys: list[str], at: str, name: str, piece: str = PIECE) -> DataFrame:
+    """``df`` with the time of the row that follows in its key's order of ``at``, or null; of rows at one time all but one are followed
+    by that time. Null keys are a key of their own."""
+    place, own, head, carried = fresh(df, names=("_place", "_own", "_head", "_carried"))
+    rows = _placed(df, keys, at, piece, place)
+    facts = rows.groupBy(place).agg(F.min(at).alias(head)).select(place, F.lead(head).over(_of_key(keys, place)[0]).alias(carried))
+    rows = rows.withColumn(own, F.lead(at).over(Window.partitionBy(place).orderBy(at))).join(facts, place)
+    return rows.select(*df.columns, F.coalesce(own, carried).alias(name))
+
+
 def with_runs(df: DataFrame, keys: list[str], at: str, order: list[str], value: str, name: str, piece: str = PIECE, span: tuple[str, str] | None = None) -> DataFrame:
     """``df`` with the number, from 1, of the run of equal values of its key that the row is in; nulls are equal to each other.
 

@@ -430,7 +430,7 @@ def fill_seasonal(v: Views) -> DataFrame:
 def fill_seasonal_week(v: Views) -> DataFrame:
     """Quarter-hour bins that any bin of the detector at that quarter of a working day or weekend tells something about."""
     bins = align.bin_time(v.readings, 15).select("detector_id", "bin", "speed")
-    filled = align.fill(bins, ["detector_id"], "bin", "speed", "15 minutes", "seasonal", align.weekly_slot("bin"))
+    filled = align.fill(bins, ["detector_id"], "bin", "speed", "15 minutes", "seasonal", align.weekly_slot("bin"), "month")
     return filled.where("filled is not null").select("detector_id", "bin", _r("filled", 4))
 
 

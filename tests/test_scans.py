@@ -144,3 +144,36 @@ def test_warnings_hold_in_their_own_district(spark):
         best = max(((level, a) for a, b, level, d in signals if r.time is not None and d == r.place and d is not None and a <= r.time < b), default=(0, None))
         assert (r.level, r.minutes_since) == (best[0], None if best[1] is None else (r.time - best[1]) // dt.timedelta(minutes=1))
         assert (r.is_amber, r.is_red, r.is_black, r.warned) == (int(r.level == 1), int(r.level == 2), int(r.level == 3), int(r.level > 0))
+
+
+def most_shuffled(df):
+    """The rows of all shuffles of the plan, and its result."""
+    rows = df.collect()
+
+    def walk(node):
+        kind, sent = node.getClass().getSimpleName(), node.metrics().get("shuffleRecordsWritten")
+        kids = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+        return (sent.get().value() if sent.isDefined() else 0) + sum(map(walk, kids))
+
+    return walk(df._jdf.queryExecution().executedPlan()), rows
+
+
+@pytest.mark.parametrize("piece", PIECES)
+def test_seasonal_fill_moves_rows_and_not_the_bins_between_them(spark, piece):
+    rng = random.Random(4)
+    places = [(key, k) for key in (1, None) for k in [0, *sorted(rng.sample(range(1, 20_000), 60)), 20_000]] + [(2, 7)]
+    rows = [(key, at(15 * k), rng.choice([None, 10.0, 30.0, 50.0]), f"{key} {k}") for key, k in places]
+    rows += [(1, at(1), 1e6, "off the grid"), (1, at(0), 70.0, "again"), (1, None, 5.0, "no time")]
+    df = spark.createDataFrame(rows, "detector_id int, bin timestamp_ntz, speed double, note string")
+    moved, got = most_shuffled(align.fill(df, ["detector_id"], "bin", "speed", "15 minutes", "seasonal", align.weekly_slot("bin"), piece))
+    want, slot = [], lambda t: (t.weekday() >= 5, t.hour * 4 + t.minute // 15)
+    for key in (1, 2, None):
+        own = [r for r in rows if r[0] == key and r[1] is not None and r[3] != "off the grid"]
+        means = {s: sum(v) / len(v) for s in {slot(r[1]) for r in own} if (v := [r[2] for r in own if slot(r[1]) == s and r[2] is not None])}
+        end, t, there = max(r[1] for r in own), min(r[1] for r in own), {r[1] for r in own}
+        want += [(key, b, v, note, means.get(slot(b)) if v is None else v) for key, b, v, note in own]
+        while t <= end:
+            want += [] if t in there else [(key, t, None, None, means.get(slot(t)))]
+            t += dt.timedelta(minutes=15)
+    assert sorted(map(str, want)) == sorted(str((r.detector_id, r.bin, r.speed, r.note, r.filled)) for r in got)
+    assert len(got) > 40_000 and moved < 5_000
