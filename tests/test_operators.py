@@ -274,3 +274,17 @@ def test_districts_take_cells_of_a_crowded_square(spark):
     for _, district, x, y in dim:
         own.setdefault(district, set()).add(min(((x - a) ** 2 + (y - b) ** 2, c) for c, a, b, _, _ in cells)[1])
     assert {r.district: (round(r.mean_rain, 9), r.max_rain) for r in found.collect()} == {k: (round(sum(c % 7 for c in v) / len(v), 9), max(c % 7 for c in v)) for k, v in own.items()}
+
+
+def test_salvage_seeks_the_fields_of_a_document_and_a_period_once(spark):
+    """In the plan they stay in the step that cuts the text, instead of being sought in the whole text for each part."""
+    lane = lambda k: f"<lane><lane_id>L{k}</lane_id><speed>{k}.5</speed><occupancy>1</occupancy><volume>2</volume><valid>Y</valid></lane>"
+    detector = lambda d: f"<detector><detector_id>D{d}</detector_id><direction>North</direction><lanes>{lane(1)}{lane(2)}</lanes></detector>"
+    period = lambda p: f"<period><period_from>08:0{p}:00</period_from><period_to>08:0{p}:30</period_to><detectors>{detector(1)}{detector(2)}</detectors></period>"
+    text = f"<raw_speed_volume_list><date>2024-05-01</date><periods>{period(1)}{period(2)}<period><period_from>08:03:00</period_from><detectors><detector><detector_id>D9</detector_id><lanes>{lane(3)}<lane><lane_id>Fa"
+    found = parse.salvage_readings(spark.createDataFrame([("f", text), ("whole", "<raw_speed_volume_list></raw_speed_volume_list>")], "file string, content string"))
+    got = sorted((r.file, r.date, r.period_from, r.period_to, r.detector_id, r.direction, r.lane_id, r.speed, r.sd) for r in found.collect())
+    want = [("f", "2024-05-01", f"08:0{p}:00", f"08:0{p}:30", f"D{d}", "North", f"L{k}", k + 0.5, None) for p in (1, 2) for d in (1, 2) for k in (1, 2)]
+    assert got == [*want, ("f", "2024-05-01", "08:03:00", "", "D9", "", "L3", 3.5, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Project [" in line and ("regexp_extract(content#" in line or "regexp_extract(p#" in line)]
