@@ -288,3 +288,21 @@ def test_salvage_seeks_the_fields_of_a_document_and_a_period_once(spark):
     assert got == [*want, ("f", "2024-05-01", "08:03:00", "", "D9", "", "L3", 3.5, None)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Project [" in line and ("regexp_extract(content#" in line or "regexp_extract(p#" in line)]
+
+
+def test_members_come_one_to_a_batch(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    with zipfile.ZipFile(f"{folder}/a.zip", "w") as z:
+        for hour in range(4):
+            z.writestr(f"speeds/20240501-0{hour}00-x.xml", f"{hour}" * 1000)
+    reader = bundles.BundleSource({"path": folder}).reader(None)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [(b.num_rows, b.schema.names[-1], b.column("content")[0].as_py()[:1]) for b in batches] == [(1, "content", str(h).encode()) for h in range(4)]
+    assert bundles.read_bundles(spark, folder).orderBy("position").select("day", "position").collect() == [("20240501", h) for h in range(4)]
+
+
+def test_bundles_are_packed_from_bounded_batches(spark):
+    day = spark.range(3).selectExpr("concat('b', id) as bundle", "cast('x' as binary) as content")
+    folder = bundles.write_bundles(day, f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/out")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != "67108864b"
+    assert len(spark.read.format("binaryFile").load(folder).collect()) == 3
