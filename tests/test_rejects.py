@@ -79,3 +79,10 @@ def test_incidents_without_an_end_hold_for_a_day(spark):
     rows = spark.createDataFrame([(k, k % 2, T(2024, 5, 1) + dt.timedelta(hours=6 * k)) for k in range(10)] + [(99, None, T(2024, 5, 1))], "id int, road int, time timestamp_ntz")
     news = spark.createDataFrame([(0, T(2024, 5, 1), None), (1, T(2024, 5, 1), T(2024, 5, 1, 12))], "at int, start timestamp_ntz, end timestamp_ntz")
     assert sorted(r.id for r in intervals.exclude_incidents(rows, news, {"road": "at"}).collect()) == [3, 4, 5, 6, 7, 8, 9, 99]
+
+
+def test_documents_are_parsed_once_for_their_rejects_and_those_of_their_items(spark):
+    some = files(spark, "<list><message></message></list>", "", None)
+    for df, parser in ((rejects.news_rejects(some, "file"), "from_xml("), (rejects.segment_rejects(some, "file"), "from_xml("), (rejects.calendar_rejects(some, "file"), "from_json(")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(parser) == 1
+    assert found(rejects.news_rejects(some, "file")) == [("f0", 1, "id"), ("f1", 0, "xml"), ("f2", 0, "xml")]
