@@ -240,11 +240,12 @@ def split_by_episode(df: DataFrame, episodes: DataFrame, time: str = "time", par
 
 
 def _fitted(train: DataFrame, features: list[str], label: str, estimator):
-    """The fitted pipeline, or None where no row has a label and all features."""
+    """The fitted pipeline, or None where no row has a label and all features. The rows to learn from are made once and written, as
+    fitting passes over them many times."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
-    usable = train.dropna(subset=[*features, label])
+    usable = kept(train.dropna(subset=[*features, label]))
     if usable.isEmpty():
         return None
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), estimator]).fit(usable)
@@ -262,7 +263,7 @@ def fit_and_score(train: DataFrame, test: DataFrame, features: list[str], label:
     An estimator of one's own takes its features from ``_x`` and its label from ``label``. Rows with a null feature are left out.
     Without usable rows to learn from, predictions are null.
     """
-    model = _fitted(train, features, label, estimator or _trees(label))
+    model = _fitted(train, features, label, estimator) if estimator else _fitted(train.select(*features, label), features, label, _trees(label))
     return model.transform(test).drop("_x") if model else test.dropna(subset=features).withColumn("prediction", F.lit(None).cast("double"))
 
 
@@ -291,6 +292,6 @@ def class_scores(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
 def importances(train: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, importance) of the gradient-boosted trees: shares that add up to 1, one row a feature, also of those unused;
     null without usable rows."""
-    model = _fitted(train, features, label, _trees(label))
+    model = _fitted(train.select(*features, label), features, label, _trees(label))
     found = model.stages[-1].featureImportances.toArray().tolist() if model else [None] * len(features)
     return train.sparkSession.createDataFrame(list(zip(features, found)), "feature string, importance double")

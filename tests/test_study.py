@@ -145,3 +145,16 @@ def test_models_without_rows_or_with_one_class(spark):
     assert [tuple(r) for r in study.importances(none, ["a"], "ratio").collect()] == [("a", None)]
     assert [r.congested for r in study.congestion(df, df, ["a"]).collect()] == [0, 0, 0]
     assert [r.congested for r in study.congestion(df.where("ratio < 0.5").fillna(0.0), df, ["a"]).collect()] == [1, 1, 1]
+
+
+def test_rows_to_learn_from_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(200).selectExpr("cast(id % 5 as double) as a", "cast(id % 3 as double) as b", "cast(id % 5 as double) * 2 as y").mapInArrow(seen, "a double, b double, y double")
+    found = {r.feature: r.importance for r in study.importances(rows, ["a", "b"], "y").collect()}
+    assert made.value == 200 and found["a"] > 0.9
