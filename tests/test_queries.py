@@ -47,3 +47,7 @@ def test_entry(spark):
 def test_model_scores(spark):
     row = __spark_entry__.queries()["model_eval"](spark, SF).first()
     assert row.n > 0 and row.mae >= 0
+
+
+def test_model_eval_scores_rows_that_are_made_already(spark):
+    assert not [f for f in __spark_entry__.queries()["model_eval"](spark, SF).inputFiles() if "events" in f]
